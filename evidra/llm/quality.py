@@ -27,7 +27,7 @@ M = 4096
 #: Bound on the number of trusted documents.
 TRUSTED = 20_000
 #: Mean log ratio per n-gram under which a document goes.
-THRESHOLD = -1.0
+THRESHOLD = -0.055
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -54,7 +54,8 @@ def weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     hashed = text.select("id", F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))
     flagged = hashed.join(F.broadcast(trusted_ids(labels)), F.col("id") == F.col("__trusted"), "left").select((F.col("__trusted").isNotNull()).cast("long").alias("good"), "h")
-    one = flagged.select("good", F.explode(_grams(F.col("h"))).alias("b"))
+    # The outer form, as the plain one infers a filter that repeats the whole expression at the scan.
+    one = flagged.select("good", F.explode_outer(_grams(F.col("h"))).alias("b")).where("b is not null")
     counts = {r.b: (r.target, r.raw) for r in one.groupBy("b").agg(F.sum("good").alias("target"), F.count("*").alias("raw")).collect()}
     target, raw = (sum(c[i] for c in counts.values()) for i in (0, 1))
     if not target:
