@@ -15,11 +15,13 @@ results like others. An empty table gives an empty result. Extra columns are ign
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from evidra.llm.common import rows
@@ -55,6 +57,11 @@ class Counter:
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
+        # Code points that only some Unicode versions know: texts with them are cut by the library's own splitter.
+        found = regex.compile(r"[\p{L}\p{N}]")
+        doubt = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and found.match(c)]
+        self.doubt = regex.compile(f"[{''.join(doubt)}]") if doubt else None
+        self.splitter = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -91,12 +98,17 @@ class Counter:
             sym, row = sym[stays], row[stays]
         return out
 
+    def split(self, text: str) -> list[str]:
+        if self.doubt is None or text.isascii() or not self.doubt.search(text):
+            return self.cut.findall(text)
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
+
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and the number of special tokens in it."""
         if self.special is None or not self.special.search(text):
-            return self.cut.findall(text), 0
+            return self.split(text), 0
         parts = self.special.split(text)
-        return [p for x in parts for p in self.cut.findall(x)], len(parts) - 1
+        return [p for x in parts for p in self.split(x)], len(parts) - 1
 
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [self.pieces(t) if t else ([], 0) for t in texts]
