@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from evidra.llm import near_dup
+from evidra.llm import license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, vector_near_dup, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
+    "op2_embedding_near_dup": vector_near_dup.query,
+    "op3_quality_rules": quality.query,
+    "op4_lm_scoring": ngram_lm.query,
+    "op5_source_mixing": mixing.query,
+    "op6_warc_write": warc.query,
     "op7_minhash_near_dup": near_dup.query,
+    "op8_secret_scan": secret_scan.query,
+    "op9_token_counts": token_counts.query,
+    "op10_best_fit_packing": packing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_warc_write": warc.ORACLE}

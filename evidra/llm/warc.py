@@ -81,7 +81,7 @@ def _writer(root: str, date: str, roll: int):
                     seq = now["seq"] + 1 if now.get("shard") == r["shard"] else 0
                     name = f"part-{r['shard']:06d}-{seq:04d}.warc.gz"
                     now = {"shard": r["shard"], "seq": seq, "temporary": f"_temporary/{name}.{uuid.uuid4().hex}", "name": name, "records": 0, "bytes": 0, "sha256": hashlib.sha256()}
-                    out = fs.open_output_stream(f"{base}/{now['temporary']}")
+                    out = fs.open_output_stream(f"{base}/{now['temporary']}", compression=None)
                 payload = (r["html"] or "").encode("utf-8", "surrogatepass")
                 member = record(r["page_id"], r["url"], payload if r["refers_to"] is None else b"", len(payload), r["digest"], r["refers_to"], date)
                 out.write(member)
@@ -184,7 +184,7 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
         for b in batches:
             # One record a batch, so that a worker holds one payload.
             for name in b.column(0).to_pylist():
-                with fs.open_input_stream(f"{base}/{name}") as f:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
                     for data in members(f):
                         r = parse(data)
                         http, _, payload = r["block"].partition(b"\r\n\r\n")
