@@ -46,7 +46,7 @@ LEAST = 2
 #: Quantised values are steps of 2**-12 in log10, up to 16.
 STEP = 4096
 #: Distinct n-grams that a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 2_000_000
 END = xxhash.xxh3_64_intdigest(b" end ")
 _U = np.uint64
 
@@ -64,11 +64,15 @@ def restored(q: np.ndarray) -> np.ndarray:
     return q.astype(float) / -STEP
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys with the sums of their counts."""
+def summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys with the sums of their counts, each 1 if there are none."""
+    if counts is None:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], np.diff(np.append(first, len(keys)))
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[first], np.add.reduceat(counts[order], first)
@@ -97,17 +101,21 @@ class EliasFano:
         self.n, self.width = map(int, store[f"{name}.meta"])
         self.high, self.ones, self.low = (store[f"{name}.{k}"] for k in ("high", "ones", "low"))
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        # Eight bytes from each byte on.
+        self.eight = np.ndarray(len(self.low) - 7, _U, np.ascontiguousarray(self.low).data, strides=(1,))
 
     @staticmethod
     def _within(x: np.ndarray, r: np.ndarray) -> np.ndarray:
         """The place of the r-th set bit of each word."""
         at = np.zeros(len(x), np.int64)
+        r = r.copy()
         for w in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(x & _U((1 << w) - 1)).astype(np.int64)
+            c = np.bitwise_count(x & _U((1 << w) - 1))
             go = r >= c
-            r = np.where(go, r - c, r)
-            x = np.where(go, x >> _U(w), x)
-            at += np.where(go, w, 0)
+            r -= c * go
+            go = go * np.uint8(w)
+            x = x >> go
+            at += go
         return at
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
@@ -120,11 +128,7 @@ class EliasFano:
         if not self.width:
             return np.zeros(len(i), np.int64)
         bit = i * self.width
-        byte = bit >> 3
-        out = np.zeros(len(i), _U)
-        for j in range((self.width + 14) // 8):
-            out |= self.low[byte + j].astype(_U) << _U(8 * j)
-        return ((out >> (bit & 7).astype(_U)) & _U((1 << self.width) - 1)).astype(np.int64)
+        return ((self.eight[bit >> 3] >> (bit & 7).astype(_U)) & _U((1 << self.width) - 1)).astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self.select(i, True) - i) << self.width) | self.lows(i)
@@ -141,11 +145,12 @@ class EliasFano:
         end = self.select(h, False) - h
         begin, end, low = np.maximum(begin, lo), np.minimum(end, hi), x & ((1 << self.width) - 1)
         left, right = begin.copy(), np.maximum(begin, end)
-        while (left < right).any():
-            mid = (left + right) >> 1
-            less = (left < right) & (self.lows(np.minimum(mid, self.n - 1)) < low)
-            right = np.where((left < right) & ~less, mid, right)
-            left = np.where(less, mid + 1, left)
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
+            mid = (left[open_] + right[open_]) >> 1
+            less = self.lows(mid) < low[open_]
+            left[open_[less]], right[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[left[open_] < right[open_]]
         hit = (left < end) & (self.lows(np.minimum(left, self.n - 1)) == low)
         out[use[hit]] = left[hit]
         return out
@@ -227,7 +232,11 @@ class Words:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts); unknown words have the id types and the count 0."""
-        one, back = np.unique(h, return_inverse=True)
+        order = np.argsort(h)
+        one = h[order]
+        new = np.append(True, one[1:] != one[:-1])[: len(one)]
+        one, back = one[new], np.empty(len(h), np.int64)
+        back[order] = np.cumsum(new) - 1
         ids, counts = np.full(len(one), self.types, np.int64), np.zeros(len(one), np.int64)
         cut = np.searchsorted(one, np.arange(1, PARTS, dtype=_U) << _U(64 - PART_BITS))
         for p, (a, b) in enumerate(zip(np.append(0, cut), np.append(cut, len(one)), strict=True)):
@@ -244,49 +253,78 @@ class Words:
 
 
 class Model:
+    """An n-gram's place counts through all parts in turn; a word's place is its id."""
+
     def __init__(self, root: str, levels: int):
         self.root, self.words = root, Words(root)
         self.levels = [[Level(load(root, f"level{k}-{p:03d}")) for p in range(PARTS)] for k in range(2, levels + 1)]
-        self.log_unknown = -np.log10(self.words.total + self.words.types + 1)
+        self.offsets = [self.words.offsets, *(np.append(0, np.cumsum([x.words.n for x in level])) for level in self.levels)]
+        #: A key is a context's place above a word's id.
+        self.shift = _U(max(1, self.words.types.bit_length()))
+        if max(int(x[-1]) for x in self.offsets) >> (64 - int(self.shift)):
+            raise ValueError("places and word ids need more than 64 bits: leave out rarer n-grams")
+
+    def key(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (ctx.astype(_U) << self.shift) | word.astype(_U)
+
+    def unkey(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (key >> self.shift).astype(np.int64), (key & ((_U(1) << self.shift) - _U(1))).astype(np.int64)
 
-    def look_up(self, k: int, part: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, k: int, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For n-grams of order k: their places or -1, log10 probabilities (0 if absent), and log10 back-off weights of the contexts.
 
-        ctx is the context's place in its part, or -1 where it is unknown.
+        ctx is the context's place, or -1 where there is none. A word that is unknown follows nothing.
         """
-        n = len(ctx)
-        at, p, rest = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
-        use = np.flatnonzero((ctx >= 0) & (word < self.words.types))
-        known = np.flatnonzero((ctx >= 0) & (word >= self.words.types))
-        for q in np.unique(part[known]):
-            own = known[part[known] == q]
-            rest[own] = restored(self.levels[k - 2][q].rest[ctx[own]])
-        order = use[np.lexsort((word[use], ctx[use], part[use]))]
-        cut = np.searchsorted(part[order], np.arange(PARTS + 1))
+        at, p, rest = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx))
+        use = np.flatnonzero(ctx >= 0)
+        key = self.key(ctx[use], word[use])
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        c, w = self.unkey(key[new])
+        found, of_p, of_rest = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
+        offsets, cut = self.offsets[k - 1], np.searchsorted(c, self.offsets[k - 2])
         for q in np.flatnonzero(cut[1:] > cut[:-1]):
-            own, level = order[cut[q] : cut[q + 1]], self.levels[k - 2][q]
-            c, w = ctx[own], word[own]
-            new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
-            back = np.cumsum(new) - 1
-            found = level.find(c[new], w[new])[back]
-            at[own], ok = found, found >= 0
-            p[own[ok]] = restored(level.p[found[ok]])
-            rest[own] = restored(level.rest[c])
+            own, level = slice(cut[q], cut[q + 1]), self.levels[k - 2][q]
+            local = c[own] - self.offsets[k - 2][q]
+            place = level.find(local, w[own])
+            ok = place >= 0
+            of_p[own][ok] = restored(level.p[place[ok]])
+            found[own] = np.where(ok, place + offsets[q], -1)
+            of_rest[own] = restored(level.rest[local])
+        back = np.cumsum(new) - 1
+        own = use[order]
+        at[own], p[own], rest[own] = found[back], of_p[back], of_rest[back]
         return at, p, rest
 
+    def contexts(self, k: int, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The place of the (k-1)-gram before each token, or -1."""
+        for _, _, at, _, _ in self.walk(k - 1, ids, first):
+            pass
+        return np.where(self.since(first) >= k - 1, np.append(-1, at[:-1]), -1)
+
+    @staticmethod
+    def since(first: np.ndarray) -> np.ndarray:
+        """Tokens since the text began."""
+        i = np.arange(len(first))
+        return i - np.maximum.accumulate(np.where(first, i, 0))
+
+    def walk(self, k: int, ids: np.ndarray, first: np.ndarray):
+        """(order, contexts, places, log10 probabilities, log10 back-off weights) of the n-grams that end at each token, up to order k."""
+        since = self.since(first)
+        at = np.where(ids < self.words.types, ids, -1)
+        yield 1, None, at, None, None
+        for j in range(2, k + 1):
+            ctx = np.where(since >= j - 1, np.append(-1, at[:-1]), -1)
+            at, p, rest = self.look_up(j, ctx, ids)
+            yield j, ctx, at, p, rest
+
     def scores(self, ids: np.ndarray, uni: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each token; uni: that of the unigrams; first: where texts begin."""
-        n = len(ids)
-        since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        log_p, place, part = uni, np.where(ids < self.words.types, ids, -1), self.words.part(np.minimum(ids, max(0, self.words.types - 1)))
-        place = np.where(place >= 0, place - self.words.offsets[part], -1)
-        for k in range(2, len(self.levels) + 2):
-            # The context of token i is the (k-1)-gram that ends at i - 1.
-            ctx = np.where(since >= k - 1, np.append(-1, place[:-1]), -1)
-            own = np.append(0, part[:-1])
-            at, p, rest = self.look_up(k, own, ctx, ids)
-            log_p = np.where(at >= 0, p, log_p + rest)
-            place, part = at, own
+        log_p = uni
+        for k, _, at, p, rest in self.walk(len(self.levels) + 1, ids, first):
+            if k > 1:
+                log_p = np.where(at >= 0, p, log_p + rest)
         return log_p
 
 
@@ -298,51 +336,48 @@ def opened(root: str, levels: int) -> Model:
 COUNTS = "part int, keys binary, counts binary"
 
 
-def _told(part: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """Rows for sorted parts: keys as high and low halves, so that equal bytes lie together."""
-    cut = np.searchsorted(part, np.arange(PARTS + 1))
+def _told(keys: np.ndarray, counts: np.ndarray, cut: np.ndarray):
+    """A row for each part. Numbers are stored byte by byte, so that equal bytes lie together."""
     own = [p for p in range(PARTS) if cut[p + 1] > cut[p]]
-    raw = [np.ascontiguousarray(keys[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8).T).tobytes() for p in own]
-    num = [np.ascontiguousarray(counts[cut[p] : cut[p + 1]].astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for p in own]
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(raw, pa.binary()), pa.array(num, pa.binary())], names=["part", "keys", "counts"])
+
+    def raw(x):
+        return [np.ascontiguousarray(x[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8).T).tobytes() for p in own]
+
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(raw(keys), pa.binary()), pa.array(raw(counts), pa.binary())], names=["part", "keys", "counts"])
 
 
 def _read(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _counting(of_batch):
-    """Sums what of_batch gives for each batch, as (part, key) arrays, and passes it on when it is large."""
+def _counting(of_batch, cut_at):
+    """Sums the keys that of_batch gives for each batch, and passes them on when there are many.
+
+    cut_at gives, for sorted keys, where each part begins, and their number.
+    """
 
     def run(batches):
-        part, keys, counts, fresh = np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.int64), []
-        size = 0
+        keys, counts, fresh, size = np.empty(0, _U), np.empty(0, np.int64), [], 0
 
         def merged():
-            p, k, c = (np.concatenate(x) for x in zip((part, keys, counts), *fresh, strict=True))
-            order = np.lexsort((k, p))
-            p, k, c = p[order], k[order], c[order]
-            if not len(k):
-                return p, k, c
-            at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
-            return p[at], k[at], np.add.reduceat(c, at)
+            one = summed(np.concatenate(fresh), None)
+            return summed(np.concatenate((keys, one[0])), np.concatenate((counts, one[1])))
 
         for b in batches:
-            p, k = of_batch(b)
-            if not len(k):
-                continue
-            fresh.append((p, k, np.ones(len(k), np.int64)))
-            size += len(k)
-            if size >= HELD:
-                part, keys, counts = merged()
-                fresh, size = [], 0
-                if len(keys) >= HELD:
-                    yield _told(part, keys, counts)
-                    part, keys, counts = part[:0], keys[:0], counts[:0]
+            for part in rows([b], 1000):
+                k = of_batch(part)
+                fresh.append(k)
+                size += len(k)
+                if size >= HELD // 2:
+                    keys, counts = merged()
+                    fresh, size = [], 0
+                    if len(keys) >= HELD:
+                        yield _told(keys, counts, cut_at(keys))
+                        keys, counts = keys[:0], counts[:0]
         if fresh:
-            part, keys, counts = merged()
+            keys, counts = merged()
         if len(keys):
-            yield _told(part, keys, counts)
+            yield _told(keys, counts, cut_at(keys))
 
     return run
 
@@ -398,12 +433,10 @@ class Training:
 
     def count_words(self) -> None:
         def of_batch(b):
-            out = []
-            for r in rows([b]):
-                for t in r.column(0).to_pylist():
-                    out += hashes(t)
-            h = np.array(out, _U)
-            return (h >> _U(64 - PART_BITS)).astype(np.int64), h
+            return np.concatenate([np.array(hashes(t), _U) for t in b.column(0).to_pylist()] or [np.empty(0, _U)])
+
+        def cut_at(keys):
+            return np.append(np.searchsorted(keys, np.arange(PARTS, dtype=_U) << _U(64 - PART_BITS)), len(keys))
 
         root = self.root
 
@@ -412,7 +445,7 @@ class Training:
             return part, len(keys)
 
         train = self.docs.where("not held_out").select("text")
-        _built(train.mapInArrow(_counting(of_batch), COUNTS), finish)
+        _built(train.mapInArrow(_counting(of_batch, cut_at), COUNTS), finish)
 
     def encode(self) -> None:
         """The table of word ids; base scores are taken here, where counts are at hand."""
@@ -423,7 +456,7 @@ class Training:
             for b in rows(batches, 500):
                 each = [hashes(t) for t in b.column(1).to_pylist()]
                 size = np.array([len(x) for x in each], np.int64)
-                ids, counts = words.look_up(np.array([h for x in each for h in x], _U))
+                ids, counts = words.look_up(np.concatenate([np.array(x, _U) for x in each] or [np.empty(0, _U)]))
                 log_p = np.log10((counts + 1) / (words.total + words.types + 1))
                 at = np.append(0, np.cumsum(size))[:-1]
                 known = np.add.reduceat((counts > 0).astype(np.int64), at) if len(at) else at
@@ -443,24 +476,19 @@ class Training:
         def of_batch(b):
             model = opened(root, k - 1)
             ids, first = flat(b.column(0))
-            if not len(ids):
-                return np.empty(0, np.int64), np.empty(0, _U)
-            n = len(ids)
-            since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-            part = model.words.part(ids)
-            place = ids - model.words.offsets[part]
-            for j in range(2, k):
-                ctx = np.where(since >= j - 1, np.append(-1, place[:-1]), -1)
-                part = np.append(0, part[:-1])
-                place = model.look_up(j, part, ctx, ids)[0]
-            ctx, own = np.append(-1, place[:-1]), np.append(0, part[:-1])
-            use = (since >= k - 1) & (ctx >= 0)
-            return own[use], (ctx[use].astype(_U) << _U(32)) | ids[use].astype(_U)
+            ctx = model.contexts(k, ids, first) if len(ids) else ids
+            return model.key(ctx[ctx >= 0], ids[ctx >= 0])
+
+        def cut_at(keys):
+            model = opened(root, k - 1)
+            return np.searchsorted(model.unkey(keys)[0], model.offsets[k - 2])
 
         def finish(part, keys, counts):
             model = opened(root, k - 1)
-            contexts = len(model.words.hashes[part]) if k == 2 else model.levels[k - 3][part].words.n
-            ctx, word = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
+            start, end = model.offsets[k - 2][part : part + 2]
+            contexts = int(end - start)
+            ctx, word = model.unkey(keys)
+            ctx -= start
             total = np.bincount(ctx, counts, contexts)
             keep = counts >= LEAST
             ctx, word, c = ctx[keep], word[keep], counts[keep]
@@ -471,7 +499,7 @@ class Training:
             return part, len(ctx)
 
         train = self.coded.where("not held_out").select("ids")
-        _built(train.mapInArrow(_counting(of_batch), COUNTS), finish)
+        _built(train.mapInArrow(_counting(of_batch, cut_at), COUNTS), finish)
 
     def run(self) -> None:
         self.count_words()
@@ -504,10 +532,9 @@ def backed_off(model: Model, context: list[np.ndarray], word: np.ndarray) -> np.
             at = np.flatnonzero(own == q)
             counts[at] = words.counts[q][word[at] - words.offsets[q]]
         return np.log10((counts + 1) / (words.total + words.types + 1))
-    part = words.part(context[0])
-    place = context[0] - words.offsets[part]
+    place = context[0]
     for j, w in enumerate([*context[1:], word], start=2):
-        place, p, rest = model.look_up(j, part, place, w)
+        place, p, rest = model.look_up(j, place, w)
     return np.where(place >= 0, p, backed_off(model, context[1:], word) + rest)
 
 
