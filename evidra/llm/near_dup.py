@@ -9,7 +9,7 @@ Coordinates are cut into BANDS of ROWS; at similarity 0.75 a pair shares no band
 (1 - 0.75**4)**32 < 1e-5. Documents with equal sets form one class and only its smallest id is
 compared. In a bucket, members are compared with one pivot at a time, which then leaves the bucket;
 buckets whose members are all in one component are done. What remains after a few rounds is compared
-across components exhaustively, so no limit on bucket sizes or partners is needed. Every link is
+across components by prefix filtering, which loses no pair, so no limit on bucket sizes is needed. Every link is
 confirmed on the full shingle sets.
 
 Defined results: null or blank text has no shingles, links with nothing and is kept. A row without
@@ -80,25 +80,21 @@ def bands(coords: np.ndarray) -> np.ndarray:
     return mix((coords * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=_U) ^ _BAND_SEED).view(np.int64)
 
 
-SKETCHES = "doc_id long, n_shingles long, cls binary, keys array<long>, s0 long, s1 long"
-#: Of T one-bit coordinates, a pair at similarity 0.75 agrees on 112 on average; fewer than this many has probability below 1e-7.
-AGREE = 92
+SKETCHES = "doc_id long, n_shingles long, cls binary, keys array<long>"
 
 
 def _sketches(batches):
     for b in rows(batches):
-        ids, n, cls, keys, bits = b.column(0), [], [], [], []
+        ids, n, cls, keys = b.column(0), [], [], []
         for text in b.column(1).to_pylist():
             s = shingles(text)
             n.append(len(s))
             if len(s):
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                c = sketch(s)
-                keys.append(bands(c))
-                bits.append(np.packbits((mix(c) & _U(1)).astype(bool)).view(np.int64))
+                keys.append(bands(sketch(s)))
             else:
-                cls.append(None), keys.append(None), bits.append((0, 0))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([x[i] for x in bits], pa.int64()) for i in (0, 1))], names=["doc_id", "n_shingles", "cls", "keys", "s0", "s1"])
+                cls.append(None), keys.append(None)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "keys"])
 
 
 def _sets(batches):
@@ -106,6 +102,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
 
 
+def _unpacked(batches):
+    for b in rows(batches, 100):
+        for node, c, x in zip(*(v.to_pylist() for v in b.columns), strict=True):
+            h = np.frombuffer(x, np.int64)
+            same = [pa.array(np.full(len(h), v), pa.int64()) for v in (node, c, len(h))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(h)], names=["node", "c", "n", "hash"])
+
+
 def linked(x: bytes, y: bytes, percent: int) -> bool:
     a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -125,6 +129,28 @@ def _confirmed(percent: int):
     return confirm
 
 
+def _rest(scratch: Scratch, live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of live nodes in different components that may be linked, by prefix filtering.
+
+    Hashes are ordered from rare to frequent. Two linked sets meet in the first
+    n - ceil(n * percent / 100) + 1 hashes of each, so only these are joined; hashes of one set alone
+    count for their place but meet nothing.
+    """
+    at = live.select("node", "c").distinct()
+    own = scratch.store(sets.join(at, "node").select("node", "c", "hashes").mapInArrow(_unpacked, "node long, c long, n long, hash long"), "hashes")
+    common = scratch.store(own.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    met = own.join(common, "hash")
+    by = Window.partitionBy("node")
+    place = F.row_number().over(by.orderBy("df", "hash")) + F.col("n") - F.count("*").over(by)
+    prefix = met.withColumn("place", place).where(f"place <= n - ceil(n * {percent} / 100) + 1")
+    prefix = scratch.store(prefix.select("node", "c", "n", "hash", "place"), "prefix")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    sizes = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    # From their first common hash on, both sets must have enough left for the overlap that a link needs.
+    enough = f"{100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
+    return a.join(b, F.expr(f"a.hash = b.hash and a.c < b.c and {sizes} and {enough}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -138,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
     usable = every.where("cls is not null and doc_id is not null")
     classes = scratch.store(usable.groupBy("cls").agg(F.min("doc_id").alias("node")), "classes")
     # One row of sketches for each class: ids may repeat, so the class is part of the key.
-    nodes = scratch.store(classes.join(usable.withColumnRenamed("doc_id", "node").select("cls", "node", "keys", "s0", "s1"), ["node", "cls"]).drop("cls").dropDuplicates(["node"]), "nodes")
+    nodes = scratch.store(classes.join(usable.withColumnRenamed("doc_id", "node").select("cls", "node", "keys"), ["node", "cls"]).drop("cls").dropDuplicates(["node"]), "nodes")
     cells = nodes.select("node", F.explode("keys").alias("key"))
     shared = scratch.store(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     live = scratch.store(cells.join(shared, "key"), "live")
@@ -171,10 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
             pairs = met.where("c <> of").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
             live = met.where("node <> pivot").select("key", "node")
         else:
-            full = scratch.store(live.join(nodes.select("node", "s0", "s1"), "node"), "members")
-            a, b = full.alias("a"), full.alias("b")
-            alike = f"{T} - bit_count(a.s0 ^ b.s0) - bit_count(a.s1 ^ b.s1) >= {AGREE}"
-            pairs = a.join(b, F.expr(f"a.key = b.key and a.c < b.c and {alike}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+            pairs = _rest(scratch, live, sets, percent)
         found = confirm(pairs)
         links = found if links is None else links.union(found)
         component = components(scratch, links)
