@@ -1,0 +1,52 @@
+"""Validated settings: keyword arguments win over environment variables, those over defaults; empty values are ignored."""
+
+from __future__ import annotations
+
+import os
+from dataclasses import dataclass, fields
+
+_SECRET = ("openai_api_key", "gemini_api_key", "tavily_api_key")
+
+
+@dataclass(frozen=True)
+class Settings:
+    llm_provider: str = "openai"
+    openai_api_key: str = ""
+    gemini_api_key: str = ""
+    tavily_api_key: str = ""
+    model_name: str = "gpt-4.1-mini"
+    max_pages_per_domain: int = 8
+    max_depth: int = 2
+    domain_concurrency: int = 2
+    domain_budget_seconds: float = 180
+    max_context_tokens: int = 8000
+    pricing_model: str = ""
+    input_price_per_million: float | None = None
+    cached_input_price_per_million: float | None = None
+    output_price_per_million: float | None = None
+
+    def __post_init__(self):
+        for name, low, high in (("max_pages_per_domain", 1, 50), ("max_depth", 0, 5), ("domain_concurrency", 1, 10), ("max_context_tokens", 2000, 10**7)):
+            if not low <= getattr(self, name) <= high:
+                raise ValueError(f"{name} must lie between {low} and {high}")
+        rates = self.rates
+        if any(r is not None for r in rates) != all(r is not None for r in rates) or any(r is not None and r < 0 for r in rates):
+            raise ValueError("prices are given together or not at all, and are not negative")
+
+    @property
+    def rates(self):
+        return self.input_price_per_million, self.cached_input_price_per_million, self.output_price_per_million
+
+    @classmethod
+    def load(cls, **given) -> Settings:
+        out = {}
+        for f in fields(cls):
+            if given.get(f.name) is not None:
+                out[f.name] = given[f.name]
+            elif raw := os.environ.get(f.name.upper(), ""):
+                kind = str if "str" in str(f.type) else int if str(f.type) == "int" else float
+                out[f.name] = kind(raw)
+        return cls(**out)
+
+    def redacted(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in _SECRET}
