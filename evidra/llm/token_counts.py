@@ -59,8 +59,7 @@ class Counter:
         self.known: dict[str, int] = {}
         # Code points that only some Unicode versions know: texts with them are cut by the library's own splitter.
         found = regex.compile(r"[\p{L}\p{N}]")
-        doubt = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and found.match(c)]
-        self.doubt = regex.compile(f"[{''.join(doubt)}]") if doubt else None
+        self.doubt = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and found.match(c))
         self.splitter = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -98,29 +97,32 @@ class Counter:
             sym, row = sym[stays], row[stays]
         return out
 
-    def split(self, text: str) -> list[str]:
-        if self.doubt is None or text.isascii() or not self.doubt.search(text):
-            return self.cut.findall(text)
-        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
+    def doubtful(self, piece: str) -> bool:
+        return not piece.isascii() and not self.doubt.isdisjoint(piece)
 
-    def pieces(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of a text, and the number of special tokens in it."""
-        if self.special is None or not self.special.search(text):
-            return self.split(text), 0
-        parts = self.special.split(text)
-        return [p for x in parts for p in self.split(x)], len(parts) - 1
+    def pieces(self, text: str, own: bool = True) -> tuple[list[str], int]:
+        """Pre-tokens of a text, by our own pattern or the library's splitter, and the number of special tokens in it."""
+        parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+        if own:
+            return [p for x in parts for p in self.cut.findall(x)], len(parts) - 1
+        return [x[a:b] for x in parts for _, (a, b) in self.splitter.pre_tokenize_str(x)], len(parts) - 1
 
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [self.pieces(t) if t else ([], 0) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({p for x, _ in cut for p in x}.difference(known))
+        new = {p for x, _ in cut for p in x}.difference(known)
+        # Pieces with doubtful characters are never remembered, so none hides a text that has them.
+        if bad := {p for p in new if self.doubtful(p)}:
+            cut = [c if bad.isdisjoint(c[0]) else self.pieces(t, own=False) for t, c in zip(texts, cut, strict=True)]
+            new = {p for x, _ in cut for p in x}.difference(known)
+        new = list(new)
         extra: dict[str, int] = {}
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for p, n in zip(part, self.merged([p.encode("utf-8", "surrogatepass") for p in part]).tolist(), strict=True):
-                (known if len(p) <= SHORT else extra)[p] = n
+                (known if len(p) <= SHORT and not self.doubtful(p) else extra)[p] = n
         if extra:
             known = known | extra
         return [sum(map(known.__getitem__, x)) + n for x, n in cut]
