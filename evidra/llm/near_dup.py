@@ -226,3 +226,29 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The links of all pairs of distinct sets, without sketches; meant for small tables.
+ORACLE = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+),
+places as (select doc_id, len(w) as total, unnest(w) as word, generate_subscripts(w, 1) as i from words),
+runs as (
+  select doc_id, total, i, concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o) as shingle
+  from places window o as (partition by doc_id order by i)
+),
+filled as (select doc_id, list_sort(list(distinct shingle)) as s from runs where i <= greatest(1, total - 4) group by doc_id),
+sets as (select d.doc_id, coalesce(f.s, []) as s from documents d left join filled f using (doc_id)),
+classes as (select s, min(doc_id) as node, len(s) as n from sets where len(s) > 0 group by s),
+each as (select node, n, unnest(s) as shingle from classes),
+links as (
+  select a.node as x, b.node as y from each a join each b on a.shingle = b.shingle and a.node < b.node
+  group by a.node, b.node, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+both_ways as (select x, y from links union all select y, x from links),
+reach(node, met) as (select node, node from classes union select r.node, l.y from reach r join both_ways l on l.x = r.met),
+component as (select node, min(met) as id from reach group by node)
+select t.doc_id, cast(len(t.s) as bigint) as n_shingles, coalesce(p.id, t.doc_id) as component_id, coalesce(p.id, t.doc_id) = t.doc_id as kept
+from sets t left join classes c on c.s = t.s left join component p on p.node = c.node
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_best_fit_packing": packing.query,
 }
 
-ORACLES = {"op6_warc_write": warc.ORACLE}
+ORACLES = {"op2_embedding_near_dup": vector_near_dup.ORACLE, "op6_warc_write": warc.ORACLE, "op7_minhash_near_dup": near_dup.ORACLE}

@@ -152,3 +152,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The cosine of all pairs with one label, without codes; meant for small tables.
+ORACLE = """
+with recursive vectors as (
+  select vec_id, label, cast(embedding as double[]) as e, embedding is not null and len(embedding) > 0 and label is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as usable from embeddings
+),
+good as (select * from vectors where usable),
+links as (select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(node, met) as (select vec_id, vec_id from good union select r.node, l.y from reach r join links l on l.x = r.met),
+component as (select node, min(met) as id from reach group by node),
+counted as (select x, count(*) as n from links group by x)
+select v.vec_id, cast(coalesce(c.n, 0) as bigint) as n_links, coalesce(p.id, v.vec_id) as component_id, coalesce(p.id, v.vec_id) = v.vec_id as kept
+from vectors v left join counted c on c.x = v.vec_id left join component p on p.node = v.vec_id
+"""
