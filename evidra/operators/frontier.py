@@ -45,21 +45,30 @@ def select_pages(links: DataFrame, max_pages: int = 8, seen: int = SEEN) -> Data
     """The first max_pages of each host at depth 1: its root, ranked links in scope, and fallbacks.
 
     Links of one URL count once, with the first anchor's rank; at most seen URLs are remembered, in
-    URL order. links: host, page_url, pos, url, text.
+    URL order. links: host, page_url, pos (from 0 on each page), url, text. Rows without host are left out.
+
+    One pass over links: root and fallbacks ride along with the first link of each page and meet the
+    links in one aggregation by URL. Only seen + 5 rows of a host then go to the windows by host.
     """
-    ranked = links.withColumn("priority", priority(F.col("url"), F.col("text"))).where("priority is not null").where(U.in_scope(F.col("url"), F.col("host")))
-    once = ranked.withColumn("n", F.row_number().over(Window.partitionBy("host", "url").orderBy("page_url", "pos"))).where("n = 1")
-    hosts = links.select("host").distinct()
-    root = hosts.select("host", F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), F.lit(0).alias("priority"), F.lit(0).alias("depth"))
-    new = once.join(root.select("host", "url"), ["host", "url"], "left_anti")
-    capped = new.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("url"))).where(F.col("n") < seen).select("host", "url", "priority", F.lit(1).alias("depth"))
-    known = root.unionByName(capped)
-    room = known.groupBy("host").count().withColumnRenamed("count", "held")
-    extra = hosts.select("host", F.posexplode(F.array(*map(F.lit, FALLBACK))).alias("i", "path")).select("host", "i", F.concat(F.lit("https://"), "host", "path").alias("url"))
-    extra = extra.join(known.select("host", "url"), ["host", "url"], "left_anti").join(room, "host")
-    extra = extra.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("i"))).where(F.col("n") + F.col("held") <= seen)
-    every = known.unionByName(extra.select("host", "url", F.lit(5).alias("priority"), F.lit(1).alias("depth")))
-    order = Window.partitionBy("host").orderBy("priority", "depth", "url")
+    own = [F.struct(F.concat(F.lit("https://"), "host", F.lit(path)).alias("url"), F.lit(i).alias("special"), F.lit(None).cast("struct<page_url:string,pos:int,text:string>").alias("link")) for i, path in enumerate(["/", *FALLBACK])]
+    link = F.struct("url", F.lit(None).cast("int").alias("special"), F.struct("page_url", "pos", "text").alias("link"))
+    offers = F.when(F.col("pos") == 0, F.array(link, *own)).otherwise(F.array(link))
+    offered = links.where("host is not null").select("host", F.explode(offers).alias("o")).select("host", "o.*").where("url is not null")
+    once = offered.groupBy("host", "url").agg(F.min("special").alias("special"), F.min("link").alias("link"))
+    rank = F.when(F.col("link").isNotNull() & U.in_scope(F.col("url"), F.col("host")), priority(F.col("url"), F.col("link.text")))
+    ranked = once.select("host", "url", "special", rank.alias("rank")).where("rank is not null or special is not null")
+    host = Window.partitionBy("host")
+    # Root and fallbacks first: whatever is cut off here lies behind the first seen links.
+    few = ranked.withColumn("n", F.row_number().over(host.orderBy(F.col("special").isNull(), "url"))).where(F.col("n") < seen + 1 + len(FALLBACK))
+    is_link = F.col("rank").isNotNull() & ~F.col("special").eqNullSafe(F.lit(0))
+    few = few.withColumn("is_link", is_link).withColumn("link_no", F.sum(F.col("is_link").cast("int")).over(host.orderBy("url")))
+    few = few.withColumn("found", F.col("is_link") & (F.col("link_no") < seen))
+    few = few.withColumn("held", F.sum(F.col("found").cast("int")).over(host) + 1).withColumn("spare", ~F.col("found") & (F.col("special") > 0))
+    few = few.withColumn("spare_no", F.sum(F.coalesce("spare", F.lit(False)).cast("int")).over(host.orderBy(F.col("special").asc_nulls_last(), "url")))
+    root = F.coalesce(F.col("special") == 0, F.lit(False))
+    every = few.where(root | F.col("found") | (F.col("spare") & (F.col("spare_no") + F.col("held") <= seen)))
+    every = every.select("host", "url", F.when(root, 0).when(F.col("found"), F.col("rank")).otherwise(5).alias("priority"), F.when(root, 0).otherwise(1).alias("depth"))
+    order = host.orderBy("priority", "depth", "url")
     return every.withColumn("page_no", F.row_number().over(order)).where(F.col("page_no") <= max_pages).select("host", "url", "priority", "depth", "page_no")
 
 

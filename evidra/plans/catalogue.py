@@ -100,13 +100,32 @@ def q_email_ownership(spark, sf_dir):
     return e.withColumn("owned", F.size(T.owned(F.array("email"), U.aliases(host))) > 0)
 
 
-@query()
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_RANKED = f"""{_LINKS},
+p as (select *, {_PATH} as path, lower(regexp_replace({_PATH} || ' ' || text, '[/_\\-]', ' ', 'g')) as said from u),
+ranked as (select host, page_url, pos, url, case when url is null or regexp_matches(path, '{frontier.EXCLUDED}') or regexp_matches(url, '{frontier.EXCLUDED}') then null
+  when regexp_matches(said, '{frontier.LOW}') then 8 {" ".join(f"when regexp_matches(said, '{w}') then {n}" for n, w in frontier.RANKS)} else 6 end as priority from p)
+"""
+_TOPK = f"""with {_RANKED},
+hosts as (select distinct host from ranked),
+once as (select host, url, priority, row_number() over (partition by host, url order by page_url, pos) as n from ranked where priority is not null and url <> 'https://' || host || '/'),
+capped as (select host, url, priority, row_number() over (partition by host order by url) as n from once where n = 1),
+known as (select host, 'https://' || host || '/' as url, 0 as priority, 0 as depth from hosts union all select host, url, priority, 1 from capped where n < {frontier.SEEN}),
+room as (select host, count(*) as held from known group by host),
+more as (select h.host, 'https://' || h.host || f.path as url, f.i from hosts h, (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(frontier.FALLBACK))}) f(i, path)),
+extra as (select m.host, m.url, row_number() over (partition by m.host order by m.i) as n from more m where not exists (select 1 from known k where k.host = m.host and k.url = m.url)),
+whole as (select * from known union all select e.host, e.url, 5, 1 from extra e join room r on r.host = e.host where e.n + r.held <= {frontier.SEEN}),
+numbered as (select *, cast(row_number() over (partition by host order by priority, depth, url) as integer) as page_no from whole)
+select host, url, priority, depth, page_no from numbered where page_no <= 8"""
+
+
+@query(f"with {_RANKED} select priority, cast(count(*) as bigint) as n from ranked group by 1")
 def q_link_priority(spark, sf_dir):
     l = frontier.page_links(table(spark, sf_dir, "pages"))
     return l.withColumn("priority", frontier.priority(F.col("url"), F.col("text"))).groupBy("priority").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_TOPK)
 def q_frontier_topk(spark, sf_dir):
     return frontier.select_pages(frontier.page_links(table(spark, sf_dir, "pages")))
 
@@ -124,7 +143,7 @@ def q_fingerprint_dedup(spark, sf_dir):
 def _robots(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", U.origin(F.col("url")).alias("origin"))
     body = "# fixture\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*?page=\nCrawl-delay: 2\n\nUser-agent: evidra\nDisallow: /fr/\nAllow: /fr/8\nDisallow: /*x$\nCrawl-delay: 0.1\n"
-    files = p.select("origin").distinct().withColumn("body", F.when(F.pmod(F.crc32("origin"), F.lit(2)) == 0, body).otherwise(F.regexp_replace(F.lit(body), "evidra", "other")))
+    files = p.select("origin").distinct().withColumn("body", F.when(F.md5("origin") < "8", body).otherwise(F.regexp_replace(F.lit(body), "evidra", "other")))
     return p, robots.parse(files, "evidra")
 
 
@@ -138,7 +157,7 @@ def q_robots_allow(spark, sf_dir):
     return robots.allowed(p, robots.parse(files, "evidra")).select("page_id", "url", "allowed")
 
 
-@query()
+@query("with o as (select distinct regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin from pages) select origin, case when md5(origin) < '8' then 0.4::double else 2.0::double end as delay, cast(3 as bigint) as rules from o")
 def q_robots_delay(spark, sf_dir):
     return _robots(spark, sf_dir)[1].groupBy("origin").agg(F.max("delay").alias("delay"), F.count("pattern").alias("rules"))
 
@@ -171,7 +190,11 @@ def q_round_robin(spark, sf_dir):
     return context.interleaved(context.chunks(_sources(spark, sf_dir))).select("ord", "source_id", "pos", "turn")
 
 
-@query()
+@query(f"""with {_CHUNKS}, nth as (select *, row_number() over (partition by ord, category, source_id order by pos) as k from chunks),
+turns as (select ord, row_number() over (partition by ord order by k, category, cast(source_id as varchar)) as turn, len(regexp_extract_all(chunk, '[^ \\t\\n\\x0B\\f\\r]+')) + 1 as t from nth),
+folded as (select ord, list_reduce(list_prepend({{'u': 0::bigint, 's': 0, 'd': 0, 't': 0::bigint}}, list({{'u': 0::bigint, 's': 0, 'd': 0, 't': t}} order by turn)),
+  lambda a, x: case when x.t <= {context.CHUNK_LIMIT} and a.u + x.t <= 3000 then {{'u': a.u + x.t, 's': a.s + 1, 'd': a.d, 't': x.t}} else {{'u': a.u, 's': a.s, 'd': a.d + 1, 't': x.t}} end) as f from turns group by ord)
+select ord, f.u as used, cast(f.s as integer) as n_selected, cast(f.d as integer) as n_dropped from folded""")
 def q_context_budget(spark, sf_dir):
     turns = context.interleaved(context.chunks(_sources(spark, sf_dir)))
     out = context.packed(turns, F.regexp_count("chunk", F.lit(r"\S+")).cast("long") + 1, 3000)
