@@ -92,7 +92,11 @@ def q_emails(spark, sf_dir):
     return d.where(F.size("e") > 0).select("doc_id", F.array_join("e", ",").alias("emails"))
 
 
-@query()
+@query("""
+with l as (select doc_id, lower(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_.+-])([A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Z0-9.-]+\\.[A-Z]{2,63})', 1)::varchar)::varchar[] as e from documents),
+x as (select doc_id, unnest(list_distinct(e)) as email from l)
+select doc_id, email, split_part(email, '@', 1) not in ('example', 'test', 'yourname', 'user', 'you') as owned from x
+""")
 def q_email_ownership(spark, sf_dir):
     """Addresses of documents taken as owned where the company host is their own domain, placeholders left out."""
     e = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.emails(F.col("text"))).alias("email"))
@@ -291,6 +295,43 @@ def q_audit_scores(spark, sf_dir):
     return audit.scores(r.withColumn("confidence_score", F.when(F.col("ord") == 2, 0.5).otherwise(F.col("confidence_score"))))
 
 
+@query("select 0 as ord, 'hi@acme.test' as email, 'p1' as source_id, 'Public email: hi@acme.test' as excerpt union all select 1, 'a@bolt.test', 'p2', 'Write to a@bolt.test now'")
+def q_observed_contacts(spark, sf_dir):
+    rows = [(0, "p1", "first_party_html", True, "https://acme.test/", "Acme\nPublic email: hi@acme.test\nagain hi@acme.test", ["hi@acme.test"]), (1, "p2", "first_party_html", True, "https://bolt.test/", "Write to a@bolt.test now", ["a@bolt.test", "gone@bolt.test"]), (2, "p3", "search_snippet", True, "https://c.test/", "x@c.test", ["x@c.test"]), (3, "p4", "first_party_html", False, "https://d.test/", "x@d.test", ["x@d.test"])]
+    s = spark.createDataFrame(rows, "ord int, source_id string, kind string, usable boolean, final_url string, text string, email_candidates array<string>")
+    return grounding.observed_contacts(s).select("ord", "email", F.explode("evidence").alias("e")).select("ord", "email", "e.source_id", "e.excerpt")
+
+
+@query("""select * from (values (1, 'source_ids_unique', 'p2'), (1, 'contact_observed', 'no@bolt.test'), (1, 'evidence_resolves', 'Bo Ray:Bo Ray, founder of Mars'), (1, 'person_related', 'Cy'),
+(1, 'role_evidenced', 'Cy'), (1, 'profile_observed', 'Bo Ray'), (1, 'field_evidenced', 'company_name'), (2, 'success_whole', 'success'), (1, 'success_clean', 'success')) t(ord, rule, detail)""")
+def q_audit_rules(spark, sf_dir):
+    """The general rules over three results: the first is valid, the others break each rule once (scores: q_audit_scores)."""
+    f = spark.createDataFrame
+    body = "Ann Lee is the CEO of Acme.\nWrite to hi@acme.test"
+    link = [("https://linkedin.com/in/ann", "in", "Ann Lee, CEO")]
+    sources = f(
+        [(0, "p1", "first_party_html", True, "https://acme.test/", body, ["hi@acme.test"], link), (1, "p2", "first_party_html", True, "https://bolt.test/", "Bo Ray, founder of Bolt", [], []), (1, "p2", "first_party_html", False, "https://bolt.test/2", "", [], [])],
+        "ord int, source_id string, kind string, usable boolean, final_url string, text string, email_candidates array<string>, links array<struct<url:string,text:string,nearby_text:string>>",
+    )
+    profile = "https://www.linkedin.com/in/"
+    people = f([(0, "Ann Lee", "CEO", profile + "ann", "first_party_link"), (1, "Bo Ray", "founder", profile + "bo", "first_party_link"), (1, "Cy", "chief", None, "not_found")], "ord int, name string, role string, linkedin_url string, linkedin_status string")
+    cited = f([(0, "Ann Lee", 0, "p1", "Ann Lee is the CEO of Acme.", "https://acme.test/"), (1, "Bo Ray", 0, "p2", "Bo Ray, founder of Bolt", "https://bolt.test/"), (1, "Bo Ray", 1, "p2", "Bo Ray, founder of Mars", "https://bolt.test/")], "ord int, owner string, pos int, source_id string, excerpt string, source_url string")
+    results = results_fixture(spark).where("ord < 2").drop("status").withColumn("status", F.lit("success"))
+    results = results.unionByName(results.where("ord = 1").withColumn("ord", F.lit(2)).withColumn("target_audience", F.lit(None).cast("string")).withColumn("status", F.lit("success")))
+    results = scoring.factors(results.drop(*scoring.WEIGHTS, "confidence_score"))
+    return audit.audit(
+        {
+            "results": results,
+            "sources": sources,
+            "contacts": f([(0, "hi@acme.test"), (1, "no@bolt.test")], "ord int, email string"),
+            "people": people,
+            "citations": cited,
+            "fields": f([(1, "company_name", "Bolt"), (1, "target_audience", None)], "ord int, field string, value string"),
+            "errors": f([(1, True), (0, False)], "ord int, material boolean"),
+        }
+    )
+
+
 @query("select 0 as ord, 2 as attempt union all select 1, 3")
 def q_best_attempt(spark, sf_dir):
     a = spark.createDataFrame([(0, 1, 5, 2), (0, 2, 4, 0), (1, 1, 3, 1), (1, 2, 2, 1), (1, 3, 3, 4)], "ord int, attempt int, supported int, issues int")
