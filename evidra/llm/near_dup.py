@@ -8,7 +8,7 @@ and agreement of two sketches is concentrated around the Jaccard similarity of t
 Coordinates are cut into BANDS of ROWS; at similarity 0.75 a pair shares no band with probability
 (1 - 0.75**4)**32 < 1e-5. Documents with equal sets form one class and only its smallest id is
 compared. In a bucket, members are compared with one pivot at a time, which then leaves the bucket;
-buckets whose members are all in one component are done. What remains after a few rounds is compared
+buckets whose members are all in one component are done. What remains after one round (rounds) is compared
 across components by prefix filtering, which loses no pair, so no limit on bucket sizes is needed. Every link is
 confirmed on the full shingle sets.
 
@@ -99,7 +99,8 @@ def _sketches(batches):
 
 def _sets(batches):
     for b in rows(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+        sets = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "cls", "hashes"])
 
 
 def _unpacked(batches):
@@ -151,7 +152,7 @@ def _rest(scratch: Scratch, live: DataFrame, sets: DataFrame, percent: int) -> D
     return a.join(b, F.expr(f"a.hash = b.hash and a.c < b.c and {sizes} and {enough}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
     Documents are linked when 100 * |A & B| >= percent * |A | B|; percent is meant to be 75 or more,
@@ -162,14 +163,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = scratch.store(texts.mapInArrow(_sketches, SKETCHES), "sketches")
     usable = every.where("cls is not null and doc_id is not null")
-    classes = scratch.store(usable.groupBy("cls").agg(F.min("doc_id").alias("node")), "classes")
-    # One row of sketches for each class: ids may repeat, so the class is part of the key.
-    nodes = scratch.store(classes.join(usable.withColumnRenamed("doc_id", "node").select("cls", "node", "keys"), ["node", "cls"]).drop("cls").dropDuplicates(["node"]), "nodes")
+    # Equal sets have equal sketches, so a class takes any member's.
+    firsts = usable.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").alias("node"), "keys")).alias("m"))
+    classes = scratch.store(firsts.select("cls", "m.node", "m.keys"), "classes")
+    # Ids may repeat with other texts: of an id's classes one is compared, that of the smallest hash.
+    nodes = scratch.store(classes.groupBy("node").agg(F.min(F.struct("cls", "keys")).alias("m")).select("node", "m.keys"), "nodes")
     cells = nodes.select("node", F.explode("keys").alias("key"))
     shared = scratch.store(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     live = scratch.store(cells.join(shared, "key"), "live")
     named = scratch.store(live.select("node").distinct(), "named")
-    sets = scratch.store(texts.join(named, texts.doc_id == named.node, "left_semi").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    whole = texts.join(named, texts.doc_id == named.node, "left_semi").mapInArrow(_sets, "node long, cls binary, hashes binary").where("length(hashes) > 0")
+    sets = scratch.store(whole.groupBy("node").agg(F.min(F.struct("cls", "hashes")).alias("m")).select("node", "m.hashes"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
@@ -201,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
         found = confirm(pairs)
         links = found if links is None else links.union(found)
         component = components(scratch, links)
-    members = every.join(classes, "cls", "left")
+    members = every.join(classes.select("cls", "node"), "cls", "left")
     out = members.join(component, "node", "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     own = F.when(F.col("doc_id").isNotNull(), own)
