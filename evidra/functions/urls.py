@@ -63,17 +63,26 @@ def canonical_url(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host(url) != "") & ~part(url, 2).contains("@"), out)
 
 
+def _undotted(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    parts = F.split(F.substring(path, 2, 1_000_000), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def resolved(href: Column, base: Column) -> Column:
-    """href against base: absolute, //host, /path, ?query, #fragment and relative paths without dot segments."""
+    """href against base: absolute, //host, /path, ?query, #fragment and relative paths, dot segments removed from paths."""
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(F.when(part(base, 3) == "", "/").otherwise(part(base, 3)), "[^/]*$", "")
+    path, rest = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, "^[^?#]*([\\s\\S]*)$", 1)
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(part(base, 1), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, _undotted(path), rest))
         .when(F.startswith(href, F.lit("?")), F.concat(root, part(base, 3), href))
-        .when((href == "") | F.startswith(href, F.lit("#")), F.regexp_replace(base, "#[\\s\\S]*$", ""))
-        .otherwise(F.concat(root, folder, href))
+        .when((href == "") | F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#[\\s\\S]*$", ""), href))
+        .otherwise(F.concat(root, _undotted(F.concat(folder, path)), rest))
     )
 
 

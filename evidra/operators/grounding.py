@@ -46,8 +46,10 @@ def valid_claims(claims: DataFrame, citations: DataFrame, sources: DataFrame) ->
     c = claims.withColumn("value", T.squeezed(F.col("value"))).join(asked, ["ord", "field"], "left").join(held, ["ord", "field"], "left")
     named = (F.col("field") != "company_name") | F.exists(F.coalesce("said", F.array().cast("array<string>")), lambda x: x.contains(F.lower("value")))
     good = (F.coalesce("asked", F.lit(0)) > 0) & (F.col("asked") == F.coalesce("held", F.lit(0))) & F.length("value").between(1, 700) & named
-    issue = F.when(F.col("value").isNotNull() & ~good, F.concat(F.lit("unsupported "), "field"))
-    return c.select("ord", "field", F.when(good, F.col("value")).alias("value"), issue.alias("issue"))
+    # A column of its own: beside a new "value", the lambda's value would be the new one.
+    c = c.withColumn("__good", good)
+    issue = F.when(F.col("value").isNotNull() & ~F.col("__good"), F.concat(F.lit("unsupported "), "field"))
+    return c.select("ord", "field", F.when(F.col("__good"), F.col("value")).alias("value"), issue.alias("issue"))
 
 
 def overview(claims: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,17 +112,18 @@ p as (select *, {_PATH} as path, lower(regexp_replace({_PATH} || ' ' || text, '[
 ranked as (select host, page_url, pos, url, case when url is null or regexp_matches(path, '{frontier.EXCLUDED}') or regexp_matches(url, '{frontier.EXCLUDED}') then null
   when regexp_matches(said, '{frontier.LOW}') then 8 {" ".join(f"when regexp_matches(said, '{w}') then {n}" for n, w in frontier.RANKS)} else 6 end as priority from p)
 """
-_TOPK = f"""with {_RANKED},
+_CAPPED = f"""with {_RANKED},
 hosts as (select distinct host from ranked),
 once as (select host, url, priority, row_number() over (partition by host, url order by page_url, pos) as n from ranked where priority is not null and url <> 'https://' || host || '/'),
 capped as (select host, url, priority, row_number() over (partition by host order by url) as n from once where n = 1),
-known as (select host, 'https://' || host || '/' as url, 0 as priority, 0 as depth from hosts union all select host, url, priority, 1 from capped where n < {frontier.SEEN}),
+known as (select host, 'https://' || host || '/' as url, 0 as priority, 0 as depth from hosts union all select host, url, priority, 1 from capped where n < @seen@),
 room as (select host, count(*) as held from known group by host),
 more as (select h.host, 'https://' || h.host || f.path as url, f.i from hosts h, (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(frontier.FALLBACK))}) f(i, path)),
 extra as (select m.host, m.url, row_number() over (partition by m.host order by m.i) as n from more m where not exists (select 1 from known k where k.host = m.host and k.url = m.url)),
-whole as (select * from known union all select e.host, e.url, 5, 1 from extra e join room r on r.host = e.host where e.n + r.held <= {frontier.SEEN}),
+whole as (select * from known union all select e.host, e.url, 5, 1 from extra e join room r on r.host = e.host where e.n + r.held <= @seen@),
 numbered as (select *, cast(row_number() over (partition by host order by priority, depth, url) as integer) as page_no from whole)
 select host, url, priority, depth, page_no from numbered where page_no <= 8"""
+_TOPK = _CAPPED.replace("@seen@", str(frontier.SEEN))
 
 
 @query(f"with {_RANKED} select priority, cast(count(*) as bigint) as n from ranked group by 1")
@@ -134,6 +137,11 @@ def q_frontier_topk(spark, sf_dir):
     return frontier.select_pages(frontier.page_links(table(spark, sf_dir, "pages")))
 
 
+@query(_CAPPED.replace("@seen@", "4"))
+def q_seen_cap(spark, sf_dir):
+    return frontier.select_pages(frontier.page_links(table(spark, sf_dir, "pages")), seen=4)
+
+
 @query()
 def q_frontier_best_first(spark, sf_dir):
     return frontier.best_first(frontier.page_links(table(spark, sf_dir, "pages")), max_depth=2)
@@ -216,12 +224,78 @@ def q_clean_pages(spark, sf_dir):
     return c.select("page_id", "title", "html_bytes", "cleaned_text_chars", "usable", F.size("links").alias("n_links"), F.array_join("email_candidates", ",").alias("emails"), F.md5("text").alias("text_md5"))
 
 
-@query()
+_STATUS = "case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 403 else 200 end"
+_BARE = "regexp_replace(regexp_replace(regexp_replace(html, '<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')"
+
+
+@query(f"""
+with p as (select page_id, {_STATUS} as status, lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'))) as t, lower(trim({_BARE})) as v from pages)
+select page_id, status, case when status in (401, 403, 429) then 'access_blocked' when status >= 400 then 'http_' || status when regexp_matches(t, '{html.MISSING}') then 'soft_404'
+  when length(v) < 3000 and (regexp_matches(t, '{html.BLOCKED}') or regexp_matches(v, '{html.CHALLENGE}')) then 'challenge' when length(v) < 30 then 'empty_content' end as problem from p""")
 def q_content_problem(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("p", html.parse(F.col("html"))).withColumn("status", F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 11 == 0, 403).otherwise(200))
     return p.select("page_id", "status", html.content_problem(F.col("p.title"), F.col("p.visible"), F.col("status")).alias("problem"))
 
 
+_HREFS = ["https://b.test/x/../y", "//c.test/p", "/a/./b/../c?x=/../", "../up", "../../../top#f/..", "./here", "here/.", "..", "?q=1", "#f", "", "deep/er/../flat.html", "a/b/"]
+_BASES = ["https://a.test/one/two/three?k=v", "http://a.test", "https://a.test/dir/"]
+_JOINED = [(b, h, urljoin(b, h)) for b in _BASES for h in _HREFS]
+
+
+@query("select * from (values " + ", ".join(f"('{b}', '{h}', '{u}')" for b, h, u in _JOINED) + ") t(base, href, url)")
+def q_resolve_url(spark, sf_dir):
+    d = spark.createDataFrame([(b, h) for b, h, _ in _JOINED], "base string, href string")
+    return d.withColumn("url", U.resolved(F.col("href"), F.col("base")))
+
+
+_CODES = "case page_id % 5 when 0 then 'http_404' when 1 then 'http_500' when 2 then 'soft_404' when 3 then 'challenge' else 'http_410' end"
+
+
+@query(f"select page_id, page_id % 3 = 0 or (page_id % 8 < 5 and {_CODES} not in ('http_404', 'http_410', 'soft_404')) as material from pages")
+def q_error_materiality(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", scoring.material(F.col("page_id") % 3, F.col("page_id") % 8, F.expr(_CODES)).alias("material"))
+
+
+_CLAIMS = [(0, "company_name", "Acme"), (0, "overview_sentence_1", "Acme  builds rockets."), (0, "overview_sentence_2", "It sells them."), (0, "target_audience", "Cities"), (1, "company_name", "Bolt"), (1, "overview_sentence_1", "One. Two."), (1, "overview_sentence_2", "Three."), (1, "target_audience", None)]
+
+
+def _claims(spark):
+    text = "Acme builds rockets. It sells them.\nFor teams and cities."
+    s = spark.createDataFrame([(o, "p1", "first_party_html", True, "https://a.test/", text) for o in (0, 1)], "ord int, source_id string, kind string, usable boolean, final_url string, text string")
+    cited = [(0, "company_name", 0, "p1", "Acme builds"), (0, "overview_sentence_1", 0, "p1", "Acme  builds rockets."), (0, "overview_sentence_2", 0, "p1", "It sells them."), (0, "target_audience", 0, "p1", "for villages")]
+    cited += [(1, "company_name", 0, "p1", "Acme builds"), (1, "overview_sentence_1", 0, "p1", "It sells them."), (1, "overview_sentence_1", 1, "p1", "It  sells them."), (1, "overview_sentence_2", 0, "p1", "It sells them.")]
+    c = spark.createDataFrame(cited, "ord int, owner string, pos int, source_id string, excerpt string")
+    return grounding.valid_claims(spark.createDataFrame(_CLAIMS, "ord int, field string, value string"), c, s)
+
+
+@query("""select * from (values (0, 'company_name', 'Acme', null), (0, 'overview_sentence_1', 'Acme builds rockets.', null), (0, 'overview_sentence_2', 'It sells them.', null), (0, 'target_audience', null, 'unsupported target_audience'),
+(1, 'company_name', null, 'unsupported company_name'), (1, 'overview_sentence_1', null, 'unsupported overview_sentence_1'), (1, 'overview_sentence_2', 'Three.', null), (1, 'target_audience', null, null)) t(ord, field, value, issue)""")
+def q_claim_valid(spark, sf_dir):
+    return _claims(spark)
+
+
+@query("select 0 as ord, 'Acme builds rockets. It sells them.' as company_overview")
+def q_overview(spark, sf_dir):
+    return grounding.overview(_claims(spark))
+
+
+@query("select * from (values (0, 'a@acme.test', 'sales'), (0, 'b@acme.test', 'other_business'), (1, 'a@acme.test', 'other_business')) t(ord, email, category)")
+def q_contact_categories(spark, sf_dir):
+    seen = spark.createDataFrame([(0, "a@acme.test"), (0, "b@acme.test"), (1, "a@acme.test")], "ord int, email string")
+    said = spark.createDataFrame([(0, 0, "A@acme.test", "press"), (0, 1, "a@acme.test", "sales"), (0, 2, "new@acme.test", "support")], "ord int, pos int, email string, category string")
+    return grounding.contact_categories(seen, said)
+
+
+@query("select * from (values (null, 'live_complete', 'demo'), (1, 'all_success', 'partial'), (1, 'browser_source', 'b.test'), (2, 'browser_source', 'c.test'), (2, 'usage_recorded', 'c.test')) t(ord, rule, detail)")
+def q_audit_live(spark, sf_dir):
+    f = spark.createDataFrame
+    results = f([(0, "a.test", "success"), (1, "b.test", "partial"), (2, "c.test", "success")], "ord int, normalized_domain string, status string")
+    sources = f([(0, True, "first_party_html", "playwright"), (1, False, "first_party_html", "playwright"), (2, True, "first_party_html", "http_fallback")], "ord int, usable boolean, kind string, retrieval_method string")
+    used = f([(0, 1, 1, ["r"]), (1, 2, 1, ["r"]), (2, 1, 0, [])], "ord int, request_count int, reported_response_count int, response_ids array<string>")
+    return audit.live(results, sources, used, f([("demo", True)], "mode string, complete boolean"))
+
+
 @query("select doc_id, len(regexp_extract_all(text, '[.!?](?:\\s+|$)')) = 1 and right(text, 1) in ('.', '!', '?') as single from documents")
 def q_single_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.single_sentence(F.col("text")).alias("single"))

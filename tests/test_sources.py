@@ -1,0 +1,36 @@
+"""Runs as JSON files."""
+
+import json
+
+import pytest
+
+from evidra.sources import domains as D
+
+ROWS, DDL = [(1, "b.test", None, 0.5), (0, "ä.test", ["x"], 1.0)], "ord int, domain string, warnings array<string>, score double"
+
+
+def test_json_round_trip(spark, tmp_path):
+    df, path = spark.createDataFrame(ROWS, DDL), str(tmp_path / "run.json")
+    D.export_json(df, {"mode": "live", "run_id": "r1"}, path)
+    text = (tmp_path / "run.json").read_text(encoding="utf-8")
+    assert "ä.test" in text and [r["ord"] for r in json.loads(text)["results"]] == [0, 1]
+    assert sorted(map(tuple, D.load_json(spark, path, DDL).collect())) == sorted(ROWS)
+    assert [p.name for p in tmp_path.iterdir()] == ["run.json"]
+
+
+def test_destinations(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, DDL)
+    with pytest.raises(ValueError):
+        D.export_json(df, {"mode": "demo"}, str(tmp_path / "output.json"))
+    D.export_json(df, {"mode": "live"}, str(tmp_path / "x.json"))
+    with pytest.raises(ValueError):
+        D.export_json(df, {"mode": "demo"}, str(tmp_path / "x.json"))
+    with pytest.raises(ValueError):
+        D.export_json(spark.createDataFrame([(0, float("nan"))], "ord int, score double"), {"mode": "live"}, str(tmp_path / "n.json"))
+    assert [p.name for p in tmp_path.iterdir()] == ["x.json"]
+
+
+def test_malformed_file(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(Exception):
+        D.load_json(spark, str(tmp_path / "bad.json"), DDL).collect()
