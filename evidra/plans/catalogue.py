@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from evidra.functions import text as T
 from evidra.functions import urls as U
 from evidra.operators import audit, context, frontier, grounding, html, robots, scoring
+from evidra.plans import enrich as E
+from evidra.sources import domains as D
 
 Q, SQL = {}, {}
 
@@ -422,6 +424,40 @@ def q_search_candidates(spark, sf_dir):
 def q_people_grounding(spark, sf_dir):
     text = "Acme builds rockets.\nAnn Lee is the CEO of Acme.\nObserved profile link: https://linkedin.com/in/ann | Ann Lee\nCustomer story: Bo Ray, founder of Bolt"
     s = spark.createDataFrame([(0, "p1", "first_party_html", True, "https://acme.test/", text, [("https://linkedin.com/in/ann", "in", "Ann Lee, CEO")])], "ord int, source_id string, kind string, usable boolean, final_url string, text string, links array<struct<url:string,text:string,nearby_text:string>>")
-    p = spark.createDataFrame([(0, 0, "Ann Lee", "CEO", "https://linkedin.com/in/ann", "Acme"), (0, 1, "Bo Ray", "founder", None, "Acme"), (0, 2, "Ann Lee", None, None, "Acme")], "ord int, pos int, name string, role string, linkedin_url string, company_name string").where("pos <> 2")
+    p = spark.createDataFrame([(0, 0, "Ann Lee", "CEO", "https://linkedin.com/in/ann", "Acme"), (0, 1, "Bo Ray", "founder", None, "Acme"), (0, 2, "Ann Lee", None, None, "Acme")], "ord int, pos int, name string, role string, linkedin_url string, company_name string")
     c = spark.createDataFrame([(0, "Ann Lee", 0, "relationship", "p1", "Ann Lee is the  CEO of Acme."), (0, "Ann Lee", 1, "role", "p1", "Ann Lee is the CEO"), (0, "Ann Lee", 2, "profile", "p1", "Observed profile link: https://linkedin.com/in/ann | Ann Lee"), (0, "Bo Ray", 0, "relationship", "p1", "Bo Ray, founder of Bolt")], "ord int, owner string, pos int, aspect string, source_id string, excerpt string")
     return grounding.people(p, c, s, F.col("company_name"))
+
+
+_HOME = "<html><head><title>Acme</title></head><body><main><p>Acme builds rockets. It sells them.</p><p>Made for cities.</p></main><footer>hi@acme.test</footer></body></html>"
+_TEAM = "<html><head><title>Team</title></head><body><main><p>Ann Lee is the CEO of Acme. <a href='https://linkedin.com/in/ann'>Ann Lee, CEO of Acme</a></p></main></body></html>"
+
+
+def enriched(spark):
+    """Three domains: one whole, one whose only page is missing, one without pages."""
+    f = spark.createDataFrame
+    domains = D.inline(spark, ["Acme.test", "bolt.test", "cord.test"])
+    pages = [(0, "p1", 1, "https://acme.test/", 200, 0, 0, _HOME), (0, "p2", 2, "https://acme.test/team", 200, 1, 1, _TEAM), (0, "p3", 3, "https://acme.test/home", 200, 1, 6, _HOME), (1, "p1", 1, "https://bolt.test/", 404, 0, 0, _HOME)]
+    found = E.sources(domains, f(pages, "ord int, source_id string, page_no int, final_url string, http_status int, depth int, priority int, html string"))
+    said = [("company_name", "Acme", "Acme builds rockets."), ("overview_sentence_1", "Acme builds rockets.", "Acme builds rockets."), ("overview_sentence_2", "It sells them.", "It sells them."), ("target_audience", "Cities", "Made for cities.")]
+    claims = f([(o, k, v) for o in (0, 1) for k, v, _ in said], "ord int, field string, value string")
+    cited = [(o, k, "claim", 0, "p1", e) for o in (0, 1) for k, _, e in said] + [(0, "Ann Lee", a, 0, "p2", "Ann Lee is the CEO of Acme.") for a in ("relationship", "role")]
+    cited += [(0, "Ann Lee", "profile", 1, "p2", "Observed profile link: https://linkedin.com/in/ann | Ann Lee is the CEO of Acme.")]
+    return E.enrich(
+        domains,
+        found,
+        claims,
+        f(cited, "ord int, owner string, aspect string, pos int, source_id string, excerpt string"),
+        f([(0, 0, "Ann Lee", "CEO", "https://linkedin.com/in/ann"), (0, 1, "Bo Ray", "CTO", None)], "ord int, pos int, name string, role string, linkedin_url string"),
+        f([(0, 0, "hi@acme.test", "sales")], "ord int, pos int, email string, category string"),
+    )
+
+
+@query("""select * from (values (0, 'acme.test', 'success', 'Acme', 'Acme builds rockets. It sells them.', 'Cities', 'Ann Lee:CEO', 'hi@acme.test:sales', 3, 3, 1, 1.0::double),
+(1, 'bolt.test', 'failed', null, null, null, null, null, 1, 0, 0, 0.0::double), (2, 'cord.test', 'failed', null, null, null, null, null, 0, 0, 0, 0.0::double))
+t(ord, normalized_domain, status, company_name, company_overview, target_audience, team, contacts, attempted_pages, usable_pages, duplicate_pages, confidence_score)""")
+def q_enrich(spark, sf_dir):
+    joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a], x[b])), ",")
+    e = enriched(spark).withColumn("team", joined("team_members", "name", "role")).withColumn("contacts", joined("contact_points", "email", "category"))
+    counts = [F.col(c).cast("int") for c in ("attempted_pages", "usable_pages", "duplicate_pages")]
+    return e.select("ord", "normalized_domain", "status", "company_name", "company_overview", "target_audience", "team", "contacts", *counts, "confidence_score")
