@@ -1,14 +1,17 @@
 """Embedding near-duplicates by iterative quantisation, multi-index Hamming tables and exact reranking.
 
 On a bounded sample, rotations of the centred principal components are learnt so that the signs of the
-rotated coordinates are balanced binary codes. Codes are cut into TABLES substrings of about log2(n)
-bits. Every vector is stored in each table under its substring and looked up under the substrings
+rotated coordinates are balanced binary codes. Codes are cut into substrings of about log2(n) bits, one
+for each table. Every vector is stored in each table under its substring and looked up under the substrings
 within one bit of its own; of several tables that meet, only the first yields the pair, and pairs far
 apart in full Hamming distance are left out. What remains is compared by cosine on the
 original vectors in double precision. Only vectors of one label are compared.
 
-At cosine 0.93 a bit differs with probability 0.12; at 16 bits a table meets with probability 0.41 and
-one of eight with 0.985. At 0.975 it is 0.9999. Tests measure recall against brute force.
+How many tables that takes depends on the width and on the data: at cosine 0.93 a bit differs with
+probability 0.12 only if the vectors have no common direction, and more often the stronger that is.
+So partners at the threshold are made for vectors of the sample, and tables are added until RECALL of
+them meet; the full distance allowed is the largest among them. Where MOST tables are not enough, the
+substring gets shorter, which costs comparisons instead of links. Tests measure recall against brute force.
 
 Equal vectors of one label form a class, of which one is compared; links are counted for all.
 
@@ -32,30 +35,78 @@ from evidra.llm.common import Scratch, components, rows
 
 #: Vectors that the rotations are learnt from: those with the smallest hashed ids.
 SAMPLE = 10_000
-TABLES = 8
+#: Tables at least, and at most.
+TABLES, MOST = 8, 64
+#: Part of the partners at the threshold that must meet, and the partners made of each kind.
+RECALL, PARTNERS = 0.993, 6000
+#: A sample of so many vectors is divided into some to learn from and some to measure on.
+HELD = 4000
+#: Up to so many tables the conditions on a pair are written out for compiled code.
+WRITTEN = 16
 ROTATIONS_STEPS = 40
 COSINE = 0.93
 
 
-def rotations(x: np.ndarray, bits: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection of shape dims x bits): as many learnt rotations side by side as bits need."""
+def rotations(x: np.ndarray, seed: int = 1):
+    """(mean, learnt rotations, each of shape dims x dims, without end)."""
     mean = x.mean(axis=0)
     v = x - mean
     size, axes = np.linalg.eigh(v.T @ v)
     axes = axes[:, np.argsort(-size)]
-    c, rng, out = x.shape[1], np.random.default_rng(seed), []
     v = v @ axes
-    for _ in range(-(-bits // c)):
-        r = np.linalg.qr(rng.standard_normal((c, c)))[0]
-        for _ in range(ROTATIONS_STEPS):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = w.T @ u.T
-        out.append(axes @ r)
-    return mean, np.hstack(out)[:, :bits]
 
-
-def learn(vectors: DataFrame, bits: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """The rotations for a bounded sample of vectors (vec_id, embedding); None without usable vectors."""
+    def each():
+        c, rng = x.shape[1], np.random.default_rng(seed)
+        while True:
+            r = np.linalg.qr(rng.standard_normal((c, c)))[0]
+            for _ in range(ROTATIONS_STEPS):
+                u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = w.T @ u.T
+            yield axes @ r
+
+    return mean, each()
+
+
+def partners(x: np.ndarray, cosine: float, n: int = PARTNERS, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at just this cosine: away from a vector of x at random, and towards another one of x."""
+    rng, u = np.random.default_rng(seed), np.unique(x, axis=0)
+    a, out = u[rng.permutation(np.resize(rng.permutation(len(u)), n))], []
+    for away in (rng.standard_normal(a.shape), u[rng.integers(0, len(u), n)]):
+        e = away - np.einsum("ij,ij->i", away, a)[:, None] * a
+        size = np.linalg.norm(e, axis=1)
+        good = size > 1e-6
+        if good.any():
+            out.append((a[good], cosine * a[good] + math.sqrt(max(0.0, 1 - cosine * cosine)) * e[good] / size[good, None]))
+    return out
+
+
+def fitted(x: np.ndarray, width: int, cosine: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(mean, projection of shape dims x bits, width, largest full distance), with as many tables as RECALL takes."""
+    # Rotations keep away from the vectors they are learnt from, so others are measured.
+    held = len(x) // 4 if len(x) >= HELD else 0
+    mean, each = rotations(x[held:])
+    turn, kinds = np.empty((x.shape[1], 0)), partners(x[:held] if held else x, cosine)
+    signs = [np.empty((len(a), 0), bool) for a, _ in kinds]
+    while True:
+        met, apart = [np.zeros(len(s), bool) for s in signs], [np.zeros(len(s), int) for s in signs]
+        for t in range(MOST):
+            while turn.shape[1] < (t + 1) * width:
+                turn = np.hstack([turn, r := next(each)])
+                signs = [np.hstack([s, ((a - mean) @ r >= 0) != ((b - mean) @ r >= 0)]) for s, (a, b) in zip(signs, kinds, strict=True)]
+            for k, s in enumerate(signs):
+                differ = s[:, t * width : (t + 1) * width].sum(axis=1)
+                met[k] |= differ <= 1
+                apart[k] += differ
+            if t + 1 >= TABLES and all(m.mean() >= RECALL for m in met):
+                bits = (t + 1) * width
+                p = math.acos(min(1.0, cosine)) / math.pi
+                far = math.ceil(bits * (p + 6 * math.sqrt(p * (1 - p) / (bits / 2))))
+                return mean, turn[:, :bits], width, max([far, *(int(d.max()) for d in apart)])
+        width -= 1  # at one bit everything meets
+
+
+def learn(vectors: DataFrame, width: int, cosine: float = COSINE, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, int, int] | None:
+    """What fitted() gives for a bounded sample of vectors (vec_id, embedding); None without usable vectors."""
     got = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).toArrow()
     rows_ = [np.array([np.nan if c is None else c for c in e], float) for e in got.column(0).to_pylist()]
     rows_ = [e for e in rows_ if len(e) and np.isfinite(e).all() and e.any()]
@@ -64,7 +115,7 @@ def learn(vectors: DataFrame, bits: int, sample: int = SAMPLE) -> tuple[np.ndarr
     sizes = [len(e) for e in rows_]
     dims = max(set(sizes), key=lambda n: (sizes.count(n), -n))
     x = np.stack([e for e in rows_ if len(e) == dims])
-    return rotations(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
+    return fitted(x / np.linalg.norm(x, axis=1, keepdims=True), width, cosine)
 
 
 def unit(e: list | None, dims: int) -> np.ndarray | None:
@@ -91,7 +142,7 @@ def _coder(mean: np.ndarray, turn: np.ndarray, width: int):
             codes: list = [None] * len(units)
             if good:
                 signs = (np.stack([units[i] for i in good]) - mean) @ turn >= 0
-                for i, c in zip(good, signs.reshape(len(good), TABLES, width) @ weights, strict=True):
+                for i, c in zip(good, signs.reshape(len(good), -1, width) @ weights, strict=True):
                     codes[i] = c.astype(np.int32)
             raw = [None if u is None else u.tobytes() for u in units]
             same = [None if u is None else xxhash.xxh3_128_digest(np.array(e, float).tobytes()) for u, e in zip(units, b.column(2).to_pylist(), strict=True)]
@@ -112,28 +163,36 @@ def _reranked(least: float):
     return rerank
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, width: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
+
+    width: bits of a substring; by default from the number of rows.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    width = min(24, max(6, math.ceil(math.log2(max(2, v.count())))))
-    model = learn(v, TABLES * width, sample)
+    width = width or min(24, max(6, math.ceil(math.log2(max(2, v.count())))))
+    model = learn(v, width, cosine, sample)
     if model is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    every = scratch.store(v.mapInArrow(_coder(*model, width), CODED), "coded")
+    mean, turn, width, far = model
+    tables = turn.shape[1] // width
+    every = scratch.store(v.mapInArrow(_coder(mean, turn, width), CODED), "coded")
     usable = every.where("same is not null and label is not null and vec_id is not null")
     classes = scratch.store(usable.groupBy("label", "same").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
     nodes = scratch.store(classes.join(usable.withColumnRenamed("vec_id", "node"), ["node", "label", "same"]).dropDuplicates(["node"]).select("node", "label", "unit", "codes"), "nodes")
     cells = nodes.select("node", "label", "codes", F.posexplode("codes").alias("t", "key"))
     near = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i)))))
     probes = cells.select("node", "label", "codes", "t", near.alias("key"))
-    p = math.acos(min(1.0, cosine)) / math.pi
-    bits = TABLES * width
-    far = math.ceil(bits * (p + 6 * math.sqrt(p * (1 - p) / (bits / 2))))
-    apart = [f"bit_count(a.codes[{j}] ^ b.codes[{j}])" for j in range(TABLES)]
-    first = " and ".join(f"(a.t <= {j} or {x} > 1)" for j, x in enumerate(apart))
-    met = probes.alias("a").join(cells.alias("b"), F.expr(f"a.label = b.label and a.t = b.t and a.key = b.key and a.node < b.node and {first} and {' + '.join(apart)} <= {far}"))
+    if tables <= WRITTEN:
+        apart = [f"bit_count(a.codes[{j}] ^ b.codes[{j}])" for j in range(tables)]
+        first = " and ".join(f"(a.t <= {j} or {x} > 1)" for j, x in enumerate(apart))
+        whole = " + ".join(apart)
+    else:  # compiled code of this length would not be optimised by the JVM
+        apart = "zip_with(a.codes, b.codes, (x, y) -> bit_count(x ^ y))"
+        first = f"not exists(slice({apart}, 1, a.t), d -> d <= 1)"
+        whole = f"aggregate({apart}, 0, (s, d) -> s + d)"
+    met = probes.alias("a").join(cells.alias("b"), F.expr(f"a.label = b.label and a.t = b.t and a.key = b.key and a.node < b.node and {whole} <= {far} and {first}"))
     pairs = scratch.store(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "pairs")
     x = nodes.select(F.col("node").alias("a"), F.col("unit").alias("of_a"))
     y = nodes.select(F.col("node").alias("b"), F.col("unit").alias("of_b"))
