@@ -1,9 +1,10 @@
 """Best-fit packing into bins of several permitted capacities.
 
 Longest first, each piece goes into the open bin that it leaves with the least room. A piece that fits
-nowhere opens a bin of the size that costs least for what it can still hold: cost per slot while enough
-tokens remain to fill it, cost per remaining token otherwise. At the end each bin shrinks to the
-smallest permitted capacity that holds its contents. Texts longer than the largest capacity are cut
+nowhere opens a bin of the capacity that costs least for each token that gets in: for each capacity, the
+largest pieces that fit are taken from the lengths still to come and not promised to bins opened before,
+and those of the chosen one are promised to it. At the end each bin shrinks to the smallest permitted
+capacity that holds its contents, as another bin may have got what was promised. Texts longer than the largest capacity are cut
 into pieces of that size, the rest last, so every token is packed once.
 
 Rows are packed in the partition in which they are read, BLOCK documents at a time: no shuffle, no group that
@@ -17,7 +18,7 @@ empty table gives no bins. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,37 +38,85 @@ def cost(capacity: int) -> float:
     return capacity * (1 + capacity / QUADRATIC)
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """Bins as (capacity, [(index, start, length)])."""
+class Ahead:
+    """How many pieces of each length are still to come: free, and promised to open bins."""
+
+    def __init__(self, lengths: list[int]):
+        self.free, self.promised, self.mask = Counter(n for n in lengths if n), Counter(), 0
+        for n in self.free:
+            self.mask |= 1 << n
+
+    def take(self, n: int, k: int = 1) -> None:
+        self.free[n] -= k
+        if not self.free[n]:
+            self.mask &= ~(1 << n)
+
+    def placed(self, n: int, planned: bool) -> None:
+        """A piece goes into an open bin, as planned, or opens one."""
+        if n and self.free[n] and not (planned and self.promised[n]):
+            self.take(n)
+        elif n:
+            self.promised[n] -= 1
+
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """(length, count) of the free pieces that a room takes, the largest that fits each time."""
+        out, below = [], self.mask
+        while below := below & ((2 << room) - 1):
+            n = below.bit_length() - 1
+            k = min(self.free[n], room // n)
+            out.append((n, k))
+            room -= n * k
+            below &= ~(1 << n)
+        return out
+
+
+def filled(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Bins as (capacity at opening, tokens, [(index, start, length)])."""
     sizes = sorted(capacities)
     top = sizes[-1]
     pieces = [(min(top, n - at), i, at) for i, n in enumerate(lengths) for at in (range(0, n, top) if n else (0,))]
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    left = sum(p[0] for p in pieces)
+    ahead = Ahead([p[0] for p in pieces])
     bins: list[list[tuple[int, int, int]]] = []
     used: list[int] = []
+    opened: list[int] = []
     # Open bins by room; bit r of rooms is set while there is one with room r.
     by_room: dict[int, list[int]] = defaultdict(list)
     rooms = 0
     for size, i, at in pieces:
         fit = rooms >> size
+        ahead.placed(size, bool(fit))
         if fit:
             room = size + (fit & -fit).bit_length() - 1
             b = by_room[room].pop()
             if not by_room[room]:
                 rooms &= ~(1 << room)
         else:
-            able = [c for c in sizes if c >= size]
-            c = min(able, key=lambda c: (cost(c) / max(1, min(c, left)), c))
+            plans = []
+            for c in sizes:
+                if c >= size:
+                    plan = ahead.fill(c - size)
+                    tokens = size + sum(n * k for n, k in plan)
+                    plans.append((cost(next(x for x in sizes if x >= tokens)) / max(1, tokens), c, plan))
+            _, c, plan = min(plans)
+            for n, k in plan:
+                ahead.take(n, k)
+                ahead.promised[n] += k
             b, room = len(bins), c
             bins.append([])
             used.append(0)
+            opened.append(c)
         bins[b].append((i, at, size))
         used[b] += size
-        left -= size
         by_room[room - size].append(b)
         rooms |= 1 << (room - size)
-    return [(next(c for c in sizes if c >= u), x) for u, x in zip(used, bins, strict=True)]
+    return list(zip(opened, used, bins, strict=True))
+
+
+def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Bins as (capacity, [(index, start, length)])."""
+    sizes = sorted(capacities)
+    return [(next(c for c in sizes if c >= used), x) for _, used, x in filled(lengths, capacities)]
 
 
 BIN = "bin_id string, capacity int, used int, doc_ids array<long>, starts array<int>, lengths array<int>"
