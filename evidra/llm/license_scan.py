@@ -6,6 +6,11 @@ at text position p and template position q votes for the diagonal p - q. Votes a
 words, and a merged run counts when it covers enough of the template's words within a span of about
 its length. Matching K-grams are compared word by word before they vote.
 
+A run is then verified: it must cover the words by which its license is told from others (TELLING), and
+none of the text's words that it leaves uncovered, inside it or where its template's first or last words
+are missing, may name another license (QUALIFIERS). Of runs of different labels that overlap, only
+those with the best cover stay.
+
 The templates are a constant of this module, so their table is broadcast. Each text also carries one
 marker that always matches, so documents without a hit stay in the result after a single scan; only
 markers and votes are shuffled.
@@ -54,20 +59,39 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
 ]
 
+#: Words of each label that a run must cover where its template has them.
+TELLING = {
+    "mit": "mit obtaining deal",
+    "apache-2": "apache 2",
+    "bsd": "redistribution source binary conditions",
+    "isc": "use copy fee copies",
+    "gpl-3": "gnu general 3",
+    "gpl": "gnu general",
+    "lgpl": "gnu lesser",
+    "mpl-2": "mozilla 2",
+    "unlicense": "unencumbered public domain",
+    "cc-by-nc": "by nc attribution noncommercial",
+    "cc-by-sa": "attribution sharealike",
+    "cc-by": "attribution",
+}
+#: Words that make another license of one when they are put in.
+QUALIFIERS = ["affero", "apache", "lesser", "library", "mit", "mozilla", "nc", "nd", "noncommercial", "non", "noderivatives", "noderivs", "sa", "share", "sharealike"]
+
 
 def _hash(a: Column, b: Column, c: Column) -> Column:
     return F.xxhash64(a, b, c)
 
 
 def positions(spark: SparkSession, templates: list[tuple[str, str, bool]]) -> DataFrame:
-    """(gram, tid, label, base, words, q, phrase): a row for each K-gram of each template, and the marker."""
+    """(gram, tid, label, base, words, must, q, phrase): a row for each K-gram of each template, and the marker."""
     values = []
     for tid, (label, text, base) in enumerate(templates):
         w = text.split()
-        values += [f"({tid}, '{label}', {str(base).lower()}, {len(w)}, {q}, '{' '.join(w[q : q + K])}')" for q in range(len(w) - K + 1)]
-    t = spark.sql("select * from values " + ", ".join(values) + " as t(tid, label, base, words, q, phrase)")
+        must = [] if base else [w.index(x) for x in TELLING.get(label, "").split() if x in w]
+        values += [f"({tid}, '{label}', {str(base).lower()}, {len(w)}, cast(array({', '.join(map(str, must))}) as array<int>), {q}, '{' '.join(w[q : q + K])}')" for q in range(len(w) - K + 1)]
+    t = spark.sql("select * from values " + ", ".join(values) + " as t(tid, label, base, words, must, q, phrase)")
     part = [F.xxhash64(F.get(F.split("phrase", " "), i)) for i in range(K)]
-    marker = spark.sql("select -1 as tid, '' as label, false as base, 0 as words, 0 as q, '' as phrase, 0L as gram")
+    marker = spark.sql("select -1 as tid, '' as label, false as base, 0 as words, cast(array() as array<int>) as must, 0 as q, '' as phrase, 0L as gram")
     return t.withColumn("gram", _hash(*part)).unionByName(marker)
 
 
@@ -88,19 +112,34 @@ def runs(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> DataFrame:
     # lower() may change letters outside ASCII; a vote needs the very words.
     exact = F.array_join(F.slice("words_", F.greatest(F.col("at"), F.lit(1)), K), " ") == F.col("phrase")
     votes = hit.where((F.col("tid") < 0) & (F.col("at") == 0) | (F.col("tid") >= 0) & (F.col("at") > 0) & exact)
-    votes = votes.select("doc_id", "same", "tid", "label", "base", "words", "q", (F.col("at") - 1).cast("long").alias("p"), F.size("words_").cast("long").alias("n_words"))
+    # Where qualifiers stand before and behind the K-gram, as far as a run may reach.
+    behind = F.transform(F.slice("words_", F.col("at") + K, F.when(F.col("base"), 0).otherwise(2 * F.col("words"))), lambda w, i: F.when(w.isin(QUALIFIERS), (F.col("at") - 1 + K + i).cast("long")))
+    before = F.array(F.when(F.get("words_", F.col("at") - 2).isin(QUALIFIERS), (F.col("at") - 2).cast("long")))
+    named = F.filter(F.concat(before, behind), lambda x: x.isNotNull())
+    votes = votes.select("doc_id", "same", "tid", "label", "base", "words", "must", named.alias("named"), "q", (F.col("at") - 1).cast("long").alias("p"), F.size("words_").cast("long").alias("n_words"))
     by = ["doc_id", "same", "tid", "label", "base", "words"]
-    diagonals = votes.groupBy(*by, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
+    diagonals = votes.groupBy(*by, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.max("must").alias("must"), F.array_distinct(F.flatten(F.collect_set("named"))).alias("named"), F.collect_set("q").alias("qs"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     at = Window.partitionBy("doc_id", "same", "tid").orderBy("diagonal")
     # Base phrases are whole or not there, so their diagonals are never merged.
     starts = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(at) > GAP) | F.col("base"), F.lit(True))
     merged = diagonals.withColumn("new", starts.cast("int")).withColumn("run", F.sum("new").over(at))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("qs")), lambda q: F.sequence(q, q + K - 1)))))
-    run = merged.groupBy(*by, "run").agg(covered.alias("covered"), F.min("lo").alias("first_word"), (F.max("hi") + K).alias("end_word"), F.max("n").alias("n"), F.max("n_words").alias("n_words"))
+    places = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("qs")), lambda q: F.sequence(q, q + K - 1))))
+    texts = F.flatten(F.collect_list(F.transform("qs", lambda q: q + F.col("diagonal"))))
+    run = merged.groupBy(*by, "run").agg(F.max("must").alias("must"), F.flatten(F.collect_list("named")).alias("named"), texts.alias("texts"), places.alias("places"), F.min("lo").alias("first_word"), (F.max("hi") + K).alias("end_word"), F.max("n").alias("n"), F.max("n_words").alias("n_words"))
+    run = run.withColumn("covered", F.size("places"))
     cover = F.col("covered") / F.col("words")
-    good = F.when(F.col("base"), F.col("covered") == F.col("words")).otherwise((cover >= COVER) & (F.col("end_word") - F.col("first_word") <= 2 * F.col("words")))
+    since = F.col("first_word") - (F.array_min("places") > 0).cast("int")
+    until = F.col("end_word") + (F.array_max("places") < F.col("words") - 1).cast("int")
+    other = F.exists("named", lambda x: (x >= since) & (x < until) & ~F.exists("texts", lambda t: (x >= t) & (x < t + K)))
+    verified = (F.size(F.array_except("must", "places")) == 0) & ~other
+    good = F.when(F.col("base"), F.col("covered") == F.col("words")).otherwise((cover >= COVER) & (F.col("end_word") - F.col("first_word") <= 2 * F.col("words")) & verified)
     one = F.when((F.col("tid") >= 0) & good, F.struct("label", "base", "first_word", "end_word", cover.alias("cover")))
-    return run.groupBy("doc_id", "same").agg(F.max("n_words").alias("n_words"), F.max(F.when(F.col("tid") < 0, F.col("n"))).alias("copies"), F.collect_list(one).alias("runs"))
+    found = run.groupBy("doc_id", "same").agg(F.max("n_words").alias("n_words"), F.max(F.when(F.col("tid") < 0, F.col("n"))).alias("copies"), F.collect_list(one).alias("runs"))
+
+    def beaten(x):
+        return F.exists("runs", lambda y: ~y["base"] & (y["label"] != x["label"]) & (y["cover"] > x["cover"]) & (y["first_word"] < x["end_word"]) & (x["first_word"] < y["end_word"]))
+
+    return found.withColumn("runs", F.filter("runs", lambda x: x["base"] | ~beaten(x)))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
