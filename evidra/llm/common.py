@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -18,9 +19,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidra-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,11 +35,28 @@ def delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What is open in the enclosing temporary() blocks.
+_OPEN: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes, at its end, the tables of every Scratch that was made inside: store what is to stay before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for s in _OPEN.pop():
+            delete(spark, s.root)
+
+
 class Scratch:
-    """Tables written to the shared folder. They cut lineage, survive lost executors, and go with drop()."""
+    """Tables written to the shared folder. They cut lineage, survive lost executors, and go with drop() or only()."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.made = spark, shared_dir(spark, name), 0
+        self.spark, self.root, self.made, self.tables = spark, shared_dir(spark, name), 0, []
+        if _OPEN:
+            _OPEN[-1].append(self)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -47,11 +67,17 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._evidra_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             delete(self.spark, t._evidra_path)
+            self.tables = [x for x in self.tables if x is not t]
+
+    def only(self, *tables: DataFrame) -> None:
+        """Drops all other tables: what a result still reads stays."""
+        self.drop(*(t for t in self.tables if not any(t is x for x in tables)))
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,7 +86,9 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    # Hadoop's names of what pyarrow calls otherwise.
+    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'abfss': 'abfs'}.get(scheme, scheme)}://{rest}")
 
 
 def rows(batches: Iterator[pa.RecordBatch], at_most: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -6,15 +6,20 @@ belongs to the round. So every coordinate is filled after at most 2T rounds, mos
 and agreement of two sketches is concentrated around the Jaccard similarity of the sets.
 
 Coordinates are cut into BANDS of ROWS; at similarity 0.75 a pair shares no band with probability
-(1 - 0.75**4)**32 < 1e-5. Documents with equal sets form one class and only its smallest id is
+(1 - 0.75**4)**32 < 1e-5. Documents with equal sets form one class, a node of the graph, and only one text of it is
 compared. In a bucket, members are compared with one pivot at a time, which then leaves the bucket;
 buckets whose members are all in one component are done. What remains after one round (rounds) is compared
 across components by prefix filtering, which loses no pair, so no limit on bucket sizes is needed. Every link is
 confirmed on the full shingle sets.
 
+A hash that many prefixes share is joined with itself in the last step; what bounds that are the classes (copies
+weigh as one), the pivots (members that link with one are gone) and the order of hashes, which puts frequent
+ones outside of prefixes unless a set has nothing rarer.
+
 Defined results: null or blank text has no shingles, links with nothing and is kept. A row without
-doc_id links with nothing, has no component and is kept. Repeated rows give repeated result rows.
-An empty table gives an empty result. Other columns are ignored.
+doc_id links with nothing, has no component and is kept. Ids may be of any type that has an order. Where an id occurs with
+several texts, all of them are compared, and what any of them reaches is reached by the id. Repeated rows
+give repeated result rows. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,13 +85,10 @@ def bands(coords: np.ndarray) -> np.ndarray:
     return mix((coords * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=_U) ^ _BAND_SEED).view(np.int64)
 
 
-SKETCHES = "doc_id long, n_shingles long, cls binary, keys array<long>"
-
-
 def _sketches(batches):
     for b in rows(batches):
-        ids, n, cls, keys = b.column(0), [], [], []
-        for text in b.column(1).to_pylist():
+        n, cls, keys = [], [], []
+        for text in b.column(2).to_pylist():
             s = shingles(text)
             n.append(len(s))
             if len(s):
@@ -94,13 +96,13 @@ def _sketches(batches):
                 keys.append(bands(sketch(s)))
             else:
                 cls.append(None), keys.append(None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "of_text", "n_shingles", "cls", "keys"])
 
 
 def _sets(batches):
     for b in rows(batches):
-        sets = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "cls", "hashes"])
+        sets = [shingles(t).tobytes() for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["cls", "hashes"])
 
 
 def _unpacked(batches):
@@ -152,28 +154,33 @@ def _rest(scratch: Scratch, live: DataFrame, sets: DataFrame, percent: int) -> D
     return a.join(b, F.expr(f"a.hash = b.hash and a.c < b.c and {sizes} and {enough}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("of_text"), text.alias("text"))
+
+
+def _classes(docs: DataFrame, percent: int, rounds: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored tables (doc_id, of_text, n_shingles, cls) of all rows and (cls, component_id, node) of all classes.
 
-    Documents are linked when 100 * |A & B| >= percent * |A | B|; percent is meant to be 75 or more,
-    for which the bands are laid out. rounds: rounds with one pivot a bucket before the exhaustive one.
+    component_id: the smallest id of the classes that a class reaches; with by_id also over classes that share an id.
+    node: a number that the classes of a component share.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = scratch.store(texts.mapInArrow(_sketches, SKETCHES), "sketches")
+    if percent < 75:
+        raise ValueError("the bands are laid out for 75 percent or more")
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    texts = _texts(docs)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    every = scratch.store(texts.mapInArrow(_sketches, f"doc_id {kind}, of_text long, n_shingles long, cls binary, keys array<long>"), "sketches")
     usable = every.where("cls is not null and doc_id is not null")
-    # Equal sets have equal sketches, so a class takes any member's.
-    firsts = usable.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").alias("node"), "keys")).alias("m"))
-    classes = scratch.store(firsts.select("cls", "m.node", "m.keys"), "classes")
-    # Ids may repeat with other texts: of an id's classes one is compared, that of the smallest hash.
-    nodes = scratch.store(classes.groupBy("node").agg(F.min(F.struct("cls", "keys")).alias("m")).select("node", "m.keys"), "nodes")
-    cells = nodes.select("node", F.explode("keys").alias("key"))
+    # Equal sets have equal sketches, so a class takes any member's. The numbers hold once they are written.
+    firsts = usable.groupBy("cls").agg(F.min(F.struct("doc_id", "of_text", "keys")).alias("m"))
+    classes = scratch.store(firsts.select("cls", "m.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    cells = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.store(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     live = scratch.store(cells.join(shared, "key"), "live")
-    named = scratch.store(live.select("node").distinct(), "named")
-    whole = texts.join(named, texts.doc_id == named.node, "left_semi").mapInArrow(_sets, "node long, cls binary, hashes binary").where("length(hashes) > 0")
-    sets = scratch.store(whole.groupBy("node").agg(F.min(F.struct("cls", "hashes")).alias("m")).select("node", "m.hashes"), "sets")
+    named = scratch.store(classes.join(live.select("node").distinct(), "node").select("node", "cls", "doc_id", "of_text"), "named")
+    whole = texts.join(named.select("doc_id", "of_text"), ["doc_id", "of_text"], "left_semi").select("text").mapInArrow(_sets, "cls binary, hashes binary")
+    sets = scratch.store(whole.join(named.select("cls", "node"), "cls").groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
@@ -205,27 +212,58 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1) -> Data
         found = confirm(pairs)
         links = found if links is None else links.union(found)
         component = components(scratch, links)
-    members = every.join(classes.select("cls", "node"), "cls", "left")
-    out = members.join(component, "node", "left")
-    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
+    if by_id:
+        # Where an id has several classes, they are linked through the one with the smallest number.
+        owned = usable.select("doc_id", "cls").distinct().join(classes.select("cls", "node"), "cls").select("doc_id", "node")
+        least = owned.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
+        least = scratch.store(least.select("doc_id", "b"), "repeated")
+        if not least.isEmpty():
+            links = links.union(owned.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
+            component = components(scratch, links)
+    met = classes.select("cls", "doc_id", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = met.where("component <> node")
+    ids = linked.unionByName(met.join(linked.select("component").distinct(), "component", "left_semi").where("component = node")).groupBy("component").agg(F.min("doc_id").alias("least"))
+    told = met.join(ids, "component", "left").select("cls", F.coalesce("least", "doc_id").alias("component_id"), F.col("component").alias("node"))
+    told = scratch.store(told, "told")
+    scratch.only(every, told)
+    return every.drop("keys"), told
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
+
+    Documents are linked when 100 * |A & B| >= percent * |A | B|; percent is 75 or more, for which the
+    bands are laid out. rounds: rounds with one pivot a bucket before the exhaustive one.
+    """
+    every, told = _classes(docs, percent, rounds, True)
+    out = every.join(told, "cls", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates of a smaller doc_id.
+    """The rows of docs, all columns, without near-duplicates: of each group one text with the smallest doc_id stays.
 
-    Of repeated rows with the same doc_id one stays. Rows without doc_id stay.
+    Texts under one id are rows of their own: one that resembles nothing stays. Of rows that repeat id and text
+    one stays. Rows without doc_id or words stay.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "keep-one")
-    gone = scratch.store(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    every, told = _classes(docs, percent, 1, False)
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    rows_ = every.where("cls is not null and doc_id is not null").join(told.select("cls", "node"), "cls")
+    rows_ = scratch.store(rows_.groupBy("node", "doc_id", "cls", "of_text").agg(F.count("*").alias("n")), "rows")
+    # The text of a group that stays; beside it, most groups have no other.
+    best = rows_.groupBy("node").agg(F.min(F.struct("doc_id", "cls", "of_text")).alias("best"), F.count("*").alias("texts")).where("texts > 1")
+    gone = rows_.join(best, "node").where("struct(doc_id, cls, of_text) <> best").select(F.col("doc_id").alias("__gone"), F.col("of_text").alias("__of"))
+    gone = scratch.store(gone.distinct(), "gone")
+    of_text = F.xxhash64(docs["text"].cast("string"))
+    left = docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (of_text == F.col("__of")), "left_anti")
+    twice = rows_.where("n > 1").select(F.col("doc_id").alias("__gone"), F.col("of_text").alias("__of"))
+    if twice.isEmpty():
         return left
-    at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = left.where("doc_id is not null").withColumn("__n", F.row_number().over(at)).where("__n = 1").drop("__n")
-    return named.unionByName(left.where("doc_id is null"))
+    again = (left["doc_id"] == F.col("__gone")) & (F.xxhash64(left["text"].cast("string")) == F.col("__of"))
+    once = left.join(twice, again, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    once = once.groupBy(F.col("row.doc_id").alias("i"), F.xxhash64(F.col("row.text").cast("string")).alias("t")).agg(F.first("row").alias("row"))
+    return left.join(twice, again, "left_anti").unionByName(once.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
