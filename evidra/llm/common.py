@@ -124,3 +124,22 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         if after.where("component <> was").isEmpty():
             scratch.drop(edges)
             return after.select("node", "component")
+
+
+def reached(scratch: Scratch, classes: DataFrame, links: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """(key columns of classes, node, least): node is shared by all that links (a, b) connect, least is their smallest id.
+
+    classes: node, id and keys. owned (id, node): where an id has several nodes, these are connected too.
+    """
+    component = components(scratch, links)
+    if owned is not None:
+        # Through the one with the smallest number.
+        first = owned.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
+        first = scratch.store(first.select("id", "b"), "repeated")
+        if not first.isEmpty():
+            component = components(scratch, links.union(owned.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b")))
+    met = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = component.where("component <> node").select("component").distinct()
+    ids = met.join(linked, "component", "left_semi").groupBy("component").agg(F.min("id").alias("least"))
+    told = met.drop("node").join(ids, "component", "left").withColumn("least", F.coalesce("least", "id"))
+    return told.drop("id").withColumnRenamed("component", "node")

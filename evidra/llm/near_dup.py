@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm.common import LOWER, Scratch, components, rows
+from evidra.llm.common import LOWER, Scratch, components, reached, rows
 
 T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -212,18 +212,9 @@ def _classes(docs: DataFrame, percent: int, rounds: int, by_id: bool) -> tuple[D
         found = confirm(pairs)
         links = found if links is None else links.union(found)
         component = components(scratch, links)
-    if by_id:
-        # Where an id has several classes, they are linked through the one with the smallest number.
-        owned = usable.select("doc_id", "cls").distinct().join(classes.select("cls", "node"), "cls").select("doc_id", "node")
-        least = owned.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
-        least = scratch.store(least.select("doc_id", "b"), "repeated")
-        if not least.isEmpty():
-            links = links.union(owned.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
-            component = components(scratch, links)
-    met = classes.select("cls", "doc_id", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    linked = met.where("component <> node")
-    ids = linked.unionByName(met.join(linked.select("component").distinct(), "component", "left_semi").where("component = node")).groupBy("component").agg(F.min("doc_id").alias("least"))
-    told = met.join(ids, "component", "left").select("cls", F.coalesce("least", "doc_id").alias("component_id"), F.col("component").alias("node"))
+    named = classes.select("cls", F.col("doc_id").alias("id"), "node")
+    owned = usable.select("doc_id", "cls").distinct().join(named.select("cls", "node"), "cls").select(F.col("doc_id").alias("id"), "node")
+    told = reached(scratch, named, links, owned if by_id else None).withColumnRenamed("least", "component_id")
     told = scratch.store(told, "told")
     scratch.only(every, told)
     return every.drop("keys"), told

@@ -13,17 +13,22 @@ So partners at the threshold are made for vectors of the sample, and tables are
 them meet; the full distance allowed is the largest among them. Where MOST tables are not enough, the
 substring gets shorter, which costs comparisons instead of links. Tests measure recall against brute force.
 
-Equal vectors of one label form a class, of which one is compared; links are counted for all.
+Vectors have a model by their length; those of lengths with too few vectors in the sample get random projections of
+as many tables. Only vectors of one length are compared.
+
+Equal vectors of one label form a class, a node of the graph, of which one is compared; links are counted for all.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
-without label or id, link with nothing; so do vectors of another length than most of the sample.
-Without an id, component_id is null and the row is kept. Repeated rows are other vectors. An empty
-table gives an empty result. Extra columns are ignored.
+without label or id, link with nothing. Ids and labels may be of any type that has an order. Repeated rows, and different
+vectors under one id, are other vectors with links of their own; what any of them reaches is reached by the id.
+Without an id, component_id is null and the row is kept. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import Scratch, components, rows
+from evidra.llm.common import Scratch, reached, rows
 
-#: Vectors that the rotations are learnt from: those with the smallest hashed ids.
+#: Vectors that the rotations are learnt from: the usable ones with the smallest hashed ids.
 SAMPLE = 10_000
+#: Vectors of one length, other than the most common one, that a model of their own takes.
+OWN = 500
 #: Tables at least, and at most.
 TABLES, MOST = 8, 64
 #: Part of the partners at the threshold that must meet, and the partners made of each kind.
@@ -80,8 +87,8 @@ def partners(x: np.ndarray, cosine: float, n: int = PARTNERS, seed: int = 3) ->
     return out
 
 
-def fitted(x: np.ndarray, width: int, cosine: float) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(mean, projection of shape dims x bits, width, largest full distance), with as many tables as RECALL takes."""
+def fitted(x: np.ndarray, width: int, cosine: float, least: int = TABLES) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(mean, projection of shape dims x bits, width, largest full distance), with as many tables as RECALL takes, least at least."""
     # Rotations keep away from the vectors they are learnt from, so others are measured.
     held = len(x) // 4 if len(x) >= HELD else 0
     mean, each = rotations(x[held:])
@@ -97,7 +104,7 @@ def fitted(x: np.ndarray, width: int, cosine: float) -> tuple[np.ndarray, np.nda
                 differ = s[:, t * width : (t + 1) * width].sum(axis=1)
                 met[k] |= differ <= 1
                 apart[k] += differ
-            if t + 1 >= TABLES and all(m.mean() >= RECALL for m in met):
+            if t + 1 >= least and all(m.mean() >= RECALL for m in met):
                 bits = (t + 1) * width
                 p = math.acos(min(1.0, cosine)) / math.pi
                 far = math.ceil(bits * (p + 6 * math.sqrt(p * (1 - p) / (bits / 2))))
@@ -105,21 +112,52 @@ def fitted(x: np.ndarray, width: int, cosine: float) -> tuple[np.ndarray, np.nda
         width -= 1  # at one bit everything meets
 
 
-def learn(vectors: DataFrame, width: int, cosine: float = COSINE, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, int, int] | None:
-    """What fitted() gives for a bounded sample of vectors (vec_id, embedding); None without usable vectors."""
-    got = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).toArrow()
-    rows_ = [np.array([np.nan if c is None else c for c in e], float) for e in got.column(0).to_pylist()]
-    rows_ = [e for e in rows_ if len(e) and np.isfinite(e).all() and e.any()]
-    if not rows_:
-        return None
-    sizes = [len(e) for e in rows_]
-    dims = max(set(sizes), key=lambda n: (sizes.count(n), -n))
-    x = np.stack([e for e in rows_ if len(e) == dims])
-    return fitted(x / np.linalg.norm(x, axis=1, keepdims=True), width, cosine)
+def usable(e):
+    """Whether a column of vectors holds one that has a direction."""
+    return F.coalesce((F.size(e) > 0) & F.forall(e, lambda c: c.isNotNull() & (F.abs(c) < float("inf"))) & F.exists(e, lambda c: c != 0), F.lit(False))
 
 
-def unit(e: list | None, dims: int) -> np.ndarray | None:
-    if e is None or len(e) != dims or any(c is None for c in e):
+def learn(vectors: DataFrame, width: int, cosine: float = COSINE, sample: int = SAMPLE) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int, int, int] | None:
+    """({length: (mean, projection)}, tables, width, largest full distance) from a bounded sample; None without usable vectors."""
+    got = vectors.where(usable(F.col("embedding"))).orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).toArrow()
+    by_length: dict[int, list] = {}
+    for e in got.column(0).to_pylist():
+        x = np.array(e, float)
+        x = x / np.abs(x).max()
+        by_length.setdefault(len(x), []).append(x / np.linalg.norm(x))
+    if not by_length:
+        return None
+    most = max(by_length, key=lambda n: (len(by_length[n]), -n))
+    own = {n: np.stack(x) for n, x in by_length.items() if n == most or len(x) >= OWN}
+    tables, models, far = TABLES, {}, 0
+    while len(models) < len(own):
+        models, far = {}, 0
+        for n, x in own.items():
+            mean, turn, w, apart = fitted(x, width, cosine, tables)
+            if models and (w < width or turn.shape[1] // w > tables):
+                models = {}
+            width, tables = w, turn.shape[1] // w
+            models[n], far = (mean, turn), max(far, apart)
+    return models, tables, width, far
+
+
+@lru_cache(maxsize=8)
+def projection(length: int, bits: int, start: int, end: int) -> np.ndarray:
+    """Rows start to end of a fixed random projection."""
+    return np.random.default_rng([length, start]).standard_normal((end - start, bits))
+
+
+def signs(x: np.ndarray, models: dict, bits: int) -> np.ndarray:
+    """Code bits of unit vectors of one length."""
+    n = x.shape[1]
+    if n in models:
+        mean, turn = models[n]
+        return (x - mean) @ turn >= 0
+    return sum(x[:, a : a + 4096] @ projection(n, bits, a, min(n, a + 4096)) for a in range(0, n, 4096)) >= 0
+
+
+def unit(e: list | None) -> np.ndarray | None:
+    if not e or any(c is None for c in e):
         return None
     x = np.array(e, float)
     top = np.abs(x).max()
@@ -129,24 +167,23 @@ def unit(e: list | None, dims: int) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
-CODED = "vec_id long, label long, same binary, unit binary, codes array<int>"
-
-
-def _coder(mean: np.ndarray, turn: np.ndarray, width: int):
+def _coder(models: dict, tables: int, width: int):
     weights = 1 << np.arange(width)
 
     def code(batches):
         for b in rows(batches, 2000):
-            units = [unit(e, len(mean)) for e in b.column(2).to_pylist()]
-            good = [i for i, u in enumerate(units) if u is not None]
+            raw = b.column(2).to_pylist()
+            units = [unit(e) for e in raw]
+            lengths = np.array([0 if u is None else len(u) for u in units])
             codes: list = [None] * len(units)
-            if good:
-                signs = (np.stack([units[i] for i in good]) - mean) @ turn >= 0
-                for i, c in zip(good, signs.reshape(len(good), -1, width) @ weights, strict=True):
+            for n in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == n)
+                bits = signs(np.stack([units[i] for i in at]), models, tables * width)
+                for i, c in zip(at, bits.reshape(len(at), -1, width) @ weights, strict=True):
                     codes[i] = c.astype(np.int32)
-            raw = [None if u is None else u.tobytes() for u in units]
-            same = [None if u is None else xxhash.xxh3_128_digest(np.array(e, float).tobytes()) for u, e in zip(units, b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(raw, pa.binary()), pa.array(codes, pa.list_(pa.int32()))], names=["vec_id", "label", "same", "unit", "codes"])
+            same = [None if u is None else xxhash.xxh3_128_digest(np.array(e, float).tobytes()) for u, e in zip(units, raw, strict=True)]
+            cols = [pa.array(lengths, pa.int32()), pa.array(same, pa.binary()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary()), pa.array(codes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["vec_id", "label", "dims", "same", "unit", "codes"])
 
     return code
 
@@ -154,11 +191,13 @@ def _coder(mean: np.ndarray, turn: np.ndarray, width: int):
 def _reranked(least: float):
     def rerank(batches):
         for b in rows(batches, 5000):
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist())).reshape(b.num_rows, -1) for i in (2, 3))
-            cosine = np.einsum("ij,ij->i", x, y)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(cosine >= least))
+            x, y = (b.column(i).to_pylist() for i in (2, 3))
+            size, cosine = np.array([len(v) for v in x]), np.empty(len(x))
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                u, v = (np.frombuffer(b"".join(z[i] for i in at)).reshape(len(at), -1) for z in (x, y))
+                cosine[at] = np.einsum("ij,ij->i", u, v)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(cosine >= least, pa.bool_()))
 
     return rerank
 
@@ -170,41 +209,45 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     width = width or min(24, max(6, math.ceil(math.log2(max(2, v.count())))))
     model = learn(v, width, cosine, sample)
     if model is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    mean, turn, width, far = model
-    tables = turn.shape[1] // width
-    every = scratch.store(v.mapInArrow(_coder(mean, turn, width), CODED), "coded")
-    usable = every.where("same is not null and label is not null and vec_id is not null")
-    classes = scratch.store(usable.groupBy("label", "same").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
-    nodes = scratch.store(classes.join(usable.withColumnRenamed("vec_id", "node"), ["node", "label", "same"]).dropDuplicates(["node"]).select("node", "label", "unit", "codes"), "nodes")
-    cells = nodes.select("node", "label", "codes", F.posexplode("codes").alias("t", "key"))
+    models, tables, width, far = model
+    kinds = [v.schema[c].dataType.simpleString() for c in ("vec_id", "label")]
+    coded = f"vec_id {kinds[0]}, label {kinds[1]}, dims int, same binary, unit binary, codes array<int>"
+    every = scratch.store(v.mapInArrow(_coder(models, tables, width), coded), "coded")
+    whole = every.where("same is not null and label is not null and vec_id is not null")
+    # The numbers of classes hold once they are written; all members have the same vector.
+    classes = whole.groupBy("label", "same").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("dims").alias("dims"), F.first("unit").alias("unit"), F.first("codes").alias("codes"))
+    nodes = scratch.store(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    cells = nodes.select("node", "label", "dims", "codes", F.posexplode("codes").alias("t", "key"))
     near = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i)))))
-    probes = cells.select("node", "label", "codes", "t", near.alias("key"))
+    probes = cells.select("node", "label", "dims", "codes", "t", near.alias("key"))
     if tables <= WRITTEN:
         apart = [f"bit_count(a.codes[{j}] ^ b.codes[{j}])" for j in range(tables)]
         first = " and ".join(f"(a.t <= {j} or {x} > 1)" for j, x in enumerate(apart))
-        whole = " + ".join(apart)
+        total = " + ".join(apart)
     else:  # compiled code of this length would not be optimised by the JVM
         apart = "zip_with(a.codes, b.codes, (x, y) -> bit_count(x ^ y))"
         first = f"not exists(slice({apart}, 1, a.t), d -> d <= 1)"
-        whole = f"aggregate({apart}, 0, (s, d) -> s + d)"
-    met = probes.alias("a").join(cells.alias("b"), F.expr(f"a.label = b.label and a.t = b.t and a.key = b.key and a.node < b.node and {whole} <= {far} and {first}"))
+        total = f"aggregate({apart}, 0, (s, d) -> s + d)"
+    met = probes.alias("a").join(cells.alias("b"), F.expr(f"a.label = b.label and a.dims = b.dims and a.t = b.t and a.key = b.key and a.node < b.node and {total} <= {far} and {first}"))
     pairs = scratch.store(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "pairs")
     x = nodes.select(F.col("node").alias("a"), F.col("unit").alias("of_a"))
     y = nodes.select(F.col("node").alias("b"), F.col("unit").alias("of_b"))
     full = pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b")
     links = scratch.store(full.mapInArrow(_reranked(cosine), "a long, b long"), "links")
-    sizes = classes.select(F.col("node").alias("b"), "n")
+    sizes = nodes.select(F.col("node").alias("b"), "n")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    told = classes.join(linked, "node", "left").join(components(scratch, links), "node", "left")
-    told = scratch.store(told.select("label", "same", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "told")
+    counted = nodes.join(linked, "node", "left").select("node", "label", "same", "id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    owned = whole.select(F.col("vec_id").alias("id"), "label", "same").distinct().join(nodes.select("label", "same", "node"), ["label", "same"]).select("id", "node")
+    told = scratch.store(reached(scratch, counted, links, owned).drop("node"), "told")
+    scratch.only(every, told)
     out = every.select("vec_id", "label", "same").join(told, ["label", "same"], "left")
-    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("least", "vec_id"))
     n = F.when(F.col("vec_id").isNotNull(), F.col("n_links"))
     return out.select("vec_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
 
