@@ -1,15 +1,18 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
-A candidate is a maximal run of token characters with a digit and a letter. For each character class
-that holds the whole candidate's window, the Shannon entropy of every window of WINDOW characters is
-kept by incremental counts: one character enters, one leaves, and only their two terms of the sum
-change. Windows above the class's limit are joined into spans. Candidates on the allow-list (UUIDs,
-dotted names and numbers, paths, repeated or placeholder values) are suppressed; the fixed patterns never are.
+A candidate is a maximal run of at least WINDOW token characters. A window of WINDOW characters slides over it and
+keeps, by incremental counts, its Shannon entropy and how many of its characters belong to each class: one
+character enters, one leaves, and only their terms change. The window is judged by the limit of the narrowest class
+that holds all of it. Windows at or above the limit are joined into spans.
+
+The allow-list works on the pieces between a run's joints (/ _ = + -): words, numbers, placeholders and UUIDs. A
+window at least half of which lies in such pieces or joints is suppressed; the rest of the run is judged all the
+same. The fixed patterns are never suppressed.
 
 Texts are scanned whole, one at a time, so memory is bounded by the longest text. Nothing is shuffled.
 
-Defined results: null and empty texts have no spans. Null ids and repeated rows give results like others.
-Overlapping spans of different kinds are all returned. An empty table gives an empty result.
+Defined results: null and empty texts have no spans. Null ids and repeated rows give results like others; ids may be
+of any type. Overlapping spans of different kinds are all returned. An empty table gives an empty result.
 Extra columns are ignored by scan() and kept by redact().
 """
 
@@ -31,48 +34,67 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: By class: its characters, and the entropy in bits a character above which a window is suspicious.
-CLASSES = (
-    (re.compile(r"[0-9a-fA-F]+"), 3.2),
-    (re.compile(r"[A-Za-z0-9]+"), 3.7),
-    (re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
-)
-ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # a UUID
-    r"|(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))*[/_=+-]*"  # words and numbers with joints
-    r"|[/_=+-]*(?:example|sample|placeholder|changeme|dummy|test)[A-Za-z0-9+/_=-]*",
-    re.I,
-)
+#: The entropy in bits a character at which a window of hex digits, of letters and digits, and of all token characters is suspicious.
+LIMITS = (3.2, 3.7, 3.9)
+_UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+#: A placeholder may go on for a few characters: example1, test2024.
+_PLACEHOLDER = re.compile(r"(?:example|sample|placeholder|changeme|dummy|test)[A-Za-z0-9]{0,6}", re.I)
 _TERM = [0.0] + [n / WINDOW * math.log2(n / WINDOW) for n in range(1, WINDOW + 1)]
 _HEX_BYTES = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _TOKEN_BYTES = bytes(104 if re.match(rb"[A-Za-z0-9+/_=-]", bytes([b])) else 32 for b in range(256))
 
 
-def high_windows(s: str, limit: float) -> list[tuple[int, int]]:
-    """Joined (start, end) of all windows of s whose entropy is limit bits or more."""
+def like_word(s: str) -> bool:
+    """Whether letters read as words: few changes of case, some vowels, no long run of consonants."""
+    low = s.lower()
+    vowels = sum(c in "aeiouy" for c in low)
+    turns = sum(a.islower() and b.isupper() for a, b in zip(s, s[1:]))
+    return len(s) <= 4 or (0.2 <= vowels / len(s) <= 0.7 and turns <= len(s) / 4 and not re.search("[^aeiouy]{6}", low))
+
+
+def allowed(s: str) -> bytearray:
+    """For each character of a candidate 1 where the allow-list holds."""
+    out = bytearray(b"\1" * len(s))
+    for m in _PIECE.finditer(s):
+        x = m[0]
+        if not (x.isdigit() or (x.isalpha() and like_word(x)) or _PLACEHOLDER.fullmatch(x)):
+            out[m.start() : m.end()] = bytes(len(x))
+    for m in _UUID.finditer(s):
+        out[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    return out
+
+
+def _class(c: str) -> int:
+    return 0 if c in "0123456789abcdefABCDEF" else 1 if c.isalnum() else 2
+
+
+def high_windows(s: str, free: bytearray | None = None, limits: tuple[float, float, float] = LIMITS) -> list[tuple[int, int]]:
+    """Joined (start, end) of the windows of s that are suspicious and mostly not free."""
     out: list[tuple[int, int]] = []
     counts: dict[str, int] = {}
-    total = 0.0
+    kinds, total, n_free = [0, 0, 0], 0.0, 0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
+        kinds[_class(c)] += 1
+        n_free += free[i] if free else 0
+        total += _TERM[n + 1] - _TERM[n] if n < WINDOW else 0.0
         if i >= WINDOW:
             gone = s[i - WINDOW]
-            if gone == c:
-                counts[c] = n
-            else:
-                total += _TERM[n + 1] - _TERM[n]
-                m = counts[gone]
-                counts[gone] = m - 1
-                total += _TERM[m - 1] - _TERM[m]
-        else:
-            total += _TERM[n + 1] - _TERM[n]
-        if i >= WINDOW - 1 and -total >= limit - 1e-9:
-            at = i - WINDOW + 1
-            if out and at <= out[-1][1]:
-                out[-1] = (out[-1][0], i + 1)
-            else:
-                out.append((at, i + 1))
+            m = counts[gone]
+            counts[gone] = m - 1
+            kinds[_class(gone)] -= 1
+            n_free -= free[i - WINDOW] if free else 0
+            total += _TERM[m - 1] - _TERM[m] if m <= WINDOW else 0.0
+        if i >= WINDOW - 1 and 2 * n_free < WINDOW:
+            limit = limits[2 if kinds[2] else 1 if kinds[1] else 0]
+            if -total >= limit - 1e-9:
+                at = i - WINDOW + 1
+                if out and at <= out[-1][1]:
+                    out[-1] = (out[-1][0], i + 1)
+                else:
+                    out.append((at, i + 1))
     return out
 
 
@@ -91,13 +113,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if b"h" * WINDOW in raw.translate(_TOKEN_BYTES):
         for m in _CANDIDATE.finditer(text):
-            s = m[0]
-            if ALLOWED.fullmatch(s):
-                continue
-            for held, limit in CLASSES:
-                if held.fullmatch(s):
-                    found += [("entropy", m.start() + a, m.start() + b) for a, b in high_windows(s, limit)]
-                    break
+            free = allowed(m[0])
+            if 0 in free:
+                found += [("entropy", m.start() + a, m.start() + b) for a, b in high_windows(m[0], free)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -154,10 +172,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def _digest(batches):
-    for b in batches:
+    for b in rows(batches):
         out = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans")}
-        for found in b.column(1).to_pylist():
-            said = [(x["kind"], f"{x['kind']}:{x['start']}:{x['end']}") for x in found]
+        for found in map(spans, b.column(1).to_pylist()):
+            said = [(k, f"{k}:{s}:{e}") for k, s, e in found]
             for kind in KINDS:
                 out[f"n_{kind}"].append(sum(k == kind for k, _ in said))
             out["base_sha256"].append(hashlib.sha256(",".join(x for k, x in said if k != "entropy").encode()).hexdigest())
@@ -165,6 +183,11 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items())], names=["doc_id", *out])
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """Like scan(), with the spans of a row as counts by kind, their text, and a digest of the fixed patterns'."""
+    d = docs.selectExpr("doc_id", "cast(text as string) as text")
+    return d.mapInArrow(_digest, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
