@@ -2,21 +2,23 @@
 
 A source's weight is its token share to the power a, normalised. a = 1 keeps the shares, smaller a
 evens them out. a is bisected, six levels to a Spark job, to the most even mixture whose repetition
-limit holds, and to no more entropy than asked for. The budget defaults to what gives the largest
+limit holds, and to no more entropy than asked for; the target may be given in nats, or as the part of the way from the
+entropy of the shares to that of equal weights. The budget defaults to what gives the largest
 source exactly one pass, so no document is lost and smaller sources repeat.
 
 Weights become whole documents by budgeted block permutations: documents are dealt by hash into about
 sqrt(n) blocks, blocks are taken in a pseudo-random order and documents in hash order within theirs. A
 source's budget is a number of whole passes and a first part of the permutation. The part ends at a
 (block, hash) found from block totals and one block's running sum, so no window covers a source and
-no text is shuffled.
+mix() shuffles no text. mixed_documents() sorts whole rows by pass, block and hash over the cluster, so files hold the
+permuted order and passes over a document lie far apart.
 
 The table of cuts has a row for each source; it is broadcast if it has at most BROADCAST rows and
 shuffled otherwise.
 
 Defined results: a null source is a source of its own. Null and empty texts weigh one token. Documents
 with equal hashes, repeated rows among them, are taken or left together. With one source, or an empty
-table, nothing repeats. All columns of docs stay.
+table, nothing repeats. All columns of docs stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,24 +35,32 @@ REPEAT = 2.0
 #: Sources whose cuts may be broadcast: under 10 MB.
 BROADCAST = 50_000
 LEVELS = 6
+#: How far the registered query and the pipeline go from the shares' entropy towards that of equal weights.
+EVENNESS = 0.5
 
 
 def _prepared(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """(row, source, tokens, u, block): a struct of the columns of docs, and the operator's own columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     u = F.xxhash64(F.col("doc_id"), F.xxhash64(text), F.lit(7))
-    return docs.withColumns({
-        "__source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
-        "__tokens": F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long"),
-        "__u": u,
-        "__block": F.pmod(F.xxhash64(u), F.lit(n_blocks)).cast("int"),
-    })
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"),
+        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long").alias("tokens"),
+        u.alias("u"),
+        F.pmod(F.xxhash64(u), F.lit(n_blocks)).cast("int").alias("block"),
+    )
 
 
-def exponent(shares: DataFrame, repeat: float, entropy: float | None) -> tuple[float, float]:
+def exponent(shares: DataFrame, repeat: float, entropy: float | None, evenness: float | None) -> tuple[float, float]:
     """(a, log of the normaliser) for a table of positive shares p, one row for each source."""
-    r = shares.agg(F.max("p").alias("hi"), F.min("p").alias("lo")).first()
+    p = F.col("p")
+    r = shares.agg(F.max(p).alias("hi"), F.min(p).alias("lo"), F.count(p).alias("n"), (-F.sum(p * F.log(p))).alias("entropy")).first()
     if r.hi is None or r.hi <= r.lo:
         return 1.0, 0.0
+    if evenness is not None:
+        target = r.entropy + evenness * (math.log(r.n) - r.entropy)
+        entropy = target if entropy is None else min(entropy, target)
 
     def fits(a: float, z: float, s: float) -> bool:
         """z, s: sums of p**a and of p**a * log p."""
@@ -61,7 +71,6 @@ def exponent(shares: DataFrame, repeat: float, entropy: float | None) -> tuple[f
     for _ in range(4):
         step = (high - low) / 2**LEVELS
         grid = [low + i * step for i in range(2**LEVELS)]
-        p = F.col("p")
         sums = shares.agg(*(x for i, a in enumerate(grid) for x in (F.sum(p**a).alias(f"z{i}"), F.sum(p**a * F.log(p)).alias(f"s{i}")))).first()
         good = next((i for i, a in enumerate(grid) if fits(a, sums[f"z{i}"], sums[f"s{i}"])), None)
         if good == 0 and low == 0.0:
@@ -71,53 +80,59 @@ def exponent(shares: DataFrame, repeat: float, entropy: float | None) -> tuple[f
     return high, math.log(shares.agg(F.sum(F.col("p") ** high)).first()[0])
 
 
-def cuts(docs: DataFrame, n_blocks: int, scratch: Scratch, repeat: float, entropy: float | None, budget: float | None) -> DataFrame:
-    """(source, weight, passes, full, cut_block, cut_u): documents up to the cut get one pass more than full."""
-    narrow = docs.select("__source", "__block", "__u", "__tokens")
-    cells = scratch.store(narrow.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "cells")
-    sources = scratch.store(cells.groupBy("__source").agg(F.sum("tokens").alias("total")), "sources")
+def cuts(narrow: DataFrame, scratch: Scratch, repeat: float, entropy: float | None, evenness: float | None, budget: float | None) -> DataFrame:
+    """(source, weight, passes, full, cut_block, cut_u): documents up to the cut get one pass more than full.
+
+    narrow: source, tokens, u and block of every document.
+    """
+    cells = scratch.store(narrow.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "cells")
+    sources = scratch.store(cells.groupBy("source").agg(F.sum("tokens").alias("total")), "sources")
     every = sources.agg(F.sum("total")).first()[0] or 0
     shares = sources.withColumn("p", F.col("total") / F.lit(float(max(every, 1))))
-    a, log_z = exponent(shares, repeat, entropy)
+    a, log_z = exponent(shares, repeat, entropy, evenness)
     top = shares.agg(F.max("p")).first()[0] or 1.0
     spend = budget if budget is not None else every * math.exp(log_z + (1 - a) * math.log(top))
     weighted = shares.withColumn("weight", F.col("p") ** a / F.lit(math.exp(log_z))).withColumn("passes", F.least(F.col("weight") * F.lit(float(spend)) / F.col("total"), F.lit(float(repeat))))
     whole = F.round(F.floor(F.col("passes") + 1e-9)).cast("int")
     plan = weighted.withColumn("full", whole).withColumn("part", F.greatest(F.floor((F.col("passes") - whole) * F.col("total") + 1e-6).cast("long"), F.lit(0).cast("long")))
     plan = scratch.store(plan, "plan")
-    order = Window.partitionBy("__source").orderBy("__block")
-    before = cells.join(plan, "__source").withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
+    order = Window.partitionBy("source").orderBy("block")
+    before = cells.join(plan, "source").withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
     # The one block in which a source's part ends.
-    edge = before.where("before < part and part <= before + tokens").select("__source", "__block", (F.col("part") - F.col("before")).alias("room"))
-    within = narrow.join(edge, ["__source", "__block"])
-    run = F.sum("__tokens").over(Window.partitionBy("__source", "__block").orderBy("__u").rangeBetween(Window.unboundedPreceding, 0))
-    last = within.withColumn("run", run).where("run <= room").groupBy("__source", "__block").agg(F.max("__u").alias("cut_u"))
-    ends = edge.join(last, ["__source", "__block"], "left").select("__source", F.col("__block").alias("cut_block"), "cut_u")
-    return scratch.store(plan.join(ends, "__source", "left").select("__source", "weight", "passes", "full", "cut_block", "cut_u"), "cuts")
-
-
-def mix(docs: DataFrame, repeat: float = REPEAT, entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """docs, all columns, each row as often as its source's budget takes it, with __pass, __block, __u and __weight.
-
-    Reading by (pass, block, u) gives the permuted order. entropy: target in nats. budget: tokens to spend.
+    edge = scratch.store(before.where("before < part and part <= before + tokens").select("source", "block", (F.col("part") - F.col("before")).alias("room")), "edge")
+    # Equal hashes first become one row, so that many repeated rows are one.
+    within = narrow.join(edge, ["source", "block"]).groupBy("source", "block", "room", "u").agg(F.sum("tokens").alias("tokens"))
+    run = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("u"))
+    last = within.withColumn("run", run).where("run <= room").groupBy("source", "block").agg(F.max("u").alias("cut_u"))
+    ends = edge.join(last, ["source", "block"], "left").select("source", F.col("block").alias("cut_block"), "cut_u")
+    out = scratch.store(plan.join(ends, "source", "left").select("source", "weight", "passes", "full", "cut_block", "cut_u"), "cuts")
+    scratch.only(out)
+    return out
+
+
+def mix(docs: DataFrame, repeat: float = REPEAT, entropy: float | None = None, evenness: float | None = None, budget: float | None = None) -> DataFrame:
+    """(row, pass, block, u, weight): each row of docs, as a struct, as often as its source's budget takes it.
+
+    Reading by (pass, block, u) gives the permuted order. entropy: target in nats. evenness: target as a part, from
+    0 to 1, of the way from the shares' entropy to the largest. budget: tokens to spend.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     n_blocks = max(1, math.isqrt(docs.count()))
     d = _prepared(docs, n_blocks)
-    c = cuts(d, n_blocks, scratch, repeat, entropy, budget)
-    met = d.join(F.broadcast(c) if c.count() <= BROADCAST else c, "__source")
-    inside = (F.col("__block") < F.col("cut_block")) | (F.col("__block") == F.col("cut_block")) & (F.col("__u") <= F.col("cut_u"))
+    c = cuts(d.select("source", "tokens", "u", "block"), scratch, repeat, entropy, evenness, budget)
+    met = d.join(F.broadcast(c) if c.count() <= BROADCAST else c, "source")
+    inside = (F.col("block") < F.col("cut_block")) | (F.col("block") == F.col("cut_block")) & (F.col("u") <= F.col("cut_u"))
     times: Column = F.col("full") + F.coalesce(inside, F.lit(False)).cast("int")
-    taken = met.withColumn("__times", times).where("__times > 0")
-    out = taken.withColumn("__pass", F.explode(F.sequence(F.lit(1), "__times")))
-    return out.withColumnRenamed("weight", "__weight").drop("__source", "__tokens", "__times", "passes", "full", "cut_block", "cut_u")
+    taken = met.withColumn("times", times).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("pass"), "block", "u", "weight")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """Only the columns of docs."""
-    return mix(docs, **how).select(*docs.columns)
+    """Only the columns of docs, in the permuted order over all partitions."""
+    m = mix(docs, **how)
+    return m.sort("pass", "block", "u").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return m.select("doc_id", "source", F.col("__pass").alias("pass"), F.col("__block").alias("block"), F.col("__u").alias("order_key"), F.round("__weight", 9).alias("weight"))
+    m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), evenness=EVENNESS)
+    return m.select("row.doc_id", "row.source", "pass", "block", F.col("u").alias("order_key"), F.round("weight", 9).alias("weight"))

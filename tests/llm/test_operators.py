@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from evidra.llm import license_scan, mixing, near_dup, packing, quality, secret_scan, token_counts, vector_near_dup, warc
+from evidra.llm import license_scan, near_dup, packing, quality, secret_scan, token_counts, vector_near_dup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, hash string, node long"
 R = random.Random(5)
@@ -177,23 +177,6 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing).collect() == []
 
 
-def test_mixing(spark, docs, rows, nothing):
-    out = mixing.mix(docs).collect()
-    assert {r.doc_id for r in out} == {r[0] for r in rows}
-    many = spark.createDataFrame([(i, "w " * 10, s) for i, s in enumerate(["big"] * 400 + ["mid"] * 200 + ["low"] * 50)], "doc_id long, text string, source string")
-    m = mixing.mix(many, repeat=2.0)
-    n = {r.source: r["count"] for r in m.groupBy("source").count().collect()}
-    p = {"big": 400 / 650, "mid": 200 / 650, "low": 50 / 650}
-    a = 1 - math.log(2) / math.log(8)
-    for s, k in (("big", 400), ("mid", 200), ("low", 50)):
-        assert n[s] == pytest.approx(k * (p["big"] / p[s]) ** (1 - a), abs=1.01)
-    weights = {r.source: r["__weight"] for r in m.select("source", "__weight").distinct().collect()}
-    assert sum(weights.values()) == pytest.approx(1)
-    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, mixing.mix(many.repartition(5)).collect()))
-    assert mixing.mixed_documents(docs).columns == docs.columns
-    assert mixing.mix(nothing).collect() == []
-
-
 def test_vectors(spark):
     r = np.random.default_rng(2)
     v = [r.standard_normal(32) for _ in range(300)]
