@@ -22,10 +22,12 @@ their labels. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters between words, after lower-casing.
+#: Characters between words, after lower-casing A-Z.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
 #: Diagonals at most so far apart belong together.
@@ -102,14 +104,14 @@ def runs(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> DataFrame:
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select("doc_id", F.xxhash64(t).alias("same"), F.filter(F.split(F.lower(t), BREAK), lambda w: w != "").alias("words_"))
+    d = docs.select("doc_id", F.xxhash64(t).alias("same"), F.filter(F.split(F.translate(t, string.ascii_uppercase, string.ascii_lowercase), BREAK), lambda w: w != "").alias("words_"))
     d = d.withColumn("h", F.transform("words_", lambda w: F.xxhash64(w)))
     grams = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (K - 1), F.lit(0))), lambda x, i: _hash(x, F.get(F.col("h"), i + 1), F.get(F.col("h"), i + 2)))
     d = d.withColumn("grams", F.concat(F.array(F.lit(0).cast("long")), grams))
     # The outer form, as the plain one infers a filter that repeats the whole expression at the scan.
     each = d.select("doc_id", "same", "words_", F.posexplode_outer("grams").alias("at", "gram"))
     hit = each.join(F.broadcast(positions(spark, templates)), "gram")
-    # lower() may change letters outside ASCII; a vote needs the very words.
+    # Hashes may be equal by chance; a vote needs the very words.
     exact = F.array_join(F.slice("words_", F.greatest(F.col("at"), F.lit(1)), K), " ") == F.col("phrase")
     votes = hit.where((F.col("tid") < 0) & (F.col("at") == 0) | (F.col("tid") >= 0) & (F.col("at") > 0) & exact)
     # Where qualifiers stand before and behind the K-gram, as far as a run may reach.
