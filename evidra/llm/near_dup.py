@@ -100,7 +100,7 @@ def _sketches(batches):
 
 
 def _sets(batches):
-    for b in rows(batches):
+    for b in rows(batches, 200):
         sets = [shingles(t).tobytes() for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["cls", "hashes"])
 
@@ -113,7 +113,8 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([*same, pa.array(h)], names=["node", "c", "n", "hash"])
 
 
-def linked(x: bytes, y: bytes, percent: int) -> bool:
+def linked(x, y, percent: int) -> bool:
+    """x, y: the hashes of two sets, as buffers."""
     a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -125,8 +126,9 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
 
 def _confirmed(percent: int):
     def confirm(batches):
-        for b in rows(batches):
-            ok = [linked(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        for b in batches:
+            # Buffers, not copies: a batch may hold a long set many times.
+            ok = [linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return confirm
