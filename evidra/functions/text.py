@@ -20,9 +20,18 @@ def squeezed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, BLANK, " "))
 
 
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{BLANK}|{BLANK}$", "")
+
+
+def all_emails(x: Column) -> Column:
+    """Lower-case addresses in the order of the text."""
+    return F.transform(F.regexp_extract_all(x, F.lit(EMAIL), F.lit(1)), F.lower)
+
+
 def emails(x: Column) -> Column:
     """Sorted distinct lower-case addresses."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(EMAIL), F.lit(1)), F.lower)))
+    return F.array_sort(F.array_distinct(all_emails(x)))
 
 
 def owned(addresses: Column, hosts: Column) -> Column:

@@ -33,9 +33,14 @@ def origin(url: Column) -> Column:
     return F.concat(part(url, 1), F.lit("://"), part(url, 2))
 
 
+def unescaped(x: Column) -> Column:
+    """x with its percent escapes decoded; what is no escape stays, and a plus too."""
+    literal = F.regexp_replace(F.replace(x, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(literal), x)
+
+
 def _decoded(x: Column) -> Column:
-    plain = F.replace(x, F.lit("+"), F.lit(" "))
-    return F.coalesce(F.try_url_decode(x), plain)
+    return unescaped(F.replace(x, F.lit("+"), F.lit(" ")))
 
 
 def _encoded(x: Column) -> Column:
@@ -53,14 +58,17 @@ def is_tracking(k: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Canonical form of an absolute http(s) URL; null if it has no host, a user or a malformed port."""
+    """Canonical form of an absolute http(s) URL; null if it has no host, a user or a port that is none."""
     keep = F.array_sort(F.filter(parameters(part(url, 4)), lambda p: ~is_tracking(p["k"])))
     query = F.array_join(F.transform(keep, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     scheme, p = F.lower(part(url, 1)), port(url)
-    net = F.concat(host(url), F.when(p.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), p)))
+    # Port 0 counts as none, and leading zeros say nothing.
+    number = F.coalesce(F.try_to_number(F.nullif(p, F.lit("")), F.lit("999999")).cast("int"), F.lit(0))
+    net = F.concat(host(url), F.when(number.isin(0, 80, 443), "").otherwise(F.concat(F.lit(":"), number.cast("string"))))
     path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
     out = F.concat(scheme, F.lit("://"), net, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(scheme.isin("http", "https") & (host(url) != "") & ~part(url, 2).contains("@"), out)
+    sound = part(url, 2).rlike(AUTHORITY) & (F.length(F.regexp_replace(p, "^0+", "")) <= 5) & (number <= 65535)
+    return F.when(scheme.isin("http", "https") & (host(url) != "") & ~part(url, 2).contains("@") & sound, out)
 
 
 def _undotted(path: Column) -> Column:

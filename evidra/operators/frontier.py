@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +19,11 @@ RANKS = [
     (3, r"\b(product|solutions?|customers?|pricing|platform)\b"),
     (4, r"\b(careers?|jobs)\b"),
 ]
+# Pages tried where links say little, and how many URLs of a host are remembered.
 FALLBACK = ["/about", "/company", "/team", "/contact", "/pricing"]
 SEEN = 300
+# From this rank on a link says little, and the rank of a fallback.
+POOR, SPARE = 6, 5
 
 
 def priority(url: Column, text: Column) -> Column:
@@ -41,19 +44,26 @@ def page_links(pages: DataFrame) -> DataFrame:
     return each.select("host", "page_url", "pos", U.canonical_url(U.resolved(F.col("l.href"), F.col("page_url"))).alias("url"), F.col("l.text").alias("text"))
 
 
-def select_pages(links: DataFrame, max_pages: int = 8, seen: int = SEEN) -> DataFrame:
+def select_pages(links: DataFrame, max_pages: int = 8, seen: int = SEEN, hosts: DataFrame | None = None) -> DataFrame:
     """The first max_pages of each host at depth 1: its root, ranked links in scope, and fallbacks.
 
-    Links of one URL count once, with the first anchor's rank; at most seen URLs are remembered, in
-    URL order. links: host, page_url, pos (from 0 on each page), url, text. Rows without host are left out.
+    Only links of the root page count, as a search of depth 1 follows no others. Links of one URL count once,
+    with the first anchor's rank; at most seen URLs are remembered, in URL order. links: host, page_url (canonical), pos (from
+    0 on each page), url, text. hosts (host): those to select for, by default those of links. Rows without host are left out.
 
     One pass over links: root and fallbacks ride along with the first link of each page and meet the
     links in one aggregation by URL. Only seen + 5 rows of a host then go to the windows by host.
     """
-    own = [F.struct(F.concat(F.lit("https://"), "host", F.lit(path)).alias("url"), F.lit(i).alias("special"), F.lit(None).cast("struct<page_url:string,pos:int,text:string>").alias("link")) for i, path in enumerate(["/", *FALLBACK])]
-    link = F.struct("url", F.lit(None).cast("int").alias("special"), F.struct("page_url", "pos", "text").alias("link"))
-    offers = F.when(F.col("pos") == 0, F.array(link, *own)).otherwise(F.array(link))
-    offered = links.where("host is not null").select("host", F.explode(offers).alias("o")).select("host", "o.*").where("url is not null")
+    kind = "struct<pos:int,text:string>"
+    own = [F.struct(F.concat(F.lit("https://"), "host", F.lit(path)).alias("url"), F.lit(i).alias("special"), F.lit(None).cast(kind).alias("link")) for i, path in enumerate(["/", *FALLBACK])]
+    link = F.struct("url", F.lit(None).cast("int").alias("special"), F.struct(F.col("pos").cast("int").alias("pos"), "text").alias("link"))
+    of_root = F.when(F.col("page_url") == F.concat(F.lit("https://"), "host", F.lit("/")), F.array(link)).otherwise(F.array().cast(f"array<struct<url:string,special:int,link:{kind}>>"))
+    first = F.array(*own) if hosts is None else F.array().cast(f"array<struct<url:string,special:int,link:{kind}>>")
+    offers = F.concat(of_root, F.when(F.col("pos") == 0, first).otherwise(F.array().cast(f"array<struct<url:string,special:int,link:{kind}>>")))
+    offered = links.where("host is not null").select("host", F.explode(offers).alias("o"))
+    if hosts is not None:
+        offered = offered.unionByName(hosts.where("host is not null").select("host", F.explode(F.array(*own)).alias("o")))
+    offered = offered.select("host", "o.*").where("url is not null")
     once = offered.groupBy("host", "url").agg(F.min("special").alias("special"), F.min("link").alias("link"))
     rank = F.when(F.col("link").isNotNull() & U.in_scope(F.col("url"), F.col("host")), priority(F.col("url"), F.col("link.text")))
     ranked = once.select("host", "url", "special", rank.alias("rank")).where("rank is not null or special is not null")
@@ -67,44 +77,90 @@ def select_pages(links: DataFrame, max_pages: int = 8, seen: int = SEEN) -> Data
     few = few.withColumn("spare_no", F.sum(F.coalesce("spare", F.lit(False)).cast("int")).over(host.orderBy(F.col("special").asc_nulls_last(), "url")))
     root = F.coalesce(F.col("special") == 0, F.lit(False))
     every = few.where(root | F.col("found") | (F.col("spare") & (F.col("spare_no") + F.col("held") <= seen)))
-    every = every.select("host", "url", F.when(root, 0).when(F.col("found"), F.col("rank")).otherwise(5).alias("priority"), F.when(root, 0).otherwise(1).alias("depth"))
+    every = every.select("host", "url", F.when(root, 0).when(F.col("found"), F.col("rank")).otherwise(SPARE).alias("priority"), F.when(root, 0).otherwise(1).alias("depth"))
     order = host.orderBy("priority", "depth", "url")
     return every.withColumn("page_no", F.row_number().over(order)).where(F.col("page_no") <= max_pages).select("host", "url", "priority", "depth", "page_no")
 
 
-def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: int = SEEN) -> DataFrame:
-    """Best-first search to any depth over a stored link table; one host's links meet in one task.
+_CHOICE = "struct<priority:int,depth:int,url:string>"
+_STATE = f"host string, queue array<{_CHOICE}>, known array<string>, visited array<string>, spare boolean, pages array<{_CHOICE}>, at string, depth int"
 
-    links: host, page_url (canonical), pos, url, text. Only links in scope are kept before the search.
+
+def _turn(max_depth: int, seen: int):
+    """One turn of every host's search: what the last page links to comes in, the next page goes out."""
+    choice = pa.struct([("priority", pa.int32()), ("depth", pa.int32()), ("url", pa.string())])
+    texts = pa.list_(pa.string())
+    schema = pa.schema([("host", pa.string()), ("queue", pa.list_(choice)), ("known", texts), ("visited", texts), ("spare", pa.bool_()), ("pages", pa.list_(choice)), ("at", pa.string()), ("depth", pa.int32())])
+
+    def turned(r: dict) -> dict:
+        host, known = r["host"], set(r["known"])
+        ahead = [(c["priority"], c["depth"], c["url"]) for c in r["queue"]]
+        heapq.heapify(ahead)
+
+        def remember(offers):
+            for offer in offers:
+                if offer[1] <= max_depth and offer[2] not in known and len(known) < seen:
+                    known.add(offer[2])
+                    heapq.heappush(ahead, offer)
+
+        gone = {*r["visited"], *filter(None, [r["at"]])}
+        remember((x["priority"], r["depth"] + 1, x["url"]) for x in r["offers"] or [])
+        poor = not ahead or ahead[0][0] >= POOR
+        if r["spare"] and poor:
+            remember((SPARE, 1, f"https://{host}{path}") for path in FALLBACK)
+        while ahead and ahead[0][2] in gone:
+            heapq.heappop(ahead)
+        out = {"host": host, "known": sorted(known), "spare": r["spare"] and not poor, "pages": r["pages"], "at": None, "depth": None}
+        if ahead:
+            best = heapq.heappop(ahead)
+            out |= {"pages": [*r["pages"], dict(zip(("priority", "depth", "url"), best, strict=True))], "at": best[2], "depth": best[1]}
+            gone.add(best[2])
+        return out | {"queue": [dict(zip(("priority", "depth", "url"), c, strict=True)) for c in ahead], "visited": sorted(gone)}
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([turned(r) for r in b.to_pylist()], schema=schema)
+
+    return run
+
+
+def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: int = SEEN, hosts: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
+    """(host, url, priority, depth, page_no): best-first search over a stored link table, max_pages of each host.
+
+    links: host, page_url, pos, url, text; only ranked links in scope are followed. hosts (host): those to search,
+    by default those of links. redirects (host, url, final_url): a page that leads elsewhere shows the links
+    of its end, and its end is not visited again.
+
+    A host's search is one row that holds at most seen URLs. It takes a turn for each page: the page's links are
+    looked up in the table, and no other links of the host are ever brought together. Of a page only the first 2 * seen
+    links in URL order can be remembered, whatever came before, so more never leave the window.
     """
-    ranked = links.withColumn("priority", priority(F.col("url"), F.col("text"))).where("priority is not null").where(U.in_scope(F.col("url"), F.col("host")))
-    ranked = ranked.select("host", U.canonical_url(F.col("page_url")).alias("page_url"), "pos", "url", "priority")
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        host = key[0]
-        out_of = {p: g.sort_values(["url", "pos"], kind="stable")[["url", "priority"]].to_numpy().tolist() for p, g in pdf.groupby("page_url")}
-        queue, known, done, spare = [], set(), [], True
-
-        def offer(url, depth, rank):
-            if depth <= max_depth and url not in known and len(known) < seen:
-                known.add(url)
-                heapq.heappush(queue, (rank, depth, url))
-
-        offer(f"https://{host}/", 0, 0)
-        while len(done) < max_pages:
-            if spare and (not queue or queue[0][0] >= 6):
-                spare = False
-                for path in FALLBACK:
-                    offer(f"https://{host}{path}", 1, 5)
-            if not queue:
-                break
-            rank, depth, url = heapq.heappop(queue)
-            done.append((host, url, int(rank), int(depth), len(done) + 1))
-            for to, r in out_of.get(url, []):
-                offer(to, depth + 1, r)
-        return pd.DataFrame(done, columns=["host", "url", "priority", "depth", "page_no"])
-
-    return ranked.groupBy("host").applyInPandas(search, "host string, url string, priority int, depth int, page_no int")
+    ranked = links.where("host is not null").withColumn("priority", priority(F.col("url"), F.col("text"))).where("priority is not null").where(U.in_scope(F.col("url"), F.col("host")))
+    ranked = ranked.select("host", U.canonical_url(F.col("page_url")).alias("at"), "pos", "url", "priority")
+    once = ranked.groupBy("host", "at", "url").agg(F.min(F.struct("pos", "priority")).alias("first"))
+    some = once.withColumn("n", F.row_number().over(Window.partitionBy("host", "at").orderBy("url"))).where(F.col("n") <= 2 * seen)
+    offers = some.groupBy("host", "at").agg(F.array_sort(F.collect_list(F.struct("url", F.col("first.priority").alias("priority")))).alias("offers"))
+    wanted = (links if hosts is None else hosts).where("host is not null").select("host").distinct()
+    root = F.concat(F.lit("https://"), "host", F.lit("/"))
+    none = F.array().cast("array<string>")
+    state = wanted.select(
+        "host",
+        F.array(F.struct(F.lit(0).alias("priority"), F.lit(0).alias("depth"), root.alias("url"))).alias("queue"),
+        F.array(root).alias("known"),
+        none.alias("visited"),
+        F.lit(True).alias("spare"),
+        F.array().cast(f"array<{_CHOICE}>").alias("pages"),
+        F.lit(None).cast("string").alias("at"),
+        F.lit(None).cast("int").alias("depth"),
+    )
+    for n in range(max_pages):
+        if n and redirects is not None:
+            ends = redirects.select("host", U.canonical_url(F.col("url")).alias("at"), U.canonical_url(F.col("final_url")).alias("end")).dropDuplicates(["host", "at"])
+            state = state.join(ends, ["host", "at"], "left").withColumn("at", F.coalesce("end", "at")).drop("end")
+        met = state.join(offers, ["host", "at"], "left") if n else state.withColumn("offers", F.lit(None).cast("array<struct<url:string,priority:int>>"))
+        order = [x.split()[0] for x in ("host", "queue", "known", "visited", "spare", "pages", "at", "depth", "offers")]
+        state = met.select(*order).mapInArrow(_turn(max_depth, seen), _STATE)
+    return state.select("host", F.posexplode("pages").alias("no", "p")).select("host", "p.url", "p.priority", "p.depth", (F.col("no") + 1).alias("page_no"))
 
 
 def distinct_texts(pages: DataFrame, by: str, order: str, text: str) -> DataFrame:

@@ -1,48 +1,86 @@
-"""Robots rules: parsing and the longest-match join, in native expressions."""
+"""Robots rules: the state of a file, its rules, and the longest match, in native expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions import text as T
 from evidra.functions import urls as U
 
+# Fixed value: the least delay between two requests.
 MIN_DELAY = 0.4
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+#: Line ends, as Unicode has them.
+LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def state(status: Column, body: Column) -> Column:
+    """available, missing, denied or unavailable, from the last answer for a robots file; status is null without one."""
+    page = F.coalesce(body.rlike(r"(?i)<(?:html|!doctype)"), F.lit(False))
+    return (
+        F.when(status.isin(404, 410), "missing")
+        .when((status == 200) & ~page & body.isNotNull(), "available")
+        .when(status.isNull() | status.isin(200, 408, 429) | (status >= 500), "unavailable")
+        .otherwise("denied")
+    )
 
 
 def parse(files: DataFrame, agent: str) -> DataFrame:
-    """(origin, delay, allow, pattern) from files (origin, body): a row for each rule that holds for agent.
+    """(origin, state, delay, rules array<struct<allow, pattern>>) from files (origin, status, body), one row each.
 
-    Lines are numbered; a group begins at a user-agent line that follows a rule. Groups that name a part
-    of the agent's name hold; without one, those for * do. An origin without rules has a null pattern.
+    A group begins at a user-agent line that follows a rule; rules before any agent say nothing. Groups that name
+    a part of the agent's name hold; without one, those for * do. A group's delay is the last it names, the
+    largest of the groups counts.
     """
-    lines = files.select("origin", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("no", "raw"))
-    line = F.trim(F.regexp_replace("raw", "#.*$", ""))
-    l = lines.select("origin", "no", F.lower(F.trim(F.regexp_extract(line, "^([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1)).alias("value")).where("key <> ''")
+    f = files.select("origin", "body", state(F.col("status"), F.col("body")).alias("state"))
+    lines = f.where("state = 'available'").select("origin", F.posexplode(F.split("body", LINES)).alias("no", "raw"))
+    line = F.regexp_replace("raw", r"#[\s\S]*$", "")
+    l = lines.select("origin", "no", F.lower(T.stripped(F.regexp_extract(line, r"^([^:]*):", 1))).alias("key"), T.stripped(F.regexp_extract(line, r"^[^:]*:([\s\S]*)$", 1)).alias("value")).where(line.contains(":"))
     by = Window.partitionBy("origin").orderBy("no")
-    rule = F.col("key").isin("allow", "disallow")
-    last = F.last(F.when(rule | (F.col("key") == "user-agent"), F.col("key")), True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col("key") == "user-agent") & (last.isNull() | (last != "user-agent"))
-    g = l.withColumn("group", F.sum(opens.cast("int")).over(by)).where("group > 0")
+    agents = F.sum((F.col("key") == "user-agent").cast("int")).over(by)
+    l = l.withColumn("rule", F.col("key").isin("allow", "disallow") & (agents > 0))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("rule") | (F.col("key") == "user-agent"), F.col("rule")), True).over(before)
+    opens = (F.col("key") == "user-agent") & F.coalesce(last, F.lit(False))
+    # Lines before the first agent belong to its group.
+    g = l.withColumn("group", F.sum(opens.cast("int")).over(by))
     a = F.lower("value")
     named = F.when(F.col("key") == "user-agent", F.when(a == "*", 1).when(F.lit(agent.lower()).contains(a), 2))
-    delay = F.when(F.col("key") == "crawl-delay", F.try_to_number("value", F.lit("999999.999999")).cast("double"))
-    whole = Window.partitionBy("origin", "group")
-    g = g.withColumn("fit", F.max(named).over(whole)).withColumn("own", F.coalesce(F.max(F.when(delay > 0, F.greatest(delay, F.lit(MIN_DELAY)))).over(whole), F.lit(MIN_DELAY)))
-    best = Window.partitionBy("origin")
-    chosen = g.where("fit is not null").withColumn("best", F.max("fit").over(best)).where("fit = best").withColumn("delay", F.max("own").over(best))
-    rules = chosen.where(rule).select("origin", "delay", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    idle = chosen.select("origin", "delay").distinct().join(rules.select("origin").distinct(), "origin", "left_anti")
-    return rules.unionByName(idle.select("origin", "delay", F.lit(None).cast("boolean").alias("allow"), F.lit(None).cast("string").alias("pattern")))
-
-
-def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls with allowed: the longest matching rule of the origin decides, allow on a tie, and none allows."""
-    target = F.concat(U.part(F.col("url"), 3), F.when(U.part(F.col("url"), 4) != "", F.concat(F.lit("?"), U.part(F.col("url"), 4))).otherwise(""))
-    u = urls.withColumn("__origin", U.origin(F.col("url"))).withColumn("__target", target)
-    quoted = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", ".*")
-    regex = F.concat(F.lit("^"), F.regexp_replace(quoted, r"\\\$$", r"\$"))
-    r = rules.where("pattern <> ''").select(F.col("origin").alias("__origin"), "allow", regex.alias("regex"), F.length(F.regexp_replace(F.regexp_replace("pattern", r"\*", ""), r"\$+$", "")).alias("size"))
-    met = u.select("url", "__origin", "__target").distinct().join(r, "__origin").where(F.expr("regexp_like(__target, regex)"))
-    best = met.groupBy("url").agg(F.max(F.struct("size", "allow")).alias("best"))
-    return u.join(best, "url", "left").withColumn("allowed", F.coalesce("best.allow", F.lit(True))).drop("best", "__origin", "__target")
+    number = F.when((F.col("key") == "crawl-delay") & F.col("value").rlike(NUMBER), F.expr("try_cast(value as double)"))
+    delay = F.when((number > 0) & (number < float("inf")), F.greatest(number, F.lit(MIN_DELAY)))
+    groups = g.groupBy("origin", "group").agg(
+        F.max(named).alias("fit"),
+        F.max_by(delay, F.when(delay.isNotNull(), F.col("no"))).alias("delay"),
+        F.array_sort(F.collect_list(F.when(F.col("rule"), F.struct("no", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))))).alias("rules"),
+    )
+    best = groups.where("fit is not null").withColumn("best", F.max("fit").over(Window.partitionBy("origin"))).where("fit = best")
+    told = best.groupBy("origin").agg(F.max("delay").alias("delay"), F.flatten(F.collect_list("rules")).alias("rules"))
+    rules = F.transform(F.array_sort("rules"), lambda r: F.struct(r["allow"].alias("allow"), r["pattern"].alias("pattern")))
+    none = F.array().cast("array<struct<allow:boolean,pattern:string>>")
+    out = f.select("origin", "state").join(told, "origin", "left")
+    return out.select("origin", "state", F.coalesce("delay", F.lit(MIN_DELAY)).alias("delay"), F.coalesce(rules, none).alias("rules"))
+
+
+def _regex(pattern: Column) -> Column:
+    quoted = F.regexp_replace(F.regexp_replace(pattern, r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", ".*")
+    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\\\$$", r"\$"))
+
+
+def allowed(urls: DataFrame, robots: DataFrame) -> DataFrame:
+    """urls (url) with robots_state and allowed. robots: as parsed, one row for each origin.
+
+    Of the rules that match the longest decides, allow on a tie, and none allows. A missing file allows all, a denied or
+    unavailable one nothing, and an origin that robots does not list is unavailable.
+    """
+    query = U.part(F.col("url"), 4)
+    target = F.concat(U.part(F.col("url"), 3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    u = urls.withColumn("__at", F.struct(U.origin(F.col("url")).alias("origin"), target.alias("target")))
+    r = robots.select(F.struct("origin", "state", "rules").alias("__robots"))
+    met = u.join(r, F.col("__at.origin") == F.col("__robots.origin"), "left")
+    size = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, r"\*", ""), r"\$+$", ""))
+    hits = F.filter("__robots.rules", lambda x: (x["pattern"] != "") & F.regexp_like(F.col("__at.target"), _regex(x["pattern"])))
+    best = F.array_max(F.transform(hits, lambda x: F.struct(size(x["pattern"]).alias("size"), x["allow"].alias("allow"))))
+    known = F.coalesce(F.col("__robots.state"), F.lit("unavailable"))
+    free = F.when(known == "available", F.coalesce(best["allow"], F.lit(True))).otherwise(known == "missing")
+    return met.withColumn("robots_state", known).withColumn("allowed", free).drop("__at", "__robots")

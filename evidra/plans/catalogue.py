@@ -109,14 +109,16 @@ def q_email_ownership(spark, sf_dir):
 
 
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+# The first stored page of each host stands for its root page.
 _RANKED = f"""{_LINKS},
+home as (select {_HOST.format("url")} as host, min(page_id) as page_id, arg_min(url, page_id) as page_url from pages group by 1),
 p as (select *, {_PATH} as path, lower(regexp_replace({_PATH} || ' ' || text, '[/_\\-]', ' ', 'g')) as said from u),
 ranked as (select host, page_url, pos, url, case when url is null or regexp_matches(path, '{frontier.EXCLUDED}') or regexp_matches(url, '{frontier.EXCLUDED}') then null
   when regexp_matches(said, '{frontier.LOW}') then 8 {" ".join(f"when regexp_matches(said, '{w}') then {n}" for n, w in frontier.RANKS)} else 6 end as priority from p)
 """
 _CAPPED = f"""with {_RANKED},
 hosts as (select distinct host from ranked),
-once as (select host, url, priority, row_number() over (partition by host, url order by page_url, pos) as n from ranked where priority is not null and url <> 'https://' || host || '/'),
+once as (select host, url, priority, row_number() over (partition by host, url order by pos) as n from ranked semi join home using (host, page_url) where priority is not null and url <> 'https://' || host || '/'),
 capped as (select host, url, priority, row_number() over (partition by host order by url) as n from once where n = 1),
 known as (select host, 'https://' || host || '/' as url, 0 as priority, 0 as depth from hosts union all select host, url, priority, 1 from capped where n < @seen@),
 room as (select host, count(*) as held from known group by host),
@@ -125,6 +127,16 @@ extra as (select m.host, m.url, row_number() over (partition by m.host order by
 whole as (select * from known union all select e.host, e.url, 5, 1 from extra e join room r on r.host = e.host where e.n + r.held <= @seen@),
 numbered as (select *, cast(row_number() over (partition by host order by priority, depth, url) as integer) as page_no from whole)
 select host, url, priority, depth, page_no from numbered where page_no <= 8"""
+
+
+def _crawled(spark, sf_dir):
+    """Links of the stored pages, the first page of each host taken as its root."""
+    pages = table(spark, sf_dir, "pages")
+    home = pages.groupBy(U.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("home"))
+    links = frontier.page_links(pages).join(home, "host")
+    return links.withColumn("page_url", F.when(F.col("page_url") == F.col("home"), F.concat(F.lit("https://"), "host", F.lit("/"))).otherwise(F.col("page_url"))).drop("home")
+
+
 _TOPK = _CAPPED.replace("@seen@", str(frontier.SEEN))
 
 
@@ -136,17 +148,63 @@ def q_link_priority(spark, sf_dir):
 
 @query(_TOPK)
 def q_frontier_topk(spark, sf_dir):
-    return frontier.select_pages(frontier.page_links(table(spark, sf_dir, "pages")))
+    return frontier.select_pages(_crawled(spark, sf_dir))
 
 
 @query(_CAPPED.replace("@seen@", "4"))
 def q_seen_cap(spark, sf_dir):
-    return frontier.select_pages(frontier.page_links(table(spark, sf_dir, "pages")), seen=4)
+    return frontier.select_pages(_crawled(spark, sf_dir), seen=4)
 
 
-@query()
+@query(_TOPK)
 def q_frontier_best_first(spark, sf_dir):
-    return frontier.best_first(frontier.page_links(table(spark, sf_dir, "pages")), max_depth=2)
+    """The search over the same links: no stored page is a link's target, so depth 2 adds nothing to depth 1."""
+    return frontier.best_first(_crawled(spark, sf_dir), max_depth=2)
+
+
+# A small site whose pages link on: words of a host's pages by number, three links from page to page.
+_SITE = ["team", "pricing/x", "blog/a", "about/us", "contact", "x/1", "x/2", "login", "careers/y", "docs/z"]
+
+
+def _site(spark):
+    rows = []
+    for h in ("a.test", "b.test", "www.c.test"):
+        pages = [f"https://{h}/", *(f"https://{h}/{w}" for w in _SITE)]
+        for i, page in enumerate(pages):
+            for pos, step in enumerate((1, 3, 7) if h != "b.test" else (2,)):
+                rows.append((h, page, pos, pages[(i * step + pos + 1) % len(pages)], "Our team" if i == 6 and not pos else ""))
+    return spark.createDataFrame(rows, "host string, page_url string, pos int, url string, text string")
+
+
+_STEP = f"""links as (select host, page_url, pos, url, case when regexp_matches(path, '{frontier.EXCLUDED}') then null when regexp_matches(said, '{frontier.LOW}') then 8
+  {" ".join(f"when regexp_matches(said, '{w}') then {n}" for n, w in frontier.RANKS)} else 6 end as priority from
+  (select *, {_PATH} as path, lower(regexp_replace({_PATH} || ' ' || text, '[/_\\-]', ' ', 'g')) as said from site)),
+firsts as (select host, page_url, url, arg_min(priority, pos) as priority from links where priority is not null group by all)"""
+
+
+def _site_sql() -> str:
+    """The search as a recursive query: a state is a host's number of pages so far, the URLs it knows and those it has taken."""
+    hosts, words = "['a.test', 'b.test', 'www.c.test']", "['" + "', '".join(["", *_SITE]) + "']"
+    return f"""with recursive site as (select h as host, 'https://' || h || '/' || w[i + 1] as page_url, p as pos, 'https://' || h || '/' || w[(i * s[p + 1] + p + 1) % {len(_SITE) + 1} + 1] as url, case when i = 6 and p = 0 then 'Our team' else '' end as text
+  from (select unnest({hosts}) as h, {words} as w), (select unnest(range({len(_SITE) + 1})) as i), lateral (select case when h = 'b.test' then [2] else [1, 3, 7] end as s), lateral (select unnest(range(len(s))) as p)),
+{_STEP},
+search as (
+  select distinct host, 0 as n, [{{'priority': 0, 'depth': 0, 'url': 'https://' || host || '/'}}] as open, ['https://' || host || '/'] as known, true as spare, null::struct(priority integer, depth integer, url varchar) as page from site
+  union all
+  select host, n + 1, list_filter(every, lambda x: x.url <> best.url), list_distinct(list_concat(known, list_transform(every, lambda x: x.url))), now_spare, best from (
+    select host, n, known, every, now_spare, list_sort(every)[1] as best from (
+      select host, n, known, list_concat(open, case when lacks then list_filter([{", ".join("{'priority': 5, 'depth': 1, 'url': 'https://' || host || '" + x + "'}" for x in frontier.FALLBACK)}], lambda x: not list_contains(known, x.url)) else [] end) as every, spare and not lacks as now_spare from (
+        select s.host, s.n, list_distinct(list_concat(s.known, list_transform(f.new, lambda x: x.url))) as known, list_concat(s.open, f.new) as open, s.spare,
+          s.spare and (len(list_concat(s.open, f.new)) = 0 or list_sort(list_concat(s.open, f.new))[1].priority >= 6) as lacks
+        from search s, lateral (select coalesce(list({{'priority': f.priority, 'depth': s.page.depth + 1, 'url': f.url}}), []) as new from firsts f where f.host = s.host and f.page_url = s.page.url and s.page.depth < 2 and not list_contains(s.known, f.url)) f
+        where s.n < 8)) where len(every) > 0))
+select host, page.url as url, page.priority as priority, page.depth as depth, n as page_no from search where n > 0"""
+
+
+@query(_site_sql())
+def q_frontier_deep(spark, sf_dir):
+    """Best-first search to depth 2 where pages link on."""
+    return frontier.best_first(_site(spark), max_depth=2)
 
 
 @query("select doc_id, sha256(text) as fingerprint, row_number() over (partition by source, text order by doc_id) > 1 as duplicate from documents")
@@ -154,26 +212,55 @@ def q_fingerprint_dedup(spark, sf_dir):
     return frontier.distinct_texts(table(spark, sf_dir, "documents"), "source", "doc_id", "text").select("doc_id", "fingerprint", "duplicate")
 
 
+# Robots files by number: (group, agents, delays, rules), and the status of their answer.
+_FILES = [
+    (200, [(0, ["*"], ["2"], [(False, "/en/"), (True, "/en/1"), (False, "/*?page=")]), (1, ["evidra", "other"], ["5", "0.1"], [(False, "/fr/"), (True, "/fr/8"), (False, "/*x$")])]),
+    (200, [(0, ["*", "slow"], ["1", "3", "nan"], [(False, "/"), (True, "/en/"), (True, "/de/"), (False, "/de/")]), (1, ["googlebot"], [], [(False, "/en/")])]),
+    (404, []),
+    (403, []),
+    (503, []),
+    (200, [(0, ["*"], [], [(False, "")]), (1, ["EVI"], ["7"], [(False, "/*/1"), (True, "/*/10")]), (2, ["*"], ["9"], [(False, "/")])]),
+]
+
+
 def _robots(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", U.origin(F.col("url")).alias("origin"))
-    body = "# fixture\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*?page=\nCrawl-delay: 2\n\nUser-agent: evidra\nDisallow: /fr/\nAllow: /fr/8\nDisallow: /*x$\nCrawl-delay: 0.1\n"
-    files = p.select("origin").distinct().withColumn("body", F.when(F.md5("origin") < "8", body).otherwise(F.regexp_replace(F.lit(body), "evidra", "other")))
-    return p, robots.parse(files, "evidra")
+    texts = []
+    for status, groups in _FILES:
+        lines = ["# a file", "Disallow: /before-any-agent"]
+        for _, agents, delays, rules in groups:
+            lines += [f"User-agent:\t{a}  # one" for a in agents] + [f"Crawl-delay: {d}" for d in delays] + [f"{'Allow' if ok else 'DISALLOW'} : {x}" for ok, x in rules]
+        texts.append((len(texts), status, "\r\n".join(lines)))
+    files = spark.createDataFrame(texts, "k int, status int, body string")
+    origins = p.select("origin").distinct().withColumn("k", (F.length("origin") % len(_FILES)).cast("int"))
+    return p, robots.parse(origins.join(files, "k"), "evidra")
 
 
-@query("""
-with p as (select page_id, url, '/' || regexp_extract(url, '^[a-z]+://[^/?#]*/?([^#]*)', 1) as target from pages)
-select page_id, url, case when starts_with(target, '/fr/8') then true when starts_with(target, '/fr/') or ends_with(target, 'x') then false else true end as allowed from p
+_RULES = ", ".join(f"({k}, {g}, {any(a != '*' and a.lower() in 'evidra' for a in agents)}, {'*' in agents}, {allow}, '{x}')" for k, (_, groups) in enumerate(_FILES) for g, agents, _, rules in groups for allow, x in rules)
+_GROUPS = ", ".join(f"({k}, {any(a != '*' and a.lower() in 'evidra' for a in agents)}, {'*' in agents}, {max([0.4, *[float(d) for d in delays if d != 'nan'][-1:]])})" for k, (_, groups) in enumerate(_FILES) for _, agents, delays, _ in groups)
+_STATES = ", ".join(f"({k}, '{ {200: 'available', 404: 'missing', 403: 'denied'}.get(status, 'unavailable')}')" for k, (status, _) in enumerate(_FILES))
+_ORIGINS = f"o as (select distinct regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin, cast(length(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) % {len(_FILES)} as integer) as k from pages), states(k, state) as (values {_STATES})"
+
+
+@query(f"""
+with {_ORIGINS}, r(k, g, specific, star, allow, pattern) as (values {_RULES}),
+chosen as (select *, bool_or(specific) over (partition by k) as any_specific from r),
+p as (select page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as target from pages),
+hits as (select p.page_id, arg_max(c.allow, length(replace(rtrim(c.pattern, '$'), '*', '')) * 2 + c.allow::integer) as allow from p join o using (origin) join chosen c on c.k = o.k and (c.specific or (not c.any_specific and c.star)) and c.pattern <> ''
+  and regexp_matches(p.target, '^' || replace(replace(replace(c.pattern, '?', '[?]'), '.', '[.]'), '*', '.*')) group by 1)
+select p.page_id, p.url, s.state as robots_state, case s.state when 'available' then coalesce(h.allow, true) when 'missing' then true else false end as allowed from p join o using (origin) join states s using (k) left join hits h using (page_id)
 """)
 def q_robots_allow(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url", U.origin(F.col("url")).alias("origin"))
-    files = p.select("origin").distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /\n\nUser-agent: evidra\nDisallow: /fr/\nAllow: /fr/8\nDisallow: /*x$\n"))
-    return robots.allowed(p, robots.parse(files, "evidra")).select("page_id", "url", "allowed")
+    p, rules = _robots(spark, sf_dir)
+    return robots.allowed(p, rules).select("page_id", "url", "robots_state", "allowed")
 
 
-@query("with o as (select distinct regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin from pages) select origin, case when md5(origin) < '8' then 0.4::double else 2.0::double end as delay, cast(3 as bigint) as rules from o")
+@query(f"""with {_ORIGINS}, g(k, specific, star, delay) as (values {_GROUPS}), chosen as (select *, bool_or(specific) over (partition by k) as any_specific from g),
+r(k, g, specific, star, allow, pattern) as (values {_RULES}), held as (select k, cast(count(*) as integer) as n from (select *, bool_or(specific) over (partition by k) as any_specific from r) where specific or (not any_specific and star) group by 1),
+d as (select k, max(delay)::double as delay from chosen where specific or (not any_specific and star) group by 1)
+select o.origin, s.state, coalesce(d.delay, 0.4::double) as delay, coalesce(h.n, 0) as rules from o join states s using (k) left join d using (k) left join held h using (k)""")
 def q_robots_delay(spark, sf_dir):
-    return _robots(spark, sf_dir)[1].groupBy("origin").agg(F.max("delay").alias("delay"), F.count("pattern").alias("rules"))
+    return _robots(spark, sf_dir)[1].select("origin", "state", "delay", F.size("rules").alias("rules"))
 
 
 def _sources(spark, sf_dir):
@@ -220,7 +307,21 @@ def q_source_index(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", F.to_json(F.struct(F.col("page_id").alias("source_id"), "url")).alias("entry"))
 
 
-@query()
+_ENTITIES = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
+# On regular pages the content is the article; text nodes lie between tags.
+_CLEAN = f"""
+p as (select page_id, url, html, {_HOST.format("url")} as host, trim(regexp_replace({_ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\\s+', ' ', 'g')) as title,
+  string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g'), chr(1)) as nodes,
+  [trim(regexp_replace(x, '\\s+', ' ', 'g')) for x in string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', chr(1), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g'), chr(1))] as seen from pages),
+l as (select *, [title] || list_filter([trim(regexp_replace({_ENTITIES.format("x")}, '\\s+', ' ', 'g')) for x in flatten([string_split(n, chr(10)) for n in nodes])], lambda x: length(x) >= 3) as every from p),
+t as (select page_id, url, html, host, title, seen, array_to_string(list_filter(every, lambda x, i: x <> '' and list_position(every, x) = i), chr(10)) as text from l),
+clean as (select page_id, host, title, html, cast(octet_length(encode(html)) as bigint) as html_bytes, text, cast(length(text) as bigint) as cleaned_text_chars, length(text) >= 30 as usable, seen from t)
+"""
+
+
+@query(f"""with {_CLEAN} select page_id, title, html_bytes, cleaned_text_chars, usable, cast(len(regexp_extract_all(html, '<a\\s[^>]*href=')) as integer) as n_links,
+coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(array_to_string(seen, ' '), '(?i)(?:^|[^A-Za-z0-9_.+-])([A-Z0-9.!#$%&''*+/=?^_`{{|}}~-]+@[A-Z0-9.-]+\\.[A-Z]{{2,63}})', 1), lambda x: lower(x)),
+  lambda x: split_part(x, '@', 2) in (host, 'www.' || host, regexp_replace(host, '^www\\.', ''))))), ','), '') as emails, md5(text) as text_md5 from clean""")
 def q_clean_pages(spark, sf_dir):
     c = html.clean(table(spark, sf_dir, "pages"))
     return c.select("page_id", "title", "html_bytes", "cleaned_text_chars", "usable", F.size("links").alias("n_links"), F.array_join("email_candidates", ",").alias("emails"), F.md5("text").alias("text_md5"))
@@ -236,7 +337,7 @@ select page_id, status, case when status in (401, 403, 429) then 'access_blocked
   when length(v) < 3000 and (regexp_matches(t, '{html.BLOCKED}') or regexp_matches(v, '{html.CHALLENGE}')) then 'challenge' when length(v) < 30 then 'empty_content' end as problem from p""")
 def q_content_problem(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("p", html.parse(F.col("html"))).withColumn("status", F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 11 == 0, 403).otherwise(200))
-    return p.select("page_id", "status", html.content_problem(F.col("p.title"), F.col("p.visible"), F.col("status")).alias("problem"))
+    return p.select("page_id", "status", html.content_problem(F.col("p.title"), F.col("p.shown"), F.col("status")).alias("problem"))
 
 
 _HREFS = ["https://b.test/x/../y", "//c.test/p", "/a/./b/../c?x=/../", "../up", "../../../top#f/..", "./here", "here/.", "..", "?q=1", "#f", "", "deep/er/../flat.html", "a/b/"]
