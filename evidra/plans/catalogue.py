@@ -264,11 +264,15 @@ def q_robots_delay(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("ord"), F.col("doc_id").alias("source_id"), "text")
+    """Ten documents to a key; a tenth of them unusable, words of each category put in."""
+    d = table(spark, sf_dir, "documents")
+    said = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\nPublic email: a@b.test"))).when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit("\nOur team has a Founder. Built for \"you\"."))).otherwise(F.col("text"))
+    return d.select(F.expr("doc_id div 10").alias("ord"), F.col("doc_id").alias("source_id"), said.alias("text"), (F.col("doc_id") % 10 != 3).alias("usable"), F.lit("first_party_html").alias("kind"), F.concat(F.lit("https://a.test/"), "lang").alias("final_url"), F.col("lang").alias("title"), F.col("doc_id").alias("page_no"))
 
 
 _CHUNKS = """
-lines as (select source as ord, doc_id as source_id, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
+given as (select doc_id // 10 as ord, doc_id as source_id, lang, case doc_id % 7 when 0 then text || chr(10) || 'Public email: a@b.test' when 1 then text || chr(10) || 'Our team has a Founder. Built for "you".' else text end as text from documents where doc_id % 10 <> 3),
+lines as (select ord, source_id, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) as line from given),
 parts as (select ord, source_id, line, unnest(string_split(regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as chunk, generate_subscripts(string_split(regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), 1) as part from lines),
 firsts as (select *, row_number() over (partition by ord, source_id, chunk order by line, part) as n from parts where chunk <> ''),
 chunks as (select ord, source_id, cast(row_number() over (partition by ord, source_id order by line, part) as integer) as pos, chunk,
@@ -278,33 +282,39 @@ chunks as (select ord, source_id, cast(row_number() over (partition by ord, sour
 
 @query(f"with {_CHUNKS} select ord, source_id, pos, md5(chunk) as chunk, category from chunks")
 def q_chunks(spark, sf_dir):
-    return context.chunks(_sources(spark, sf_dir)).withColumn("chunk", F.md5("chunk"))
+    return context.chunks(context.given(_sources(spark, sf_dir))).withColumn("chunk", F.md5("chunk"))
 
 
 @query(f"with {_CHUNKS} select category, cast(count(*) as bigint) as n, cast(sum(length(chunk)) as bigint) as chars from chunks group by 1")
 def q_chunk_category(spark, sf_dir):
-    return context.chunks(_sources(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"))
+    return context.chunks(context.given(_sources(spark, sf_dir))).groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"))
 
 
 @query(f"with {_CHUNKS}, nth as (select *, row_number() over (partition by ord, category, source_id order by pos) as k from chunks) select ord, source_id, pos, cast(row_number() over (partition by ord order by k, category, cast(source_id as varchar)) as integer) as turn from nth")
 def q_round_robin(spark, sf_dir):
-    return context.interleaved(context.chunks(_sources(spark, sf_dir))).select("ord", "source_id", "pos", "turn")
+    return context.interleaved(context.chunks(context.given(_sources(spark, sf_dir)))).select("ord", "source_id", "pos", "turn")
 
 
-@query(f"""with {_CHUNKS}, nth as (select *, row_number() over (partition by ord, category, source_id order by pos) as k from chunks),
-turns as (select ord, row_number() over (partition by ord order by k, category, cast(source_id as varchar)) as turn, len(regexp_extract_all(chunk, '[^ \\t\\n\\x0B\\f\\r]+')) + 1 as t from nth),
-folded as (select ord, list_reduce(list_prepend({{'u': 0::bigint, 's': 0, 'd': 0, 't': 0::bigint}}, list({{'u': 0::bigint, 's': 0, 'd': 0, 't': t}} order by turn)),
-  lambda a, x: case when x.t <= {context.CHUNK_LIMIT} and a.u + x.t <= 3000 then {{'u': a.u + x.t, 's': a.s + 1, 'd': a.d, 't': x.t}} else {{'u': a.u, 's': a.s, 'd': a.d + 1, 't': x.t}} end) as f from turns group by ord)
-select ord, f.u as used, cast(f.s as integer) as n_selected, cast(f.d as integer) as n_dropped from folded""")
+_INDEX = """'{"sources": [' || string_agg('{"source_id": ' || to_json(cast(source_id as varchar)) || ', "url": ' || to_json('https://a.test/' || lang) || ', "title": ' || to_json(lang) || '}', ', ' order by source_id) || ']}'"""
+_WORDS = "len(regexp_extract_all({0}, '[^ \\t\\n\\x0B\\f\\r]+')) + 1"
+_LINE = """'{"source_id": ' || to_json(cast(source_id as varchar)) || ', "text": ' || to_json(chunk) || '}'"""
+
+
+@query(f"""with {_CHUNKS}, nth as (select *, row_number() over (partition by ord, category, source_id order by pos) as k, {_LINE} as line from chunks),
+turns as (select ord, line, row_number() over (partition by ord order by k, category, cast(source_id as varchar)) as turn, {_WORDS.format("line")} as t from nth),
+heads as (select ord, {_INDEX} as line from given group by 1),
+folded as (select ord, h.line as head, list_reduce(list_prepend({{'u': {_WORDS.format("h.line")}::bigint, 's': 0, 'd': 0, 't': 0::bigint, 'l': h.line}}, list({{'u': 0::bigint, 's': 0, 'd': 0, 't': t, 'l': turns.line}} order by turn)),
+  lambda a, x: case when x.t <= {context.CHUNK_LIMIT} and a.u + x.t <= 3000 - 900 then {{'u': a.u + x.t, 's': a.s + 1, 'd': a.d, 't': x.t, 'l': a.l || chr(10) || x.l}} else {{'u': a.u, 's': a.s, 'd': a.d + 1, 't': x.t, 'l': a.l}} end) as f from turns join heads h using (ord) group by ord, h.line)
+select ord, case when f.s > 0 then f.u else 0 end as context_tokens, 900 + case when f.s > 0 then f.u else 0 end as request_tokens, cast(f.s as bigint) as selected_chunks, cast(f.d as bigint) as dropped_chunks, case when f.s > 0 then md5(f.l) else md5('') end as text from folded""")
 def q_context_budget(spark, sf_dir):
-    turns = context.interleaved(context.chunks(_sources(spark, sf_dir)))
-    out = context.packed(turns, F.regexp_count("chunk", F.lit(r"\S+")).cast("long") + 1, 3000)
-    return out.drop("turns")
+    """Contexts of 3000 words, 900 of which the instructions take."""
+    words = lambda line: F.regexp_count(line, F.lit(r"\S+")).cast("long") + 1
+    return context.assembled(_sources(spark, sf_dir), words, F.lit(900), 3000).withColumn("text", F.md5("text"))
 
 
-@query("select page_id, url, json_object('source_id', page_id, 'url', url) as entry from pages")
+@query(f"with {_CHUNKS} select ord, {_INDEX} as line from given group by 1")
 def q_source_index(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.to_json(F.struct(F.col("page_id").alias("source_id"), "url")).alias("entry"))
+    return context.source_index(context.given(_sources(spark, sf_dir)))
 
 
 _ENTITIES = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
