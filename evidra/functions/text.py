@@ -20,6 +20,21 @@ def squeezed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, BLANK, " "))
 
 
+#: Characters that fold otherwise than they lower, to one character and to several.
+_FOLDS = [(c, c.casefold()) for c in map(chr, range(0x110000)) if c.casefold() != c.lower()]
+_ONE, _MORE = [x for x in _FOLDS if len(x[1]) == 1], [x for x in _FOLDS if len(x[1]) > 1]
+#: Line ends, as Unicode has them.
+LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def folded(x: Column) -> Column:
+    """x for comparison without regard to case."""
+    one = F.lower(F.translate(x, "".join(a for a, _ in _ONE), "".join(b for _, b in _ONE)))
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MORE))
+    more = F.aggregate(pairs, one, lambda s, p: F.replace(s, p["a"], p["b"]))
+    return F.when(one.rlike("[" + "".join(a for a, _ in _MORE) + "]"), more).otherwise(one)
+
+
 def stripped(x: Column) -> Column:
     return F.regexp_replace(x, f"^{BLANK}|{BLANK}$", "")
 

@@ -1,122 +1,186 @@
-"""Audit of a run: each rule is a query for violations (rule, ord, detail); no rows mean a valid run.
+"""Audit of a run: each rule gives its violations (rule, ord, detail); no rows mean a valid run.
 
-Tables: results (ord, input_domain, normalized_domain, status, company_overview, target_audience, the six
-factors, confidence_score), sources, contacts (ord, email), people (ord, name, role, linkedin_url,
-linkedin_status), citations (ord, owner, pos, source_id, excerpt, source_url), errors (ord, material),
-fields (ord, field, value), usage.
+A result is one row with all that it holds: sources, contact_points, team_members with their evidence, field_evidence,
+errors, usage and confidence_breakdown. The general rules look only inside a row, so they need no join and no
+shuffle; what is required of a whole run compares it with the list of domains.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.functions import urls as U
-from evidra.operators import grounding, scoring
+from evidra.operators import scoring
+from evidra.operators.grounding import EVIDENCE
 
+VIOLATIONS = "array<struct<rule:string,detail:string>>"
 
-def _told(df: DataFrame, rule: str, detail) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), F.col("ord").cast("int").alias("ord"), detail.cast("string").alias("detail"))
+
+def _when(rule: str, bad: Column, detail: Column) -> Column:
+    """A violation if bad."""
+    one = F.array(F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+    return F.when(F.coalesce(bad, F.lit(False)), one).otherwise(F.array().cast(VIOLATIONS))
+
+
+def _each(rule: str, items: Column, bad, detail) -> Column:
+    """A violation for each bad item."""
+    wrong = F.filter(F.coalesce(items, F.array()), lambda x: F.coalesce(bad(x), F.lit(False)))
+    return F.transform(wrong, lambda x: F.struct(F.lit(rule).alias("rule"), detail(x).cast("string").alias("detail")))
+
+
+def _source(e: Column) -> Column:
+    """The usable source that evidence names, the last of several."""
+    return F.try_element_at(F.filter("sources", lambda s: s["usable"] & (s["source_id"] == e["source_id"])), F.lit(-1))
+
+
+def resolves(e: Column) -> Column:
+    """Whether the excerpt stands in its source, under the URL that it tells."""
+    x, s = T.squeezed(e["excerpt"]), _source(e)
+    return F.coalesce(F.length(x).between(3, 600) & T.squeezed(s["text"]).contains(x) & (s["final_url"] == e["source_url"]), F.lit(False))
+
+
+def observed(email: Column) -> Column:
+    """Whether a first-party source shows an address of the company."""
+
+    def shows(s):
+        line = F.get(F.filter(F.split(s["text"], T.LINES), lambda x: x.contains(email) & (F.length(x) <= 600)), F.lit(0))
+        said = T.squeezed(F.coalesce(line, email))
+        return s["usable"] & (s["kind"] == "first_party_html") & F.array_contains(s["email_candidates"], email) & F.length(said).between(3, 600) & T.squeezed(s["text"]).contains(said)
+
+    return F.exists("sources", shows)
+
+
+def all_evidence() -> Column:
+    """Everything that a result cites."""
+    none = F.array().cast(EVIDENCE)
+    of = lambda items, *names: F.flatten(F.transform(F.coalesce(items, F.array()), lambda p: F.concat(*(F.coalesce(p[n], none) for n in names))))
+    candidates = F.flatten(F.transform(F.coalesce("team_members", F.array()), lambda p: F.flatten(F.transform(F.coalesce(p["linkedin_candidates"], F.array()), lambda c: c["evidence"]))))
+    return F.concat(F.coalesce(F.flatten(F.map_values("field_evidence")), none), of(F.col("contact_points"), "evidence"), of(F.col("team_members"), "relationship_evidence", "role_evidence", "profile_evidence"), candidates)
+
+
+def source_ids() -> Column:
+    ids = F.transform("sources", lambda s: s["source_id"])
+    twice = F.array_distinct(F.filter(ids, lambda x: F.size(F.filter(ids, lambda y: y == x)) > 1))
+    return _each("source_ids_unique", twice, lambda x: F.lit(True), lambda x: x)
 
 
-def source_ids(sources: DataFrame) -> DataFrame:
-    return _told(sources.groupBy("ord", "source_id").count().where("count > 1"), "source_ids_unique", F.col("source_id"))
+def contacts_observed() -> Column:
+    return _each("contact_observed", F.col("contact_points"), lambda c: ~observed(c["email"]) | (F.size(c["evidence"]) == 0), lambda c: c["email"])
 
 
-def contacts_observed(contacts: DataFrame, sources: DataFrame) -> DataFrame:
-    return _told(contacts.join(grounding.observed_contacts(sources), ["ord", "email"], "left_anti"), "contact_observed", F.col("email"))
+def evidence_resolves() -> Column:
+    return _each("evidence_resolves", all_evidence(), lambda e: ~resolves(e), lambda e: F.concat_ws(":", e["source_id"], e["excerpt"]))
 
 
-def evidence_resolves(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    held = grounding.resolve(citations.drop("source_url"), sources).select("ord", "owner", "source_id", F.col("excerpt").alias("__e"), "source_url")
-    c = citations.withColumn("__e", T.squeezed(F.col("excerpt")))
-    return _told(c.join(held, ["ord", "owner", "source_id", "__e", "source_url"], "left_anti"), "evidence_resolves", F.concat_ws(":", "owner", "excerpt"))
+def people_related() -> Column:
+    def related(p):
+        return F.exists(p["relationship_evidence"], lambda e: T.folded(e["excerpt"]).contains(T.folded(p["name"])) & e["excerpt"].rlike(T.RELATIONSHIP) & ~e["excerpt"].rlike(T.OUTSIDER))
 
+    return _each("person_related", F.col("team_members"), lambda p: ~related(p), lambda p: p["name"])
 
-def people_related(people: DataFrame, citations: DataFrame) -> DataFrame:
-    e = citations.where(F.col("excerpt").rlike(T.RELATIONSHIP) & ~F.col("excerpt").rlike(T.OUTSIDER)).select("ord", F.col("owner").alias("name")).distinct()
-    return _told(people.join(e, ["ord", "name"], "left_anti"), "person_related", F.col("name"))
 
+def roles_evidenced() -> Column:
+    def told(p):
+        return F.exists(p["role_evidence"], lambda e: T.folded(e["excerpt"]).contains(T.folded(p["role"])) & T.folded(e["excerpt"]).contains(T.folded(p["name"])))
 
-def roles_evidenced(people: DataFrame, citations: DataFrame) -> DataFrame:
-    e = citations.select("ord", F.col("owner").alias("name"), F.lower("excerpt").alias("__e"))
-    ok = people.where("role is not null").join(e, ["ord", "name"]).where(F.col("__e").contains(F.lower("role")) & F.col("__e").contains(F.lower("name"))).select("ord", "name").distinct()
-    return _told(people.where("role is not null").join(ok, ["ord", "name"], "left_anti"), "role_evidenced", F.col("name"))
+    return _each("role_evidenced", F.col("team_members"), lambda p: (p["role"] != "") & ~told(p), lambda p: p["name"])
 
 
-def profiles_observed(people: DataFrame, sources: DataFrame) -> DataFrame:
-    linked = sources.select("ord", F.explode("links").alias("l")).select("ord", U.profile_url(F.col("l.url")).alias("linkedin_url"), F.lower("l.nearby_text").alias("near")).where("linkedin_url is not null")
-    p = people.where("linkedin_url is not null")
-    ok = p.join(linked, ["ord", "linkedin_url"]).where(F.col("near").contains(F.lower("name")) & (F.col("linkedin_status") == "first_party_link")).select("ord", "name").distinct()
-    return _told(p.join(ok, ["ord", "name"], "left_anti"), "profile_observed", F.col("name"))
+def profiles_observed() -> Column:
+    def linked(p):
+        beside = lambda x: (U.profile_url(x["url"]) == p["linkedin_url"]) & T.folded(x["nearby_text"]).contains(T.folded(p["name"]))
+        return F.exists("sources", lambda s: s["usable"] & (s["kind"] == "first_party_html") & F.exists(s["links"], lambda x: F.coalesce(beside(x), F.lit(False))))
 
+    sound = lambda p: (p["linkedin_status"] == "first_party_link") & (F.size(p["profile_evidence"]) > 0) & linked(p)
+    return _each("profile_observed", F.col("team_members"), lambda p: (p["linkedin_url"] != "") & ~sound(p), lambda p: p["name"])
 
-def fields_evidenced(fields: DataFrame, citations: DataFrame) -> DataFrame:
-    e = citations.select("ord", F.col("owner").alias("field")).distinct()
-    return _told(fields.where("value is not null").join(e, ["ord", "field"], "left_anti"), "field_evidenced", F.col("field"))
 
+def fields_evidenced() -> Column:
+    bare = lambda f: (F.col(f) != "") & ~F.coalesce(F.size(F.try_element_at("field_evidence", F.lit(f))) > 0, F.lit(False))
+    return F.concat(*(_when("field_evidenced", bare(f), F.lit(f)) for f in ("company_name", "company_overview", "target_audience")))
 
-def success_whole(results: DataFrame) -> DataFrame:
-    bad = (F.col("status") == "success") & (F.col("company_overview").isNull() | F.col("target_audience").isNull())
-    return _told(results.where(bad), "success_whole", F.col("status"))
 
+def success_whole() -> Column:
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    return _when("success_whole", (F.col("status") == "success") & ~(has("company_overview") & has("target_audience")), F.col("status"))
 
-def success_clean(results: DataFrame, errors: DataFrame) -> DataFrame:
-    return _told(results.where("status = 'success'").join(errors.where("material").select("ord").distinct(), "ord", "left_semi"), "success_clean", F.col("status"))
 
+def success_clean() -> Column:
+    return _when("success_clean", (F.col("status") == "success") & F.exists("errors", lambda e: e["material"]), F.col("status"))
 
-def scores(results: DataFrame) -> DataFrame:
-    again = scoring.factors(results.withColumnRenamed("confidence_score", "told").drop(*scoring.WEIGHTS))
-    return _told(again.where("told is null or abs(told - confidence_score) > 1e-6"), "score_recomputes", F.col("told"))
+
+def scores() -> Column:
+    again = scoring.breakdown()
+    total = scoring.weighted(again)
+    wrong = F.col("confidence_score").isNull() | (F.abs(F.col("confidence_score") - total) > 1e-6)
+    apart = reduce(lambda a, b: a | b, (~F.col(f"confidence_breakdown.{k}").eqNullSafe(v) for k, v in again.items()))
+    return F.concat(_when("score_recomputes", wrong, F.col("confidence_score")), _when("breakdown_recomputes", apart, F.col("confidence_score")))
+
+
+RULES = [source_ids, contacts_observed, evidence_resolves, people_related, roles_evidenced, profiles_observed, fields_evidenced, success_whole, success_clean, scores]
+
+
+def audit(results: DataFrame) -> DataFrame:
+    """All general rules: (rule, ord, detail)."""
+    return results.select(F.col("ord").cast("int").alias("ord"), F.explode(F.concat(*(rule() for rule in RULES))).alias("v")).select("v.rule", "ord", "v.detail")
+
+
+def _told(df: DataFrame, rule: str, detail: Column) -> DataFrame:
+    return df.select(F.lit(rule).alias("rule"), F.col("ord").cast("int").alias("ord"), detail.cast("string").alias("detail"))
+
+
+def run_rules(run: DataFrame, results: DataFrame) -> DataFrame:
+    """Rules of a run's head (mode, started_at, finished_at, complete, warnings): a complete run has an end, a demo says so, a live run has no fixtures."""
+    r = run.withColumn("ord", F.lit(None).cast("int"))
+    says = F.exists("warnings", lambda w: F.lower(w).contains("fixture"))
+    fixtures = results.where(F.exists("sources", lambda s: s["retrieval_method"] == "fixture")).select("ord")
+    rules = [
+        _told(r.where("complete and finished_at is null"), "complete_finished", F.col("mode")),
+        _told(r.where((F.col("mode") == "demo") & ~F.coalesce(says, F.lit(False))), "demo_warns", F.col("mode")),
+        _told(fixtures.crossJoin(F.broadcast(run.where("mode = 'live'").select("mode").limit(1))), "live_without_fixtures", F.col("mode")),
+        _told(r.where("schema_version <> '1.0'"), "schema_version", F.col("schema_version")),
+    ]
+    return reduce(DataFrame.unionByName, rules)
 
 
 def required(results: DataFrame, domains: DataFrame) -> DataFrame:
-    """Results are exactly the required domains, each normalised from its input."""
-    want = domains.select(U.normalize_domain(F.col("input_domain")).alias("normalized_domain")).withColumn("ord", F.lit(None).cast("int"))
-    twice = want.groupBy("normalized_domain").agg(F.count("*").alias("n"), F.first("ord").alias("ord")).where("n > 1")
+    """Results are exactly the required domains, as often, each normalised from its input."""
+    want = domains.select(U.normalize_domain(F.col("input_domain")).alias("normalized_domain"))
+    counted = want.groupBy("normalized_domain").agg(F.count("*").alias("n")).withColumn("ord", F.lit(None).cast("int"))
+    have = results.groupBy("normalized_domain").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     rules = [
-        _told(twice, "required_distinct", F.col("normalized_domain")),
-        _told(want.join(results.select("normalized_domain"), "normalized_domain", "left_anti"), "required_missing", F.col("normalized_domain")),
-        _told(results.join(want.select("normalized_domain"), "normalized_domain", "left_anti"), "not_required", F.col("normalized_domain")),
+        _told(counted.where("n > 1"), "required_distinct", F.col("normalized_domain")),
+        _told(counted.join(have.select("normalized_domain"), "normalized_domain", "left_anti"), "required_missing", F.col("normalized_domain")),
+        _told(results.join(counted.select("normalized_domain"), "normalized_domain", "left_anti"), "not_required", F.col("normalized_domain")),
+        _told(have.where("n > 1"), "result_repeated", F.col("normalized_domain")),
         _told(results.where(~F.col("normalized_domain").eqNullSafe(U.normalize_domain(F.col("input_domain")))), "normalized", F.col("input_domain")),
     ]
     return reduce(DataFrame.unionByName, rules)
 
 
-def live(results: DataFrame, sources: DataFrame, usage: DataFrame, run: DataFrame) -> DataFrame:
+def live(results: DataFrame, run: DataFrame) -> DataFrame:
     """A live, complete run: every row a success with a usable rendered page and recorded responses."""
-    page = sources.where("usable and kind = 'first_party_html' and retrieval_method = 'playwright'").select("ord").distinct()
-    counted = usage.where("request_count > 0 and reported_response_count > 0 and size(response_ids) > 0").select("ord")
+    rendered = F.exists("sources", lambda s: s["usable"] & (s["retrieval_method"] == "playwright"))
+    u = F.col("usage")
+    recorded = (u["request_count"] > 0) & (u["reported_response_count"] > 0) & (u["input_tokens"] > 0) & (u["output_tokens"] > 0) & (F.size(u["response_ids"]) > 0)
     rules = [
         _told(run.where("mode <> 'live' or not complete").withColumn("ord", F.lit(None).cast("int")), "live_complete", F.col("mode")),
         _told(results.where("status <> 'success'"), "all_success", F.col("status")),
-        _told(results.join(page, "ord", "left_anti"), "browser_source", F.col("normalized_domain")),
-        _told(results.join(counted, "ord", "left_anti"), "usage_recorded", F.col("normalized_domain")),
+        _told(results.where(~F.coalesce(rendered, F.lit(False))), "browser_source", F.col("normalized_domain")),
+        _told(results.where(~F.coalesce(recorded, F.lit(False))), "usage_recorded", F.col("normalized_domain")),
     ]
     return reduce(DataFrame.unionByName, rules)
 
 
-def audit(t: dict[str, DataFrame]) -> DataFrame:
-    """All general rules over the tables of a run, by name."""
-    rules = [
-        source_ids(t["sources"]),
-        contacts_observed(t["contacts"], t["sources"]),
-        evidence_resolves(t["citations"], t["sources"]),
-        people_related(t["people"], t["citations"]),
-        roles_evidenced(t["people"], t["citations"]),
-        profiles_observed(t["people"], t["sources"]),
-        fields_evidenced(t["fields"], t["citations"]),
-        success_whole(t["results"]),
-        success_clean(t["results"], t["errors"]),
-        scores(t["results"]),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+class Violation(ValueError):
+    pass
 
 
 def required_or_raise(violations: DataFrame) -> None:
     first = violations.orderBy("rule", "ord", "detail").first()
     if first:
-        raise ValueError(f"{first.rule}: {first.detail}")
+        raise Violation(f"{first.rule}: {first.detail}")

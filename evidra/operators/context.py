@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions import text as T
+
 # The longest chunk in tokens, and tokens kept free beside the instructions.
 CHUNK_LIMIT, MARGIN = 500, 512
 # Words that set a chunk's category, first match.
@@ -72,7 +74,7 @@ def given(sources: DataFrame) -> DataFrame:
 
 def chunks(sources: DataFrame, key: str = "ord", source: str = "source_id") -> DataFrame:
     """(key, source, pos, chunk, category): sentences of each line, first occurrence in a source only."""
-    lines = sources.select(key, source, F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "paragraph"))
+    lines = sources.select(key, source, F.posexplode(F.split("text", T.LINES)).alias("line", "paragraph"))
     each = lines.select(key, source, "line", F.posexplode(F.split("paragraph", r"(?<=[.!?])\s+(?=[A-Z])")).alias("part", "chunk")).where("chunk <> ''")
     first = each.withColumn("n", F.row_number().over(Window.partitionBy(key, source, "chunk").orderBy("line", "part"))).where("n = 1")
     pos = F.row_number().over(Window.partitionBy(key, source).orderBy("line", "part"))

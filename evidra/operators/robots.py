@@ -11,8 +11,6 @@ from evidra.functions import urls as U
 # Fixed value: the least delay between two requests.
 MIN_DELAY = 0.4
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-#: Line ends, as Unicode has them.
-LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def state(status: Column, body: Column) -> Column:
@@ -34,7 +32,7 @@ def parse(files: DataFrame, agent: str) -> DataFrame:
     largest of the groups counts.
     """
     f = files.select("origin", "body", state(F.col("status"), F.col("body")).alias("state"))
-    lines = f.where("state = 'available'").select("origin", F.posexplode(F.split("body", LINES)).alias("no", "raw"))
+    lines = f.where("state = 'available'").select("origin", F.posexplode(F.split("body", T.LINES)).alias("no", "raw"))
     line = F.regexp_replace("raw", r"#[\s\S]*$", "")
     l = lines.select("origin", "no", F.lower(T.stripped(F.regexp_extract(line, r"^([^:]*):", 1))).alias("key"), T.stripped(F.regexp_extract(line, r"^[^:]*:([\s\S]*)$", 1)).alias("value")).where(line.contains(":"))
     by = Window.partitionBy("origin").orderBy("no")

@@ -26,45 +26,73 @@ def material(depth: Column, priority: Column, code: Column) -> Column:
     return (depth == 0) | ((priority < 5) & ~code.isin("http_404", "http_410", "soft_404"))
 
 
-def factors(r: DataFrame) -> DataFrame:
-    """r with the six factors and confidence_score.
+# Fixed value: what a score is not.
+EXPLANATION = "Evidence/completeness heuristic; not a calibrated probability of correctness"
 
-    r: company_overview, target_audience, n_contacts, n_people, n_roles, n_profiles, attempted_pages, usable_pages.
-    """
+
+def breakdown() -> dict[str, Column]:
+    """The six factors of a result row: company_overview, target_audience, contact_points, team_members, sources."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    part = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    f = {
+    n = lambda c, keep=None: F.size(F.filter(c, keep) if keep else F.col(c)).cast("double")
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    own = lambda s: s["kind"] == "first_party_html"
+    return {
         "overview_supported": flag(F.col("company_overview") != ""),
         "audience_supported": flag(F.col("target_audience") != ""),
-        "public_contact_present": flag(F.col("n_contacts") > 0),
-        "named_leader_with_supported_role_present": flag(F.col("n_roles") > 0),
-        "directly_supported_linkedin_fraction": part("n_profiles", "n_people"),
-        "retrieval_success_fraction": part("usable_pages", "attempted_pages"),
+        "public_contact_present": flag(F.size("contact_points") > 0),
+        "named_leader_with_supported_role_present": flag(F.exists("team_members", lambda p: p["role"] != "")),
+        "directly_supported_linkedin_fraction": part(n("team_members", lambda p: p["linkedin_status"] == "first_party_link"), n("team_members")),
+        "retrieval_success_fraction": part(n("sources", lambda s: own(s) & s["usable"]), n("sources", own)),
     }
-    out = r.withColumns(f)
-    score = sum((F.lit(w) * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0))
-    return out.withColumn("confidence_score", F.round(score, 6))
+
+
+def weighted(f: dict[str, Column]) -> Column:
+    return F.round(sum((F.lit(w) * f[k] for k, w in WEIGHTS.items()), F.lit(0.0)), 6)
+
+
+def factors(r: DataFrame) -> DataFrame:
+    """r, a table of result rows, with confidence_breakdown and confidence_score."""
+    f = breakdown()
+    told = F.struct(*(v.alias(k) for k, v in f.items()), F.lit(EXPLANATION).alias("explanation"))
+    return r.withColumn("confidence_breakdown", told).withColumn("confidence_score", weighted({k: F.col(f"confidence_breakdown.{k}") for k in WEIGHTS}))
 
 
 def status(r: DataFrame) -> DataFrame:
-    """r with status: failed without any fact, success if whole and clean, else partial."""
+    """r with status: failed without any fact, success if whole and clean, else partial. r: result rows with completed and errors."""
     has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    useful = has("company_name") | has("company_overview") | has("target_audience") | (F.col("n_contacts") > 0) | (F.col("n_people") > 0)
-    whole = has("company_overview") & has("target_audience") & F.col("completed") & (F.col("n_material") == 0)
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    useful = has("company_name") | has("company_overview") | has("target_audience") | some("contact_points") | some("team_members")
+    clean = ~F.coalesce(F.exists("errors", lambda e: e["material"]), F.lit(False))
+    whole = has("company_overview") & has("target_audience") & F.coalesce("completed", F.lit(False)) & clean
     return r.withColumn("status", F.when(~useful, "failed").when(whole, "success").otherwise("partial"))
 
 
-def exit_code(results: DataFrame, strict: bool) -> DataFrame:
+def exit_code(results: DataFrame, strict: bool, *by: str) -> DataFrame:
+    """(exit_code) of a run, or of each of several: strict is 0 if all succeed, else 0 if any does not fail."""
     s = F.col("status")
     code = F.when(F.bool_or(s != "success"), 1).otherwise(0) if strict else F.when(F.bool_or(s != "failed"), 0).otherwise(1)
-    return results.agg(code.alias("exit_code"))
+    return results.groupBy(*by).agg(code.alias("exit_code"))
 
 
 def usage(replies: DataFrame) -> DataFrame:
-    """Usage of each ord over provider replies (FIXTURES: provider_replies)."""
+    """Usage of each ord over provider replies (ord, attempt, model, response_id, request_id, input_tokens, cached_input_tokens, output_tokens).
+
+    A reply without input tokens reported none, nor did a failed request; ids are listed in order of attempt.
+    """
     told = F.col("input_tokens").isNotNull()
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return replies.groupBy("ord").agg(total("input_tokens").alias("input_tokens"), total("cached_input_tokens").alias("cached_input_tokens"), total("output_tokens").alias("output_tokens"), F.count("*").alias("request_count"), F.count_if(told).alias("reported_response_count"), F.array_sort(F.collect_set("model")).alias("models"), F.bool_and(told).alias("accounting_complete"))
+    total = lambda c: F.coalesce(F.sum(F.when(told, F.col(c))), F.lit(0)).cast("long")
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("attempt", c)))), lambda x: x[c])
+    return replies.groupBy("ord").agg(
+        total("input_tokens").alias("input_tokens"),
+        total("cached_input_tokens").alias("cached_input_tokens"),
+        total("output_tokens").alias("output_tokens"),
+        F.count("*").alias("request_count"),
+        F.count_if(told).alias("reported_response_count"),
+        ids("response_id").alias("response_ids"),
+        ids("request_id").alias("request_ids"),
+        F.array_distinct(ids("model")).alias("models"),
+        F.bool_and(told).alias("accounting_complete"),
+    )
 
 
 # Reasons beside a cost.
@@ -79,6 +107,10 @@ REASONS = {
 }
 
 
+# Fixed value: what a cost covers.
+SCOPE = "Reported LLM usage only; excludes browser, network, and search costs"
+
+
 def cost(u: DataFrame, model: str, pricing_model: str | None, rates: tuple[float | None, float | None, float | None]) -> DataFrame:
     """u (usage) with estimated_llm_cost_usd and cost_reason. rates: USD a million of fresh input, cached input and output."""
     other = F.exists("models", lambda m: (m != model) & ~F.startswith(m, F.lit(model + "-")))
@@ -88,4 +120,4 @@ def cost(u: DataFrame, model: str, pricing_model: str | None, rates: tuple[float
     usd = ((F.col("input_tokens") - F.col("cached_input_tokens")) * r[0] + F.col("cached_input_tokens") * r[1] + F.col("output_tokens") * r[2]) / 1_000_000
     key = F.coalesce(why, F.when(F.col("accounting_complete"), "whole").otherwise("part"))
     text = F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv))
-    return u.withColumn("estimated_llm_cost_usd", F.when(why.isNull(), F.round(usd, 10))).withColumn("cost_reason", text[key])
+    return u.withColumn("estimated_llm_cost_usd", F.when(why.isNull(), F.round(usd, 10))).withColumn("cost_reason", text[key]).withColumn("cost_scope", F.lit(SCOPE))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from evidra.functions import text as T
 from evidra.functions import urls as U
 from evidra.operators import audit, context, frontier, grounding, html, robots, scoring
-from evidra.plans import enrich as E
-from evidra.sources import domains as D
+from evidra.plans import fixtures as X
 
 Q, SQL = {}, {}
 
@@ -370,205 +369,148 @@ def q_error_materiality(spark, sf_dir):
     return p.select("page_id", scoring.material(F.col("page_id") % 3, F.col("page_id") % 8, F.expr(_CODES)).alias("material"))
 
 
-_CLAIMS = [(0, "company_name", "Acme"), (0, "overview_sentence_1", "Acme  builds rockets."), (0, "overview_sentence_2", "It sells them."), (0, "target_audience", "Cities"), (1, "company_name", "Bolt"), (1, "overview_sentence_1", "One. Two."), (1, "overview_sentence_2", "Three."), (1, "target_audience", None)]
+@query("select doc_id, len(regexp_extract_all(text, '[.!?](?:\\s+|$)')) = 1 and right(text, 1) in ('.', '!', '?') as single from documents")
+def q_single_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.single_sentence(F.col("text")).alias("single"))
 
 
-def _claims(spark):
-    text = "Acme builds rockets. It sells them.\nFor teams and cities."
-    s = spark.createDataFrame([(o, "p1", "first_party_html", True, "https://a.test/", text) for o in (0, 1)], "ord int, source_id string, kind string, usable boolean, final_url string, text string")
-    cited = [(0, "company_name", 0, "p1", "Acme builds"), (0, "overview_sentence_1", 0, "p1", "Acme  builds rockets."), (0, "overview_sentence_2", 0, "p1", "It sells them."), (0, "target_audience", 0, "p1", "for villages")]
-    cited += [(1, "company_name", 0, "p1", "Acme builds"), (1, "overview_sentence_1", 0, "p1", "It sells them."), (1, "overview_sentence_1", 1, "p1", "It  sells them."), (1, "overview_sentence_2", 0, "p1", "It sells them.")]
-    c = spark.createDataFrame(cited, "ord int, owner string, pos int, source_id string, excerpt string")
-    return grounding.valid_claims(spark.createDataFrame(_CLAIMS, "ord int, field string, value string"), c, s)
+@query(f"with {_CLEAN} select host as ord, cast(count(*) as bigint) as attempted_pages, cast(count(*) filter (where usable) as bigint) as usable_pages, cast(sum(html_bytes) as bigint) as html_bytes, cast(sum(cleaned_text_chars) as bigint) as cleaned_text_chars from clean group by 1")
+def q_crawl_stats(spark, sf_dir):
+    s = html.clean(table(spark, sf_dir, "pages")).select(U.host(F.col("url")).alias("ord"), F.lit("first_party_html").alias("kind"), "usable", "html_bytes", "cleaned_text_chars")
+    return scoring.crawl_stats(s)
 
 
-@query("""select * from (values (0, 'company_name', 'Acme', null), (0, 'overview_sentence_1', 'Acme builds rockets.', null), (0, 'overview_sentence_2', 'It sells them.', null), (0, 'target_audience', null, 'unsupported target_audience'),
-(1, 'company_name', null, 'unsupported company_name'), (1, 'overview_sentence_1', null, 'unsupported overview_sentence_1'), (1, 'overview_sentence_2', 'Three.', null), (1, 'target_audience', null, null)) t(ord, field, value, issue)""")
-def q_claim_valid(spark, sf_dir):
-    return _claims(spark)
+_REPLY = "select conv_id as ord, turn, case when turn % 5 = 4 then null else length(text) end as input_tokens, case when turn % 5 <> 4 then length(text) // 2 end as cached, case when turn % 5 <> 4 then length(role) end as output_tokens, case when role = 'user' then 'm-1' else 'm-1-x' end as model, case when turn % 3 <> 1 then 'r' || turn end as response_id from conversations"
+_USAGE = f"""select ord, cast(coalesce(sum(input_tokens), 0) as bigint) as input_tokens, cast(coalesce(sum(cached), 0) as bigint) as cached_input_tokens, cast(coalesce(sum(output_tokens), 0) as bigint) as output_tokens, cast(count(*) as bigint) as request_count,
+cast(count(input_tokens) as bigint) as reported_response_count, coalesce(string_agg(response_id, ',' order by turn), '') as response_ids, '' as request_ids, array_to_string(list_filter(list(model order by turn, model), lambda x, i: list_position(list(model order by turn, model), x) = i), ',') as models, bool_and(input_tokens is not null) as accounting_complete from ({_REPLY}) group by 1"""
 
 
-@query("select 0 as ord, 'Acme builds rockets. It sells them.' as company_overview")
-def q_overview(spark, sf_dir):
-    return grounding.overview(_claims(spark))
+def _usage(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    r = c.select(F.col("conv_id").alias("ord"), F.when(F.col("turn") % 5 != 4, F.length("text")).alias("input_tokens"), F.floor(F.length("text") / 2).alias("cached_input_tokens"), F.length("role").alias("output_tokens"), F.when(F.col("role") == "user", "m-1").otherwise("m-1-x").alias("model"), F.col("turn").alias("attempt"), F.when(F.col("turn") % 3 != 1, F.concat(F.lit("r"), F.col("turn").cast("string"))).alias("response_id"), F.lit("").alias("request_id"))
+    return scoring.usage(r)
 
 
-@query("select * from (values (0, 'a@acme.test', 'sales'), (0, 'b@acme.test', 'other_business'), (1, 'a@acme.test', 'other_business')) t(ord, email, category)")
-def q_contact_categories(spark, sf_dir):
-    seen = spark.createDataFrame([(0, "a@acme.test"), (0, "b@acme.test"), (1, "a@acme.test")], "ord int, email string")
-    said = spark.createDataFrame([(0, 0, "A@acme.test", "press"), (0, 1, "a@acme.test", "sales"), (0, 2, "new@acme.test", "support")], "ord int, pos int, email string, category string")
-    return grounding.contact_categories(seen, said)
+@query(_USAGE)
+def q_usage_rollup(spark, sf_dir):
+    return _usage(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("models", "response_ids", "request_ids")})
 
 
-@query("select * from (values (null, 'live_complete', 'demo'), (1, 'all_success', 'partial'), (1, 'browser_source', 'b.test'), (2, 'browser_source', 'c.test'), (2, 'usage_recorded', 'c.test')) t(ord, rule, detail)")
-def q_audit_live(spark, sf_dir):
-    f = spark.createDataFrame
-    results = f([(0, "a.test", "success"), (1, "b.test", "partial"), (2, "c.test", "success")], "ord int, normalized_domain string, status string")
-    sources = f([(0, True, "first_party_html", "playwright"), (1, False, "first_party_html", "playwright"), (2, True, "first_party_html", "http_fallback")], "ord int, usable boolean, kind string, retrieval_method string")
-    used = f([(0, 1, 1, ["r"]), (1, 2, 1, ["r"]), (2, 1, 0, [])], "ord int, request_count int, reported_response_count int, response_ids array<string>")
-    return audit.live(results, sources, used, f([("demo", True)], "mode string, complete boolean"))
+@query(f"select ord, case when reported_response_count > 0 then round(((input_tokens - cached_input_tokens) * 0.4 + cached_input_tokens * 0.1 + output_tokens * 1.6) / 1000000, 10) end as estimated_llm_cost_usd, case when reported_response_count = 0 then '{scoring.REASONS['silent']}' when accounting_complete then '{scoring.REASONS['whole']}' else '{scoring.REASONS['part']}' end as cost_reason from ({_USAGE})")
+def q_cost(spark, sf_dir):
+    return scoring.cost(_usage(spark, sf_dir), "m-1", "m-1", (0.4, 0.1, 1.6)).select("ord", "estimated_llm_cost_usd", "cost_reason")
 
 
-@query("select doc_id, len(regexp_extract_all(text, '[.!?](?:\\s+|$)')) = 1 and right(text, 1) in ('.', '!', '?') as single from documents")
-def q_single_sentence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.single_sentence(F.col("text")).alias("single"))
+@query(f"with h as (select distinct {_HOST.format('url')} as host from pages) select 'required_missing' as rule, cast(null as integer) as ord, host as detail from h where length(host) % 5 = 0")
+def q_required_set_equality(spark, sf_dir):
+    h = table(spark, sf_dir, "pages").select(U.normalize_domain(F.col("url")).alias("input_domain")).distinct()
+    r = h.where(F.length("input_domain") % 5 != 0).select(F.lit(1).alias("ord"), "input_domain", F.col("input_domain").alias("normalized_domain"))
+    return audit.required(r, h)
+
+
+_G = f"with {X.sql()}, {X.GROUNDED}"
 
 
-@query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text) and length(b.text) between 3 and 600 and d.doc_id = b.item_id") 
+def _joined(items, *parts):
+    return F.array_join(F.transform(items, lambda x: F.concat_ws(":", *(p(x) for p in parts))), ",")
+
+
+@query(f"{_G} select ord, aspect, item, excerpt, source_url from resolved")
 def q_resolve(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    s = table(spark, sf_dir, "documents").select(F.lit(0).alias("ord"), F.col("doc_id").cast("string").alias("source_id"), F.lit("u").alias("final_url"), "text", F.lit(True).alias("usable"))
-    c = b.select(F.lit(0).alias("ord"), F.col("item_id").cast("string").alias("owner"), F.lit(0).alias("pos"), F.col("item_id").cast("string").alias("source_id"), F.col("text").alias("excerpt"))
-    r = grounding.resolve(c, s)
-    return r.select(F.col("owner").cast("long").alias("item_id"), F.col("source_id").cast("long").alias("doc_id"))
+    t = X.tables(spark, sf_dir)
+    return grounding.resolve(t["citations"], t["sources"]).select("ord", "aspect", "item", "excerpt", "source_url")
 
 
-@query(f"select {_HOST.format('url')} as ord, cast(count(*) as bigint) as attempted_pages, cast(count(*) filter (where length(html) >= 2000) as bigint) as usable_pages, cast(sum(octet_length(encode(html))) as bigint) as html_bytes, cast(sum(length(html)) as bigint) as cleaned_text_chars from pages group by 1")
-def q_crawl_stats(spark, sf_dir):
-    s = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("ord"), F.lit("first_party_html").alias("kind"), (F.length("html") >= 2000).alias("usable"), F.octet_length("html").cast("long").alias("html_bytes"), F.length("html").cast("long").alias("cleaned_text_chars"))
-    return scoring.crawl_stats(s)
+@query(f"{_G} select ord, email, excerpt, source_id from shown")
+def q_observed_contacts(spark, sf_dir):
+    e = grounding.observed_contacts(X.tables(spark, sf_dir)["sources"]).select("ord", "email", F.explode("evidence").alias("e"))
+    return e.select("ord", "email", "e.excerpt", "e.source_id")
 
 
-_REPLY = "select conv_id as ord, case when turn % 5 = 4 then null else length(text) end as input_tokens, length(text) // 2 as cached, length(role) as output_tokens, case when role = 'user' then 'm-1' else 'm-1-x' end as model from conversations"
-_USAGE = f"select ord, cast(coalesce(sum(input_tokens), 0) as bigint) as input_tokens, cast(coalesce(sum(cached), 0) as bigint) as cached_input_tokens, cast(coalesce(sum(output_tokens), 0) as bigint) as output_tokens, cast(count(*) as bigint) as request_count, cast(count(input_tokens) as bigint) as reported_response_count, array_to_string(list_sort(list_distinct(list(model))), ',') as models, bool_and(input_tokens is not null) as accounting_complete from ({_REPLY}) group by 1"
+@query(f"{_G} select ord, field, value, cast(case when value is null then 0 else held end as integer) as evidence, issue from valid")
+def q_claim_valid(spark, sf_dir):
+    t = X.tables(spark, sf_dir)
+    return grounding.valid_claims(t["claims"], t["citations"], t["sources"]).withColumn("evidence", F.coalesce(F.size("evidence"), F.lit(0)))
 
 
-def _usage(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    r = c.select(F.col("conv_id").alias("ord"), F.when(F.col("turn") % 5 != 4, F.length("text")).alias("input_tokens"), F.floor(F.length("text") / 2).alias("cached_input_tokens"), F.length("role").alias("output_tokens"), F.when(F.col("role") == "user", "m-1").otherwise("m-1-x").alias("model"))
-    return scoring.usage(r)
+@query(f"{_G} select ord, company_overview, overview_issue, overview_cited from wide")
+def q_overview(spark, sf_dir):
+    t = X.tables(spark, sf_dir)
+    c = grounding.core(grounding.valid_claims(t["claims"], t["citations"], t["sources"]))
+    return c.select("ord", "company_overview", "overview_issue", F.coalesce(F.size(F.try_element_at("field_evidence", F.lit("company_overview"))), F.lit(0)).alias("overview_cited"))
 
 
-@query(_USAGE)
-def q_usage_rollup(spark, sf_dir):
-    return _usage(spark, sf_dir).withColumn("models", F.array_join("models", ","))
+@query(f"{_G} select s.ord, s.email, coalesce(arg_max(c.category, c.item) filter (where c.ok and c.email = s.email), 'other_business') as category, cast(count(c.item) filter (where not c.ok) as integer) as issues from (select distinct ord, email from shown) s left join said_contacts c on c.ord = s.ord group by 1, 2")
+def q_contact_categories(spark, sf_dir):
+    t = X.tables(spark, sf_dir)
+    out, issues = grounding.contact_categories(grounding.observed_contacts(t["sources"]), t["contacts"], t["citations"], t["sources"])
+    n = issues.groupBy("ord").agg(F.count("*").cast("int").alias("issues"))
+    return out.join(n, "ord", "left").select("ord", "email", "category", F.coalesce("issues", F.lit(0)).alias("issues"))
 
 
-@query(f"select ord, case when reported_response_count > 0 then round(((input_tokens - cached_input_tokens) * 0.4 + cached_input_tokens * 0.1 + output_tokens * 1.6) / 1000000, 10) end as estimated_llm_cost_usd, case when reported_response_count = 0 then '{scoring.REASONS['silent']}' when accounting_complete then '{scoring.REASONS['whole']}' else '{scoring.REASONS['part']}' end as cost_reason from ({_USAGE})")
-def q_cost(spark, sf_dir):
-    return scoring.cost(_usage(spark, sf_dir), "m-1", "m-1", (0.4, 0.1, 1.6)).select("ord", "estimated_llm_cost_usd", "cost_reason")
+@query(f"{_G} select ord, item, name, role, linkedin_url, linkedin_status, cast(n_rel as integer) as n_rel, cast(case when role is null then 0 else n_role end as integer) as n_role, cast(case when linkedin_url is null then 0 else n_prof end as integer) as n_prof from accepted")
+def q_people_grounding(spark, sf_dir):
+    t = X.tables(spark, sf_dir)
+    names = grounding.core(grounding.valid_claims(t["claims"], t["citations"], t["sources"])).select("ord", "company_name")
+    p, _ = grounding.people(t["people"], t["citations"], t["sources"], names)
+    return p.select("ord", "item", "name", "role", "linkedin_url", "linkedin_status", F.size("relationship_evidence").alias("n_rel"), F.size("role_evidence").alias("n_role"), F.size("profile_evidence").alias("n_prof"))
 
 
-_ROWS = "ord int, company_name string, company_overview string, target_audience string, n_contacts int, n_people int, n_roles int, n_profiles int, attempted_pages int, usable_pages int, completed boolean, n_material int"
-_FIXTURE = [(0, "Acme", "A. B.", "Teams.", 1, 2, 1, 0, 4, 3, True, 0), (1, "Bolt", "A. B.", "Teams.", 0, 0, 0, 0, 2, 2, False, 1), (2, None, None, None, 0, 0, 0, 0, 0, 0, False, 0), (3, None, None, "", 2, 1, 1, 1, 1, 1, True, 0)]
+@query(f"{_G} {X.ISSUES}")
+def q_issues(spark, sf_dir):
+    g = X.grounded(spark, sf_dir)
+    return g.select("ord", F.array_join("issues", "|").alias("issues"), F.array_join(F.array_sort(F.map_keys("field_evidence")), ",").alias("fields"))
 
 
-def results_fixture(spark):
-    return scoring.status(scoring.factors(spark.createDataFrame(_FIXTURE, _ROWS)))
+@query(f"{_G}, {X.ENRICHED} select ord, normalized_domain, status, company_name, company_overview, target_audience, contacts, team, attempted_pages, usable_pages, duplicate_pages, confidence_score, errors, estimated_llm_cost_usd, supported from enriched")
+def q_enrich(spark, sf_dir):
+    e = X.enriched(spark, sf_dir)
+    contacts = _joined("contact_points", lambda x: x["email"], lambda x: x["category"])
+    team = _joined("team_members", lambda x: x["name"], lambda x: x["role"], lambda x: x["linkedin_status"])
+    counts = [F.col(f"crawl.{c}").alias(c) for c in ("attempted_pages", "usable_pages", "duplicate_pages")]
+    errors = _joined("errors", lambda x: x["code"], lambda x: x["material"].cast("string"))
+    return e.select("ord", "normalized_domain", "status", "company_name", "company_overview", "target_audience", contacts.alias("contacts"), team.alias("team"), *counts, "confidence_score", errors.alias("errors"), F.col("usage.estimated_llm_cost_usd").alias("estimated_llm_cost_usd"), grounding.supported_count(e).alias("supported"))
 
 
-@query("select * from (values (0, 0.875::double, 'success'), (1, 0.55::double, 'partial'), (2, 0.0::double, 'failed'), (3, 0.55::double, 'partial')) t(ord, confidence_score, status)")
+@query(f"{_G}, {X.ENRICHED} select ord, status, confidence_score, overview_supported, audience_supported, contact_present, role_present, linkedin_fraction, retrieval_fraction from enriched")
 def q_confidence(spark, sf_dir):
-    return results_fixture(spark).select("ord", "confidence_score", "status")
+    short = ["overview_supported", "audience_supported", "contact_present", "role_present", "linkedin_fraction", "retrieval_fraction"]
+    return X.enriched(spark, sf_dir).select("ord", "status", "confidence_score", *(F.col(f"confidence_breakdown.{k}").alias(a) for k, a in zip(scoring.WEIGHTS, short, strict=True)))
 
 
-@query("select true as strict, 1 as exit_code union all select false, 0")
+@query(f"{_G}, {X.ENRICHED} select ord % 3 as part, strict, cast(case when strict then (case when bool_and(status = 'success') then 0 else 1 end) else (case when bool_or(status <> 'failed') then 0 else 1 end) end as integer) as exit_code from enriched, (select unnest([true, false]) as strict) group by 1, 2")
 def q_exit_code(spark, sf_dir):
-    r = results_fixture(spark)
-    codes = [scoring.exit_code(r, s).select(F.lit(s).alias("strict"), "exit_code") for s in (True, False)]
+    e = X.enriched(spark, sf_dir).withColumn("part", F.col("ord") % 3)
+    codes = [scoring.exit_code(e, strict, "part").withColumn("strict", F.lit(strict)) for strict in (True, False)]
     return codes[0].unionByName(codes[1])
 
 
-@query(f"with h as (select distinct {_HOST.format('url')} as host from pages) select 'required_missing' as rule, cast(null as integer) as ord, host as detail from h where length(host) % 5 = 0")
-def q_required_set_equality(spark, sf_dir):
-    h = table(spark, sf_dir, "pages").select(U.normalize_domain(F.col("url")).alias("input_domain")).distinct()
-    r = h.where(F.length("input_domain") % 5 != 0).select(F.lit(1).alias("ord"), "input_domain", F.col("input_domain").alias("normalized_domain"))
-    return audit.required(r, h)
-
-
-@query("select 2 as ord, 'score_recomputes' as rule, '0.5' as detail")
-def q_audit_scores(spark, sf_dir):
-    r = results_fixture(spark)
-    return audit.scores(r.withColumn("confidence_score", F.when(F.col("ord") == 2, 0.5).otherwise(F.col("confidence_score"))))
+@query(X.MUTATED)
+def q_audit_rules(spark, sf_dir):
+    """The general rules over enriched rows, each broken in one way by its number."""
+    return audit.audit(X.mutated(spark, sf_dir)).select("rule", "ord").distinct()
 
 
-@query("select 0 as ord, 'hi@acme.test' as email, 'p1' as source_id, 'Public email: hi@acme.test' as excerpt union all select 1, 'a@bolt.test', 'p2', 'Write to a@bolt.test now'")
-def q_observed_contacts(spark, sf_dir):
-    rows = [(0, "p1", "first_party_html", True, "https://acme.test/", "Acme\nPublic email: hi@acme.test\nagain hi@acme.test", ["hi@acme.test"]), (1, "p2", "first_party_html", True, "https://bolt.test/", "Write to a@bolt.test now", ["a@bolt.test", "gone@bolt.test"]), (2, "p3", "search_snippet", True, "https://c.test/", "x@c.test", ["x@c.test"]), (3, "p4", "first_party_html", False, "https://d.test/", "x@d.test", ["x@d.test"])]
-    s = spark.createDataFrame(rows, "ord int, source_id string, kind string, usable boolean, final_url string, text string, email_candidates array<string>")
-    return grounding.observed_contacts(s).select("ord", "email", F.explode("evidence").alias("e")).select("ord", "email", "e.source_id", "e.excerpt")
+@query(f"""{_G}, {X.ENRICHED} select 'all_success' as rule, ord, status as detail from enriched where status <> 'success' union all select 'browser_source', ord, normalized_domain from enriched where usable_pages = 0
+union all select 'usage_recorded', ord, normalized_domain from enriched where ord % 4 = 3 union all select 'live_complete', null, 'demo'""")
+def q_audit_live(spark, sf_dir):
+    run = spark.createDataFrame([("demo", True)], "mode string, complete boolean")
+    return audit.live(X.enriched(spark, sf_dir), run)
 
 
-@query("""select * from (values (1, 'source_ids_unique', 'p2'), (1, 'contact_observed', 'no@bolt.test'), (1, 'evidence_resolves', 'Bo Ray:Bo Ray, founder of Mars'), (1, 'person_related', 'Cy'),
-(1, 'role_evidenced', 'Cy'), (1, 'profile_observed', 'Bo Ray'), (1, 'field_evidenced', 'company_name'), (2, 'success_whole', 'success'), (1, 'success_clean', 'success')) t(ord, rule, detail)""")
-def q_audit_rules(spark, sf_dir):
-    """The general rules over three results: the first is valid, the others break each rule once (scores: q_audit_scores)."""
-    f = spark.createDataFrame
-    body = "Ann Lee is the CEO of Acme.\nWrite to hi@acme.test"
-    link = [("https://linkedin.com/in/ann", "in", "Ann Lee, CEO")]
-    sources = f(
-        [(0, "p1", "first_party_html", True, "https://acme.test/", body, ["hi@acme.test"], link), (1, "p2", "first_party_html", True, "https://bolt.test/", "Bo Ray, founder of Bolt", [], []), (1, "p2", "first_party_html", False, "https://bolt.test/2", "", [], [])],
-        "ord int, source_id string, kind string, usable boolean, final_url string, text string, email_candidates array<string>, links array<struct<url:string,text:string,nearby_text:string>>",
-    )
-    profile = "https://www.linkedin.com/in/"
-    people = f([(0, "Ann Lee", "CEO", profile + "ann", "first_party_link"), (1, "Bo Ray", "founder", profile + "bo", "first_party_link"), (1, "Cy", "chief", None, "not_found")], "ord int, name string, role string, linkedin_url string, linkedin_status string")
-    cited = f([(0, "Ann Lee", 0, "p1", "Ann Lee is the CEO of Acme.", "https://acme.test/"), (1, "Bo Ray", 0, "p2", "Bo Ray, founder of Bolt", "https://bolt.test/"), (1, "Bo Ray", 1, "p2", "Bo Ray, founder of Mars", "https://bolt.test/")], "ord int, owner string, pos int, source_id string, excerpt string, source_url string")
-    results = results_fixture(spark).where("ord < 2").drop("status").withColumn("status", F.lit("success"))
-    results = results.unionByName(results.where("ord = 1").withColumn("ord", F.lit(2)).withColumn("target_audience", F.lit(None).cast("string")).withColumn("status", F.lit("success")))
-    results = scoring.factors(results.drop(*scoring.WEIGHTS, "confidence_score"))
-    return audit.audit(
-        {
-            "results": results,
-            "sources": sources,
-            "contacts": f([(0, "hi@acme.test"), (1, "no@bolt.test")], "ord int, email string"),
-            "people": people,
-            "citations": cited,
-            "fields": f([(1, "company_name", "Bolt"), (1, "target_audience", None)], "ord int, field string, value string"),
-            "errors": f([(1, True), (0, False)], "ord int, material boolean"),
-        }
-    )
-
-
-@query("select 0 as ord, 2 as attempt union all select 1, 3")
+@query("with a as (select doc_id // 4 as ord, cast(doc_id % 4 as integer) as attempt, cast(n_chars % 5 as integer) as supported, cast(n_chars % 3 as integer) as issues from documents) select ord, arg_max(attempt, (issues = 0)::integer * 1000 + supported * 10 + attempt) as attempt from a group by 1")
 def q_best_attempt(spark, sf_dir):
-    a = spark.createDataFrame([(0, 1, 5, 2), (0, 2, 4, 0), (1, 1, 3, 1), (1, 2, 2, 1), (1, 3, 3, 4)], "ord int, attempt int, supported int, issues int")
+    a = table(spark, sf_dir, "documents").selectExpr("doc_id div 4 as ord", "cast(doc_id % 4 as int) as attempt", "cast(n_chars % 5 as int) as supported", "cast(n_chars % 3 as int) as issues")
     return grounding.best_attempt(a)
 
 
-@query("select 0 as ord, 'Ann Lee' as person, 1 as hit, 'https://www.linkedin.com/in/ann' as url, 'search_candidate' as status")
+@query(f"""with {X.HITS}, t as (select * from (select *, row_number() over (partition by ord order by item) as k from team where linkedin_url is null) where k <= 2),
+h as (select *, row_number() over (partition by ord, item order by hit) as k from hits),
+sound as (select h.ord, h.item, h.hit, h.url, h.title, h.content, t.name, 'Acme' || h.ord as company, 'https://www.linkedin.com/in/' || regexp_extract(h.url, '^https://(?:www[.])?linkedin[.]com/in/([^/?#]+)/?(?:[?#].*)?$', 1) as profile,
+  row_number() over (partition by h.ord order by h.item, h.hit) as k2 from h join t using (ord, item) where h.k <= 3 and regexp_matches(h.url, '^https://(?:www[.])?linkedin[.]com/in/[^/?#]+/?(?:[?#].*)?$') and length(h.title) between 3 and 600 and length(h.content) <= 10000),
+c as (select *, row_number() over (partition by ord, item, profile order by hit) as once from sound where contains(lower(title || chr(10) || content), lower(name)) and contains(lower(title || chr(10) || content), lower(company)))
+select ord, cast(item as integer) as item, profile as url, 'search-' || (2 + k2) as source_id, title as excerpt, 'search_candidate' as status from c where once = 1""")
 def q_search_candidates(spark, sf_dir):
-    hits = [(0, "Acme", "Ann Lee", 0, 1, "https://linkedin.com/in/ann/", "Ann Lee - Acme", "x"), (0, "Acme", "Ann Lee", 0, 2, "https://linkedin.com/in/ann", "Ann Lee, Acme", "again"), (0, "Acme", "Ann Lee", 0, 3, "https://linkedin.com/in/bo", "Bo", "elsewhere"), (0, "Acme", "Cy", 1, 1, "https://example.com/in/cy", "Cy Acme", "")]
-    return grounding.search_candidates(spark.createDataFrame(hits, "ord int, company string, person string, person_pos int, hit int, url string, title string, content string"))
-
-
-@query("select 'Ann Lee' as name, 'CEO' as role, 'https://www.linkedin.com/in/ann' as linkedin_url, 'first_party_link' as linkedin_status, 0 as ord")
-def q_people_grounding(spark, sf_dir):
-    text = "Acme builds rockets.\nAnn Lee is the CEO of Acme.\nObserved profile link: https://linkedin.com/in/ann | Ann Lee\nCustomer story: Bo Ray, founder of Bolt"
-    s = spark.createDataFrame([(0, "p1", "first_party_html", True, "https://acme.test/", text, [("https://linkedin.com/in/ann", "in", "Ann Lee, CEO")])], "ord int, source_id string, kind string, usable boolean, final_url string, text string, links array<struct<url:string,text:string,nearby_text:string>>")
-    p = spark.createDataFrame([(0, 0, "Ann Lee", "CEO", "https://linkedin.com/in/ann", "Acme"), (0, 1, "Bo Ray", "founder", None, "Acme"), (0, 2, "Ann Lee", None, None, "Acme")], "ord int, pos int, name string, role string, linkedin_url string, company_name string")
-    c = spark.createDataFrame([(0, "Ann Lee", 0, "relationship", "p1", "Ann Lee is the  CEO of Acme."), (0, "Ann Lee", 1, "role", "p1", "Ann Lee is the CEO"), (0, "Ann Lee", 2, "profile", "p1", "Observed profile link: https://linkedin.com/in/ann | Ann Lee"), (0, "Bo Ray", 0, "relationship", "p1", "Bo Ray, founder of Bolt")], "ord int, owner string, pos int, aspect string, source_id string, excerpt string")
-    return grounding.people(p, c, s, F.col("company_name"))
-
-
-_HOME = "<html><head><title>Acme</title></head><body><main><p>Acme builds rockets. It sells them.</p><p>Made for cities.</p></main><footer>hi@acme.test</footer></body></html>"
-_TEAM = "<html><head><title>Team</title></head><body><main><p>Ann Lee is the CEO of Acme. <a href='https://linkedin.com/in/ann'>Ann Lee, CEO of Acme</a></p></main></body></html>"
-
-
-def enriched(spark):
-    """Three domains: one whole, one whose only page is missing, one without pages."""
-    f = spark.createDataFrame
-    domains = D.inline(spark, ["Acme.test", "bolt.test", "cord.test"])
-    pages = [(0, "p1", 1, "https://acme.test/", 200, 0, 0, _HOME), (0, "p2", 2, "https://acme.test/team", 200, 1, 1, _TEAM), (0, "p3", 3, "https://acme.test/home", 200, 1, 6, _HOME), (1, "p1", 1, "https://bolt.test/", 404, 0, 0, _HOME)]
-    found = E.sources(domains, f(pages, "ord int, source_id string, page_no int, final_url string, http_status int, depth int, priority int, html string"))
-    said = [("company_name", "Acme", "Acme builds rockets."), ("overview_sentence_1", "Acme builds rockets.", "Acme builds rockets."), ("overview_sentence_2", "It sells them.", "It sells them."), ("target_audience", "Cities", "Made for cities.")]
-    claims = f([(o, k, v) for o in (0, 1) for k, v, _ in said], "ord int, field string, value string")
-    cited = [(o, k, "claim", 0, "p1", e) for o in (0, 1) for k, _, e in said] + [(0, "Ann Lee", a, 0, "p2", "Ann Lee is the CEO of Acme.") for a in ("relationship", "role")]
-    cited += [(0, "Ann Lee", "profile", 1, "p2", "Observed profile link: https://linkedin.com/in/ann | Ann Lee is the CEO of Acme.")]
-    return E.enrich(
-        domains,
-        found,
-        claims,
-        f(cited, "ord int, owner string, aspect string, pos int, source_id string, excerpt string"),
-        f([(0, 0, "Ann Lee", "CEO", "https://linkedin.com/in/ann"), (0, 1, "Bo Ray", "CTO", None)], "ord int, pos int, name string, role string, linkedin_url string"),
-        f([(0, 0, "hi@acme.test", "sales")], "ord int, pos int, email string, category string"),
-    )
-
-
-@query("""select * from (values (0, 'acme.test', 'success', 'Acme', 'Acme builds rockets. It sells them.', 'Cities', 'Ann Lee:CEO', 'hi@acme.test:sales', 3, 3, 1, 1.0::double),
-(1, 'bolt.test', 'failed', null, null, null, null, null, 1, 0, 0, 0.0::double), (2, 'cord.test', 'failed', null, null, null, null, null, 0, 0, 0, 0.0::double))
-t(ord, normalized_domain, status, company_name, company_overview, target_audience, team, contacts, attempted_pages, usable_pages, duplicate_pages, confidence_score)""")
-def q_enrich(spark, sf_dir):
-    joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a], x[b])), ",")
-    e = enriched(spark).withColumn("team", joined("team_members", "name", "role")).withColumn("contacts", joined("contact_points", "email", "category"))
-    counts = [F.col(c).cast("int") for c in ("attempted_pages", "usable_pages", "duplicate_pages")]
-    return e.select("ord", "normalized_domain", "status", "company_name", "company_overview", "target_audience", "team", "contacts", *counts, "confidence_score")
+    t = X.search_tables(spark, sf_dir)
+    _, c = grounding.search_candidates(grounding.search_targets(t["team"]), t["hits"], t["companies"], t["fetched"])
+    return c.select("ord", "item", "url", F.get("evidence", F.lit(0))["source_id"].alias("source_id"), F.get("evidence", F.lit(0))["excerpt"].alias("excerpt"), "status")
