@@ -175,14 +175,16 @@ def _classes(docs: DataFrame, percent: int, rounds: int, by_id: bool) -> tuple[D
     every = scratch.store(texts.mapInArrow(_sketches, f"doc_id {kind}, of_text long, n_shingles long, cls binary, keys array<long>"), "sketches")
     usable = every.where("cls is not null and doc_id is not null")
     # Equal sets have equal sketches, so a class takes any member's. The numbers hold once they are written.
-    firsts = usable.groupBy("cls").agg(F.min(F.struct("doc_id", "of_text", "keys")).alias("m"))
+    firsts = usable.groupBy("cls").agg(F.min(F.struct("doc_id", "keys")).alias("m"))
     classes = scratch.store(firsts.select("cls", "m.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     cells = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.store(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     live = scratch.store(cells.join(shared, "key"), "live")
-    named = scratch.store(classes.join(live.select("node").distinct(), "node").select("node", "cls", "doc_id", "of_text"), "named")
-    whole = texts.join(named.select("doc_id", "of_text"), ["doc_id", "of_text"], "left_semi").select("text").mapInArrow(_sets, "cls binary, hashes binary")
-    sets = scratch.store(whole.join(named.select("cls", "node"), "cls").groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
+    named = scratch.store(classes.join(live.select("node").distinct(), "node").select("node", "cls", "doc_id"), "named")
+    # Found by id alone, which is narrow; other texts of the id fall out by class.
+    whole = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "cls binary, hashes binary")
+    sets = whole.groupBy("cls").agg(F.min("hashes").alias("hashes")).join(named.select("cls", "node"), "cls")
+    sets = scratch.store(sets.select("node", "hashes"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
@@ -242,14 +244,20 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     every, told = _classes(docs, percent, 1, False)
     scratch = Scratch(docs.sparkSession, "keep-one")
-    rows_ = every.where("cls is not null and doc_id is not null").join(told.select("cls", "node"), "cls")
-    rows_ = scratch.store(rows_.groupBy("node", "doc_id", "cls", "of_text").agg(F.count("*").alias("n")), "rows")
+    rows_ = every.where("doc_id is not null").groupBy("doc_id", "cls", "of_text").agg(F.count("*").alias("n")).join(told.select("cls", "node"), "cls", "left")
+    rows_ = scratch.store(rows_, "rows")
     # The text of a group that stays; beside it, most groups have no other.
-    best = rows_.groupBy("node").agg(F.min(F.struct("doc_id", "cls", "of_text")).alias("best"), F.count("*").alias("texts")).where("texts > 1")
-    gone = rows_.join(best, "node").where("struct(doc_id, cls, of_text) <> best").select(F.col("doc_id").alias("__gone"), F.col("of_text").alias("__of"))
-    gone = scratch.store(gone.distinct(), "gone")
-    of_text = F.xxhash64(docs["text"].cast("string"))
-    left = docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (of_text == F.col("__of")), "left_anti")
+    best = rows_.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "cls", "of_text")).alias("best"), F.count("*").alias("texts")).where("texts > 1")
+    stays = F.col("best").isNull() | (F.struct("doc_id", "cls", "of_text") == F.col("best"))
+    flagged = scratch.store(rows_.join(best, "node", "left").select("doc_id", "of_text", F.col("cls").isNotNull().alias("told"), "n", F.coalesce(stays, F.lit(True)).alias("stays")), "flagged")
+    # Most ids go or stay as a whole, and ids alone are narrow.
+    ids = scratch.store(flagged.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("every")).where("not every"), "ids")
+    left = docs.join(ids.where("not some").select(F.col("doc_id").alias("__gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
+    mixed = ids.where("some").select("doc_id")
+    if not mixed.isEmpty():
+        gone = flagged.where("not stays").join(mixed, "doc_id", "left_semi").select(F.col("doc_id").alias("__gone"), F.col("of_text").alias("__of"))
+        left = left.join(gone, (left["doc_id"] == F.col("__gone")) & (F.xxhash64(left["text"].cast("string")) == F.col("__of")), "left_anti")
+    rows_ = flagged.where("told and stays")
     twice = rows_.where("n > 1").select(F.col("doc_id").alias("__gone"), F.col("of_text").alias("__of"))
     if twice.isEmpty():
         return left
