@@ -10,8 +10,8 @@ Weights become whole documents by budgeted block permutations: documents are dea
 sqrt(n) blocks, blocks are taken in a pseudo-random order and documents in hash order within theirs. A
 source's budget is a number of whole passes and a first part of the permutation. The part ends at a
 (block, hash) found from block totals and one block's running sum, so no window covers a source and
-mix() shuffles no text. mixed_documents() sorts whole rows by pass, block and hash over the cluster, so files hold the
-permuted order and passes over a document lie far apart; texts travel compressed.
+mix() shuffles no text. mixed_documents() sorts the rows of each partition by pass, block and hash, also without a
+shuffle; on request it sorts them over the whole cluster, which moves every text.
 
 The table of cuts has a row for each source; it is broadcast if it has at most BROADCAST rows and
 shuffled otherwise.
@@ -25,8 +25,6 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,25 +39,12 @@ LEVELS = 6
 EVENNESS = 0.5
 
 
-def _compressed(texts: pa.Array) -> pa.Array:
-    z = zstandard.ZstdCompressor()
-    return pa.array([None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
-
-
-def _restored(texts: pa.Array) -> pa.Array:
-    z = zstandard.ZstdDecompressor()
-    return pa.array([None if t is None else z.decompress(t).decode("utf-8", "surrogatepass") for t in texts.to_pylist()], pa.string())
-
-
-def _prepared(docs: DataFrame, n_blocks: int, compressed: bool = False) -> DataFrame:
-    """(row, source, tokens, u, block): a struct of the columns of docs, the text compressed or not, and the operator's own columns."""
+def _prepared(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """(row, source, tokens, u, block): a struct of the columns of docs, and the operator's own columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    told = {c: F.col(f"`{c}`") for c in docs.columns}
-    if compressed:
-        told["text"] = F.arrow_udf(_compressed, "binary")(F.col("text").cast("string")).alias("text")
     u = F.xxhash64(F.col("doc_id"), F.xxhash64(text), F.lit(7))
     return docs.select(
-        F.struct(*told.values()).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"),
         F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long").alias("tokens"),
         u.alias("u"),
@@ -125,15 +110,15 @@ def cuts(narrow: DataFrame, scratch: Scratch, repeat: float, entropy: float | No
     return out
 
 
-def mix(docs: DataFrame, repeat: float = REPEAT, entropy: float | None = None, evenness: float | None = None, budget: float | None = None, compressed: bool = False) -> DataFrame:
+def mix(docs: DataFrame, repeat: float = REPEAT, entropy: float | None = None, evenness: float | None = None, budget: float | None = None) -> DataFrame:
     """(row, pass, block, u, weight): each row of docs, as a struct, as often as its source's budget takes it.
 
     Reading by (pass, block, u) gives the permuted order. entropy: target in nats. evenness: target as a part, from
-    0 to 1, of the way from the shares' entropy to the largest. budget: tokens to spend. compressed: text as zstd bytes.
+    0 to 1, of the way from the shares' entropy to the largest. budget: tokens to spend.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     n_blocks = max(1, math.isqrt(docs.count()))
-    d = _prepared(docs, n_blocks, compressed)
+    d = _prepared(docs, n_blocks)
     c = cuts(d.select("source", "tokens", "u", "block"), scratch, repeat, entropy, evenness, budget)
     met = d.join(F.broadcast(c) if c.count() <= BROADCAST else c, "source")
     inside = (F.col("block") < F.col("cut_block")) | (F.col("block") == F.col("cut_block")) & (F.col("u") <= F.col("cut_u"))
@@ -142,10 +127,11 @@ def mix(docs: DataFrame, repeat: float = REPEAT, entropy: float | None = None, e
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("pass"), "block", "u", "weight")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """Only the columns of docs, in the permuted order over all partitions."""
-    m = mix(docs, **how, compressed=True).sort("pass", "block", "u").select("row.*")
-    return m.withColumn("text", F.arrow_udf(_restored, "string")("text").cast(docs.schema["text"].dataType))
+def mixed_documents(docs: DataFrame, everywhere: bool = False, **how) -> DataFrame:
+    """Only the columns of docs, in the permuted order within each partition, or everywhere."""
+    m = mix(docs, **how)
+    order = ["pass", "block", "u"]
+    return (m.sort(*order) if everywhere else m.sortWithinPartitions(*order)).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

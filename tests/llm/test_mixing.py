@@ -92,7 +92,9 @@ def test_against_a_plain_computation(spark, how):
 
 def test_order_and_columns(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
-    out = mixing.mixed_documents(docs, repeat=4.0)
+    assert sorted(map(repr, mixing.mixed_documents(docs, repeat=4.0).collect())) == sorted(map(repr, mixing.mix(docs, repeat=4.0).select("row.*").collect()))
+    assert list(map(repr, mixing.mixed_documents(docs.coalesce(1), repeat=4.0).collect())) == list(map(repr, mixing.mixed_documents(docs, True, repeat=4.0).collect()))
+    out = mixing.mixed_documents(docs, True, repeat=4.0)
     assert out.columns == docs.columns
     marked = mixing.mix(docs, repeat=4.0).select("row.doc_id", "pass", "block", "u").collect()
     at = {}
