@@ -1,0 +1,87 @@
+"""Crawls domains inside tasks: a domain is one row, searched best first, and its pages come out as rows."""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Callable
+from contextlib import nullcontext
+from datetime import UTC, datetime
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from evidra.connectors.budget import Deadline, DeadlineExceeded
+from evidra.connectors.pages import PageSource
+from evidra.connectors.policy import DestinationPolicy, canonical, rank
+from evidra.operators import frontier, html
+
+PAGES = "ord int, source_id string, page_no int, requested_url string, final_url string, http_status int, depth int, priority int, selection_reason string, retrieval_method string, retrieved_at timestamp, html string, failure string, retryable boolean"
+FAILED = "domain_failure"
+
+
+def pages_of(ord_: int, host: str, source: PageSource, settings, policy: DestinationPolicy, deadline: Deadline):
+    """The pages of one domain, each as a row; failures count as pages."""
+    ahead, known, gone, spare, n = [], set(), set(), True, 0
+
+    def remember(url: str, depth: int, priority: int, why: str):
+        if depth <= settings.max_depth and url not in known and len(known) < frontier.SEEN and policy.scoped(url, host):
+            known.add(url)
+            heapq.heappush(ahead, (priority, depth, url, why))
+
+    remember(canonical(f"https://{host}/"), 0, 0, "homepage")
+    with source.session(host, deadline) as session:
+        while n < settings.max_pages_per_domain:
+            deadline.timeout(1)
+            if spare and (not ahead or ahead[0][0] >= frontier.POOR):
+                spare = False
+                for path in frontier.FALLBACK:
+                    remember(f"https://{host}{path}", 1, frontier.SPARE, "generic fallback after limited relevant discovery")
+            while ahead and ahead[0][2] in gone:
+                heapq.heappop(ahead)
+            if not ahead:
+                return
+            priority, depth, url, why = heapq.heappop(ahead)
+            gone.add(url)
+            n += 1
+            got = session.fetch(url)
+            yield {"ord": ord_, "source_id": f"page-{n}", "page_no": n, "requested_url": url, "final_url": got.url, "http_status": got.status, "depth": depth, "priority": priority, "selection_reason": why, "retrieval_method": source.method, "retrieved_at": datetime.now(UTC), "html": got.html, "failure": got.failure, "retryable": got.retryable}
+            if got.failure:
+                continue
+            gone.add(canonical(got.url))
+            links = {}
+            for link in html.parsed(got.html)["links"]:
+                try:
+                    links.setdefault(canonical(link["href"], got.url), link["text"])
+                except ValueError:
+                    continue
+            for to in sorted(links):
+                if (priority := rank(to, links[to])) is not None:
+                    remember(to, depth + 1, priority, f"discovered: {links[to][:100]} (priority {priority})")
+
+
+def crawl(domains: DataFrame, source: Callable[[], PageSource], settings, policy: Callable[[], DestinationPolicy] = DestinationPolicy) -> DataFrame:
+    """Pages (PAGES) of domains (ord, normalized_domain); write them, as every reading crawls again.
+
+    source: makes a page source, once a task. domain_concurrency tasks run at a time. A failure of one domain is a row of its own, with the
+    code as failure and no page, and stops no other.
+    """
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
+    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in PAGES.split(", "))])
+
+    def run(batches):
+        made = source()
+        with made if hasattr(made, "__enter__") else nullcontext(made) as opened:
+            for b in batches:
+                for ord_, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    rows, deadline = [], Deadline(settings.domain_budget_seconds)
+                    try:
+                        for row in pages_of(ord_, host, opened, settings, policy(), deadline):
+                            rows.append(row)
+                    except DeadlineExceeded:
+                        rows.append({"ord": ord_, "source_id": FAILED, "failure": "deadline_exceeded"})
+                    except Exception as e:
+                        rows.append({"ord": ord_, "source_id": FAILED, "failure": "unexpected_error", "selection_reason": type(e).__name__})
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    todo = domains.where("normalized_domain is not null").select("ord", "normalized_domain").repartition(settings.domain_concurrency, "ord")
+    return todo.mapInArrow(run, PAGES)

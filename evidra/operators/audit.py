@@ -16,6 +16,7 @@ from evidra.functions import text as T
 from evidra.functions import urls as U
 from evidra.operators import scoring
 from evidra.operators.grounding import EVIDENCE
+from evidra.sources.domains import normalized
 
 VIOLATIONS = "array<struct<rule:string,detail:string>>"
 
@@ -137,11 +138,11 @@ def run_rules(run: DataFrame, results: DataFrame) -> DataFrame:
     """Rules of a run's head (mode, started_at, finished_at, complete, warnings): a complete run has an end, a demo says so, a live run has no fixtures."""
     r = run.withColumn("ord", F.lit(None).cast("int"))
     says = F.exists("warnings", lambda w: F.lower(w).contains("fixture"))
-    fixtures = results.where(F.exists("sources", lambda s: s["retrieval_method"] == "fixture")).select("ord")
+    fixtures = results.where(F.exists("sources", lambda s: s["retrieval_method"] == "fixture")).select("ord", F.lit("live").alias("mode"))
     rules = [
         _told(r.where("complete and finished_at is null"), "complete_finished", F.col("mode")),
         _told(r.where((F.col("mode") == "demo") & ~F.coalesce(says, F.lit(False))), "demo_warns", F.col("mode")),
-        _told(fixtures.crossJoin(F.broadcast(run.where("mode = 'live'").select("mode").limit(1))), "live_without_fixtures", F.col("mode")),
+        _told(fixtures.join(run.select("mode"), "mode", "left_semi"), "live_without_fixtures", F.col("mode")),
         _told(r.where("schema_version <> '1.0'"), "schema_version", F.col("schema_version")),
     ]
     return reduce(DataFrame.unionByName, rules)
@@ -149,7 +150,7 @@ def run_rules(run: DataFrame, results: DataFrame) -> DataFrame:
 
 def required(results: DataFrame, domains: DataFrame) -> DataFrame:
     """Results are exactly the required domains, as often, each normalised from its input."""
-    want = domains.select(U.normalize_domain(F.col("input_domain")).alias("normalized_domain"))
+    want = domains.select(normalized(F.col("input_domain")).alias("normalized_domain"))
     counted = want.groupBy("normalized_domain").agg(F.count("*").alias("n")).withColumn("ord", F.lit(None).cast("int"))
     have = results.groupBy("normalized_domain").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     rules = [
@@ -157,7 +158,7 @@ def required(results: DataFrame, domains: DataFrame) -> DataFrame:
         _told(counted.join(have.select("normalized_domain"), "normalized_domain", "left_anti"), "required_missing", F.col("normalized_domain")),
         _told(results.join(counted.select("normalized_domain"), "normalized_domain", "left_anti"), "not_required", F.col("normalized_domain")),
         _told(have.where("n > 1"), "result_repeated", F.col("normalized_domain")),
-        _told(results.where(~F.col("normalized_domain").eqNullSafe(U.normalize_domain(F.col("input_domain")))), "normalized", F.col("input_domain")),
+        _told(results.where(~F.col("normalized_domain").eqNullSafe(normalized(F.col("input_domain")))), "normalized", F.col("input_domain")),
     ]
     return reduce(DataFrame.unionByName, rules)
 

@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import urls as U
 
 
+def _ascii(values: pa.Array) -> pa.Array:
+    def one(v):
+        if v is None or v.isascii():
+            return v
+        head, sep, rest = v.rpartition("//")
+        host, slash, path = rest.partition("/")
+        try:
+            return head + sep + host.strip().encode("idna").decode("ascii") + slash + path
+        except UnicodeError:
+            return ""
+
+    return pa.array(map(one, values.to_pylist()), pa.string())
+
+
+def normalized(value: Column) -> Column:
+    """U.normalize_domain() of a name in any script."""
+    return U.normalize_domain(F.arrow_udf(_ascii, "string")(value))
+
+
 def inline(spark: SparkSession, domains: list[str]) -> DataFrame:
     """(ord, input_domain, normalized_domain) in the order given."""
     d = spark.createDataFrame([(i, x) for i, x in enumerate(domains)], "ord int, input_domain string")
-    return d.withColumn("normalized_domain", U.normalize_domain(F.col("input_domain")))
+    return d.withColumn("normalized_domain", normalized(F.col("input_domain")))
 
 
 def from_file(spark: SparkSession, path: str) -> DataFrame:
@@ -28,62 +44,17 @@ def from_file(spark: SparkSession, path: str) -> DataFrame:
     if not bad.isEmpty():
         raise ValueError("the input must be a non-empty JSON array of strings")
     d = parsed.select(F.posexplode("a").alias("ord", "input_domain"))
-    return d.withColumn("normalized_domain", U.normalize_domain(F.col("input_domain")))
-
+    return d.withColumn("normalized_domain", normalized(F.col("input_domain")))
 
-def write_run(results: DataFrame, path: str, mode: str, run_id: str) -> None:
-    """Appends rows of a run under (mode, run_id); rows of a run written again replace its earlier ones."""
-    conf = results.sparkSession.conf
-    before = conf.get("spark.sql.sources.partitionOverwriteMode")
-    conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        results.withColumn("mode", F.lit(mode)).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("mode", "run_id").parquet(path)
-    finally:
-        conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
+def write_run(results: DataFrame, path: str, mode: str, run_id: str, batch: str = "all") -> None:
+    """Adds rows to a run under (mode, run_id, batch); a batch written again replaces itself, others stay.
 
-def read_run(spark: SparkSession, path: str, mode: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("mode") == mode) & (F.col("run_id") == run_id)).drop("mode", "run_id")
-
-
-def ensure_destination(path: str, mode: str) -> None:
-    """Raises where a demo would be written as output.json or over a live run."""
-    if mode != "demo":
-        return
-    if os.path.basename(path) == "output.json":
-        raise ValueError("output.json is kept for live runs")
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if json.load(f).get("run", {}).get("mode") == "live":
-                raise ValueError("a demo does not replace a live run")
-
+    A checkpoint for each domain is a batch for each.
+    """
+    out = results.withColumn("mode", F.lit(mode)).withColumn("run_id", F.lit(run_id)).withColumn("batch", F.lit(batch))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode", "run_id", "batch").parquet(path)
 
-def export_json(results: DataFrame, run: dict, path: str) -> None:
-    """One JSON file on the driver, {"run", "results"}, results by ord. It appears whole or not at all.
 
-    Rows pass one by one, so the driver holds a partition at most. Values that JSON lacks (NaN) raise.
-    """
-    ensure_destination(path, run["mode"])
-    lines = results.orderBy("ord").select(F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
-    numbers = [c for c, kind in results.dtypes if kind in ("double", "float")]
-    if numbers and not results.where(" or ".join(f"isnan(`{c}`)" for c in numbers)).isEmpty():
-        raise ValueError("a number is not finite")
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write('{\n"run": ' + json.dumps(run, indent=2, ensure_ascii=False, allow_nan=False) + ',\n"results": [')
-            for i, row in enumerate(lines):
-                f.write((",\n" if i else "\n") + json.dumps(json.loads(row.j), indent=2, ensure_ascii=False))
-            f.write("\n]\n}\n")
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except BaseException:
-        os.unlink(temporary)
-        raise
-
-
-def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The results of such a file; schema: their DDL. A malformed file raises."""
-    whole = spark.read.schema(f"run string, results array<struct<{schema}>>").json(path, multiLine=True, mode="FAILFAST", encoding="UTF-8")
-    return whole.select(F.explode("results").alias("r")).select("r.*")
+def read_run(spark: SparkSession, path: str, mode: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(path).where((F.col("mode") == mode) & (F.col("run_id") == run_id)).drop("mode", "run_id", "batch")

@@ -12,6 +12,6 @@ def clean_stream(spark: SparkSession, pages_dir: str, schema, out: str, checkpoi
     """Starts a query that cleans new page files below pages_dir into out."""
 
     def batch(df: DataFrame, n: int) -> None:
-        write_run(html.clean(df), out, "stream", f"batch-{n:08d}")
+        write_run(html.clean(df), out, "stream", "pages", f"{n:08d}")
 
     return spark.readStream.schema(schema).parquet(pages_dir).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
