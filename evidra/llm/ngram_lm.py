@@ -1,7 +1,8 @@
 """An n-gram language model in Elias-Fano tries, and the scoring of texts.
 
-Words are hashed to 64 bits; their ids are positions among the sorted hashes. The trie is cut into
-PARTS by the leading bits of an n-gram's first word, so that a part holds whole subtrees. Each level of a part keeps
+Words are hashed to 64 bits; their ids are positions among the sorted hashes. Each level of the trie is cut into parts,
+ranges of contexts that occur about equally often, so a frequent first word is cut by its second one and the number of parts
+follows the data; a part holds at least the followers of one context, at most as many as there are words. Each level of a part keeps
 
 * monotone pointers: for each n-gram of the level above, where its followers begin;
 * followers: word ids made monotone over the level by adding, to those of a context, the last value of
@@ -9,15 +10,17 @@ PARTS by the leading bits of an n-gram's first word, so that a part holds whole
   that base;
 * quantised log10 probabilities and, for contexts, quantised log10 back-off weights.
 
-Pointers and followers are Elias-Fano sequences. Files are read through memory maps, so all workers of
-a machine share one copy.
+Pointers and followers are Elias-Fano sequences. Files lie in the shared folder. Where that is a path, parts are memory maps that all
+workers of a machine share; else a worker reads the parts that it needs and forgets those it has not used for long. Nothing is copied to
+a machine's own folders.
 
 Probabilities are absolute discounting, interpolated, over add-one unigrams. n-grams from order 2 on
-that occur once are left out; their mass goes to the back-off weight, so each distribution sums to 1.
-Counts are taken over all training texts: each task sums what it reads before anything is shuffled, as
-sorted arrays by part. A second pass writes the texts as word ids, which the later passes read.
+that occur less than `least` times are left out; their mass goes to the back-off weight, so each distribution sums to 1; with
+1 none is. Counts are taken over all training texts: each task sums what it reads before anything is shuffled, as
+sorted arrays by part. A second pass writes the texts as word ids, which the later passes read. Places and word ids share 64 bits while
+they fit, and are compared as pairs beyond that.
 
-Defined results: a null or empty text is one end token. A row without doc_id is trained on. Repeated
+Defined results: a null or empty text is one end token. A row without doc_id is trained on; ids may be of any type. Repeated
 rows count as often as they occur. Without training texts every word is unknown. An empty table gives
 an empty result. Extra columns are ignored.
 """
@@ -25,9 +28,8 @@ an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -38,11 +40,14 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import LOWER, Scratch, open_fs, rows
 
-PARTS, PART_BITS = 64, 6
+#: Occurrences of the contexts of a part, about, and the most parts of a level.
+SPAN, PARTS = 2_000_000, 65_536
+#: Tasks that build the parts of a level, at most, and bytes of parts that a worker keeps where files are no maps.
+TASKS, KEPT = 20_000, 512 << 20
 ORDER = 3
 DISCOUNT = 0.75
-#: n-grams with fewer occurrences are left out.
-LEAST = 2
+#: n-grams with fewer occurrences are left out by default.
+LEAST = 1
 #: Quantised values are steps of 2**-12 in log10, up to 16.
 STEP = 4096
 #: Distinct n-grams that a task holds before it passes them on.
@@ -205,30 +210,71 @@ def save(root: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     fs.move(temporary, f"{base}/{name}")
 
 
-def load(root: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped. From a store that cannot be mapped it is copied once a worker."""
+def load(root: str, name: str) -> tuple[dict[str, np.ndarray], int]:
+    """The arrays of a file, and the bytes that they hold in memory: none where the file is a map."""
     fs, base = open_fs(root)
-    path = f"{base}/{name}"
-    if fs.type_name != "local":
-        copy = os.path.join(tempfile.mkdtemp(), name)
-        with fs.open_input_stream(path) as f, open(copy, "wb") as g:
-            while x := f.read(1 << 24):
-                g.write(x)
-        path = copy
-    data = np.memmap(path, np.uint8, "r")
+    path, held = f"{base}/{name}", 0
+    if fs.type_name == "local":
+        data = np.memmap(path, np.uint8, "r")
+    else:
+        with fs.open_input_file(path) as f:
+            data = np.frombuffer(f.read_buffer(), np.uint8)
+        held = len(data)
     size = int.from_bytes(data[:64].tobytes(), "little")
     start = 64 + -(-size // 64) * 64
-    return {k: np.asarray(data[start + a : start + a + n * np.dtype(t).itemsize].view(t)) for k, (a, t, n) in json.loads(data[64 : 64 + size].tobytes()).items()}
+    head = json.loads(data[64 : 64 + size].tobytes())
+    return {k: np.asarray(data[start + a : start + a + n * np.dtype(t).itemsize].view(t)) for k, (a, t, n) in head.items()}, held
+
+
+class Parts:
+    """Parts of a model, opened when they are asked for; beyond a bound the longest unused go."""
+
+    def __init__(self, root: str, most: int = 20_000):
+        self.root, self.most, self.open, self.bytes = root, most, OrderedDict(), 0
+
+    def get(self, name: str, kind):
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name][0]
+        arrays, held = load(self.root, name)
+        self.open[name] = (kind(arrays), held)
+        self.bytes += held
+        while len(self.open) > 1 and (self.bytes > KEPT or len(self.open) > self.most):
+            _, (_, gone) = self.open.popitem(last=False)
+            self.bytes -= gone
+        return self.open[name][0]
+
+
+PAIR = np.dtype([("ctx", _U), ("word", _U)])
+
+
+def paired(ctx: np.ndarray, word: np.ndarray, shift: int, top: int) -> np.ndarray:
+    """Keys that sort by context and word; top: the largest context."""
+    if int(top) >> (64 - shift) == 0:
+        return (ctx.astype(_U) << _U(shift)) | word.astype(_U)
+    out = np.empty(len(ctx), PAIR)
+    out["ctx"], out["word"] = ctx, word
+    return out
+
+
+def unpaired(key: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    if key.dtype == PAIR:
+        return key["ctx"].astype(np.int64), key["word"].astype(np.int64)
+    return (key >> _U(shift)).astype(np.int64), (key & ((_U(1) << _U(shift)) - _U(1))).astype(np.int64)
 
 
 class Words:
-    """Ids and counts of words: sorted hashes by part."""
+    """Ids and counts of words: sorted hashes by part, a part for each value of the leading bits."""
+
+    def __init__(self, parts: Parts):
+        meta, _ = load(parts.root, "meta1")
+        self.parts, sizes = parts, meta["n"]
+        self.bits = len(sizes).bit_length() - 1
+        self.offsets = np.append(0, np.cumsum(sizes))
+        self.types, self.total = int(self.offsets[-1]), int(meta["total"][0])
 
-    def __init__(self, root: str):
-        parts = [load(root, f"words-{p:03d}") for p in range(PARTS)]
-        self.hashes, self.counts = [p["hashes"] for p in parts], [p["counts"] for p in parts]
-        self.offsets = np.append(0, np.cumsum([len(h) for h in self.hashes]))
-        self.types, self.total = int(self.offsets[-1]), sum(int(c.sum()) for c in self.counts)
+    def of(self, p: int) -> dict[str, np.ndarray]:
+        return self.parts.get(f"words-{p:05d}", dict)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts); unknown words have the id types and the count 0."""
@@ -238,37 +284,52 @@ class Words:
         one, back = one[new], np.empty(len(h), np.int64)
         back[order] = np.cumsum(new) - 1
         ids, counts = np.full(len(one), self.types, np.int64), np.zeros(len(one), np.int64)
-        cut = np.searchsorted(one, np.arange(1, PARTS, dtype=_U) << _U(64 - PART_BITS))
-        for p, (a, b) in enumerate(zip(np.append(0, cut), np.append(cut, len(one)), strict=True)):
-            own = self.hashes[p]
-            if a < b and len(own):
-                at = np.minimum(np.searchsorted(own, one[a:b]), len(own) - 1)
-                ok = own[at] == one[a:b]
-                ids[a:b][ok] = self.offsets[p] + at[ok]
-                counts[a:b][ok] = self.counts[p][at[ok]]
+        cut = np.append(np.searchsorted(one, leading(self.bits)), len(one))
+        for p in np.flatnonzero((cut[1:] > cut[:-1]) & (self.offsets[1:] > self.offsets[:-1])):
+            a, b, own = cut[p], cut[p + 1], self.of(p)
+            at = np.minimum(np.searchsorted(own["hashes"], one[a:b]), len(own["hashes"]) - 1)
+            ok = own["hashes"][at] == one[a:b]
+            ids[a:b][ok] = self.offsets[p] + at[ok]
+            counts[a:b][ok] = own["counts"][at[ok]]
         return ids[back], counts[back]
 
-    def part(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, ids, side="right") - 1
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by id; 0 for the unknown."""
+        one, back = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(one), np.int64)
+        part = np.searchsorted(self.offsets, one, side="right") - 1
+        for p in np.unique(part[one < self.types]):
+            own = (part == p) & (one < self.types)
+            out[own] = self.of(p)["counts"][one[own] - self.offsets[p]]
+        return out[back]
+
+    def log_p(self, counts: np.ndarray) -> np.ndarray:
+        """log10 of the add-one probability."""
+        return np.log10((counts + 1) / (self.total + self.types + 1))
+
+
+def leading(bits: int) -> np.ndarray:
+    """The smallest hash of each part."""
+    return np.arange(1 << bits, dtype=_U) << _U(64 - bits) if bits else np.zeros(1, _U)
 
 
 class Model:
-    """An n-gram's place counts through all parts in turn; a word's place is its id."""
+    """An n-gram's place counts through all parts of its level in turn; a word's place is its id.
 
-    def __init__(self, root: str, levels: int):
-        self.root, self.words = root, Words(root)
-        self.levels = [[Level(load(root, f"level{k}-{p:03d}")) for p in range(PARTS)] for k in range(2, levels + 1)]
-        self.offsets = [self.words.offsets, *(np.append(0, np.cumsum([x.words.n for x in level])) for level in self.levels)]
-        #: A key is a context's place above a word's id.
-        self.shift = _U(max(1, self.words.types.bit_length()))
-        if max(int(x[-1]) for x in self.offsets) >> (64 - int(self.shift)):
-            raise ValueError("places and word ids need more than 64 bits: leave out rarer n-grams")
+    bounds[k]: where the contexts of each part of level k begin, and their end; offsets[k]: the same of its n-grams.
+    """
 
-    def key(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return (ctx.astype(_U) << self.shift) | word.astype(_U)
+    def __init__(self, root: str, levels: int):
+        self.root, self.parts = root, Parts(root)
+        self.words = Words(self.parts)
+        self.top, self.bounds, self.offsets = levels, {}, {1: self.words.offsets}
+        for k in range(2, levels + 1):
+            meta, _ = load(root, f"meta{k}")
+            self.bounds[k], self.offsets[k] = meta["bounds"], np.append(0, np.cumsum(meta["n"]))
+        self.shift = max(1, self.words.types.bit_length())
 
-    def unkey(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (key >> self.shift).astype(np.int64), (key & ((_U(1) << self.shift) - _U(1))).astype(np.int64)
+    def level(self, k: int, part: int) -> Level:
+        return self.parts.get(f"level{k}-{part:05d}", Level)
 
     def look_up(self, k: int, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For n-grams of order k: their places or -1, log10 probabilities (0 if absent), and log10 back-off weights of the contexts.
@@ -277,16 +338,17 @@ class Model:
         """
         at, p, rest = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx))
         use = np.flatnonzero(ctx >= 0)
-        key = self.key(ctx[use], word[use])
+        bounds, offsets = self.bounds[k], self.offsets[k]
+        key = paired(ctx[use], word[use], self.shift, bounds[-1])
         order = np.argsort(key)
         key = key[order]
         new = np.append(True, key[1:] != key[:-1])[: len(key)]
-        c, w = self.unkey(key[new])
+        c, w = unpaired(key[new], self.shift)
         found, of_p, of_rest = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
-        offsets, cut = self.offsets[k - 1], np.searchsorted(c, self.offsets[k - 2])
+        cut = np.searchsorted(c, bounds)
         for q in np.flatnonzero(cut[1:] > cut[:-1]):
-            own, level = slice(cut[q], cut[q + 1]), self.levels[k - 2][q]
-            local = c[own] - self.offsets[k - 2][q]
+            own, level = slice(cut[q], cut[q + 1]), self.level(k, q)
+            local = c[own] - bounds[q]
             place = level.find(local, w[own])
             ok = place >= 0
             of_p[own][ok] = restored(level.p[place[ok]])
@@ -322,7 +384,7 @@ class Model:
     def scores(self, ids: np.ndarray, uni: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each token; uni: that of the unigrams; first: where texts begin."""
         log_p = uni
-        for k, _, at, p, rest in self.walk(len(self.levels) + 1, ids, first):
+        for k, _, at, p, rest in self.walk(self.top, ids, first):
             if k > 1:
                 log_p = np.where(at >= 0, p, log_p + rest)
         return log_p
@@ -336,32 +398,33 @@ def opened(root: str, levels: int) -> Model:
 COUNTS = "part int, keys binary, counts binary"
 
 
-def _told(keys: np.ndarray, counts: np.ndarray, cut: np.ndarray):
-    """A row for each part. Numbers are stored byte by byte, so that equal bytes lie together."""
-    own = [p for p in range(PARTS) if cut[p + 1] > cut[p]]
+def _told(keys: np.ndarray, counts: np.ndarray, cut: np.ndarray, local):
+    """A row for each part, its keys as local() gives them. Numbers are stored byte by byte, so that equal bytes lie together."""
+    own = [p for p in range(len(cut) - 1) if cut[p + 1] > cut[p]]
 
     def raw(x):
-        return [np.ascontiguousarray(x[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8).T).tobytes() for p in own]
+        return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(raw(keys), pa.binary()), pa.array(raw(counts), pa.binary())], names=["part", "keys", "counts"])
+    keys_ = [raw(local(p, keys[cut[p] : cut[p + 1]])) for p in own]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(keys_, pa.binary()), pa.array([raw(counts[cut[p] : cut[p + 1]]) for p in own], pa.binary())], names=["part", "keys", "counts"])
 
 
 def _read(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _counting(of_batch, cut_at):
+def _counting(of_batch, cut_at, local=lambda p, keys: keys):
     """Sums the keys that of_batch gives for each batch, and passes them on when there are many.
 
     cut_at gives, for sorted keys, where each part begins, and their number.
     """
 
     def run(batches):
-        keys, counts, fresh, size = np.empty(0, _U), np.empty(0, np.int64), [], 0
+        keys, counts, fresh, size = None, np.empty(0, np.int64), [], 0
 
         def merged():
             one = summed(np.concatenate(fresh), None)
-            return summed(np.concatenate((keys, one[0])), np.concatenate((counts, one[1])))
+            return one if keys is None else summed(np.concatenate((keys, one[0])), np.concatenate((counts, one[1])))
 
         for b in batches:
             for part in rows([b], 1000):
@@ -372,25 +435,29 @@ def _counting(of_batch, cut_at):
                     keys, counts = merged()
                     fresh, size = [], 0
                     if len(keys) >= HELD:
-                        yield _told(keys, counts, cut_at(keys))
-                        keys, counts = keys[:0], counts[:0]
+                        yield _told(keys, counts, cut_at(keys), local)
+                        keys, counts = None, counts[:0]
         if fresh:
             keys, counts = merged()
-        if len(keys):
-            yield _told(keys, counts, cut_at(keys))
+        if keys is not None and len(keys):
+            yield _told(keys, counts, cut_at(keys), local)
 
     return run
 
 
+BUILT = "part int, n long, total long, cuts array<long>"
+
+
 def _by_part(finish):
-    """Merges the rows of each part and calls finish(part, keys, counts)."""
+    """Merges the rows of each part and calls finish(part, keys, counts), which gives n, total and cuts."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("cuts", pa.list_(pa.int64()))])
 
     def run(batches):
         now, keys, counts, size = None, [], [], 0
 
         def done():
             k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            return pa.RecordBatch.from_pylist([dict(zip(("part", "n"), finish(now, k, c), strict=True))], schema=pa.schema([("part", pa.int32()), ("n", pa.int64())]))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (now, *finish(now, k, c)), strict=True))], schema=schema)
 
         for b in rows(batches, 16):
             for p, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -410,46 +477,61 @@ def _by_part(finish):
     return run
 
 
-def _all_parts(spark) -> DataFrame:
-    """An empty row for each part, so that each is written."""
-    return spark.range(PARTS).selectExpr("cast(id as int) as part", "cast('' as binary) as keys", "cast('' as binary) as counts")
+def _built(counts: DataFrame, parts: int, finish) -> list:
+    """What finish gives for each part, in order. Every part gets an empty row too, so that each is written."""
+    empty = counts.sparkSession.range(parts).selectExpr("cast(id as int) as part", "cast('' as binary) as keys", "cast('' as binary) as counts")
+    tasks = min(parts, TASKS)
+    dealt = counts.union(empty).repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+    return sorted(dealt.mapInArrow(_by_part(finish), BUILT).collect())
 
 
-def _built(counts: DataFrame, finish) -> int:
-    spark = counts.sparkSession
-    dealt = counts.union(_all_parts(spark)).repartition(PARTS, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_by_part(finish), "part int, n long").agg(F.sum("n")).first()[0]
+def cuts_of(counts: np.ndarray, span: int) -> list[int]:
+    """Where ranges of about span occurrences begin."""
+    if not len(counts):
+        return [0]
+    at = (np.cumsum(counts) - counts) // span
+    return np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist()
 
 
 class Training:
     """What the passes over the corpus share. All state is files below root."""
 
-    def __init__(self, docs: DataFrame, order: int = ORDER):
+    def __init__(self, docs: DataFrame, order: int = ORDER, least: int = LEAST, span: int = SPAN):
         """docs: doc_id, text and a boolean held_out."""
-        self.spark, self.order = docs.sparkSession, order
+        self.spark, self.order, self.least, self.span = docs.sparkSession, order, least, span
         self.scratch = Scratch(self.spark, "ngram")
         self.root = f"{self.scratch.root}/model"
         self.docs = docs
 
     def count_words(self) -> None:
+        size = self.docs.where("not held_out").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        # Words have six bytes, about.
+        bits = min(PARTS, max(1, size // 6 // self.span)).bit_length()
+
         def of_batch(b):
             return np.concatenate([np.array(hashes(t), _U) for t in b.column(0).to_pylist()] or [np.empty(0, _U)])
 
         def cut_at(keys):
-            return np.append(np.searchsorted(keys, np.arange(PARTS, dtype=_U) << _U(64 - PART_BITS)), len(keys))
+            return np.append(np.searchsorted(keys, leading(bits)), len(keys))
 
-        root = self.root
+        root, span = self.root, max(self.span, size // 6 // PARTS)
+        self.span = span
 
         def finish(part, keys, counts):
-            save(root, f"words-{part:03d}", {"hashes": keys, "counts": counts})
-            return part, len(keys)
+            save(root, f"words-{part:05d}", {"hashes": keys, "counts": counts})
+            return len(keys), int(counts.sum()), cuts_of(counts, span)
 
         train = self.docs.where("not held_out").select("text")
-        _built(train.mapInArrow(_counting(of_batch, cut_at), COUNTS), finish)
+        done = _built(train.mapInArrow(_counting(of_batch, cut_at), COUNTS), 1 << bits, finish)
+        save(root, "meta1", {"n": np.array([r.n for r in done], np.int64), "total": np.array([sum(r.total for r in done)], np.int64)})
+        self.types = sum(r.n for r in done)
+        self.next = done
 
     def encode(self) -> None:
         """The table of word ids; base scores are taken here, where counts are at hand."""
         root = self.root
+        # Ids take 32 bits while they fit, the unknown word's among them.
+        short = self.types < 2**32 - 1
 
         def run(batches):
             words = opened(root, 1).words
@@ -457,49 +539,58 @@ class Training:
                 each = [hashes(t) for t in b.column(1).to_pylist()]
                 size = np.array([len(x) for x in each], np.int64)
                 ids, counts = words.look_up(np.concatenate([np.array(x, _U) for x in each] or [np.empty(0, _U)]))
-                log_p = np.log10((counts + 1) / (words.total + words.types + 1))
+                log_p = words.log_p(counts)
                 at = np.append(0, np.cumsum(size))[:-1]
                 known = np.add.reduceat((counts > 0).astype(np.int64), at) if len(at) else at
                 base = np.add.reduceat(log_p, at) if len(at) else at
-                flat = pa.array(ids.astype(np.uint32).view(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
+                flat_ = pa.array(ids.astype(np.uint32).view(np.int32) if short else ids)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat_)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists, pa.array(known), pa.array(base, pa.float64())], names=["doc_id", "held_out", "ids", "n_known", "base_score"])
 
         d = self.docs.select("doc_id", "text", "held_out")
         kind = d.schema["doc_id"].dataType.simpleString()
-        self.coded = self.scratch.store(d.mapInArrow(run, f"doc_id {kind}, held_out boolean, ids array<int>, n_known long, base_score double"), "ids")
+        self.coded = self.scratch.store(d.mapInArrow(run, f"doc_id {kind}, held_out boolean, ids array<{'int' if short else 'long'}>, n_known long, base_score double"), "ids")
 
     def count_grams(self, k: int) -> None:
-        """Level k from the table of ids: contexts are the (k-1)-grams that were kept."""
-        root = self.root
+        """Level k from the table of ids: contexts are the (k-1)-grams that were kept, cut where the level before says."""
+        root, least, span = self.root, self.least, self.span
+        offsets = np.append(0, np.cumsum([r.n for r in self.next]))
+        starts = sorted({int(offsets[i]) + c for i, r in enumerate(self.next) if r.n for c in r.cuts})
+        bounds = np.array([*(starts or [0]), int(offsets[-1])], np.int64)
+        save(root, f"bounds{k}", {"bounds": bounds})
 
         def of_batch(b):
             model = opened(root, k - 1)
             ids, first = flat(b.column(0))
             ctx = model.contexts(k, ids, first) if len(ids) else ids
-            return model.key(ctx[ctx >= 0], ids[ctx >= 0])
+            return paired(ctx[ctx >= 0], ids[ctx >= 0], model.shift, model.offsets[k - 1][-1])
 
         def cut_at(keys):
-            model = opened(root, k - 1)
-            return np.searchsorted(model.unkey(keys)[0], model.offsets[k - 2])
+            return np.searchsorted(unpaired(keys, opened(root, k - 1).shift)[0], cached(root, k))
+
+        def local(p, keys):
+            shift = opened(root, k - 1).shift
+            ctx, word = unpaired(keys, shift)
+            return paired(ctx - cached(root, k)[p], word, shift, 0)
 
         def finish(part, keys, counts):
             model = opened(root, k - 1)
-            start, end = model.offsets[k - 2][part : part + 2]
+            start, end = cached(root, k)[part : part + 2]
             contexts = int(end - start)
-            ctx, word = model.unkey(keys)
-            ctx -= start
+            ctx, word = unpaired(keys, model.shift)
             total = np.bincount(ctx, counts, contexts)
-            keep = counts >= LEAST
+            keep = counts >= least
             ctx, word, c = ctx[keep], word[keep], counts[keep]
             direct = (c - DISCOUNT) / total[ctx] if len(c) else np.empty(0)
             rest = 1 - np.bincount(ctx, direct, contexts)
-            p = direct + rest[ctx] * 10 ** backed_off(model, spelled(model, part, ctx, k - 1), word)
-            save(root, f"level{k}-{part:03d}", Level.arrays(contexts, ctx, word, p, rest))
-            return part, len(ctx)
+            p = direct + rest[ctx] * 10 ** backed_off(model, spelled(model, ctx + start, k - 1), word)
+            save(root, f"level{k}-{part:05d}", Level.arrays(contexts, ctx, word, p, rest))
+            return len(ctx), int(c.sum()), cuts_of(c, span)
 
         train = self.coded.where("not held_out").select("ids")
-        _built(train.mapInArrow(_counting(of_batch, cut_at), COUNTS), finish)
+        done = _built(train.mapInArrow(_counting(of_batch, cut_at, local), COUNTS), len(bounds) - 1, finish)
+        save(root, f"meta{k}", {"n": np.array([r.n for r in done], np.int64), "bounds": bounds})
+        self.next = done
 
     def run(self) -> None:
         self.count_words()
@@ -508,16 +599,28 @@ class Training:
             self.count_grams(k)
 
 
-def spelled(model: Model, part: int, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """The words of n-grams of a part, by their places, without each one's first."""
+@lru_cache(maxsize=4)
+def cached(root: str, k: int) -> np.ndarray:
+    """Where the contexts of the parts of a level that is being built begin, and their end."""
+    return np.array(load(root, f"bounds{k}")[0]["bounds"])
+
+
+def spelled(model: Model, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """The words of n-grams that lie in one part, by their places; of order 2 and more without each one's first."""
+    if n == 1:
+        return []
     out = []
     for j in range(n, 1, -1):
-        level = model.levels[j - 2][part]
-        up = owner(level, at)
+        if not len(at):
+            out.append(at)
+            continue
+        part = int(np.searchsorted(model.offsets[j], at[0], side="right")) - 1
+        level, place = model.level(j, part), at - model.offsets[j][part]
+        up = owner(level, place)
         begin = level.begin[up]
         base = np.where(begin > 0, level.words[np.maximum(begin - 1, 0)], 0)
-        out.append(level.words[at] - base - 1)
-        at = up
+        out.append(level.words[place] - base - 1)
+        at = up + model.bounds[j][part]
     return out[::-1]
 
 
@@ -527,11 +630,7 @@ def backed_off(model: Model, context: list[np.ndarray], word: np.ndarray) -> np.
     if not len(word):
         return np.empty(0)
     if not context:
-        counts, own = np.zeros(len(word), np.int64), words.part(word)
-        for q in np.unique(own):
-            at = np.flatnonzero(own == q)
-            counts[at] = words.counts[q][word[at] - words.offsets[q]]
-        return np.log10((counts + 1) / (words.total + words.types + 1))
+        return words.log_p(words.counts(word))
     place = context[0]
     for j, w in enumerate([*context[1:], word], start=2):
         place, p, rest = model.look_up(j, place, w)
@@ -551,17 +650,21 @@ def owner(level: Level, at: np.ndarray) -> np.ndarray:
 
 def flat(lists) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a batch, and where texts begin."""
-    ids = np.asarray(lists.flatten()).view(np.uint32).astype(np.int64)
+    ids = np.asarray(lists.flatten())
+    ids = ids.view(np.uint32).astype(np.int64) if ids.dtype == np.int32 else ids
     size = np.asarray(lists.value_lengths())
     first = np.zeros(len(ids), bool)
     first[(np.cumsum(size) - size)[size > 0]] = True
     return ids, first
 
 
-def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
-    """Trains on the rows of docs (doc_id, text) where the column held_out is false, and scores all rows."""
+def score(docs: DataFrame, held_out, order: int = ORDER, least: int = LEAST, span: int = SPAN) -> DataFrame:
+    """Trains on the rows of docs (doc_id, text) where the column held_out is false, and scores all rows.
+
+    least: n-grams of order 2 and more that occur less often are left out. span: occurrences of the contexts of a part.
+    """
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    t = Training(d, order)
+    t = Training(d, order, least, span)
     t.run()
     root = t.root
 
@@ -570,16 +673,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
         words = model.words
         for b in rows(batches, 500):
             ids, first = flat(b.column(2))
-            counts = np.zeros(len(ids), np.int64)
-            one, back = np.unique(ids, return_inverse=True)
-            c = np.zeros(len(one), np.int64)
-            q = words.part(np.minimum(one, max(0, words.types - 1)))
-            for p in np.unique(q):
-                own = (q == p) & (one < words.types)
-                c[own] = words.counts[p][one[own] - words.offsets[p]]
-            counts = c[back]
-            uni = np.log10((counts + 1) / (words.total + words.types + 1))
-            log_p = model.scores(ids, uni, first)
+            log_p = model.scores(ids, words.log_p(words.counts(ids)), first)
             at = np.flatnonzero(first)
             total = np.add.reduceat(log_p, at) if len(at) else np.empty(0)
             size = pa.array(np.asarray(b.column(2).value_lengths()), pa.int64())
