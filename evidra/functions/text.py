@@ -29,9 +29,9 @@ LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 def folded(x: Column) -> Column:
     """x for comparison without regard to case."""
-    one = F.lower(F.translate(x, "".join(a for a, _ in _ONE), "".join(b for _, b in _ONE)))
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MORE))
-    more = F.aggregate(pairs, one, lambda s, p: F.replace(s, p["a"], p["b"]))
+    one = F.translate(F.lower(x), "".join(a for a, _ in _ONE), "".join(b for _, b in _ONE))
+    table = F.str_to_map(F.lit("|".join(f"{a}={b}" for a, b in _MORE)), F.lit("[|]"), F.lit("="))
+    more = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.when(one.rlike("[" + "".join(a for a, _ in _MORE) + "]"), more).otherwise(one)
 
 
