@@ -13,6 +13,10 @@ So partners at the threshold are made for vectors of the sample, and tables are
 them meet; the full distance allowed is the largest among them. Where MOST tables are not enough, the
 substring gets shorter, which costs comparisons instead of links. Tests measure recall against brute force.
 
+Substrings that CROWD vectors or more share are not joined vector by vector: their vectors are dealt into blocks of about BLOCK by hash, and
+blocks of equal or neighbouring substrings are compared by matrix products. What comes out is the number of links of each vector and
+a spanning forest, so a group of near copies costs multiplications, not rows.
+
 Vectors have a model by their length; those of lengths with too few vectors in the sample get random projections of
 as many tables. Only vectors of one length are compared.
 
@@ -50,6 +54,8 @@ RECALL, PARTNERS = 0.993, 6000
 HELD = 4000
 #: Up to so many tables the conditions on a pair are written out for compiled code.
 WRITTEN = 16
+#: Vectors of a substring from which on it is compared in blocks, and vectors of a block, about.
+CROWD, BLOCK = 64, 256
 ROTATIONS_STEPS = 40
 COSINE = 0.93
 
@@ -202,6 +208,80 @@ def _reranked(least: float):
     return rerank
 
 
+def linked_block(t: int, same: bool, x, y, sizes, codes, far: int, least: float):
+    """(links of each vector of x and of y, weighted by the other's size; (i, root) pairs that span what links connect).
+
+    x, y: unit vectors of two blocks, or one twice (same); sizes, codes: pairs of arrays for both. Only pairs that no table
+    before t yields count. Roots and i are places in x and then y.
+    """
+    near = np.ones((len(x), len(y)), bool)
+    total = np.zeros((len(x), len(y)), np.int64)
+    for k in range(codes[0].shape[1]):
+        apart = np.bitwise_count(codes[0][:, k][:, None] ^ codes[1][:, k][None, :])
+        total += apart
+        if k < t:
+            near &= apart > 1
+        elif k == t:
+            near &= apart <= 1
+    near &= (total <= far) & (x @ y.T >= least)
+    if same:
+        np.fill_diagonal(near, False)
+        root = np.arange(len(x))
+        while True:
+            low = np.minimum(root, np.where(near, root[None, :], len(x)).min(axis=1, initial=len(x)))
+            if (low == root).all():
+                break
+            root = low
+        return near @ sizes[1], None, [(i, int(r)) for i, r in enumerate(root) if r != i]
+    m, n = len(x), len(y)
+    left, right = np.arange(m), np.arange(m, m + n)
+    while True:
+        a = np.minimum(left, np.where(near, right[None, :], m + n).min(axis=1, initial=m + n))
+        b = np.minimum(right, np.where(near, a[:, None], m + n).min(axis=0, initial=m + n))
+        if (a == left).all() and (b == right).all():
+            break
+        left, right = a, b
+    span = [(i, int(r)) for i, r in enumerate(np.concatenate((left, right))) if r != i]
+    return near @ sizes[1], sizes[0] @ near, span
+
+
+def _products(far: int, least: float):
+    form = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("others", pa.int64())])
+
+    def run(batches):
+        for batch in rows(batches, 4):
+            for r in batch.to_pylist():
+                same = r["x"]["bid"] == r["y"]["bid"]
+                blocks = [(np.array(z["nodes"]), np.array(z["sizes"]), np.array(z["codes"], np.uint32).reshape(len(z["nodes"]), -1), np.frombuffer(b"".join(z["units"])).reshape(len(z["nodes"]), -1)) for z in (r["x"], r["y"])]
+                (node_x, size_x, code_x, unit_x), (node_y, size_y, code_y, unit_y) = blocks
+                of_x, of_y, span = linked_block(r["t"], same, unit_x, unit_y, (size_x, size_y), (code_x, code_y), far, least)
+                nodes = node_x if same else np.concatenate((node_x, node_y))
+                told = [(node_x, of_x)] + ([] if same else [(node_y, of_y)])
+                out = [(int(v), None, int(k)) for ids, counts in told for v, k in zip(ids, counts, strict=True) if k]
+                out += [(int(nodes[i]), int(nodes[k]), 0) for i, k in span]
+                yield pa.RecordBatch.from_pylist([dict(zip(form.names, x, strict=True)) for x in out], schema=form)
+
+    return run
+
+
+def _crowded(scratch: Scratch, nodes: DataFrame, cells: DataFrame, crowds: DataFrame, width: int, far: int, cosine: float) -> DataFrame:
+    """(a, b, others) from the blocks of crowded cells: links of a where b is null, else a and b are connected."""
+    cell = ["label", "dims", "t", "key"]
+    member = cells.join(crowds, cell).withColumn("block", F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("members") / BLOCK)))
+    full = member.join(nodes.select("node", "n", "unit"), "node")
+    one = F.collect_list(F.struct("node", "n", "codes", "unit")).alias("v")
+    blocks = full.groupBy(*cell, "block").agg(one).withColumn("bid", F.monotonically_increasing_id())
+    each = lambda f: F.transform("v", lambda x: x[f])
+    packed = F.struct("bid", each("node").alias("nodes"), each("n").alias("sizes"), F.flatten(each("codes")).alias("codes"), each("unit").alias("units"))
+    blocks = scratch.store(blocks.select(*cell, "bid", packed.alias("x")), "blocks")
+    flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i)))
+    # Pairs are met by number, so blocks travel only to where they are compared.
+    asking = blocks.select("label", "dims", "t", "bid", F.explode(F.concat(F.array("key"), flips)).alias("key"))
+    met = asking.join(blocks.select(*cell, F.col("bid").alias("of")), cell).where("bid <= of").select("t", "bid", "of")
+    both = met.join(blocks.select("bid", "x"), "bid").join(blocks.select(F.col("bid").alias("of"), F.col("x").alias("y")), "of")
+    return scratch.store(both.select("t", "x", "y").mapInArrow(_products(far, cosine), "a long, b long, others long"), "products")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, width: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
@@ -224,7 +304,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     nodes = scratch.store(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     cells = nodes.select("node", "label", "dims", "codes", F.posexplode("codes").alias("t", "key"))
     near = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i)))))
-    probes = cells.select("node", "label", "dims", "codes", "t", near.alias("key"))
+    crowds = cells.groupBy("label", "dims", "t", "key").agg(F.count("*").alias("members")).where(F.col("members") >= CROWD)
+    crowds = scratch.store(crowds, "crowds")
+    products = None
+    if not crowds.isEmpty():
+        products = _crowded(scratch, nodes, cells, crowds, width, far, cosine)
+        cells = cells.join(crowds.withColumnRenamed("members", "crowd"), ["label", "dims", "t", "key"], "left").withColumn("crowd", F.col("crowd").isNotNull())
+        cells = scratch.store(cells, "cells")
+    else:
+        cells = cells.withColumn("crowd", F.lit(False))
+    # Vectors of crowded cells are found by those of others, and by each other in blocks.
+    probes = cells.where("not crowd").select("node", "label", "dims", "codes", "t", near.alias("key"))
     if tables <= WRITTEN:
         apart = [f"bit_count(a.codes[{j}] ^ b.codes[{j}])" for j in range(tables)]
         first = " and ".join(f"(a.t <= {j} or {x} > 1)" for j, x in enumerate(apart))
@@ -233,7 +323,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         apart = "zip_with(a.codes, b.codes, (x, y) -> bit_count(x ^ y))"
         first = f"not exists(slice({apart}, 1, a.t), d -> d <= 1)"
         total = f"aggregate({apart}, 0, (s, d) -> s + d)"
-    met = probes.alias("a").join(cells.alias("b"), F.expr(f"a.label = b.label and a.dims = b.dims and a.t = b.t and a.key = b.key and a.node < b.node and {total} <= {far} and {first}"))
+    met = probes.alias("a").join(cells.alias("b"), F.expr(f"a.label = b.label and a.dims = b.dims and a.t = b.t and a.key = b.key and (b.crowd or a.node < b.node) and {total} <= {far} and {first}"))
     pairs = scratch.store(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "pairs")
     x = nodes.select(F.col("node").alias("a"), F.col("unit").alias("of_a"))
     y = nodes.select(F.col("node").alias("b"), F.col("unit").alias("of_b"))
@@ -241,7 +331,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     links = scratch.store(full.mapInArrow(_reranked(cosine), "a long, b long"), "links")
     sizes = nodes.select(F.col("node").alias("b"), "n")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    counts = both.join(sizes, "b").select("a", F.col("n").alias("others"))
+    if products is not None:
+        counts = counts.union(products.where("b is null").select("a", "others"))
+        links = links.union(products.where("b is not null").select("a", "b"))
+    linked = counts.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
     counted = nodes.join(linked, "node", "left").select("node", "label", "same", "id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     owned = whole.select(F.col("vec_id").alias("id"), "label", "same").distinct().join(nodes.select("label", "same", "node"), ["label", "same"]).select("id", "node")
     told = scratch.store(reached(scratch, counted, links, owned).drop("node"), "told")
