@@ -62,12 +62,13 @@ def q_tracking_params(spark, sf_dir):
     return each.where(U.is_tracking(F.col("p.k"))).groupBy(F.col("p.k").alias("parameter")).agg(F.count("*").alias("n"))
 
 
-_PROFILES = ["https://linkedin.com/in/ann-lee/?trk=x", "http://www.LinkedIn.com/in/bo", "https://linkedin.com.evil.test/in/bo", "https://www.linkedin.com/company/acme", "https://de.linkedin.com/in/bo", "/in/bo"]
+#: Addresses by number: profiles in several forms, and what only looks like one.
+_PROFILES = "page_id, concat(case page_id % 8 when 0 then 'https://linkedin.com/in/p' when 1 then 'http://www.LinkedIn.com/in/p' when 2 then 'https://linkedin.com.evil.test/in/p' when 3 then 'https://www.linkedin.com/company/p' when 4 then 'https://de.linkedin.com/in/p' when 5 then '/in/p' when 6 then 'https://www.linkedin.com:443/in/p' else 'https://linkedin.com/in/a/p' end, page_id, case page_id % 3 when 0 then '/' when 1 then '?trk=x' else '' end) as url"
 
 
-@query("select * from (values ('" + "'), ('".join(_PROFILES) + "')) t(url) join (values ('" + _PROFILES[0] + "', 'https://www.linkedin.com/in/ann-lee'), ('" + _PROFILES[1] + "', 'https://www.linkedin.com/in/bo'), " + ", ".join(f"('{x}', null)" for x in _PROFILES[2:]) + ") p(url, profile) using (url)")
+@query(f"select page_id, url, case when regexp_matches(url, '(?i)^https?://(?:www[.])?linkedin[.]com(?::443)?/in/[^/?#]+/?(?:[?#].*)?$') then 'https://www.linkedin.com/in/' || regexp_extract(url, '/in/([^/?#]+)', 1) end as profile from (select {_PROFILES} from pages)")
 def q_profile_url(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _PROFILES], "url string").select("url", U.profile_url(F.col("url")).alias("profile"))
+    return table(spark, sf_dir, "pages").selectExpr("page_id", _PROFILES.removeprefix("page_id, ")).withColumn("profile", U.profile_url(F.col("url")))
 
 
 @query("select page_id, cast(octet_length(encode(html)) as bigint) as html_bytes, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) as title from pages")
@@ -139,9 +140,15 @@ def _crawled(spark, sf_dir):
 _TOPK = _CAPPED.replace("@seen@", str(frontier.SEEN))
 
 
-@query(f"with {_RANKED} select priority, cast(count(*) as bigint) as n from ranked group by 1")
+#: Words put behind a link's path, by number.
+_TAILS = ["team", "login", "blog/contact", "pricing", "a.pdf", "careers-x", "x", "our_people", "docs", "sales?cart=1"]
+_RANKED_TAILS = _RANKED.replace("from u),\nranked", "from (select * replace (concat(url, '/', ['" + "', '".join(_TAILS) + f"'][cast((pos + length(url)) % {len(_TAILS)} as integer) + 1]) as url) from u)),\nranked")
+
+
+@query(f"with {_RANKED_TAILS} select priority, cast(count(*) as bigint) as n from ranked group by 1")
 def q_link_priority(spark, sf_dir):
-    l = frontier.page_links(table(spark, sf_dir, "pages"))
+    words = F.array(*map(F.lit, _TAILS))
+    l = frontier.page_links(table(spark, sf_dir, "pages")).withColumn("url", F.concat("url", F.lit("/"), F.get(words, ((F.col("pos") + F.length("url")) % len(_TAILS)).cast("int"))))
     return l.withColumn("priority", frontier.priority(F.col("url"), F.col("text"))).groupBy("priority").agg(F.count("*").alias("n"))
 
 
@@ -340,12 +347,17 @@ _STATUS = "case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 403 els
 _BARE = "regexp_replace(regexp_replace(regexp_replace(html, '<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')"
 
 
+#: Pages by number: missing ones, challenges and short ones among them.
+_PROBLEMS = "case page_id % 5 when 1 then replace(html, '<title>', '<title>404 ') when 2 then concat('<title>Access denied</title><p>wait a moment, page ', page_id, '</p>') when 3 then '<p>tiny</p><script>of much script text that nobody reads</script>' else html end"
+
+
 @query(f"""
-with p as (select page_id, {_STATUS} as status, lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'))) as t, lower(trim({_BARE})) as v from pages)
+with q as (select page_id, {_PROBLEMS} as html from pages),
+p as (select page_id, {_STATUS} as status, lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'))) as t, lower(trim({_BARE})) as v from q)
 select page_id, status, case when status in (401, 403, 429) then 'access_blocked' when status >= 400 then 'http_' || status when regexp_matches(t, '{html.MISSING}') then 'soft_404'
   when length(v) < 3000 and (regexp_matches(t, '{html.BLOCKED}') or regexp_matches(v, '{html.CHALLENGE}')) then 'challenge' when length(v) < 30 then 'empty_content' end as problem from p""")
 def q_content_problem(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("p", html.parse(F.col("html"))).withColumn("status", F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 11 == 0, 403).otherwise(200))
+    p = table(spark, sf_dir, "pages").withColumn("p", html.parse(F.expr(_PROBLEMS))).withColumn("status", F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 11 == 0, 403).otherwise(200))
     return p.select("page_id", "status", html.content_problem(F.col("p.title"), F.col("p.shown"), F.col("status")).alias("problem"))
 
 
