@@ -41,9 +41,14 @@ class Tables:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def only(self, name: str) -> None:
+        """Drops all tables but one."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        root = fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for x in files.listStatus(root):
+            if x.getPath().getName() != name:
+                files.delete(x.getPath(), True)
 
 
 def process(domains: DataFrame, pages: Callable, provider: Callable, settings: Settings, store, policy=DestinationPolicy, search_send=None) -> DataFrame:
@@ -95,6 +100,7 @@ def run(spark: SparkSession, domains: list[str] | DataFrame, settings: Settings,
     results = none
     try:
         results = tables.store(process(d, pages, provider, settings, tables.store, policy, search_send), "results")
+        tables.only("results")
         head |= {"complete": True, "finished_at": datetime.now(UTC)}
         return head, results
     finally:
