@@ -8,13 +8,14 @@ follows the data; a part holds at least the followers of one context, at most as
 * followers: word ids made monotone over the level by adding, to those of a context, the last value of
   the context before; a word is found by a successor search within its context's range, relative to
   that base;
-* quantised log10 probabilities and, for contexts, quantised log10 back-off weights.
+* quantised log10 of discounted probabilities and, for contexts, quantised log10 back-off weights.
 
 Pointers and followers are Elias-Fano sequences. Files lie in the shared folder. Where that is a path, parts are memory maps that all
 workers of a machine share; else a worker reads the parts that it needs and forgets those it has not used for long. Nothing is copied to
 a machine's own folders.
 
-Probabilities are absolute discounting, interpolated, over add-one unigrams. n-grams from order 2 on
+Probabilities are absolute discounting, interpolated, over add-one unigrams: what an n-gram has itself, and its context's weight times
+the probability after one word less, which a scoring walk has just met. n-grams from order 2 on
 that occur less than `least` times are left out; their mass goes to the back-off weight, so each distribution sums to 1; with
 1 none is. Counts are taken over all training texts: each task sums what it reads before anything is shuffled, as
 sorted arrays by part. A second pass writes the texts as word ids, which the later passes read. Places and word ids share 64 bits while
@@ -92,7 +93,8 @@ class EliasFano:
         width = max(0, (top // max(1, n)).bit_length() - 1)
         v = values.astype(_U)
         size = n + (top >> width) + 2
-        unary = np.zeros(-(-size // 64) * 64, np.uint8)
+        # One word more, so that a window of 64 bits begins everywhere.
+        unary = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
         unary[(v >> _U(width)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(unary, bitorder="little").view(_U)
         ones = np.append(0, np.cumsum(np.bitwise_count(high), dtype=np.int64))
@@ -106,6 +108,7 @@ class EliasFano:
         self.n, self.width = map(int, store[f"{name}.meta"])
         self.high, self.ones, self.low = (store[f"{name}.{k}"] for k in ("high", "ones", "low"))
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.bits = (len(self.high) - 1) * 64
         # Eight bytes from each byte on.
         self.eight = np.ndarray(len(self.low) - 7, _U, np.ascontiguousarray(self.low).data, strides=(1,))
 
@@ -129,6 +132,24 @@ class EliasFano:
         x = np.asarray(self.high)[np.minimum(word, len(self.high) - 1)]
         return word * 64 + self._within(x if one else ~x, k - before[word])
 
+    def run(self, at: np.ndarray, ones: bool) -> np.ndarray:
+        """How many set bits, or unset ones, follow from each place on; 64 or more are 64."""
+        word, shift = at >> 6, (at & 63).astype(_U)
+        high = self.high
+        x = (high[word] >> shift) | ((high[np.minimum(word + 1, len(high) - 1)] << _U(1)) << (_U(63) - shift))
+        x = ~x if ones else x
+        return np.bitwise_count((x & (~x + _U(1))) - _U(1)).astype(np.int64)
+
+    def ends(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1."""
+        at = self.select(i, True)
+        gap = self.run(at + 1, False)
+        after = at + 1 + gap
+        far = np.flatnonzero(gap >= 64)
+        if len(far):
+            after[far] = self.select(i[far] + 1, True)
+        return ((at - i) << self.width) | self.lows(i), ((after - i - 1) << self.width) | self.lows(i + 1)
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.int64)
@@ -146,8 +167,13 @@ class EliasFano:
         if not len(use):
             return out
         x, h, lo, hi = x[use], h[use], lo[use], hi[use]
-        begin = np.where(h > 0, self.select(np.maximum(h - 1, 0), False) - h + 1, 0)
-        end = self.select(h, False) - h
+        # The low bits of a value's high part lie where its run of set bits says.
+        at = np.where(h > 0, self.select(np.maximum(h - 1, 0), False) + 1, 0)
+        begin, size = at - h, self.run(at, True)
+        far = np.flatnonzero(size >= 64)
+        if len(far):
+            size[far] = self.select(h[far], False) - at[far]
+        end = begin + size
         begin, end, low = np.maximum(begin, lo), np.minimum(end, hi), x & ((1 << self.width) - 1)
         left, right = begin.copy(), np.maximum(begin, end)
         open_ = np.flatnonzero(left < right)
@@ -166,7 +192,7 @@ class Level:
 
     @staticmethod
     def arrays(contexts: int, ctx: np.ndarray, word: np.ndarray, p: np.ndarray, rest: np.ndarray) -> dict[str, np.ndarray]:
-        """ctx, word: sorted pairs; p: their probabilities; rest: the back-off weight of each of the contexts."""
+        """ctx, word: sorted pairs; p: their discounted probabilities; rest: the back-off weight of each of the contexts."""
         begin = np.searchsorted(ctx, np.arange(contexts + 1))
         # The base of a context is the last value before it.
         last = np.zeros(contexts, np.int64)
@@ -186,7 +212,7 @@ class Level:
         one = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
         times = np.diff(np.append(one, len(ctx)))
         own = ctx[one]
-        lo, hi = self.begin[own], self.begin[own + 1]
+        lo, hi = self.begin.ends(own)
         base = np.where(lo > 0, self.words[np.maximum(lo - 1, 0)], 0)
         lo, hi, base = (np.repeat(v, times) for v in (lo, hi, base))
         return self.words.find(base + word + 1, lo, hi)
@@ -332,7 +358,7 @@ class Model:
         return self.parts.get(f"level{k}-{part:05d}", Level)
 
     def look_up(self, k: int, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For n-grams of order k: their places or -1, log10 probabilities (0 if absent), and log10 back-off weights of the contexts.
+        """For n-grams of order k: their places or -1, log10 discounted probabilities (0 if absent), and log10 back-off weights of the contexts.
 
         ctx is the context's place, or -1 where there is none. A word that is unknown follows nothing.
         """
@@ -383,11 +409,13 @@ class Model:
 
     def scores(self, ids: np.ndarray, uni: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each token; uni: that of the unigrams; first: where texts begin."""
-        log_p = uni
-        for k, _, at, p, rest in self.walk(self.top, ids, first):
+        p = 10.0**uni
+        for k, _, at, own, rest in self.walk(self.top, ids, first):
             if k > 1:
-                log_p = np.where(at >= 0, p, log_p + rest)
-        return log_p
+                p *= 10.0**rest
+                hit = at >= 0
+                p[hit] += 10.0 ** own[hit]
+        return np.log10(p)
 
 
 @lru_cache(maxsize=2)
@@ -535,7 +563,7 @@ class Training:
 
         def run(batches):
             words = opened(root, 1).words
-            for b in rows(batches, 500):
+            for b in rows(batches, 1000):
                 each = [hashes(t) for t in b.column(1).to_pylist()]
                 size = np.array([len(x) for x in each], np.int64)
                 ids, counts = words.look_up(np.concatenate([np.array(x, _U) for x in each] or [np.empty(0, _U)]))
@@ -581,10 +609,9 @@ class Training:
             total = np.bincount(ctx, counts, contexts)
             keep = counts >= least
             ctx, word, c = ctx[keep], word[keep], counts[keep]
-            direct = (c - DISCOUNT) / total[ctx] if len(c) else np.empty(0)
-            rest = 1 - np.bincount(ctx, direct, contexts)
-            p = direct + rest[ctx] * 10 ** backed_off(model, spelled(model, ctx + start, k - 1), word)
-            save(root, f"level{k}-{part:05d}", Level.arrays(contexts, ctx, word, p, rest))
+            own = (c - DISCOUNT) / total[ctx] if len(c) else np.empty(0)
+            rest = 1 - np.bincount(ctx, own, contexts)
+            save(root, f"level{k}-{part:05d}", Level.arrays(contexts, ctx, word, own, rest))
             return len(ctx), int(c.sum()), cuts_of(c, span)
 
         train = self.coded.where("not held_out").select("ids")
@@ -605,49 +632,6 @@ def cached(root: str, k: int) -> np.ndarray:
     return np.array(load(root, f"bounds{k}")[0]["bounds"])
 
 
-def spelled(model: Model, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """The words of n-grams that lie in one part, by their places; of order 2 and more without each one's first."""
-    if n == 1:
-        return []
-    out = []
-    for j in range(n, 1, -1):
-        if not len(at):
-            out.append(at)
-            continue
-        part = int(np.searchsorted(model.offsets[j], at[0], side="right")) - 1
-        level, place = model.level(j, part), at - model.offsets[j][part]
-        up = owner(level, place)
-        begin = level.begin[up]
-        base = np.where(begin > 0, level.words[np.maximum(begin - 1, 0)], 0)
-        out.append(level.words[place] - base - 1)
-        at = up + model.bounds[j][part]
-    return out[::-1]
-
-
-def backed_off(model: Model, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
-    """log10 probability of known words after the known words of context."""
-    words = model.words
-    if not len(word):
-        return np.empty(0)
-    if not context:
-        return words.log_p(words.counts(word))
-    place = context[0]
-    for j, w in enumerate([*context[1:], word], start=2):
-        place, p, rest = model.look_up(j, place, w)
-    return np.where(place >= 0, p, backed_off(model, context[1:], word) + rest)
-
-
-def owner(level: Level, at: np.ndarray) -> np.ndarray:
-    """The contexts to which places belong."""
-    n = level.begin.n
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), n - 1, np.int64)
-    while (lo < hi).any():
-        mid = (lo + hi + 1) >> 1
-        under = level.begin[mid] <= at
-        lo, hi = np.where(under, mid, lo), np.where(under, hi, np.maximum(mid - 1, lo))
-    return lo
-
-
 def flat(lists) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a batch, and where texts begin."""
     ids = np.asarray(lists.flatten())
@@ -671,7 +655,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, least: int = LEAST, spa
     def run(batches):
         model = opened(root, order)
         words = model.words
-        for b in rows(batches, 500):
+        for b in rows(batches, 2000):
             ids, first = flat(b.column(2))
             log_p = model.scores(ids, words.log_p(words.counts(ids)), first)
             at = np.flatnonzero(first)

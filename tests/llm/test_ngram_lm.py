@@ -108,13 +108,16 @@ def test_empty_table(spark):
 
 def test_elias_fano():
     r = np.random.default_rng(1)
-    for n, top in ((1, 5), (100, 120), (1000, 10**9), (3000, 2**40)):
-        v = np.sort(r.integers(0, top, n))
+    crowd = np.concatenate((np.full(300, 7), np.arange(9, 9 + 200), [10**6, 10**6 + 500_000]))
+    for n, top in ((1, 5), (100, 120), (1000, 10**9), (3000, 2**40), (len(crowd), 0)):
+        v = np.sort(r.integers(0, top, n)) if top else crowd
         e = lm.EliasFano(lm.EliasFano.arrays(v, "x"), "x")
         assert (e[np.arange(n)] == v).all()
+        if n > 1:
+            assert [x.tolist() for x in e.ends(np.arange(n - 1))] == [v[:-1].tolist(), v[1:].tolist()]
         one = np.unique(v)
         e = lm.EliasFano(lm.EliasFano.arrays(one, "x"), "x")
-        ask = np.concatenate((one, r.integers(0, top + 9, 500)))
+        ask = np.concatenate((one, r.integers(0, int(v[-1]) + 9, 500)))
         got = e.find(ask, np.zeros(len(ask), np.int64), np.full(len(ask), len(one)))
         at = np.minimum(np.searchsorted(one, ask), len(one) - 1)
         assert (got == np.where(one[at] == ask, at, -1)).all()
