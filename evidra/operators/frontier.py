@@ -124,6 +124,17 @@ def _turn(max_depth: int, seen: int):
     return run
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, worked out once: in the checkpoint folder, or in memory where the session names none."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: int = SEEN, hosts: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """(host, url, priority, depth, page_no): best-first search over a stored link table, max_pages of each host.
 
@@ -140,6 +151,8 @@ def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: i
     once = ranked.groupBy("host", "at", "url").agg(F.min(F.struct("pos", "priority")).alias("first"))
     some = once.withColumn("n", F.row_number().over(Window.partitionBy("host", "at").orderBy("url"))).where(F.col("n") <= 2 * seen)
     offers = some.groupBy("host", "at").agg(F.array_sort(F.collect_list(F.struct("url", F.col("first.priority").alias("priority")))).alias("offers"))
+    # Every turn looks pages up in it.
+    offers = _kept(offers)
     wanted = (links if hosts is None else hosts).where("host is not null").select("host").distinct()
     root = F.concat(F.lit("https://"), "host", F.lit("/"))
     none = F.array().cast("array<string>")

@@ -323,7 +323,7 @@ def q_source_index(spark, sf_dir):
     return context.source_index(context.given(_sources(spark, sf_dir)))
 
 
-_ENTITIES = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
+_ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
 # On regular pages the content is the article; text nodes lie between tags.
 _CLEAN = f"""
 p as (select page_id, url, html, {_HOST.format("url")} as host, trim(regexp_replace({_ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\\s+', ' ', 'g')) as title,
