@@ -12,6 +12,7 @@ from evidra import cli
 from evidra.connectors.budget import Deadline
 from evidra.connectors.pages import StoredPages
 from evidra.connectors.providers import FixtureProvider, ProviderFailure, Reply
+from evidra.connectors.search import searched
 from evidra.operators import audit
 from evidra.plans import extract as X
 from evidra.plans import run as R
@@ -87,14 +88,21 @@ class Crashing(StoredPages):
         return super().fetch(url)
 
 
-def both(first, second):
-    """A provider that answers a repair otherwise."""
+#: Answers by domain: first, and to a repair.
+TURNS = {
+    "mended.test": (UNSOUND, SOUND),
+    "stubborn.test": (UNSOUND, UNSOUND),
+    "refusing.test": (UNSOUND, Reply(None, "m", problem="refusal")),
+    "quillmoor.test": (ProviderFailure("authentication_or_permission"), None),
+}
 
-    class Both:
-        def request(self, context, repair, seconds):
-            return second if repair else first
 
-    return Both()
+class ByDomain:
+    def request(self, context, repair, seconds):
+        turn = TURNS[context.split("\n")[0].split(": ")[1]][bool(repair)]
+        if isinstance(turn, Exception):
+            raise turn
+        return turn
 
 
 def test_batch(spark, settings):
@@ -112,26 +120,20 @@ def test_batch(spark, settings):
     assert head["complete"] and audit.audit(results).isEmpty()
 
 
-@pytest.mark.parametrize("first, second, status, codes, requests", [(UNSOUND, SOUND, "success", [], 2), (UNSOUND, UNSOUND, "partial", ["unsupported_extraction"], 2), (UNSOUND, Reply(None, "m", problem="refusal"), "partial", ["refusal"], 2)])
-def test_one_repair(spark, settings, first, second, status, codes, requests):
-    _, results = R.run(spark, ["quillmoor.test"], settings, None, partial(StoredPages, PAGES), partial(both, first, second), "live")
-    r = results.first()
-    codes_ = [e.code for e in r.errors if e.stage != "crawl"]
-    assert (r.status, codes_, r.usage.request_count) == (status, codes, requests)
-    assert r.company_name == "Quillmoor" and r.team_members[0].role == ("founder" if status == "success" else None)
-
-
-def test_contacts_survive_a_failing_provider(spark, settings):
-    _, results = R.run(spark, ["quillmoor.test"], settings, None, partial(StoredPages, PAGES), partial(Scripted, ProviderFailure("authentication_or_permission")), "live")
-    r = results.first()
-    assert r.status == "partial" and [c.email for c in r.contact_points] == ["post@quillmoor.test"] and not r.usage.accounting_complete
-
-
-@pytest.mark.parametrize("n", [1, 2])
-def test_page_caps(spark, settings, n):
-    s = Settings(vocabulary=settings.vocabulary, max_pages_per_domain=n)
-    r = R.run(spark, ["quillmoor.test"], s, None, partial(StoredPages, {}, R.HOME), partial(FixtureProvider, GOOD), "live")[1].first()
-    assert len(r.sources) == n
+def test_one_repair_and_one_page(spark, settings):
+    one = Settings(vocabulary=settings.vocabulary, max_pages_per_domain=1)
+    _, results = R.run(spark, list(TURNS), one, None, partial(StoredPages, {}, R.HOME), ByDomain, "live")
+    rows = {r.input_domain: r for r in results.collect()}
+    told = {k: (r.status, [e.code for e in r.errors], r.usage.request_count, r.company_name, r.team_members[0].role if r.team_members else None) for k, r in rows.items()}
+    assert told == {
+        "mended.test": ("success", [], 2, "Quillmoor", "founder"),
+        "stubborn.test": ("partial", ["unsupported_extraction"], 2, "Quillmoor", None),
+        "refusing.test": ("partial", ["refusal"], 2, "Quillmoor", None),
+        "quillmoor.test": ("partial", ["authentication_or_permission"], 1, None, None),
+    }
+    # Addresses survive a provider that fails.
+    assert [c.email for c in rows["quillmoor.test"].contact_points] == ["post@quillmoor.test"] and not rows["quillmoor.test"].usage.accounting_complete
+    assert all(len(r.sources) == 1 for r in rows.values())
 
 
 def hit(url, title, content):
@@ -154,8 +156,9 @@ def test_search(spark, settings):
     assert (p.linkedin_status, [c.url for c in p.linkedin_candidates]) == ("search_candidate", ["https://www.linkedin.com/in/ida"])
     r = run(s, answered(401))
     assert r.status == "success" and [w for w in r.warnings if "Tavily" in w] and len(r.sources) == 1
-    r = run(Settings(vocabulary=settings.vocabulary, max_pages_per_domain=1, enable_search=True), told)
-    assert [w for w in r.warnings if "TAVILY_API_KEY" in w] and r.search_requests == 0
+    targets = spark.createDataFrame([(0, 0, "Ida", "Q")], "ord int, item int, name string, company string")
+    (row,) = searched(targets, Settings(enable_search=True)).collect()
+    assert row.hit is None and "TAVILY_API_KEY" in row.warning
 
 
 def test_demo_file_and_command_line(spark, vocabulary, tmp_path, capsys, monkeypatch):
@@ -185,8 +188,7 @@ def test_demo_file_and_command_line(spark, vocabulary, tmp_path, capsys, monkeyp
     broken(lambda d, r: r["usage"].update(cached_input_tokens=1))
     broken(lambda d, r: r.update(confidence_score=float("nan")))
     broken(lambda d, r: d.update(mode="live"))
-    broken(lambda d, r: d.update(warnings=[]))
-    broken(lambda d, r: d.update(finished_at=None))
+    broken(lambda d, r: d.update(warnings=[], finished_at=None))
     broken(lambda d, r: d.update(started_at="2026-01-01 00:00"))
     data["mode"] = "live"
     (tmp_path / "live.json").write_text(json.dumps(data))
