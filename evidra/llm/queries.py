@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.llm import license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, vector_near_dup, warc
+from evidra.llm import filter_audit, license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, vector_near_dup, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -15,6 +15,12 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_token_counts": token_counts.query,
     "op10_best_fit_packing": packing.query,
+    "op11_filter_audit": filter_audit.query,
 }
 
-ORACLES = {"op2_embedding_near_dup": vector_near_dup.ORACLE, "op6_warc_write": warc.ORACLE, "op7_minhash_near_dup": near_dup.ORACLE}
+ORACLES = {
+    "op2_embedding_near_dup": vector_near_dup.ORACLE,
+    "op6_warc_write": warc.ORACLE,
+    "op7_minhash_near_dup": near_dup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+}
