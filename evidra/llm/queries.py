@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.llm import filter_audit, license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, vector_near_dup, warc
+from evidra.llm import filter_audit, license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, topk_search, vector_near_dup, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_best_fit_packing": packing.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_topk_search": topk_search.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_warc_write": warc.ORACLE,
     "op7_minhash_near_dup": near_dup.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_topk_search": topk_search.ORACLE,
 }
