@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.llm import filter_audit, license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, topk_search, vector_near_dup, warc
+from evidra.llm import filter_audit, license_scan, mixing, near_dup, ngram_lm, packing, quality, secret_scan, token_counts, topk_search, vector_near_dup, warc, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.query,
     "op11_filter_audit": filter_audit.query,
     "op12_topk_search": topk_search.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 ORACLES = {
