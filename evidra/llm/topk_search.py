@@ -298,7 +298,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = K, block: int = BLOCK, bat
     )
     # A query goes to all blocks of the buckets that are long enough, which are the first ones.
     ends = [(longest[b], first_block[b] + blocks[b]) for b in range(len(blocks)) if blocks[b]]
-    last = F.greatest(F.lit(0), *(F.when(F.col("need") <= F.lit(top), F.lit(end)).otherwise(0) for top, end in ends))
+    last = F.greatest(F.lit(0), F.lit(0), *(F.when(F.col("need") <= F.lit(top), F.lit(end)).otherwise(0) for top, end in ends))
     batch_of = _at(first_batch, F.col("group")) + F.pmod(F.xxhash64("query"), _at(batches, F.col("group"))).cast("int")
     asking = grouped.withColumn("last", last).where("last > 0").select(
         batch_of.alias("batch"), upto(F.col("last")).alias("block"), F.size("x").alias("dims"), F.lit(0).alias("candidate"), "size", "query", "vec_id", "x", "reach"
