@@ -26,6 +26,7 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("--headed", action="store_true", default=None)
     c.add_argument("--search", action="store_true", default=None, dest="enable_search")
     c.add_argument("--strict", action="store_true")
+    c.add_argument("--resume", metavar="RUN_ID", help="a run that did not come to its end; the same domains")
     c = commands.add_parser("demo", help="one made-up company without network")
     c.add_argument("--output", default="artifacts/demo_output.json")
     c.add_argument("--vocabulary", default="", help="a .tiktoken file; by default the setting")
@@ -75,9 +76,10 @@ def doctor(settings: Settings, folder: str) -> int:
     except OSError:
         told["output_writable"] = False
     try:
-        from evidra.connectors.pages import BrowserPages
+        from playwright.sync_api import sync_playwright
 
-        with BrowserPages(settings):
+        with sync_playwright() as p:
+            p.chromium.launch(headless=not settings.headed).close()
             told["chromium_launch"] = True
     except Exception:
         told["chromium_launch"] = False
@@ -117,7 +119,7 @@ def main(argv: list[str] | None = None) -> int:
         settings.require_live_key()
         from evidra.plans import run
 
-        _, results = run.enrich(told, settings=settings, output=args.output, spark=session())
+        _, results = run.enrich(told, settings=settings, output=args.output, spark=session(), run_id=args.resume)
         print(f"Saved {results.count()} results to {args.output}")
         return code(results, args.strict)
     except KeyboardInterrupt:

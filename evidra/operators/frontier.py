@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -83,14 +84,15 @@ def select_pages(links: DataFrame, max_pages: int = 8, seen: int = SEEN, hosts:
 
 
 _CHOICE = "struct<priority:int,depth:int,url:string>"
-_STATE = f"host string, queue array<{_CHOICE}>, known array<string>, visited array<string>, spare boolean, pages array<{_CHOICE}>, at string, depth int"
+STATE = f"host string, queue array<{_CHOICE}>, known array<string>, visited array<string>, spare boolean, pages array<{_CHOICE}>, at string, depth int, spent double"
+OFFERS = "array<struct<url:string,priority:int>>"
 
 
-def _turn(max_depth: int, seen: int):
+def _turned(max_depth: int, seen: int):
     """One turn of every host's search: what the last page links to comes in, the next page goes out."""
     choice = pa.struct([("priority", pa.int32()), ("depth", pa.int32()), ("url", pa.string())])
     texts = pa.list_(pa.string())
-    schema = pa.schema([("host", pa.string()), ("queue", pa.list_(choice)), ("known", texts), ("visited", texts), ("spare", pa.bool_()), ("pages", pa.list_(choice)), ("at", pa.string()), ("depth", pa.int32())])
+    schema = pa.schema([("host", pa.string()), ("queue", pa.list_(choice)), ("known", texts), ("visited", texts), ("spare", pa.bool_()), ("pages", pa.list_(choice)), ("at", pa.string()), ("depth", pa.int32()), ("spent", pa.float64())])
 
     def turned(r: dict) -> dict:
         host, known = r["host"], set(r["known"])
@@ -110,7 +112,7 @@ def _turn(max_depth: int, seen: int):
             remember((SPARE, 1, f"https://{host}{path}") for path in FALLBACK)
         while ahead and ahead[0][2] in gone:
             heapq.heappop(ahead)
-        out = {"host": host, "known": sorted(known), "spare": r["spare"] and not poor, "pages": r["pages"], "at": None, "depth": None}
+        out = {"host": host, "known": sorted(known), "spare": r["spare"] and not poor, "pages": r["pages"], "at": None, "depth": None, "spent": r["spent"]}
         if ahead:
             best = heapq.heappop(ahead)
             out |= {"pages": [*r["pages"], dict(zip(("priority", "depth", "url"), best, strict=True))], "at": best[2], "depth": best[1]}
@@ -124,14 +126,54 @@ def _turn(max_depth: int, seen: int):
     return run
 
 
+def started(hosts: DataFrame) -> DataFrame:
+    """STATE of a search before its first turn, a row for each host."""
+    root = F.concat(F.lit("https://"), "host", F.lit("/"))
+    none = F.array().cast("array<string>")
+    return hosts.select(
+        "host",
+        F.array(F.struct(F.lit(0).alias("priority"), F.lit(0).alias("depth"), root.alias("url"))).alias("queue"),
+        F.array(root).alias("known"),
+        none.alias("visited"),
+        F.lit(True).alias("spare"),
+        F.array().cast(f"array<{_CHOICE}>").alias("pages"),
+        F.lit(None).cast("string").alias("at"),
+        F.lit(None).cast("int").alias("depth"),
+        F.lit(0.0).alias("spent"),
+    )
+
+
+def turn(state: DataFrame, max_depth: int = 2, seen: int = SEEN) -> DataFrame:
+    """STATE after a turn: offers (OFFERS, by URL), what the page at shows, come in, and the next page is at; null where none is left.
+
+    A host's row holds at most seen URLs. spent goes along.
+    """
+    names = [x.split()[0] for x in STATE.split(", ")]
+    return state.select(*names, "offers").mapInArrow(_turned(max_depth, seen), STATE)
+
+
+def offered(links: Column, host: Column, also: Column | None = None, seen: int = SEEN) -> Column:
+    """OFFERS of a page's links (array of structs with url and text): ranked ones in scope, or for which also holds, once each by URL.
+
+    Of equal URLs the first link counts. Only the first 2 * seen can be remembered, whatever came before, so no more are offered.
+    """
+    def of(x, i):
+        fine = U.in_scope(x["url"], host) if also is None else U.in_scope(x["url"], host) | also(x["url"])
+        return F.struct(x["url"].alias("url"), i.alias("pos"), F.when(fine, priority(x["url"], x["text"])).alias("priority"))
+
+    ranked = F.array_sort(F.filter(F.transform(links, of), lambda x: x["priority"].isNotNull()))
+    once = F.aggregate(ranked, F.array().cast("array<struct<url:string,pos:int,priority:int>>"), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["url"] == x["url"]) | (F.size(a) >= 2 * seen), a).otherwise(F.concat(a, F.array(x))))
+    return F.transform(once, lambda x: F.struct(x["url"].alias("url"), x["priority"].alias("priority")))
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """df, worked out once: in the checkpoint folder, or in memory where the session names none."""
+    """df, worked out once, in the checkpoint folder."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="evidra-"))
     return df.checkpoint()
 
 
@@ -154,25 +196,13 @@ def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: i
     # Every turn looks pages up in it.
     offers = _kept(offers)
     wanted = (links if hosts is None else hosts).where("host is not null").select("host").distinct()
-    root = F.concat(F.lit("https://"), "host", F.lit("/"))
-    none = F.array().cast("array<string>")
-    state = wanted.select(
-        "host",
-        F.array(F.struct(F.lit(0).alias("priority"), F.lit(0).alias("depth"), root.alias("url"))).alias("queue"),
-        F.array(root).alias("known"),
-        none.alias("visited"),
-        F.lit(True).alias("spare"),
-        F.array().cast(f"array<{_CHOICE}>").alias("pages"),
-        F.lit(None).cast("string").alias("at"),
-        F.lit(None).cast("int").alias("depth"),
-    )
+    state = started(wanted)
     for n in range(max_pages):
         if n and redirects is not None:
             ends = redirects.select("host", U.canonical_url(F.col("url")).alias("at"), U.canonical_url(F.col("final_url")).alias("end")).dropDuplicates(["host", "at"])
             state = state.join(ends, ["host", "at"], "left").withColumn("at", F.coalesce("end", "at")).drop("end")
-        met = state.join(offers, ["host", "at"], "left") if n else state.withColumn("offers", F.lit(None).cast("array<struct<url:string,priority:int>>"))
-        order = [x.split()[0] for x in ("host", "queue", "known", "visited", "spare", "pages", "at", "depth", "offers")]
-        state = met.select(*order).mapInArrow(_turn(max_depth, seen), _STATE)
+        met = state.join(offers, ["host", "at"], "left") if n else state.withColumn("offers", F.lit(None).cast(OFFERS))
+        state = turn(met, max_depth, seen)
     return state.select("host", F.posexplode("pages").alias("no", "p")).select("host", "p.url", "p.priority", "p.depth", (F.col("no") + 1).alias("page_no"))
 
 

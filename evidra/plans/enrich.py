@@ -85,13 +85,14 @@ def _error(df: DataFrame, section: int, stage: str, code: Column, message: Colum
     return df.select("ord", F.struct(F.lit(section).alias("section"), F.lit(0).alias("n")).alias("place"), e.cast(ERROR).alias("error"))
 
 
-def enrich(domains: DataFrame, found: DataFrame, grounded: DataFrame, replies: DataFrame | None = None, contexts: DataFrame | None = None, failures: DataFrame | None = None, search: dict[str, DataFrame] | None = None, pricing: dict | None = None) -> DataFrame:
+def enrich(domains: DataFrame, found: DataFrame, grounded: DataFrame, replies: DataFrame | None = None, contexts: DataFrame | None = None, failures: DataFrame | None = None, search: dict[str, DataFrame] | None = None, pricing: dict | None = None, durations: DataFrame | None = None) -> DataFrame:
     """One row for each domain, with the columns of RESULT.
 
     domains: ord, input_domain, normalized_domain. found: as sources() gives them. grounded: as grounding.ground() gives it, with
     completed. replies: one row a request, as scoring.usage() takes them. contexts: ord, context_tokens, request_tokens,
     dropped_chunks. failures: ord, stage, code, message, retryable. search: tables snippets, candidates, requests (ord, n), warnings (ord,
-    warning). pricing: model, pricing_model and rates. A domain that is none fails without a score; one without usable pages
+    warning). pricing: model, pricing_model and rates. durations (ord, duration_seconds): what crawls took; without
+    it that is null, and a domain that was not crawled took none. A domain that is none fails without a score; one without usable pages
     keeps the addresses that its pages show.
     """
     spark = domains.sparkSession
@@ -124,9 +125,11 @@ def enrich(domains: DataFrame, found: DataFrame, grounded: DataFrame, replies: D
         out = out.join(part, "ord", "left")
     size = "ord int, context_tokens bigint, request_tokens bigint, dropped_chunks bigint"
     out = out.join((contexts if contexts is not None else empty(size)).select("ord", "context_tokens", "request_tokens", "dropped_chunks"), "ord", "left")
+    if durations is not None:
+        out = out.join(durations, "ord", "left").fillna(0.0, ["duration_seconds"])
     if search:
         out = out.join(search["requests"].select("ord", F.col("n").alias("search_requests")), "ord", "left").join(search["warnings"].groupBy("ord").agg(F.array_sort(F.collect_set("warning")).alias("search_warnings")), "ord", "left")
-    out = _with(out, search_requests=F.lit(0).cast("long"), search_warnings=F.lit(None).cast("array<string>"), completed=F.lit(False))
+    out = _with(out, search_requests=F.lit(0).cast("long"), search_warnings=F.lit(None).cast("array<string>"), completed=F.lit(False), duration_seconds=F.lit(None).cast("double"))
     zero = ["duplicate_pages", "html_bytes", "cleaned_text_chars", "context_tokens", "request_tokens", "dropped_chunks", "search_requests", "input_tokens", "cached_input_tokens", "output_tokens", "request_count", "reported_response_count"]
     out = out.fillna(0, zero).fillna(True, ["accounting_complete"])
     for name in ("response_ids", "request_ids", "models"):
@@ -140,7 +143,7 @@ def enrich(domains: DataFrame, found: DataFrame, grounded: DataFrame, replies: D
     out = out.withColumn("contact_points", contacts).withColumn("field_evidence", F.coalesce("field_evidence", F.create_map().cast(RESULT["field_evidence"])))
     out = out.withColumn("warnings", F.concat(F.coalesce("issues", F.array().cast("array<string>")), F.coalesce("search_warnings", F.array().cast("array<string>"))))
     first = F.filter("sources", lambda s: s["kind"] == "first_party_html")
-    counts = {"attempted_pages": F.size(first), "usable_pages": F.size(F.filter(first, lambda s: s["usable"])), "estimated_context_tokens": F.col("context_tokens"), "estimated_request_tokens": F.col("request_tokens"), "duration_seconds": F.lit(0.0)}
+    counts = {"attempted_pages": F.size(first), "usable_pages": F.size(F.filter(first, lambda s: s["usable"])), "estimated_context_tokens": F.col("context_tokens"), "estimated_request_tokens": F.col("request_tokens"), "duration_seconds": F.col("duration_seconds")}
     out = out.withColumn("crawl", F.struct(*(counts.get(x, F.col(x) if x in out.columns else F.lit(0)).alias(x) for x in _names(CRAWL))))
     out = scoring.status(scoring.factors(out.withColumn("estimated_search_cost_usd", F.lit(None).cast("double"))))
     return out.select(*(F.col(k).cast(v).alias(k) for k, v in RESULT.items()))

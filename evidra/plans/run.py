@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -12,65 +11,49 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.connectors import crawl as C
 from evidra.connectors import search as S
-from evidra.connectors.pages import BrowserPages, StoredPages
-from evidra.connectors.policy import DestinationPolicy
+from evidra.connectors.fetch import Fetch, rendered, stored
 from evidra.connectors.providers import FixtureProvider, GeminiProvider, OpenAIProvider
-from evidra.operators import grounding
+from evidra.operators import grounding, queue
+from evidra.plans import crawl as C
 from evidra.plans import enrich as E
 from evidra.plans import extract as X
 from evidra.settings import Settings
 from evidra.sources import domains as D
 from evidra.sources import runs
+from evidra.sources.commits import Commits
 
 ESTIMATED = "Gemini context tokens use a local o200k_base estimate; usage contains provider-reported counts, including any thinking tokens in output_tokens."
 
 
-class Tables:
-    """Tables of a run below a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        base = root or spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = base or "file://" + tempfile.mkdtemp(prefix="evidra-")
-        self.spark, self.root = spark, f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def only(self, name: str) -> None:
-        """Drops all tables but one."""
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        root = fs.Path(self.root)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for x in files.listStatus(root):
-            if x.getPath().getName() != name:
-                files.delete(x.getPath(), True)
-
-
-def process(domains: DataFrame, pages: Callable, provider: Callable, settings: Settings, store, policy=DestinationPolicy, search_send=None) -> DataFrame:
-    """Results of domains (ord, input_domain, normalized_domain): crawled, cleaned, extracted, searched for and scored."""
-    fetched = store(C.crawl(domains, pages, settings, policy), "pages")
-    broken = fetched.where(F.col("source_id") == C.FAILED).select(
-        "ord", F.when(F.col("failure") == "deadline_exceeded", "budget").otherwise("domain").alias("stage"), F.col("failure").alias("code"),
-        F.when(F.col("failure") == "deadline_exceeded", "Per-domain time budget exhausted").otherwise(F.concat(F.lit("Isolated domain failure: "), F.coalesce("selection_reason", F.lit("")))).alias("message"), F.lit(False).alias("retryable"),
-    )
-    found = store(E.sources(domains, fetched.where(F.col("source_id") != C.FAILED)), "sources")
-    told = X.extract(domains, found, provider, settings, store)
+#: Domains that are worked on together; what a wave came to is committed and saved before the next begins.
+WAVE = 10_000
+
+
+def process(domains: DataFrame, fetch: Fetch, provider: Callable, settings: Settings, commits: Commits, search_send=None, clock: Callable[[], float] = time.time) -> DataFrame:
+    """Results of domains (ord, input_domain, normalized_domain): crawled, cleaned, extracted, searched for and scored.
+
+    A host that is named more than once is crawled once. A domain has one time budget for its crawl, its extraction and its search.
+    """
+    hosts = domains.where("normalized_domain is not null").select(F.col("normalized_domain").alias("host")).distinct()
+    pages, took = C.crawl(hosts, fetch, settings, commits, clock)
+    named = domains.select("ord", F.col("normalized_domain").alias("host"))
+    fetched, spent = pages.join(named, "host").drop("host"), took.join(named, "host").select("ord", "spent")
+    broken = fetched.where(F.col("source_id") == C.FAILED).select("ord", F.lit("budget").alias("stage"), F.col("failure").alias("code"), F.lit("Per-domain time budget exhausted").alias("message"), F.lit(False).alias("retryable"))
+    found = commits.step("sources", E.sources(domains, fetched.where(F.col("source_id") != C.FAILED)))
+    told = X.extract(domains, found, provider, settings, commits, spent, clock)
     grounded, search = told["grounded"], None
     if settings.enable_search:
-        grounded, search = _searched(domains, found, store(grounded, "grounded"), settings, store, search_send)
-    return E.enrich(domains, found, grounded, told["replies"], told["contexts"], told["failures"].unionByName(broken), search, settings.pricing)
+        grounded, search = _searched(domains, found, commits.step("grounded", grounded), told["spent"], settings, commits, search_send)
+    return E.enrich(domains, found, grounded, told["replies"], told["contexts"], told["failures"].unionByName(broken), search, settings.pricing, spent.withColumnRenamed("spent", "duration_seconds"))
 
 
-def _searched(domains: DataFrame, found: DataFrame, grounded: DataFrame, settings: Settings, store, send):
+def _searched(domains: DataFrame, found: DataFrame, grounded: DataFrame, spent: DataFrame, settings: Settings, commits: Commits, send):
     team = grounded.select("ord", F.posexplode("team_members").alias("item", "p")).select("ord", "item", "p.*")
     company = grounded.join(domains, "ord").select("ord", F.coalesce("company_name", "normalized_domain").alias("company"))
     targets = grounding.search_targets(team)
-    said = store(S.searched(targets.join(company, "ord"), settings, **({"send": send} if send else {})), "hits")
+    left = spent.select("ord", queue.left(settings.domain_budget_seconds, F.col("spent")).alias("left"))
+    said = commits.step("hits", S.searched(targets.join(company, "ord").join(left, "ord"), settings, **({"send": send} if send else {})))
     fetched = found.groupBy("ord").agg(F.count("*").alias("n"))
     snippets, candidates = grounding.search_candidates(targets, said.where("hit is not null"), company, fetched)
     packed = grounding.packed_people(grounding.with_candidates(team, candidates))
@@ -79,42 +62,58 @@ def _searched(domains: DataFrame, found: DataFrame, grounded: DataFrame, setting
     return out, {"snippets": snippets, "requests": requests, "warnings": said.where("warning is not null").select("ord", "warning")}
 
 
-def run(spark: SparkSession, domains: list[str] | DataFrame, settings: Settings, output: str | None, pages: Callable, provider: Callable, mode: str, policy=DestinationPolicy, search_send=None) -> tuple[dict, DataFrame]:
-    """(head, results) of a run; with output, saved there. What is being run is saved first, so that an interruption leaves a file that says so.
+def run(spark: SparkSession, domains: list[str] | DataFrame, settings: Settings, output: str | None, fetch: Fetch, provider: Callable, mode: str, search_send=None, run_id: str | None = None, wave: int = WAVE, root: str | None = None) -> tuple[dict, DataFrame]:
+    """(head, results) of a run; with output, saved there at the start and after each wave of domains.
 
-    Domains are worked on in the crawl's tasks, and their tables are checkpoints of a run: a lost task repeats its own domains only.
+    run_id: a run that did not come to its end, to be resumed: waves and, within a wave, tables and answers that are committed are read
+    and not made again. Whatever ends a run early, the file holds the results of all waves that are whole.
     """
     d = D.inline(spark, domains) if isinstance(domains, list) else domains
-    if d.isEmpty():
+    n = d.agg(F.max("ord")).first()[0]
+    if n is None:
         raise ValueError("at least one domain is needed")
     if output:
         runs.ensure_destination(output, mode)
     warnings = ["DEMO: synthetic fixture data; no real company or provider results"] if mode == "demo" else []
     if mode == "live" and settings.llm_provider == "gemini":
         warnings.append(ESTIMATED)
-    head = {"schema_version": "1.0", "run_id": str(uuid.uuid4()), "mode": mode, "started_at": datetime.now(UTC), "finished_at": None, "model": settings.model_name if mode == "live" else "fixture-adapter", "configuration": settings.redacted(), "complete": False, "warnings": warnings}
-    tables = Tables(spark)
-    none = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in E.RESULT.items()))
+    run_id = run_id or str(uuid.uuid4())
+    head = {"schema_version": "1.0", "run_id": run_id, "mode": mode, "started_at": datetime.now(UTC), "finished_at": None, "model": settings.model_name if mode == "live" else "fixture-adapter", "configuration": settings.redacted(), "complete": False, "warnings": warnings}
+    commits = Commits(spark, run_id, root)
+    d = commits.step("domains", d)
+    schema = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in E.RESULT.items())).schema
+    results = spark.createDataFrame([], schema)
     if output:
-        runs.save(head, none, output)
-    results = none
+        runs.save(head, results, output)
     try:
-        results = tables.store(process(d, pages, provider, settings, tables.store, policy, search_send), "results")
-        tables.only("results")
+        for w in range(n // wave + 1):
+            name, of_wave = f"results-{w}", commits.below(f"wave-{w}")
+            if not commits.done(name):
+                mine = d.where(F.col("ord").between(w * wave, (w + 1) * wave - 1))
+                commits.step(name, process(mine, fetch, provider, settings, of_wave, search_send))
+                of_wave.drop()
+            done = commits.read(name, schema)
+            results = done if w == 0 else results.unionByName(done)
+            if output and w < n // wave:
+                runs.save(head, results, output)
+    except BaseException as e:
+        e.add_note(f"resume with run_id={run_id!r}")
+        raise
+    else:
         head |= {"complete": True, "finished_at": datetime.now(UTC)}
-        return head, results
     finally:
         if output:
             runs.save(head, results, output)
+    return head, results
 
 
-def enrich(domains: list[str], *, settings: Settings | None = None, output: str | None = None, spark: SparkSession | None = None) -> tuple[dict, DataFrame]:
+def enrich(domains: list[str], *, settings: Settings | None = None, output: str | None = None, spark: SparkSession | None = None, run_id: str | None = None) -> tuple[dict, DataFrame]:
     """Public domains through Chromium and the chosen model; results keep the order of the domains."""
     settings = settings or Settings.load()
     settings.require_live_key()
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.speculation", "false").getOrCreate()
     provider = GeminiProvider if settings.llm_provider == "gemini" else OpenAIProvider
-    return run(spark, domains, settings, output, partial(BrowserPages, settings), partial(provider, settings), "live")
+    return run(spark, domains, settings, output, rendered(settings), partial(provider, settings), "live", run_id=run_id)
 
 
 HOME = """<html><head><title>Quillmoor</title></head><body><nav><a href="/team">Team</a><a href="/pricing">Pricing</a></nav>
@@ -139,4 +138,5 @@ def demo_extraction() -> dict:
 def demo(spark: SparkSession, output: str, vocabulary: str) -> tuple[dict, DataFrame]:
     """One made-up company, its page and its extraction; no network. vocabulary: a .tiktoken file."""
     settings = Settings(max_pages_per_domain=3, vocabulary=vocabulary)
-    return run(spark, ["quillmoor.test"], settings, output, partial(StoredPages, {}, HOME), partial(FixtureProvider, demo_extraction()), "demo")
+    pages = stored(spark.createDataFrame([], "url string, status int, html string"), HOME)
+    return run(spark, ["quillmoor.test"], settings, output, pages, partial(FixtureProvider, demo_extraction()), "demo")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-#: str, int, num and bool, each with ? where null is allowed; [x] a list of x; {name: x} an object of just these members.
+#: str, int, num and bool, each with ? where null is allowed; [x] a list of x, [] an empty one; {name: x} an object of just these members.
 CITATIONS = [{"source_id": "str", "excerpt": "str"}]
 CLAIM = {"value": "str?", "evidence": CITATIONS}
 # The categories of a contact.
@@ -50,7 +50,7 @@ def json_schema(shape) -> dict:
     if isinstance(shape, tuple):
         return {"type": "string", "enum": list(shape)}
     if isinstance(shape, list):
-        return {"type": "array", "items": json_schema(shape[0])}
+        return {"type": "array", "items": json_schema(shape[0])} if shape else {"type": "array", "maxItems": 0}
     if isinstance(shape, dict):
         return {"type": "object", "properties": {k: json_schema(v) for k, v in shape.items()}, "required": list(shape), "additionalProperties": False}
     one = {"type": _NAMES[shape.rstrip("?")]}

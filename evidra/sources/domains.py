@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,14 +11,17 @@ from pyspark.sql import functions as F
 from evidra.functions import urls as U
 
 
+#: What stands before a host, the host, and what stands behind it.
+_PARTS = re.compile(r"^(\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^@/?#]*@)?|\s*)([^:/?#\s]*)(.*)$", re.S)
+
+
 def _ascii(values: pa.Array) -> pa.Array:
     def one(v):
         if v is None or v.isascii():
             return v
-        head, sep, rest = v.rpartition("//")
-        host, slash, path = rest.partition("/")
+        before, host, rest = _PARTS.match(v).groups()
         try:
-            return head + sep + host.strip().encode("idna").decode("ascii") + slash + path
+            return before + host.encode("idna").decode("ascii") + rest
         except UnicodeError:
             return ""
 

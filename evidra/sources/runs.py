@@ -31,7 +31,7 @@ ALLOWED = {
 }
 NULLABLE = {
     "results.normalized_domain", "results.company_name", "results.company_overview", "results.target_audience", "results.team_members.role", "results.team_members.linkedin_url", "results.sources.retrieved_at", "results.sources.http_status",
-    "results.sources.search_query", "results.usage.estimated_llm_cost_usd", "results.estimated_search_cost_usd", "results.errors.source_id",
+    "results.sources.search_query", "results.usage.estimated_llm_cost_usd", "results.estimated_search_cost_usd", "results.errors.source_id", "results.crawl.duration_seconds",
 }
 
 

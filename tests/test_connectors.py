@@ -1,22 +1,27 @@
-"""Edges without a network: policies, robots, bounded HTTP against a server of our own, and providers with scripted answers."""
+"""Edges without a network: queues, robots, crawls over scripted answers and a server of our own, and providers with scripted answers."""
 
 import gzip
 import json
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from evidra import schema
 from evidra.connectors import providers as P
-from evidra.connectors.budget import Deadline, DeadlineExceeded, retry_delay
-from evidra.connectors.crawl import pages_of
-from evidra.connectors.http import Answer, RetrievalFailure, Robots, Rules, fetch_once, read_rules, safe_get
-from evidra.connectors.pages import StoredPages
-from evidra.connectors.policy import DestinationPolicy, canonical, in_scope, public_host
-from evidra.operators import robots
+from evidra.connectors.fetch import over_http, stored
+from evidra.connectors.http import Answer, PublicNames, RequestFailed, send
+from evidra.operators import queue, robots
+from evidra.plans import crawl as C
 from evidra.plans.run import demo_extraction
 from evidra.settings import Settings
+from evidra.sources.commits import Commits
+
+# Workers cannot import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROBOTS = {
     "*": "User-agent: *\nDisallow: /a\nAllow: /a/b\n",
@@ -28,85 +33,106 @@ ROBOTS = {
 URLS = ["https://h.test/", "https://h.test/a", "https://h.test/a/b/c", "https://h.test/p1/q", "https://h.test/p1/q?x", "https://h.test/t?a", "https://h.test/x"]
 
 
-def test_rules_of_one_file_and_of_a_table(spark):
+#: What each file says: its delay, and the URLs it allows.
+TOLD = {"*": (0.4, "/ /a/b/c /p1/q /p1/q?x /t?a /x"), "own": (1.5, "/ /a /a/b/c /p1/q?x /t?a /x"), "early": (2.0, "/ /a /a/b/c /p1/q /p1/q?x /t?a /x"), "two": (7.0, "/ /a /a/b/c /p1/q /p1/q?x /t?a /x"), "tab": (0.4, "/ /a /a/b/c /p1/q /p1/q?x /x")}
+
+
+def test_rules_of_a_table(spark):
     rows = [(f"https://{k}.test", 200, v) for k, v in ROBOTS.items()] + [("https://gone.test", 410, None), ("https://no.test", 403, ""), ("https://down.test", None, None), ("https://busy.test", 429, None), ("https://page.test", 200, "<HTML>"), ("https://odd.test", 204, "")]
     table = robots.parse(spark.createDataFrame(rows, "origin string, status int, body string"), "evidra")
     told = {r.origin: r for r in table.collect()}
     assert {k: told[f"https://{k}.test"].state for k in ("gone", "no", "down", "busy", "page", "odd")} == {"gone": "missing", "no": "denied", "down": "unavailable", "busy": "unavailable", "page": "unavailable", "odd": "denied"}
     urls = spark.createDataFrame([(u.replace("h.test", f"{k}.test"),) for k in [*ROBOTS, "gone", "no", "down", "nowhere"] for u in URLS], "url string")
     got = {r.url: r.allowed for r in robots.allowed(urls, table).collect()}
-    for k, text in ROBOTS.items():
-        one, row = read_rules(text), told[f"https://{k}.test"]
-        assert (one.delay, one.rules) == (row.delay, [(x.allow, x.pattern) for x in row.rules]), k
-        for u in URLS:
-            assert got[u.replace("h.test", f"{k}.test")] == one.allows(u), (k, u)
+    for k, (delay, free) in TOLD.items():
+        assert told[f"https://{k}.test"].delay == delay
+        assert {u for u in URLS if got[u.replace("h.test", f"{k}.test")]} == {f"https://h.test{x}" for x in free.split()}, k
     assert all(got[u.replace("h.test", "gone.test")] and not any(got[u.replace("h.test", f"{k}.test")] for k in ("no", "down", "nowhere")) for u in URLS)
-    own = read_rules(ROBOTS["own"])
-    assert (own.delay, own.allows(URLS[0]), own.allows(URLS[3]), own.allows(URLS[4])) == (1.5, True, False, True)
-    assert read_rules(ROBOTS["early"]).delay == 2 and read_rules(ROBOTS["two"]).delay == 7 and read_rules(ROBOTS["two"]).allows(URLS[1])
 
 
-def answers(*told):
-    """A fetch that gives these answers, the last one again and again, and counts."""
+def test_pace_and_waits(spark):
+    rows = [("a", "o", 2.0, 0.0), ("b", "o", 2.0, 0.0), ("c", "o", 2.0, 200.0), ("d", "o", 2.0, 103.0), ("e", "p", 0.5, 0.0)]
+    got = queue.paced(spark.createDataFrame(rows, "id string, origin string, delay double, not_before double"), 100.0)
+    assert {r.id: r.start for r in got.collect()} == {"a": 102, "b": 104, "d": 106, "c": 200, "e": 100.5}
+    now = 1445412480.0 - 90  # 90 seconds before the date below
+    asked = [(0, "3", 3), (0, "-3", 0), (0, "Wed, 21 Oct 2015 07:28:00 GMT", 90), (0, "nan", None), (2, "soon", None), (9, None, None), (0, "", None)]
+    t = spark.createDataFrame([(a, r) for a, r, _ in asked], "attempt int, after string")
+    waits = [r[0] for r in t.select(queue.wait(F.col("attempt"), F.col("after"), F.lit(now), F.lit("k"))).collect()]
+    for (attempt, _, want), w in zip(asked, waits, strict=True):
+        assert w == want if want is not None else min(8, 0.5 * 2**attempt) <= w <= min(8, 0.5 * 2**attempt) + 0.2
+
+
+def test_public_names():
+    names = PublicNames(lambda host: {"a.test": ["93.184.216.34"], "b.test": [], "c.test": ["93.184.216.34", "127.0.0.1"], "d.test": ["fe80::1%eth0"], "e.test": ["2606:2800:220:1::1"]}[host])
+    assert [h in names for h in ("a.test", "b.test", "c.test", "d.test", "e.test", "none.test")] == [True, False, False, False, True, False]
+    free = threading.Event()
+    slow = PublicNames(lambda host: free.wait(20) and ["93.184.216.34"], 0.2)
+    assert "a.test" not in slow
+    free.set()
 
-    def fetch(url, seconds):
-        fetch.n += 1
-        x = told[min(fetch.n, len(told)) - 1]
+
+class Scripted:
+    """Answers by URL: (status, body, headers), or an exception; the last of several is repeated. Told by worker, so each URL counts for itself."""
+
+    def __init__(self, told):
+        self.told, self.n = told, {}
+
+    def __call__(self, url, seconds, *_):
+        turns = self.told.get(url, [(404, "", {})])
+        self.n[url] = self.n.get(url, -1) + 1
+        # A worker may be a new one: a second attempt is told by its turn in the table of attempts, not by memory.
+        x = turns[min(self.n[url], len(turns) - 1)]
         if isinstance(x, Exception):
             raise x
-        return Answer(x[0], {}, x[1].encode())
+        status, body, headers = x
+        return Answer(status, headers, body.encode())
 
-    fetch.n = 0
-    return fetch
 
+class AnyName(PublicNames):
+    def __contains__(self, host):
+        return host != "hidden.test" and host != "www.hidden.test"
 
-OPEN = DestinationPolicy(resolve=lambda host: ["93.184.216.34"])
 
+SET = Settings(max_pages_per_domain=4, domain_concurrency=1, domain_budget_seconds=60)
 
-@pytest.mark.parametrize(
-    "told, state, requests",
-    [([(200, ROBOTS["*"])], "available", 1), ([(404, "")], "missing", 1), ([(403, "")], "denied", 1), ([(503, "")], "unavailable", 2), ([(429, ""), (200, "")], "available", 2), ([TimeoutError()], "unavailable", 2), ([(200, "<!DOCTYPE html>")], "unavailable", 1), ([ValueError()], "unavailable", 1)],
-)
-def test_robots_are_asked_once(told, state, requests):
-    fetch, waits = answers(*told), []
-    r = Robots(OPEN, fetch=fetch)
-    deadline = Deadline(100, rest=waits.append)
-    for path in ("/", "/a"):
-        assert r.get(f"https://h.test{path}", "h.test", deadline).state == state
-    assert fetch.n == requests and len(waits) == requests - 1
-
-
-def test_pace():
-    waits, now = [], [0.0]
-    r = Robots(OPEN, clock=lambda: now[0])
-    r.known["https://h.test"] = Rules("available", [(False, "/no")], 2.0)
-    deadline = Deadline(100, clock=lambda: now[0], rest=waits.append)
-    r.permit("https://h.test/", "h.test", deadline)
-    now[0] = 0.5
-    r.permit("https://h.test/x", "h.test", deadline)
-    assert waits == [1.5]
-    with pytest.raises(RetrievalFailure, match="robots"):
-        r.permit("https://h.test/no", "h.test", deadline)
-
-
-def test_destinations():
-    assert canonical("../x?utm_a=1&b=2&a=#f", "HTTPS://A.test:443/p/q/") == "https://a.test/p/x?a=&b=2"
-    for bad in ("ftp://a.test/", "https://u:p@a.test/", "mailto:x@a.test", "/only"):
-        with pytest.raises(ValueError):
-            canonical(bad)
-    assert in_scope("https://www.a.test/x", "a.test") and not in_scope("https://b.a.test/", "a.test") and not in_scope("https://a.test:8080/", "a.test")
-    for bad in ("https://localhost/", "https://10.0.0.1/", "https://[::1]/", "https://a.local/", "https://127.1/", "https://a.test:81/"):
-        with pytest.raises(ValueError):
-            public_host(bad)
-    OPEN.check("https://a.test/", "a.test")
-    with pytest.raises(ValueError):
-        OPEN.check("https://b.test/", "a.test")
-    for addresses in ([], ["10.0.0.1"], ["93.184.216.34", "127.0.0.1"]):
-        with pytest.raises(ValueError):
-            DestinationPolicy(resolve=lambda host, a=addresses: a).check("https://a.test/")
-    local = DestinationPolicy(frozenset({"http://127.0.0.1:9"}))
-    local.check("http://127.0.0.1:9/x", "a.test")
-    assert local.scoped("http://127.0.0.1:9/x", "a.test") and not local.test_allowed("http://127.0.0.1:8/x")
+
+def settle(spark, told, asks, settings=SET, live=False, **how):
+    fetch = over_http(settings, Scripted(told), AnyName, live=live, **how)
+    commits = Commits(spark)
+    rules = C.RobotsFiles(fetch, settings, commits) if live else None
+    t = spark.createDataFrame([(str(i), h, u, s) for i, (h, u, s) in enumerate(asks)], "id string, host string, url string, spent double")
+    rows = C.settled(t, fetch, settings, commits, "x", lambda s: s.isin(*C.AGAIN), rules).collect()
+    assert len(rows) == len(asks)
+    return [r for _, r in sorted((int(r.id), r) for r in rows)]
+
+
+def test_redirects_failures_and_budgets(spark):
+    to = lambda place: [(302, "", {"location": place})]
+    told = {"https://a.test/": to("/b?utm_source=x"), "https://a.test/b": to("https://www.a.test/c"), "https://www.a.test/c": [(200, "end", {})], "https://b.test/": to("https://c.test/"), "https://d.test/": to("/"), "https://e.test/": [(302, "", {})], "https://f.test/": [RequestFailed("oversize")], "https://g.test/": [RuntimeError("secret")], "https://h.test/": [(503, "", {"retry-after": "500"})], "https://i.test/": [RequestFailed("timeout", True)], "https://hidden.test/": [(200, "x", {})], "https://k.test/": [(200, "x", {})]}
+    asks = [(f"{x}.test", f"https://{x}.test/", 0.0) for x in [*"abdefghi", "hidden"]] + [("k.test", "https://k.test/", 59.99), ("k.test", "https://other.test/", 0.0)]
+    rows = settle(spark, told, asks)
+    assert [(r.url, r.status, r.code) for r in rows] == [
+        ("https://www.a.test/c", 200, None),
+        ("https://c.test/", None, "unsafe_destination"),
+        ("https://d.test/", 302, "redirect_limit"),
+        ("https://e.test/", 302, "redirect"),
+        ("https://f.test/", None, "oversize"),
+        ("https://g.test/", None, "unexpected_error"),
+        ("https://h.test/", 503, "deadline_exceeded"),
+        ("https://i.test/", None, "timeout"),
+        ("https://hidden.test/", None, "unsafe_destination"),
+        ("https://k.test/", None, "deadline_exceeded"),
+        ("https://other.test/", None, "unsafe_destination"),
+    ]
+    assert rows[0].html == "end" and rows[0].hop == 2 and rows[7].attempt == 1 and rows[7].spent >= 0.5 and "secret" not in str(rows)
+
+
+def test_robots_come_first(spark):
+    files = {"a": [(200, "User-agent: *\nDisallow: /no\nCrawl-delay: 0.6", {})], "c": [(403, "", {})], "d": [(301, "", {"location": "https://www.d.test/robots.txt"})]}
+    told = {f"https://{k}.test/robots.txt": v for k, v in files.items()} | {f"https://{k}.test{p}": [(200, p, {})] for k in "abcd" for p in ("/", "/no", "/x")} | {"https://www.d.test/robots.txt": [(200, "User-agent: *\nDisallow: /", {})]}
+    rows = settle(spark, told, [(f"{k}.test", f"https://{k}.test{p}", 0.0) for k in "abcd" for p in ("/", "/no", "/x")], live=True)
+    assert [r.code for r in rows] == [None, "robots_available", None] + [None] * 3 + ["robots_denied"] * 3 + ["robots_available"] * 3
+    assert abs(rows[0].at - rows[2].at) >= 0.6
 
 
 class Pages(BaseHTTPRequestHandler):
@@ -131,49 +157,66 @@ class Pages(BaseHTTPRequestHandler):
 hits: list[str] = []
 
 
-def test_bounded_http():
+def test_bounded_http(spark):
     server = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
-    policy = DestinationPolicy(frozenset({base}), resolve=lambda host: ["93.184.216.34"])
-    get = lambda path: safe_get(base + path, "a.test", policy, Deadline(30), 10)
     try:
-        assert get("/").text == "home"
-        a = get("/in")
-        assert (a.text, a.url) == ("zip é", base + "/zip") and "content-encoding" not in a.headers
-        for path, code in (("/big", "oversize"), ("/loop", "redirect"), ("/bare", "redirect")):
-            with pytest.raises(RetrievalFailure) as e:
-                get(path)
-            assert e.value.code == code
+        a = send(base + "/zip", 10)
+        assert a.text == "zip é" and "content-encoding" not in a.headers and send(base + "/nothing", 5).status == 404
+        with pytest.raises(RequestFailed) as e:
+            send(base + "/big", 10)
+        assert e.value.code == "oversize"
+        fetch = over_http(SET, test_origins=(base,), live=False)
+        t = spark.createDataFrame([(p, "a.test", base + p, 0.0) for p in ("/", "/in", "/loop", "/bare", "/out")], "id string, host string, url string, spent double")
+        rows = {r.id: r for r in C.settled(t, fetch, SET, Commits(spark), "x", lambda s: s.isin(*C.AGAIN)).collect()}
+        assert (rows["/"].html, rows["/in"].html, rows["/in"].url) == ("home", "zip é", base + "/zip")
+        assert {k: r.code for k, r in rows.items() if r.code} == {"/loop": "redirect_limit", "/bare": "redirect", "/out": "unsafe_destination"}
         assert hits.count("/loop") == 6
-        with pytest.raises(ValueError):
-            get("/out")
-        with pytest.raises(DeadlineExceeded):
-            safe_get(base + "/", "a.test", policy, Deadline(0), 10)
-        assert fetch_once(base + "/nothing", 5).status == 404
     finally:
         server.shutdown()
 
 
-def test_delays():
-    assert retry_delay(0, "3") == 3 and retry_delay(0, "-3") == 0 and retry_delay(0, "Wed, 21 Oct 2015 07:28:00 GMT") == 0
-    assert 2 <= retry_delay(2, "soon") < 2.3 and 8 <= retry_delay(9) <= 8.2
+def pages_table(spark, pages):
+    return spark.createDataFrame([(u, *p) if isinstance(p, tuple) else (u, 200, p) for u, p in pages.items()], "url string, status int, html string")
 
 
-def test_a_crawl_of_stored_pages():
+def test_a_crawl_of_stored_pages(spark):
     page = "<p>words <a href='/team'>Team</a><a href='/login'>x</a><a href='https://other.test/'>o</a><a href='/blog/1'>b</a><a href='mailto:a@b.test'>m</a></p>"
-    source = StoredPages({"https://a.test/": page, "https://a.test/team": (503, "")}, "<p>other</p>")
-    rows = list(pages_of(3, "a.test", source, Settings(max_pages_per_domain=4), OPEN, Deadline(60)))
-    assert [(r["requested_url"], r["depth"], r["priority"], r["failure"]) for r in rows] == [("https://a.test/", 0, 0, None), ("https://a.test/team", 1, 1, "http_503"), ("https://a.test/about", 1, 5, None), ("https://a.test/company", 1, 5, None)]
-    assert [r["source_id"] for r in rows] == ["page-1", "page-2", "page-3", "page-4"] and rows[0]["selection_reason"] == "homepage" and "Team" in rows[1]["selection_reason"]
+    fetch = stored(pages_table(spark, {"https://a.test/": page, "https://a.test/team": (503, "")}), "<p>other</p>")
+    hosts = spark.createDataFrame([("a.test",), ("a.test",), ("b.test",)], "host string")
+    commits = Commits(spark)
+    pages, spent = C.crawl(hosts, fetch, SET, commits)
+    rows = pages.where("host = 'a.test'").orderBy("page_no").collect()
+    assert [(r.requested_url, r.depth, r.priority, r.failure) for r in rows] == [("https://a.test/", 0, 0, None), ("https://a.test/team", 1, 1, "http_503"), ("https://a.test/about", 1, 5, None), ("https://a.test/company", 1, 5, None)]
+    assert [r.source_id for r in rows] == ["page-1", "page-2", "page-3", "page-4"] and [r.selection_reason for r in rows][:3] == ["homepage", "discovered: Team (priority 1)", "generic fallback after limited relevant discovery"]
+    assert pages.count() == 8 and {r.host: r.spent >= 0 for r in spent.collect()} == {"a.test": True, "b.test": True}
+    # What is committed is not made again.
+    broken = stored(pages_table(spark, {"https://x.test/": (500, "")}))
+    assert sorted(map(str, C.crawl(hosts, broken, SET, commits)[0].drop("retrieval_method").collect())) == sorted(map(str, pages.drop("retrieval_method").collect()))
+
+
+def test_a_live_crawl(spark):
+    told = {"https://a.test/": [(301, "", {"location": "https://www.a.test/"})], "https://www.a.test/": [(200, "<a href='/team'>Team</a><a href='https://a.test/contact'>Contact</a>", {})], "https://www.a.test/team": [(200, "<p>the team</p>", {})], "https://www.a.test/robots.txt": [(200, "User-agent: *\nDisallow: /team", {})]}
+    pages, spent = C.crawl(spark.createDataFrame([("a.test",)], "host string"), over_http(SET, Scripted(told), AnyName), SET, Commits(spark))
+    rows = pages.orderBy("page_no").collect()
+    assert [(r.requested_url, r.final_url, r.failure) for r in rows][:3] == [("https://a.test/", "https://www.a.test/", None), ("https://www.a.test/team", "https://www.a.test/team", "robots_available"), ("https://a.test/contact", "https://a.test/contact", "http_404")]
+    assert len(rows) == 4 and spent.first().spent > 0
+
+
+def test_a_crawl_out_of_time(spark):
+    short = Settings(max_pages_per_domain=3, domain_budget_seconds=1.0)
+    told = {"https://a.test/": [(200, "<p>home</p>", {})], "https://a.test/about": [(503, "", {"retry-after": "30"})]}
+    pages, _ = C.crawl(spark.createDataFrame([("a.test",)], "host string"), over_http(short, Scripted(told), AnyName, live=False), short, Commits(spark))
+    assert [(r.source_id, r.failure) for r in pages.orderBy("page_no").collect()] == [("page-1", None), (C.FAILED, "deadline_exceeded")]
 
 
 GOOD = demo_extraction()
 
 
 def sent(status, body, headers=None):
-    def send(url, head, data, seconds):
-        send.last = (url, head, data)
+    def send(url, seconds, head, method, data):
+        send.last = (url, head, json.loads(data))
         if isinstance(status, Exception):
             raise status
         return Answer(status, headers or {}, json.dumps(body).encode())
@@ -197,7 +240,7 @@ def test_gemini():
     r = P.GeminiProvider(S, send).request("context", "", 5)
     assert (r.parsed, r.model, r.response_id, r.request_id, r.input_tokens, r.cached_input_tokens, r.output_tokens, r.problem) == (GOOD, "gemini-2.5-flash", "g1", "q", 100, 20, 60, None)
     url, head, body = send.last
-    assert url.endswith("/gemini-2.5-flash:generateContent") and head == {"x-goog-api-key": "kg"} and "kg" not in url + json.dumps(body)
+    assert url.endswith("/gemini-2.5-flash:generateContent") and head["x-goog-api-key"] == "kg" and "kg" not in url + json.dumps(body)
     form = body["generationConfig"]["responseJsonSchema"]
     assert form["additionalProperties"] is False and set(form["required"]) == set(form["properties"]) and body["generationConfig"]["thinkingConfig"] == {"thinkingBudget": 0}
     draft = "issues\n" + json.dumps({"validated_draft": {"team_members": [{"name": "Ida"}], "contact_points": []}})
@@ -213,7 +256,7 @@ def test_openai():
     send = sent(200, openai())
     r = P.OpenAIProvider(S, send).request("context", "fix it", 5)
     assert (r.parsed, r.model, r.response_id, r.input_tokens, r.cached_input_tokens, r.output_tokens, r.problem) == (GOOD, "gpt-4.1-mini-x", "o1", 9, 4, 3, None)
-    assert send.last[1] == {"Authorization": "Bearer ko"} and send.last[2]["store"] is False and "fix it" in send.last[2]["instructions"]
+    assert send.last[1]["Authorization"] == "Bearer ko" and send.last[2]["store"] is False and "fix it" in send.last[2]["instructions"]
     for body, problem in ((openai(kind="refusal"), "refusal"), (openai(status="incomplete"), "incomplete_response"), (openai(output=[]), "missing_parsed_output"), (openai(text="{}"), "structured_schema_invalid")):
         assert P.OpenAIProvider(S, sent(200, body)).request("c", "", 5).problem == problem
     assert P.OpenAIProvider(S, sent(200, openai(usage=None))).request("c", "", 5).input_tokens is None
@@ -240,6 +283,22 @@ def test_failures(make, status, body, code, retryable, wait):
     assert (e.value.code, e.value.retryable, e.value.retry_after) == (code, retryable, wait) and "kg" not in str(e.value)
 
 
+ODD = [None, 5, "x", [], {}, ["x"], {"content": ["x"]}, [{"content": [{"parts": 5}]}], [{"content": {"parts": ["x", {"text": 5}]}}], {"input_tokens": [1]}]
+
+
+@pytest.mark.parametrize("make, whole", [(P.OpenAIProvider, openai), (P.GeminiProvider, gemini)])
+def test_odd_answers_are_failures(make, whole):
+    """Any member of an answer may be of any kind: there is a reply, or a failure with a code."""
+    names = ("output", "usage", "status", "id", "model", "candidates", "usageMetadata", "promptFeedback", "error", "responseId", "modelVersion")
+    for status in (200, 429, 500):
+        for body in [*ODD, *(whole(**{n: x}) for n in names for x in ODD)]:
+            try:
+                r = make(S, sent(status, body)).request("c", "", 5)
+                assert r.problem is None or r.parsed is None
+            except P.ProviderFailure as e:
+                assert e.code
+
+
 def test_closed_shapes():
     assert schema.fit(GOOD, schema.EXTRACTION) == GOOD
     for change in ({"extra": 1}, {"company_name": None}, {"company_name": {"value": 5, "evidence": []}}, {"contact_points": [{"email": "a", "category": "boss", "evidence": []}]}):

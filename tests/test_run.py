@@ -1,6 +1,7 @@
 """Whole runs without network: the demo, batches with failures, extraction rounds, saving, loading and the command line."""
 
 import json
+import os
 import sys
 from functools import partial
 
@@ -9,8 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from evidra import cli
-from evidra.connectors.budget import Deadline
-from evidra.connectors.pages import StoredPages
+from evidra.connectors.fetch import over_http, stored
+from evidra.connectors.http import Answer, PublicNames
 from evidra.connectors.providers import FixtureProvider, ProviderFailure, Reply
 from evidra.connectors.search import searched
 from evidra.operators import audit
@@ -19,6 +20,7 @@ from evidra.plans import run as R
 from evidra.settings import SettingError, Settings
 from evidra.sources import domains as D
 from evidra.sources import runs
+from evidra.sources.commits import Commits
 
 # Workers cannot import this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,58 +36,132 @@ def settings(vocabulary):
     return Settings(vocabulary=vocabulary, max_pages_per_domain=3, domain_budget_seconds=60)
 
 
-class Scripted:
-    """Replies one after another; the last one repeats."""
+GOOD = R.demo_extraction()
+BAD = json.loads(json.dumps(GOOD))
+BAD["team_members"][0]["role"] = "CEO"
+SOUND, UNSOUND = Reply(GOOD, "m", "r", "q", 100, 20, 50), Reply(BAD, "m", "r2", None, 10, 0, 5)
+FAILS = ProviderFailure("rate_limit", retryable=True, retry_after="0")
+
+
+#: Answers by domain and attempt, the last one again and again; requests made, and the code of the end.
+SCRIPTS = {
+    "sound.test": ([SOUND], 1, None),
+    "waits.test": ([FAILS, SOUND], 2, None),
+    "fails.test": ([FAILS], 3, "rate_limit"),
+    "refuses.test": ([Reply(None, "m", problem="refusal")], 1, "refusal"),
+    "breaks-off.test": ([Reply(None, "m", problem="incomplete_response")], 2, "incomplete_response"),
+    "says-nothing.test": ([Reply(None, "m")], 2, "missing_parsed_output"),
+    "spent.test": ([ProviderFailure("insufficient_quota")], 1, "insufficient_quota"),
+    "misformed.test": ([ProviderFailure("structured_schema_invalid", repairable=True), SOUND], 2, None),
+    "later.test": ([ProviderFailure("rate_limit", retryable=True, retry_after="1000")], 1, "deadline_exceeded"),
+    "crashes.test": ([RuntimeError("secret text")], 1, "invalid_provider_response"),
+    "odd.test": ([Reply({"extra": 1}, "m")], 1, "invalid_provider_response"),
+}
+
+
+class Sound:
+    def request(self, *_):
+        return SOUND
+
 
-    def __init__(self, *turns):
-        self.turns, self.n, self.repairs = turns, 0, []
+class ByTurn:
+    """Answers of SCRIPTS. A worker may be a new one, so the turn is told by what stands in the folder that all share."""
+
+    def __init__(self, folder):
+        self.folder = folder
 
     def request(self, context, repair, seconds):
-        turn = self.turns[min(self.n, len(self.turns) - 1)]
-        self.n += 1
-        self.repairs.append(repair)
+        domain = context.split("\n")[0].split(": ")[1]
+        turns = SCRIPTS[domain][0]
+        made = [f for f in os.listdir(self.folder) if f.startswith(domain)]
+        with open(f"{self.folder}/{domain}-{len(made)}", "w") as f:
+            f.write(repair)
+        turn = turns[min(len(made), len(turns) - 1)]
         if isinstance(turn, Exception):
             raise turn
         return turn
 
 
-GOOD = R.demo_extraction()
-BAD = json.loads(json.dumps(GOOD))
-BAD["team_members"][0]["role"] = "CEO"
-SOUND, UNSOUND = Reply(GOOD, "m", "r", "q", 100, 20, 50), Reply(BAD, "m", "r2", None, 10, 0, 5)
-FAILS = ProviderFailure("rate_limit", retryable=True, retry_after="0")
+def home(spark, pages=(), otherwise=R.HOME, method="playwright"):
+    """Stored pages; other URLs show the same page."""
+    rows = [(u, *p) if isinstance(p, tuple) else (u, 200, p) for u, p in dict(pages).items()]
+    return stored(spark.createDataFrame(rows, "url string, status int, html string"), otherwise, method)
 
 
-@pytest.mark.parametrize(
-    "turns, requests, last",
-    [
-        ([SOUND], 1, None),
-        ([FAILS, SOUND], 2, None),
-        ([FAILS], 3, "rate_limit"),
-        ([Reply(None, "m", problem="refusal")], 1, "refusal"),
-        ([Reply(None, "m", problem="incomplete_response")], 2, "incomplete_response"),
-        ([Reply(None, "m")], 2, "missing_parsed_output"),
-        ([ProviderFailure("insufficient_quota")], 1, "insufficient_quota"),
-        ([ProviderFailure("structured_schema_invalid", repairable=True), SOUND], 2, None),
-        ([ProviderFailure("rate_limit", retryable=True, retry_after="1000")], 1, "deadline_exceeded"),
-    ],
-)
-def test_requests(settings, turns, requests, last):
-    s = Settings(vocabulary=settings.vocabulary, max_llm_requests_per_domain=3)
-    provider = Scripted(*turns)
-    rows = list(X.ask("a.test", "text", "", 0, False, provider, s, Deadline(100)))
-    assert provider.n == requests and [r["last"] for r in rows] == [False] * (len(rows) - 1) + [True]
-    assert rows[-1].get("code") == last and ("parsed" in rows[-1]) == (last is None)
+def test_rounds(spark, settings, tmp_path):
+    s = Settings(vocabulary=settings.vocabulary, max_pages_per_domain=1, max_llm_requests_per_domain=3, domain_budget_seconds=100)
+    _, results = R.run(spark, list(SCRIPTS), s, None, home(spark), partial(ByTurn, str(tmp_path)), "live")
+    rows = {r.input_domain: r for r in results.collect()}
+    made = {k: sum(f.startswith(k) for f in os.listdir(tmp_path)) for k in SCRIPTS}
+    assert made == {k: n for k, (_, n, _) in SCRIPTS.items()} == {k: r.usage.request_count for k, r in rows.items()}
+    assert {k: [e.code for e in r.errors] for k, r in rows.items()} == {k: [code] if code else [] for k, (_, _, code) in SCRIPTS.items()}
+    assert all((r.company_name == "Quillmoor") == (SCRIPTS[k][2] is None) for k, r in rows.items()) and "secret" not in str(rows)
+    told = lambda k, n: (tmp_path / f"{k}-{n}").read_text()
+    assert (told("waits.test", 1), told("breaks-off.test", 1), told("misformed.test", 1)) == ("", X.SHORTER, X.REFORM)
+
+
+def test_a_run_that_was_killed_goes_on(spark, settings, tmp_path, monkeypatch):
+    """The answers of the second wave's round are committed, and then the driver is lost: nobody is asked twice."""
+    s = Settings(vocabulary=settings.vocabulary, max_pages_per_domain=1, max_llm_requests_per_domain=1)
+    for k in ("calls", "tables"):
+        (tmp_path / k).mkdir()
+    names, path = ["sound.test", "waits.test", "misformed.test"], str(tmp_path / "out.json")
+    run = lambda run_id: R.run(spark, names, s, path, home(spark), partial(ByTurn, str(tmp_path / "calls")), "live", run_id=run_id, wave=2, root=f"file://{tmp_path}/tables")
+    enrich, n = R.E.enrich, []
+
+    def dies(*a, **k):
+        n.append(1)
+        if len(n) == 2:
+            raise KeyboardInterrupt
+        return enrich(*a, **k)
+
+    monkeypatch.setattr(R.E, "enrich", dies)
+    with pytest.raises(KeyboardInterrupt) as e:
+        run("7")
+    assert "run_id='7'" in e.value.__notes__[0]
+    saved = json.loads((tmp_path / "out.json").read_text())
+    assert not saved["complete"] and [r["input_domain"] for r in saved["results"]] == names[:2]
+    monkeypatch.setattr(R.E, "enrich", enrich)
+    head, results = run("7")
+    assert head["complete"] and [r.input_domain for r in results.orderBy("ord").collect()] == names
+    assert sorted(os.listdir(tmp_path / "calls")) == sorted(f"{x}-0" for x in names)
+    saved = json.loads((tmp_path / "out.json").read_text())
+    assert saved["complete"] and [r["input_domain"] for r in saved["results"]] == names
+
+
+def test_committed_batches_are_not_made_again(spark, tmp_path):
+    c, made = Commits(spark, "b", f"file://{tmp_path}"), []
+
+    def make(t):
+        made.append(sorted(r.id for r in t.collect()))
+        if len(made) == 3:
+            raise OSError("lost")
+        return t.selectExpr("id", "id * 2 as twice")
+
+    todo = spark.range(40)
+    with pytest.raises(OSError):
+        c.work("x", todo, ["id"], make, "id long, twice long", 4)
+    # What a lost writer leaves has no mark.
+    spark.range(40).selectExpr("id", "0L as twice").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"file://{tmp_path}/run-b/x/batch-half")
+    got = c.work("x", todo, ["id"], make, "id long, twice long", 4)
+    assert sorted((r.id, r.twice) for r in got.collect()) == [(i, 2 * i) for i in range(40)]
+    assert sorted(i for k, x in enumerate(made) if k != 2 for i in x) == list(range(40))
+    assert c.work("x", todo, ["id"], lambda t: t.selectExpr("id", "0L as twice"), "id long, twice long").where("twice <> 2 * id").isEmpty()
 
 
 PAGES = {"https://quillmoor.test/": R.HOME, "https://quillmoor.test/team": R.HOME, "https://gone.test/": (404, "")}
 
 
-class Crashing(StoredPages):
-    def fetch(self, url):
-        if "crash" in url:
-            raise RuntimeError("secret text")
-        return super().fetch(url)
+class AnyName(PublicNames):
+    def __contains__(self, host):
+        return True
+
+
+def crashing(url, seconds):
+    if "crash" in url:
+        raise RuntimeError("secret text")
+    status, html = (200, PAGES[url]) if isinstance(PAGES.get(url), str) else (404, "")
+    return Answer(status, {}, html.encode())
 
 
 #: Answers by domain: first, and to a repair.
@@ -107,14 +183,18 @@ class ByDomain:
 
 def test_batch(spark, settings):
     names = ["quillmoor.test", "crash.test", "not a domain", "gone.test", "Quillmoor.test"]
-    head, results = R.run(spark, names, settings, None, partial(Crashing, PAGES, method="playwright"), partial(FixtureProvider, GOOD), "live")
+    fetch = over_http(settings, crashing, AnyName, "playwright", live=False)
+    head, results = R.run(spark, names, settings, None, fetch, partial(FixtureProvider, GOOD), "live")
     rows = results.orderBy("ord").collect()
     assert [r.input_domain for r in rows] == names and [r.status for r in rows] == ["success", "failed", "failed", "failed", "success"]
     one = rows[0]
     assert one.company_overview.count(".") == 2 and one.crawl.attempted_pages == 3 and one.crawl.duplicate_pages == 1
     assert [(p.name, p.role) for p in one.team_members] == [("Ida Brandt", "founder")] and one.team_members[0].role_evidence[0].source_url == "https://quillmoor.test/"
     assert [c.email for c in one.contact_points] == ["post@quillmoor.test"] and set(one.field_evidence) == {"company_name", "company_overview", "target_audience"}
-    assert [e.code for e in rows[1].errors] == ["no_usable_pages", "unexpected_error"] and "secret" not in str(rows[1])
+    assert one.crawl.duration_seconds > 0 and rows[2].crawl.duration_seconds == 0
+    # A host is crawled once, whoever names it.
+    assert one.sources == rows[4].sources
+    assert {e.code for e in rows[1].errors} == {"no_usable_pages", "unexpected_error"} and "secret" not in str(rows[1])
     assert [e.code for e in rows[2].errors] == ["invalid_domain"] and rows[2].confidence_score == 0
     assert {e.code for e in rows[3].errors} == {"http_404", "no_usable_pages"}
     assert head["complete"] and audit.audit(results).isEmpty()
@@ -122,7 +202,7 @@ def test_batch(spark, settings):
 
 def test_one_repair_and_one_page(spark, settings):
     one = Settings(vocabulary=settings.vocabulary, max_pages_per_domain=1)
-    _, results = R.run(spark, list(TURNS), one, None, partial(StoredPages, {}, R.HOME), ByDomain, "live")
+    _, results = R.run(spark, list(TURNS), one, None, home(spark), ByDomain, "live")
     rows = {r.input_domain: r for r in results.collect()}
     told = {k: (r.status, [e.code for e in r.errors], r.usage.request_count, r.company_name, r.team_members[0].role if r.team_members else None) for k, r in rows.items()}
     assert told == {
@@ -141,22 +221,20 @@ def hit(url, title, content):
 
 
 def answered(status, *results):
-    from evidra.connectors.http import Answer
-
-    return lambda url, headers, body, seconds: Answer(status, {}, json.dumps({"results": list(results)}).encode())
+    return lambda url, seconds, headers, method, body: Answer(status, {}, json.dumps({"results": list(results)}).encode())
 
 
 def test_search(spark, settings):
     s = Settings(vocabulary=settings.vocabulary, max_pages_per_domain=1, enable_search=True, tavily_api_key="k")
     told = answered(200, hit("https://linkedin.com/in/ida/", "Ida Brandt - Quillmoor", "x"), hit("https://www.linkedin.com/in/other", "Other person", "elsewhere"), hit("https://linkedin.com/in/z", "", "Ida Brandt Quillmoor"))
-    run = lambda s, send: R.run(spark, ["quillmoor.test"], s, None, partial(StoredPages, {}, R.HOME), partial(FixtureProvider, GOOD), "live", search_send=send)[1].first()
+    run = lambda s, send: R.run(spark, ["quillmoor.test"], s, None, home(spark), partial(FixtureProvider, GOOD), "live", search_send=send)[1].first()
     r = run(s, told)
     assert [x.kind for x in r.sources] == ["first_party_html", "search_snippet", "search_snippet"] and r.search_requests == 1
     p = r.team_members[0]
     assert (p.linkedin_status, [c.url for c in p.linkedin_candidates]) == ("search_candidate", ["https://www.linkedin.com/in/ida"])
     r = run(s, answered(401))
     assert r.status == "success" and [w for w in r.warnings if "Tavily" in w] and len(r.sources) == 1
-    targets = spark.createDataFrame([(0, 0, "Ida", "Q")], "ord int, item int, name string, company string")
+    targets = spark.createDataFrame([(0, 0, "Ida", "Q", 9.0)], "ord int, item int, name string, company string, left double")
     (row,) = searched(targets, Settings(enable_search=True)).collect()
     assert row.hit is None and "TAVILY_API_KEY" in row.warning
 
@@ -224,6 +302,8 @@ def test_settings(tmp_path, monkeypatch):
 def test_domain_files_and_checkpoints(spark, tmp_path):
     (tmp_path / "d.json").write_text('﻿["Münch.test", "a.test"]', encoding="utf-8")
     assert [tuple(r) for r in D.from_file(spark, str(tmp_path / "d.json")).orderBy("ord").collect()] == [(0, "Münch.test", "xn--mnch-0ra.test"), (1, "a.test", "a.test")]
+    odd = {"bücher.de?x=ä": "xn--bcher-kva.de", "https://bücher.de/a//b": "xn--bcher-kva.de", "bücher.de:443": "xn--bcher-kva.de", "//Bücher.de#ü": "xn--bcher-kva.de", "a.de/ü": "a.de", "https://u@bücher.de/": None, "bücher.de:8443": None, "ü..de": None, "bücher": None}
+    assert {r.input_domain: r.normalized_domain for r in D.inline(spark, list(odd)).collect()} == odd
     for bad in ("[]", "{}", '["a", 1]', "x"):
         (tmp_path / "b.json").write_text(bad)
         with pytest.raises(ValueError):
@@ -238,7 +318,7 @@ def test_domain_files_and_checkpoints(spark, tmp_path):
 
 
 def test_required_results(spark, settings):
-    _, results = R.run(spark, ["quillmoor.test"], settings, None, partial(StoredPages, PAGES, method="playwright"), partial(Scripted, SOUND), "live")
+    _, results = R.run(spark, ["quillmoor.test"], settings, None, home(spark, PAGES, None), Sound, "live")
     want = lambda *d: D.inline(spark, list(d))
     run = spark.createDataFrame([("live", True)], "mode string, complete boolean")
     rules = lambda r, run, d: {x.rule for x in audit.live(r, run).unionByName(audit.required(r, d)).collect()}
