@@ -6,10 +6,13 @@ at text position p and template position q votes for the diagonal p - q. Votes a
 words, and a merged run counts when it covers enough of the template's words within a span of about
 its length. Matching K-grams are compared word by word before they vote.
 
+Of a text only what matches leaves its row: its K-grams are looked up in the set of the templates' hashes, and a hit carries its
+own words and the places of qualifiers near it, so a text full of notices makes rows of bounded size, as many as it has hits.
+
 A run is then verified: it must cover the words by which its license is told from others (TELLING), and
 none of the text's words that it leaves uncovered, inside it or where its template's first or last words
 are missing, may name another license (QUALIFIERS). Of runs of different labels that overlap, only
-those with the best cover stay.
+those with the best cover stay; a run is compared with those that begin near enough to overlap, in the order of the text.
 
 The templates are a constant of this module, so their table is broadcast. Each text also carries one
 marker that always matches, so documents without a hit stay in the result after a single scan; only
@@ -103,22 +106,30 @@ def runs(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> DataFrame:
     first_word and end_word are word positions from 0, the end exclusive.
     """
     spark = docs.sparkSession
+    places_of = positions(spark, templates)
+    longest = max((len(text.split()) for _, text, _ in templates), default=0)
+    # As many as the templates have words.
+    hashes = [r.gram for r in places_of.where("tid >= 0").select("gram").distinct().collect()]
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", F.xxhash64(t).alias("same"), F.filter(F.split(F.translate(t, string.ascii_uppercase, string.ascii_lowercase), BREAK), lambda w: w != "").alias("words_"))
     d = d.withColumn("h", F.transform("words_", lambda w: F.xxhash64(w)))
-    grams = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (K - 1), F.lit(0))), lambda x, i: _hash(x, F.get(F.col("h"), i + 1), F.get(F.col("h"), i + 2)))
-    d = d.withColumn("grams", F.concat(F.array(F.lit(0).cast("long")), grams))
+    n = F.size("words_")
+    grams = F.transform(F.slice("h", 1, F.greatest(n - (K - 1), F.lit(0))), lambda x, i: F.struct(i.alias("p"), _hash(x, F.get(F.col("h"), i + 1), F.get(F.col("h"), i + 2)).alias("gram")))
+    d = d.withColumn("found", F.filter(grams, lambda g: g["gram"].isin(hashes)))
+
+    def carried(g):
+        # Where qualifiers stand before and behind the K-gram, as far as a run may reach.
+        first = F.greatest(g["p"] - 1, F.lit(0))
+        near = F.transform(F.slice("words_", first + 1, 1 + K + 2 * longest), lambda w, i: F.when(w.isin(QUALIFIERS), (first + i).cast("long")))
+        named = F.filter(near, lambda x: x.isNotNull() & ((x < g["p"]) | (x >= g["p"] + K)))
+        return F.struct(g["p"].cast("long").alias("p"), g["gram"].alias("gram"), F.array_join(F.slice("words_", g["p"] + 1, K), " ").alias("said"), named.alias("named"))
+
+    marker = F.struct(F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("gram"), F.lit("").alias("said"), F.array().cast("array<bigint>").alias("named"))
     # The outer form, as the plain one infers a filter that repeats the whole expression at the scan.
-    each = d.select("doc_id", "same", "words_", F.posexplode_outer("grams").alias("at", "gram"))
-    hit = each.join(F.broadcast(positions(spark, templates)), "gram")
+    each = d.select("doc_id", "same", n.cast("long").alias("n_words"), F.explode_outer(F.concat(F.array(marker), F.transform("found", carried))).alias("hit")).select("doc_id", "same", "n_words", "hit.*")
     # Hashes may be equal by chance; a vote needs the very words.
-    exact = F.array_join(F.slice("words_", F.greatest(F.col("at"), F.lit(1)), K), " ") == F.col("phrase")
-    votes = hit.where((F.col("tid") < 0) & (F.col("at") == 0) | (F.col("tid") >= 0) & (F.col("at") > 0) & exact)
-    # Where qualifiers stand before and behind the K-gram, as far as a run may reach.
-    behind = F.transform(F.slice("words_", F.col("at") + K, F.when(F.col("base"), 0).otherwise(2 * F.col("words"))), lambda w, i: F.when(w.isin(QUALIFIERS), (F.col("at") - 1 + K + i).cast("long")))
-    before = F.array(F.when(F.get("words_", F.col("at") - 2).isin(QUALIFIERS), (F.col("at") - 2).cast("long")))
-    named = F.filter(F.concat(before, behind), lambda x: x.isNotNull())
-    votes = votes.select("doc_id", "same", "tid", "label", "base", "words", "must", named.alias("named"), "q", (F.col("at") - 1).cast("long").alias("p"), F.size("words_").cast("long").alias("n_words"))
+    votes = each.join(F.broadcast(places_of), "gram").where((F.col("tid") < 0) == (F.col("p") < 0)).where(F.col("said") == F.col("phrase"))
+    votes = votes.select("doc_id", "same", "tid", "label", "base", "words", "must", "named", "q", "p", "n_words")
     by = ["doc_id", "same", "tid", "label", "base", "words"]
     diagonals = votes.groupBy(*by, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.max("must").alias("must"), F.array_distinct(F.flatten(F.collect_set("named"))).alias("named"), F.collect_set("q").alias("qs"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     at = Window.partitionBy("doc_id", "same", "tid").orderBy("diagonal")
@@ -129,19 +140,21 @@ def runs(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> DataFrame:
     texts = F.flatten(F.collect_list(F.transform("qs", lambda q: q + F.col("diagonal"))))
     run = merged.groupBy(*by, "run").agg(F.max("must").alias("must"), F.flatten(F.collect_list("named")).alias("named"), texts.alias("texts"), places.alias("places"), F.min("lo").alias("first_word"), (F.max("hi") + K).alias("end_word"), F.max("n").alias("n"), F.max("n_words").alias("n_words"))
     run = run.withColumn("covered", F.size("places"))
-    cover = F.col("covered") / F.col("words")
+    cover = F.coalesce(F.try_divide(F.col("covered"), F.col("words")), F.lit(0.0))
     since = F.col("first_word") - (F.array_min("places") > 0).cast("int")
     until = F.col("end_word") + (F.array_max("places") < F.col("words") - 1).cast("int")
     other = F.exists("named", lambda x: (x >= since) & (x < until) & ~F.exists("texts", lambda t: (x >= t) & (x < t + K)))
     verified = (F.size(F.array_except("must", "places")) == 0) & ~other
     good = F.when(F.col("base"), F.col("covered") == F.col("words")).otherwise((cover >= COVER) & (F.col("end_word") - F.col("first_word") <= 2 * F.col("words")) & verified)
-    one = F.when((F.col("tid") >= 0) & good, F.struct("label", "base", "first_word", "end_word", cover.alias("cover")))
-    found = run.groupBy("doc_id", "same").agg(F.max("n_words").alias("n_words"), F.max(F.when(F.col("tid") < 0, F.col("n"))).alias("copies"), F.collect_list(one).alias("runs"))
-
-    def beaten(x):
-        return F.exists("runs", lambda y: ~y["base"] & (y["label"] != x["label"]) & (y["cover"] > x["cover"]) & (y["first_word"] < x["end_word"]) & (x["first_word"] < y["end_word"]))
-
-    return found.withColumn("runs", F.filter("runs", lambda x: x["base"] | ~beaten(x)))
+    # A run that counts spans at most twice its template, so one that overlaps it begins within as many words.
+    reach = 2 * longest
+    nearby = Window.partitionBy("doc_id", "same").orderBy("first_word").rangeBetween(-reach, reach)
+    counts = run.withColumn("good", (F.col("tid") >= 0) & F.coalesce(good, F.lit(False))).withColumn("cover", cover).where("good or tid < 0")
+    rivals = F.collect_list(F.when(F.col("good") & ~F.col("base"), F.struct("label", "cover", "first_word", "end_word"))).over(nearby)
+    beaten = F.exists("rivals", lambda y: (y["label"] != F.col("label")) & (y["cover"] > F.col("cover")) & (y["first_word"] < F.col("end_word")) & (F.col("first_word") < y["end_word"]))
+    kept = counts.withColumn("rivals", rivals).withColumn("kept", F.col("good") & (F.col("base") | ~beaten))
+    one = F.when(F.col("kept"), F.struct("label", "base", "first_word", "end_word", "cover"))
+    return kept.groupBy("doc_id", "same").agg(F.max("n_words").alias("n_words"), F.max(F.when(F.col("tid") < 0, F.col("n"))).alias("copies"), F.collect_list(one).alias("runs"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:

@@ -85,3 +85,15 @@ def test_only_ascii_letters_are_lowered(spark):
     phrases = {"under the mit license": "mit", "Ünder the mit": "upper", "ünder the mit": "lower", "mit \u212ak license": "kelvin", "mit kk license": "plain"}
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases=phrases)
     assert {r.doc_id: r.base_labels for r in found.collect()} == {1: "mit", 2: "upper", 3: "kelvin"}
+
+
+def test_a_text_full_of_notices(spark):
+    """20,000 notices in one text, next to runs of other labels: as many votes as hits, and none of them carries the text."""
+    n = 20_000
+    text = "Released under the MIT License. Words between them. " * n
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "Released under the MIT License.")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan(docs).drop("runs").collect()}
+    assert [(rows[i].n_words, rows[i].n_base, rows[i].first_word, rows[i].last_word) for i in (1, 2)] == [(8 * n, n, 1, 8 * n - 7)] * 2
+    assert rows[1].labels == rows[3].labels == "mit"
+    runs = license_scan.scan(docs.where("doc_id = 1")).select("runs").first().runs
+    assert len(runs) == 2 * n
