@@ -1,10 +1,11 @@
 """Mixing sources to target weights by temperature.
 
 A source's weight is its token share to the power a, normalised. a = 1 keeps the shares, smaller a
-evens them out. a is bisected, six levels to a Spark job, to the most even mixture whose repetition
-limit holds, and to no more entropy than asked for; the target may be given in nats, or as the part of the way from the
-entropy of the shares to that of equal weights. The budget defaults to what gives the largest
-source exactly one pass, so no document is lost and smaller sources repeat.
+evens them out, larger a sharpens them. a is bisected, six levels to a Spark job, to the most even mixture whose repetition
+limit holds under the budget, and to no more entropy than asked for; the target may be given in nats, or as the part of the way from the
+entropy of the shares to that of equal weights. What no exponent meets raises: a target below the entropy of the largest sources
+alone, a budget of more passes than the limit over all or over the largest source. The budget defaults to what gives the largest
+source exactly one pass: up to a = 1 no document is lost and smaller sources repeat, beyond it smaller sources lose some.
 
 Weights become whole documents by budgeted block permutations: documents are dealt by hash into about
 sqrt(n) blocks, blocks are taken in a pseudo-random order and documents in hash order within theirs. A
@@ -35,6 +36,8 @@ REPEAT = 2.0
 #: Sources whose cuts may be broadcast: under 10 MB.
 BROADCAST = 50_000
 LEVELS = 6
+#: Powers of two among which an exponent above one is looked for.
+STEPS = 24
 #: How far the registered query and the pipeline go from the shares' entropy towards that of equal weights.
 EVENNESS = 0.5
 
@@ -52,32 +55,57 @@ def _prepared(docs: DataFrame, n_blocks: int) -> DataFrame:
     )
 
 
-def exponent(shares: DataFrame, repeat: float, entropy: float | None, evenness: float | None) -> tuple[float, float]:
-    """(a, log of the normaliser) for a table of positive shares p, one row for each source."""
+def exponent(shares: DataFrame, repeat: float, entropy: float | None, evenness: float | None, times: float | None = None) -> tuple[float, float]:
+    """(a, log of the normaliser) for a table of positive shares p, one row for each source.
+
+    times: the budget as a multiple of all tokens; None gives the largest source one pass. The smallest a, and so the most even mixture, that
+    passes over no source more than repeat times and has no more entropy than asked for. Both get easier as a rises to 1, and
+    entropy beyond that too, down to that of the largest sources alone. A ValueError where no a serves.
+    """
     p = F.col("p")
     r = shares.agg(F.max(p).alias("hi"), F.min(p).alias("lo"), F.count(p).alias("n"), (-F.sum(p * F.log(p))).alias("entropy")).first()
-    if r.hi is None or r.hi <= r.lo:
+    if r.hi is None:
         return 1.0, 0.0
+    if times is not None and times > repeat * (1 + 1e-9):
+        raise ValueError(f"a budget of {times:.4g} times the tokens takes more than {repeat} passes")
     if evenness is not None:
         target = r.entropy + evenness * (math.log(r.n) - r.entropy)
         entropy = target if entropy is None else min(entropy, target)
-
-    def fits(a: float, z: float, s: float) -> bool:
-        """z, s: sums of p**a and of p**a * log p."""
-        most = (1 - a) * (math.log(r.hi) - math.log(r.lo)) <= math.log(repeat) + 1e-12
-        return most and (entropy is None or math.log(z) - a * s / z <= entropy + 1e-12)
-
-    low, high = 0.0, 1.0  # high always fits, or nothing does
-    for _ in range(4):
-        step = (high - low) / 2**LEVELS
-        grid = [low + i * step for i in range(2**LEVELS)]
-        sums = shares.agg(*(x for i, a in enumerate(grid) for x in (F.sum(p**a).alias(f"z{i}"), F.sum(p**a * F.log(p)).alias(f"s{i}")))).first()
-        good = next((i for i, a in enumerate(grid) if fits(a, sums[f"z{i}"], sums[f"s{i}"])), None)
-        if good == 0 and low == 0.0:
-            high = 0.0
-            break
+    top, low_log = math.log(r.hi), math.log(r.lo)
+    # Powers of shares over the largest one do not underflow where it matters.
+    q = p / F.lit(r.hi)
+    ties = shares.agg(F.sum(F.when(q > 1 - 1e-12, 1).otherwise(0))).first()[0]
+    if entropy is not None and entropy < math.log(ties) - 1e-9:
+        raise ValueError(f"no exponent gives an entropy below {math.log(ties):.6g}")
+
+    def sums(grid: list[float]) -> list[tuple[float, float]]:
+        """(log of the sum of p**a, entropy) for each a."""
+        got = shares.agg(*(x for i, a in enumerate(grid) for x in (F.sum(q**a).alias(f"z{i}"), F.sum(q**a * F.log(q)).alias(f"s{i}")))).first()
+        return [(math.log(got[f"z{i}"]) + a * top, math.log(got[f"z{i}"]) - a * got[f"s{i}"] / got[f"z{i}"]) for i, a in enumerate(grid)]
+
+    def passes(a: float, log_z: float, log_p: float) -> float:
+        """Log of the passes over a source of this share."""
+        return (1 - a) * (top - log_p) if times is None else math.log(times) - (1 - a) * log_p - log_z
+
+    def enough(a: float, log_z: float, h: float) -> bool:
+        return (a >= 1 or passes(a, log_z, low_log) <= math.log(repeat) + 1e-12) and (entropy is None or h <= entropy + 1e-9)
+
+    if r.hi <= r.lo:
+        return 1.0, 0.0
+    # Zero to one, or between the powers of two from there.
+    steps = [0.0, *(2.0**k for k in range(STEPS))]
+    first = next((i for i, (a, x) in enumerate(zip(steps, sums(steps), strict=True)) if enough(a, *x)), None)
+    if first is None:
+        raise ValueError("no exponent gives so small an entropy")
+    low, high = (steps[first - 1], steps[first]) if first else (0.0, 0.0)
+    for _ in range(4 if first else 0):
+        grid = [low + i * (high - low) / 2**LEVELS for i in range(1, 2**LEVELS)]
+        good = next((i for i, (a, x) in enumerate(zip(grid, sums(grid), strict=True)) if enough(a, *x)), None)
         low, high = (grid[-1], high) if good is None else (grid[good - 1] if good else low, grid[good])
-    return high, math.log(shares.agg(F.sum(F.col("p") ** high)).first()[0])
+    log_z = sums([high])[0][0]
+    if high > 1 and passes(high, log_z, top) > math.log(repeat) + 1e-9:
+        raise ValueError("the budget takes too many passes over the largest source at so small an entropy")
+    return high, log_z
 
 
 def cuts(narrow: DataFrame, scratch: Scratch, repeat: float, entropy: float | None, evenness: float | None, budget: float | None) -> DataFrame:
@@ -89,10 +117,10 @@ def cuts(narrow: DataFrame, scratch: Scratch, repeat: float, entropy: float | No
     sources = scratch.store(cells.groupBy("source").agg(F.sum("tokens").alias("total")), "sources")
     every = sources.agg(F.sum("total")).first()[0] or 0
     shares = sources.withColumn("p", F.col("total") / F.lit(float(max(every, 1))))
-    a, log_z = exponent(shares, repeat, entropy, evenness)
+    a, log_z = exponent(shares, repeat, entropy, evenness, None if budget is None or not every else budget / every)
     top = shares.agg(F.max("p")).first()[0] or 1.0
     spend = budget if budget is not None else every * math.exp(log_z + (1 - a) * math.log(top))
-    weighted = shares.withColumn("weight", F.col("p") ** a / F.lit(math.exp(log_z))).withColumn("passes", F.least(F.col("weight") * F.lit(float(spend)) / F.col("total"), F.lit(float(repeat))))
+    weighted = shares.withColumn("weight", F.col("p") ** a / F.lit(math.exp(log_z))).withColumn("passes", F.col("weight") * F.lit(float(spend)) / F.col("total"))
     whole = F.round(F.floor(F.col("passes") + 1e-9)).cast("int")
     plan = weighted.withColumn("full", whole).withColumn("part", F.greatest(F.floor((F.col("passes") - whole) * F.col("total") + 1e-6).cast("long"), F.lit(0).cast("long")))
     plan = scratch.store(plan, "plan")

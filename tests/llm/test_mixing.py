@@ -40,11 +40,13 @@ def entropy(w):
     return -sum(x * math.log(x) for x in w.values())
 
 
-def slow_exponent(p, repeat, target):
-    """The smallest a on a fine grid whose limits hold."""
+def slow_exponent(p, repeat, target, times=None):
+    """The smallest a on a fine grid whose limits hold, under a budget of times all tokens or one pass over the largest source."""
     for k in range(20_001):
         a = k / 20_000
-        if (1 - a) * math.log(max(p.values()) / min(p.values())) <= math.log(repeat) + 1e-9 and (target is None or entropy(weights(p, a)) <= target + 1e-9):
+        w = weights(p, a)
+        spend = times or max(p.values()) / w[max(p, key=p.get)]
+        if max(w[s] * spend / p[s] for s in p) <= repeat * (1 + 1e-9) and (target is None or entropy(w) <= target + 1e-9):
             return a
     return 1.0
 
@@ -58,7 +60,7 @@ def test_against_a_plain_computation(spark, how):
     target = how.get("entropy")
     if "evenness" in how:
         target = h1 + how["evenness"] * (math.log(len(p)) - h1)
-    a = slow_exponent(p, how["repeat"], target)
+    a = slow_exponent(p, how["repeat"], target, "budget" in how and how["budget"] / sum(total.values()))
     w = weights(p, a)
     out = mixing.mix(docs, **how).select("row.*", "pass", F.col("block").alias("at"), "u", F.col("weight").alias("__w")).collect()
     for s, x in {(r.source, r["__w"]) for r in out}:
@@ -116,3 +118,49 @@ def test_one_source_no_source_and_no_rows(spark):
     assert mixing.mix(one.where("false"), evenness=0.5).collect() == []
     assert mixing.exponent(spark.createDataFrame([], "p double"), 2.0, None, 0.5) == (1.0, 0.0)
     assert Scratch(spark, "x").tables == []
+
+
+def shares_of(spark, *tokens):
+    total = sum(tokens)
+    return spark.createDataFrame([(str(i), t / total) for i, t in enumerate(tokens)], "source string, p double")
+
+
+def power_entropy(tokens, a):
+    w = [t**a for t in tokens]
+    return -sum(x / sum(w) * math.log(x / sum(w)) for x in w if x)
+
+
+@pytest.mark.parametrize("target", [0.898, 0.7, 0.5, 0.1, 1e-3])
+def test_a_target_below_the_entropy_of_the_shares(spark, target):
+    a, log_z = mixing.exponent(shares_of(spark, 6, 3, 1), 2.0, target, None)
+    assert a > 1 or target > 0.89
+    assert abs(power_entropy([6, 3, 1], a) - target) < 1e-5
+    assert abs(log_z - math.log(sum((t / 10) ** a for t in (6, 3, 1)))) < 1e-9
+
+
+def test_targets_that_no_exponent_meets(spark):
+    for tokens, target, times in (([5, 5], 0.5, None), ([4, 4, 2], 0.6, None), ([6, 3, 1], -0.1, None), ([6, 3, 1], None, 2.5), ([9, 1], 0.1, 2.0)):
+        with pytest.raises(ValueError):
+            mixing.exponent(shares_of(spark, *tokens), 2.0, target, None, times)
+    assert mixing.exponent(shares_of(spark, 4, 4, 2), 2.0, math.log(2) + 1e-3, None)[0] > 5
+
+
+def test_the_limit_holds_under_the_budget(make):
+    """90 + 10 documents: with twice the limit's room the weights even out only as far as no source is passed over more often."""
+    docs = make([(i, "w " * 10, "en", "large" if i < 90 else "small", 1) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
+    for times, repeat in ((1.0, 2.0), (1.9, 2.0), (4.0, 5.0)):
+        m = mixing.mix(docs, repeat=repeat, evenness=1.0, budget=times * 1000).select("row.source", "weight").collect()
+        n = {s: sum(r.source == s for r in m) for s in ("large", "small")}
+        weight = {r.source: r.weight for r in m}
+        assert abs(sum(n.values()) - 100 * times) <= 2
+        assert all(abs(n[s] / (100 * times) - weight[s]) <= 0.02 for s in n)
+        assert n["small"] <= 10 * repeat + 1e-6 and n["small"] >= int(10 * times)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, repeat=2.0, evenness=1.0, budget=4000.0)
+
+
+def test_a_sharper_mixture_is_realised(make):
+    docs = make([(i, "w " * 10, "en", "abc"[0 if i < 600 else 1 if i < 900 else 2], 1) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long")
+    m = mixing.mix(docs, entropy=0.5).select("row.source").collect()
+    n = {s: sum(r.source == s for r in m) for s in "abc"}
+    assert n["a"] == 600 and abs(-sum(x / len(m) * math.log(x / len(m)) for x in n.values() if x) - 0.5) < 0.02
