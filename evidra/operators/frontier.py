@@ -88,40 +88,41 @@ STATE = f"host string, queue array<{_CHOICE}>, known array<string>, visited arra
 OFFERS = "array<struct<url:string,priority:int>>"
 
 
-def _turned(max_depth: int, seen: int):
-    """One turn of every host's search: what the last page links to comes in, the next page goes out."""
+def turned(r: dict, max_depth: int, seen: int) -> dict:
+    """One turn of a host's search, STATE and offers as a dict: what the last page links to comes in, the next page goes out."""
+    host, known = r["host"], set(r["known"])
+    ahead = [(c["priority"], c["depth"], c["url"]) for c in r["queue"]]
+    heapq.heapify(ahead)
+
+    def remember(offers):
+        for offer in offers:
+            if offer[1] <= max_depth and offer[2] not in known and len(known) < seen:
+                known.add(offer[2])
+                heapq.heappush(ahead, offer)
+
+    gone = {*r["visited"], *filter(None, [r["at"]])}
+    remember((x["priority"], r["depth"] + 1, x["url"]) for x in r["offers"] or [])
+    poor = not ahead or ahead[0][0] >= POOR
+    if r["spare"] and poor:
+        remember((SPARE, 1, f"https://{host}{path}") for path in FALLBACK)
+    while ahead and ahead[0][2] in gone:
+        heapq.heappop(ahead)
+    out = {"host": host, "known": sorted(known), "spare": r["spare"] and not poor, "pages": r["pages"], "at": None, "depth": None, "spent": r["spent"]}
+    if ahead:
+        best = heapq.heappop(ahead)
+        out |= {"pages": [*r["pages"], dict(zip(("priority", "depth", "url"), best, strict=True))], "at": best[2], "depth": best[1]}
+        gone.add(best[2])
+    return out | {"queue": [dict(zip(("priority", "depth", "url"), c, strict=True)) for c in ahead], "visited": sorted(gone)}
+
+
+def _turns(max_depth: int, seen: int):
     choice = pa.struct([("priority", pa.int32()), ("depth", pa.int32()), ("url", pa.string())])
     texts = pa.list_(pa.string())
     schema = pa.schema([("host", pa.string()), ("queue", pa.list_(choice)), ("known", texts), ("visited", texts), ("spare", pa.bool_()), ("pages", pa.list_(choice)), ("at", pa.string()), ("depth", pa.int32()), ("spent", pa.float64())])
 
-    def turned(r: dict) -> dict:
-        host, known = r["host"], set(r["known"])
-        ahead = [(c["priority"], c["depth"], c["url"]) for c in r["queue"]]
-        heapq.heapify(ahead)
-
-        def remember(offers):
-            for offer in offers:
-                if offer[1] <= max_depth and offer[2] not in known and len(known) < seen:
-                    known.add(offer[2])
-                    heapq.heappush(ahead, offer)
-
-        gone = {*r["visited"], *filter(None, [r["at"]])}
-        remember((x["priority"], r["depth"] + 1, x["url"]) for x in r["offers"] or [])
-        poor = not ahead or ahead[0][0] >= POOR
-        if r["spare"] and poor:
-            remember((SPARE, 1, f"https://{host}{path}") for path in FALLBACK)
-        while ahead and ahead[0][2] in gone:
-            heapq.heappop(ahead)
-        out = {"host": host, "known": sorted(known), "spare": r["spare"] and not poor, "pages": r["pages"], "at": None, "depth": None, "spent": r["spent"]}
-        if ahead:
-            best = heapq.heappop(ahead)
-            out |= {"pages": [*r["pages"], dict(zip(("priority", "depth", "url"), best, strict=True))], "at": best[2], "depth": best[1]}
-            gone.add(best[2])
-        return out | {"queue": [dict(zip(("priority", "depth", "url"), c, strict=True)) for c in ahead], "visited": sorted(gone)}
-
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pylist([turned(r) for r in b.to_pylist()], schema=schema)
+            yield pa.RecordBatch.from_pylist([turned(r, max_depth, seen) for r in b.to_pylist()], schema=schema)
 
     return run
 
@@ -149,7 +150,7 @@ def turn(state: DataFrame, max_depth: int = 2, seen: int = SEEN) -> DataFrame:
     A host's row holds at most seen URLs. spent goes along.
     """
     names = [x.split()[0] for x in STATE.split(", ")]
-    return state.select(*names, "offers").mapInArrow(_turned(max_depth, seen), STATE)
+    return state.select(*names, "offers").mapInArrow(_turns(max_depth, seen), STATE)
 
 
 def offered(links: Column, host: Column, also: Column | None = None, seen: int = SEEN) -> Column:

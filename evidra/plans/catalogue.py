@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.functions import urls as U
 from evidra.operators import audit, context, frontier, grounding, html, robots, scoring
 from evidra.plans import fixtures as X
+from evidra.streaming import frontier as stream
 
 Q, SQL = {}, {}
 
@@ -168,18 +169,28 @@ def q_frontier_best_first(spark, sf_dir):
     return frontier.best_first(_crawled(spark, sf_dir), max_depth=2)
 
 
-# A small site whose pages link on: words of a host's pages by number, three links from page to page.
-_SITE = ["team", "pricing/x", "blog/a", "about/us", "contact", "x/1", "x/2", "login", "careers/y", "docs/z"]
+# A host's pages as a site that links on: page 0 is its root, and page k is what link (k - 1) % 2 of page (k - 1) // 2 leads to.
+_SITE = f"""with recursive {_LINKS.strip()},
+numbered as (select url as page_url, {_HOST.format("url")} as host, row_number() over (partition by {_HOST.format("url")} order by page_id) - 1 as k from pages),
+linked as (select n.host, n.k, u.pos, concat(u.url, '/', ['{"', '".join(_TAILS)}'][cast((u.pos + length(u.url)) % {len(_TAILS)} as integer) + 1]) as url, u.text from numbered n join u using (host, page_url)),
+placed as (select host, k, 'https://' || host || '/' as page_url from numbered where k = 0 union all select n.host, n.k, p.url from numbered n join linked p on p.host = n.host and p.k = (n.k - 1) // 2 and p.pos = (n.k - 1) % 2 where n.k > 0),
+held as (select host, page_url, min(k) as k from placed group by all),
+site as (select h.host, h.page_url, l.pos, l.url, l.text from held h join linked l using (host, k)),
+"""
 
 
-def _site(spark):
-    rows = []
-    for h in ("a.test", "b.test", "www.c.test"):
-        pages = [f"https://{h}/", *(f"https://{h}/{w}" for w in _SITE)]
-        for i, page in enumerate(pages):
-            for pos, step in enumerate((1, 3, 7) if h != "b.test" else (2,)):
-                rows.append((h, page, pos, pages[(i * step + pos + 1) % len(pages)], "Our team" if i == 6 and not pos else ""))
-    return spark.createDataFrame(rows, "host string, page_url string, pos int, url string, text string")
+def _site(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    no = F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1
+    numbered = pages.select("page_id", U.host(F.col("url")).alias("host"), F.col("url").alias("page_url")).withColumn("k", no)
+    tails = F.array(*map(F.lit, _TAILS))
+    url = F.concat("url", F.lit("/"), F.get(tails, ((F.col("pos") + F.length("url")) % len(_TAILS)).cast("int")))
+    linked = frontier.page_links(pages).join(numbered, ["host", "page_url"]).select("host", "k", "pos", url.alias("url"), "text")
+    root = numbered.where("k = 0").select("host", "k", F.concat(F.lit("https://"), "host", F.lit("/")).alias("page_url"))
+    up = linked.select("host", F.expr("2 * k + pos + 1").alias("k"), "pos", F.col("url").alias("page_url")).where("pos < 2").drop("pos")
+    placed = root.unionByName(numbered.where("k > 0").select("host", "k").join(up, ["host", "k"]))
+    held = placed.groupBy("host", "page_url").agg(F.min("k").alias("k"))
+    return held.join(linked, ["host", "k"]).select("host", "page_url", "pos", "url", "text")
 
 
 _STEP = f"""links as (select host, page_url, pos, url, case when regexp_matches(path, '{frontier.EXCLUDED}') then null when regexp_matches(said, '{frontier.LOW}') then 8
@@ -188,11 +199,9 @@ _STEP = f"""links as (select host, page_url, pos, url, case when regexp_matches(
 firsts as (select host, page_url, url, arg_min(priority, pos) as priority from links where priority is not null group by all)"""
 
 
-def _site_sql() -> str:
+def _site_sql(depth: int) -> str:
     """The search as a recursive query: a state is a host's number of pages so far, the URLs it knows and those it has taken."""
-    hosts, words = "['a.test', 'b.test', 'www.c.test']", "['" + "', '".join(["", *_SITE]) + "']"
-    return f"""with recursive site as (select h as host, 'https://' || h || '/' || w[i + 1] as page_url, p as pos, 'https://' || h || '/' || w[(i * s[p + 1] + p + 1) % {len(_SITE) + 1} + 1] as url, case when i = 6 and p = 0 then 'Our team' else '' end as text
-  from (select unnest({hosts}) as h, {words} as w), (select unnest(range({len(_SITE) + 1})) as i), lateral (select case when h = 'b.test' then [2] else [1, 3, 7] end as s), lateral (select unnest(range(len(s))) as p)),
+    return f"""{_SITE}
 {_STEP},
 search as (
   select distinct host, 0 as n, [{{'priority': 0, 'depth': 0, 'url': 'https://' || host || '/'}}] as open, ['https://' || host || '/'] as known, true as spare, null::struct(priority integer, depth integer, url varchar) as page from site
@@ -202,15 +211,24 @@ search as (
       select host, n, known, list_concat(open, case when lacks then list_filter([{", ".join("{'priority': 5, 'depth': 1, 'url': 'https://' || host || '" + x + "'}" for x in frontier.FALLBACK)}], lambda x: not list_contains(known, x.url)) else [] end) as every, spare and not lacks as now_spare from (
         select s.host, s.n, list_distinct(list_concat(s.known, list_transform(f.new, lambda x: x.url))) as known, list_concat(s.open, f.new) as open, s.spare,
           s.spare and (len(list_concat(s.open, f.new)) = 0 or list_sort(list_concat(s.open, f.new))[1].priority >= 6) as lacks
-        from search s, lateral (select coalesce(list({{'priority': f.priority, 'depth': s.page.depth + 1, 'url': f.url}}), []) as new from firsts f where f.host = s.host and f.page_url = s.page.url and s.page.depth < 2 and not list_contains(s.known, f.url)) f
+        from search s, lateral (select coalesce(list({{'priority': f.priority, 'depth': s.page.depth + 1, 'url': f.url}}), []) as new from firsts f where f.host = s.host and f.page_url = s.page.url and s.page.depth < {depth} and not list_contains(s.known, f.url)) f
         where s.n < 8)) where len(every) > 0))
 select host, page.url as url, page.priority as priority, page.depth as depth, n as page_no from search where n > 0"""
 
 
-@query(_site_sql())
+@query(_site_sql(3))
 def q_frontier_deep(spark, sf_dir):
-    """Best-first search to depth 2 where pages link on."""
-    return frontier.best_first(_site(spark), max_depth=2)
+    """Best-first search to depth 3 where pages link on."""
+    return frontier.best_first(_site(spark, sf_dir), max_depth=3)
+
+
+@query(_site_sql(3))
+def q_frontier_stream(spark, sf_dir):
+    """The same search over the site's pages as they arrive, in batches by hash."""
+    links = _site(spark, sf_dir)
+    shown = links.groupBy("host", F.col("page_url").alias("url")).agg(F.array_sort(F.collect_list(F.struct("pos", "url", "text"))).alias("links"))
+    events = shown.select("host", "url", F.lit(None).cast("string").alias("end"), frontier.offered(F.col("links"), F.col("host")).alias("offers"))
+    return stream.searched(events, max_depth=3)
 
 
 @query("select doc_id, sha256(text) as fingerprint, row_number() over (partition by source, text order by doc_id) > 1 as duplicate from documents")
