@@ -279,6 +279,29 @@ def q_robots_allow(spark, sf_dir):
     return robots.allowed(p, rules).select("page_id", "url", "robots_state", "allowed")
 
 
+# Rules by number for the hosts of the pages: literal paths, stars and ends.
+_MANY = "concat(case n % 5 when 0 then '/' || {chr} when 1 then '/en/' || (n % 997) when 2 then '/*/' || (n % 89) || '$' when 3 then '/fr/' || (n % 61) || '*?page=' else '/de/' || (n % 7) || (n % 13) || '$' end)"
+
+
+@query(f"""
+with o as (select distinct regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin from pages),
+r as (select n, n % 3 = 0 as allow, {_MANY.replace("{chr}", "chr(cast(97 + (n // 5) % 26 as integer))")} as pattern from range(1000) t(n)),
+p as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as target from pages)
+select p.page_id, coalesce(arg_max(r.allow, length(replace(rtrim(r.pattern, '$'), '*', '')) * 2 + r.allow::integer), true) as allowed, cast(max(length(replace(rtrim(r.pattern, '$'), '*', ''))) as integer) as size
+from p left join r on regexp_matches(p.target, '^' || replace(replace(r.pattern, '?', '[?]'), '*', '.*')) group by 1
+""")
+def q_robots_index(spark, sf_dir):
+    """A thousand rules on every origin, met by their prefixes."""
+    p = table(spark, sf_dir, "pages")
+    target = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
+    asked = p.select("page_id", U.origin(F.col("url")).alias("origin"), target.alias("target"))
+    pattern = _MANY.replace("{chr}", "char(97 + (n div 5) % 26)")
+    rules = F.expr(f"transform(sequence(0, 999), n -> named_struct('allow', n % 3 = 0, 'pattern', {pattern}))")
+    robots_ = asked.select("origin").distinct().withColumn("rules", rules)
+    best = robots.indexed(asked.select("origin", "target").distinct(), robots_)
+    return asked.join(best, ["origin", "target"], "left").select("page_id", F.coalesce("best.allow", F.lit(True)).alias("allowed"), F.col("best.size").alias("size"))
+
+
 @query(f"""with {_ORIGINS}, g(k, specific, star, delay) as (values {_GROUPS}), chosen as (select *, bool_or(specific) over (partition by k) as any_specific from g),
 r(k, g, specific, star, allow, pattern) as (values {_RULES}), held as (select k, cast(count(*) as integer) as n from (select *, bool_or(specific) over (partition by k) as any_specific from r) where specific or (not any_specific and star) group by 1),
 d as (select k, max(delay)::double as delay from chosen where specific or (not any_specific and star) group by 1)
