@@ -208,6 +208,13 @@ def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: i
 
 
 def distinct_texts(pages: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """pages with fingerprint and duplicate: whether an earlier row of the same key has the text."""
-    at = Window.partitionBy(by, "fingerprint").orderBy(order)
-    return pages.withColumn("fingerprint", F.sha2(F.col(text), 256)).withColumn("duplicate", F.row_number().over(at) > 1)
+    """pages with fingerprint and duplicate: whether an earlier row of the same key has the text. Rows of one key, text and order are one page.
+
+    The first row of each text comes from a partial aggregation and meets its row by key, text and order, which no group of copies
+    shares. pages is read twice: write it before where it is dear.
+    """
+    p = pages.withColumn("fingerprint", F.sha2(F.col(text), 256))
+    first = p.groupBy(F.col(by).alias("__by"), F.col("fingerprint").alias("__text")).agg(F.min(order).alias("__first")).withColumn("__is", F.lit(True))
+    same = F.col(by).eqNullSafe(F.col("__by_")) & F.col("fingerprint").eqNullSafe(F.col("__text")) & F.col(order).eqNullSafe(F.col("__first"))
+    met = p.join(first.withColumnRenamed("__by", "__by_"), same, "left")
+    return met.withColumn("duplicate", F.col("__is").isNull()).drop("__by_", "__text", "__first", "__is")

@@ -25,14 +25,33 @@ EVIDENCE = "array<struct<source_id:string,excerpt:string,source_url:string>>"
 ISSUES = "ord {}, place struct<section:int,item:int,part:int>, issue string"
 
 
+#: Questions that meet a source's text at a time.
+TOGETHER = 500
+
+
+def asked_of(sources: DataFrame, asks: DataFrame, what: Column, together: int = TOGETHER) -> DataFrame:
+    """sources (ord, source_id and more) with asked: the distinct questions of asks (ord, source_id) about each, at most so many to a row.
+
+    A source that is not asked about is left out. Its columns are moved once for each row, whatever the number of those who ask.
+    """
+    each = asks.select("ord", "source_id", what.alias("__q")).distinct()
+    no = F.row_number().over(Window.partitionBy("ord", "source_id").orderBy("__q"))
+    rows = each.withColumn("__row", F.floor((no - 1) / F.lit(together))).groupBy("ord", "source_id", "__row").agg(F.collect_list("__q").alias("asked"))
+    return sources.join(rows.drop("__row"), ["ord", "source_id"])
+
+
 def resolve(citations: DataFrame, sources: DataFrame, *more: Column) -> DataFrame:
     """Citations whose squeezed excerpt (3 to 600 characters) stands in their usable source, with source_url.
 
-    Of repeated evidence of one owner the first stays. more: further columns of sources to bring along.
+    Of repeated evidence of one owner the first stays. more: further narrow columns of sources to bring along. The excerpts asked of a source
+    are gathered, searched for where its text is, and only those found go back to the citations; no citation carries a text.
     """
-    s = sources.where("usable").select("ord", "source_id", F.col("final_url").alias("source_url"), T.squeezed(F.col("text")).alias("__text"), *more)
     c = citations.withColumn("excerpt", T.squeezed(F.col("excerpt"))).where(F.length("excerpt").between(3, 600))
-    met = c.join(s, ["ord", "source_id"]).where(F.col("__text").contains(F.col("excerpt"))).drop("__text")
+    s = sources.where("usable").select("ord", "source_id", F.col("final_url").alias("source_url"), T.squeezed(F.col("text")).alias("__text"), *more)
+    held = F.filter("asked", lambda x: F.col("__text").contains(x))
+    narrow = [x for x in s.columns if x != "__text"]
+    found = asked_of(s, c, F.col("excerpt")).select(*narrow, F.explode(held).alias("excerpt"))
+    met = c.join(found, ["ord", "source_id", "excerpt"])
     first = F.row_number().over(Window.partitionBy("ord", "aspect", "item", "source_id", "excerpt").orderBy("pos"))
     return met.withColumn("__n", first).where("__n = 1").drop("__n")
 
@@ -132,14 +151,25 @@ def people(found: DataFrame, citations: DataFrame, sources: DataFrame, companies
     p = found.join(companies.select("ord", F.col("company_name").alias("__company")), "ord", "left")
     p = p.withColumn("name", T.squeezed(F.col("name"))).withColumn("role", T.squeezed(F.col("role"))).withColumn("__profile", U.profile_url(F.col("linkedin_url")))
     c = citations.where(F.col("aspect").isin("relationship", "role", "profile")).join(p.select("ord", "item", "name", "role", "__company", "__profile"), ["ord", "item"])
-    e = resolve(c, sources, (F.col("kind") == "first_party_html").alias("__own"), F.split("text", T.LINES).alias("__lines"), "links")
+    e = resolve(c, sources, (F.col("kind") == "first_party_html").alias("__own"))
+    # What a source says of each person is found where its lines and links are.
+    who = F.struct(F.lower("name").alias("name"), F.coalesce("__profile", F.lit("")).alias("profile"))
+    shown = asked_of(sources.where("usable").select("ord", "source_id", F.split("text", T.LINES).alias("__lines"), "links"), e.where("name is not null"), who)
+
+    def of(q):
+        out = F.exists("__lines", lambda x: F.lower(x).contains(q["name"]) & x.rlike(T.OUTSIDER))
+        near = F.filter("links", lambda x: (U.profile_url(x["url"]) == q["profile"]) & F.lower(x["nearby_text"]).contains(q["name"]) & ~x["nearby_text"].rlike(T.OUTSIDER))
+        return F.struct(q.alias("__who"), out.alias("__outside"), F.transform(near, lambda x: x["url"]).alias("__beside"))
+
+    told = shown.select("ord", "source_id", F.inline(F.transform("asked", of)))
+    e = e.withColumn("__who", who).join(told, ["ord", "source_id", "__who"], "left")
     said, name = F.lower("excerpt"), F.lower("name")
     named = said.contains(name) & ~F.col("excerpt").rlike(T.OUTSIDER)
     inside = F.coalesce(T.folded(F.col("excerpt")).contains(T.folded(F.col("__company"))), F.lit(False)) | F.col("excerpt").rlike(OWN_TEAM)
-    outside = F.exists("__lines", lambda x: F.lower(x).contains(name) & x.rlike(T.OUTSIDER))
+    outside = F.col("__outside")
     trusted = (F.col("aspect") == "relationship") & named & F.col("excerpt").rlike(T.RELATIONSHIP) & F.col("__own") & inside & ~outside
     roled = (F.col("aspect") == "role") & named & said.contains(F.lower("role"))
-    beside = F.exists("links", lambda x: (U.profile_url(x["url"]) == F.col("__profile")) & F.lower(x["nearby_text"]).contains(name) & ~x["nearby_text"].rlike(T.OUTSIDER) & F.col("excerpt").contains(x["url"]))
+    beside = F.col("__profile").isNotNull() & F.exists("__beside", lambda x: F.col("excerpt").contains(x))
     linked = (F.col("aspect") == "profile") & F.col("__own") & said.contains(name) & F.coalesce(beside, F.lit(False))
     held = e.groupBy("ord", "item").agg(listed(trusted).alias("relationship_evidence"), listed(roled).alias("role_evidence"), listed(linked).alias("profile_evidence"))
     none = F.array().cast(EVIDENCE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.functions import urls as U
-from evidra.operators import audit, context, frontier, grounding, html, robots, scoring
+from evidra.operators import audit, context, frontier, grounding, html, queue, robots, scoring
+from evidra.plans import extract
 from evidra.plans import fixtures as X
+from evidra.settings import Settings
+from evidra.sources.commits import Commits
 from evidra.streaming import frontier as stream
 
 Q, SQL = {}, {}
@@ -310,6 +314,58 @@ def q_robots_delay(spark, sf_dir):
     return _robots(spark, sf_dir)[1].select("origin", "state", "delay", F.size("rules").alias("rules"))
 
 
+_ASKED = "select page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin, cast(0.5 + length(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) % 4 * 0.25 as double) as delay, cast(case when page_id % 5 = 0 then 1000 + page_id % 97 else 0 end as double) as not_before from pages"
+
+
+@query(f"""with asked as ({_ASKED}), n as (select *, greatest(not_before, 1000 + delay) as base, row_number() over (partition by origin order by not_before, page_id) as k from asked)
+select a.page_id, a.origin, max(b.base + (a.k - b.k) * a.delay) as start from n a join n b on a.origin = b.origin and b.k <= a.k group by all""")
+def q_pacing(spark, sf_dir):
+    """When each page may be asked for, were all asked for at 1000."""
+    asked = spark.sql(_ASKED.replace("from pages", "from {pages}"), pages=table(spark, sf_dir, "pages"))
+    return queue.paced(asked, 1000.0, order="page_id").select("page_id", "origin", "start")
+
+
+@query(f"select page_id, {_HOST.format('url')} as host, cast(case when page_id % 11 in (2, 5, 7) then 2 else 1 end as integer) as attempt from pages")
+def q_resumed_batches(spark, sf_dir):
+    """Pages worked on in batches by a run that lost some of them, and by one that was resumed: what is committed is not made again."""
+    todo, commits = table(spark, sf_dir, "pages").select("page_id", "url"), Commits(spark)
+    made = lambda n: lambda t: t.select("page_id", U.host(F.col("url")).alias("host"), F.lit(n).alias("attempt"))
+    form = "page_id long, host string, attempt int"
+    commits.work("hosts", todo.where(~(F.col("page_id") % 11).isin(2, 5, 7)), ["page_id"], made(1), form, 3)
+    return Commits(spark, commits.run_id).work("hosts", todo, ["page_id"], made(2), form, 2)
+
+
+#: What a provider says to attempt a of page p, by (7 p + 3 a) % 6: code, whether it may pass, whether to mend it, and the wait that it asks for.
+_TURNS = {0: (None, False, False, None), 1: ("rate_limit", True, False, "2"), 2: ("refusal", False, False, None), 3: ("incomplete_response", False, True, None), 4: (None, False, False, None), 5: ("provider_http_500", True, False, "30")}
+
+
+@query("""with recursive r as (
+  select page_id as ord, 0 as attempt, 0 as requests, false as repaired, 0.0::double as spent, null::varchar as code, false as done from pages
+  union all
+  select ord, attempt + 1, case when late then requests else requests + 1 end, repaired or mends, case when late then spent else s + case when waits then wait else 0 end end,
+    case when late or (waits and overdue) then 'deadline_exceeded' when waits or mends then null else said end, late or not ((waits and not overdue) or mends) from (
+    select *, 40 - spent < 0.05 as late, wait is not null and attempt < 3 as waits, coalesce(wait >= greatest(0, 40 - s), false) as overdue, k in (3, 4) and attempt < 3 and not repaired as mends from (
+      select *, (7 * ord + 3 * attempt) % 6 as k, spent + 1 + ord % 3 as s, [null, 'rate_limit', 'refusal', 'incomplete_response', null, 'provider_http_500'][(7 * ord + 3 * attempt) % 6 + 1] as said,
+        [null, 2, null, null, null, 30][(7 * ord + 3 * attempt) % 6 + 1] as wait from r where not done)))
+select ord, cast(requests as integer) as requests, repaired, spent, code from r where done""")
+def q_retries(spark, sf_dir):
+    """Requests, waits and repairs of each page as a domain, by a provider whose answers are a table: rounds until nothing follows."""
+    settings = Settings(max_llm_requests_per_domain=4, domain_budget_seconds=40.0)
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.lit("").alias("repair"), F.lit(0).alias("attempt"), F.lit(False).alias("repaired"), F.lit(0.0).alias("spent"))
+    left, ends = queue.left(settings.domain_budget_seconds, F.col("spent")), []
+    of = lambda i, kind: F.get(F.array(*(F.lit(t[i]).cast(kind) for t in _TURNS.values())), F.col("k"))
+    for _ in range(settings.max_llm_requests_per_domain):
+        ends.append(rows.where(left < queue.LEAST).select("ord", F.col("attempt").alias("requests"), "repaired", "spent", F.lit("deadline_exceeded").alias("code")))
+        asked = rows.where(left >= queue.LEAST)
+        told = asked.select("ord", ((F.col("ord") * 7 + F.col("attempt") * 3) % 6).cast("int").alias("k"))
+        replies = told.select("ord", F.when(F.col("k").isin(0, 4), "{}").alias("parsed"), of(0, "string").alias("code"), of(1, "boolean").alias("retryable"), of(2, "boolean").alias("repairable"), of(3, "string").alias("retry_after"), (F.col("ord") % 3 + 1).cast("double").alias("took"))
+        issues = told.where("k in (0, 4)").select("ord", F.when(F.col("k") == 4, F.array(F.lit("an issue"))).otherwise(F.array().cast("array<string>")).alias("issues"), F.lit("mend it").alias("mend"))
+        met = extract.following(asked, replies, issues, settings, 1000.0)
+        ends.append(met.where("not again").select("ord", F.col("next_attempt").alias("requests"), F.col("next_repaired").alias("repaired"), "spent", "code"))
+        rows = met.where("again").select("ord", F.col("next_repair").alias("repair"), F.col("next_attempt").alias("attempt"), F.col("next_repaired").alias("repaired"), "spent")
+    return reduce(DataFrame.unionByName, ends)
+
+
 def _sources(spark, sf_dir):
     """Ten documents to a key; a tenth of them unusable, words of each category put in."""
     d = table(spark, sf_dir, "documents")

@@ -7,6 +7,8 @@ usage and score, as the audit and the exported file have it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,12 @@ def _with(df: DataFrame, **defaults: Column) -> DataFrame:
     return df.withColumns({k: v for k, v in defaults.items() if k not in df.columns})
 
 
-def sources(domains: DataFrame, pages: DataFrame) -> DataFrame:
+def sources(domains: DataFrame, pages: DataFrame, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """pages (ord, source_id, page_no, final_url, http_status, depth, priority, html), cleaned for their domain.
 
     Adds problem, material and duplicate; a page with a problem, its own or one met in fetching it (failure, retryable), is not usable.
-    A repeated text is usable but marked: it counts as fetched and is not quoted. Pages of unknown domains are left out.
+    A repeated text is usable but marked: it counts as fetched and is not quoted. Pages of unknown domains are left out. kept: writes
+    the cleaned pages and reads them, so that none is parsed twice.
     """
     met = pages.join(domains.select("ord", F.col("normalized_domain").alias("__host")), "ord")
     met = _with(met, failure=F.lit(None).cast("string"), retryable=F.lit(False), requested_url=F.col("final_url"), selection_reason=F.lit(""), retrieval_method=F.lit("playwright"), retrieved_at=F.lit(None).cast("timestamp"))
@@ -64,6 +67,7 @@ def sources(domains: DataFrame, pages: DataFrame) -> DataFrame:
     # What a page with a problem says is no evidence, so it keeps no text.
     for name, empty in (("text", F.lit("")), ("links", F.array().cast(f"array<{LINK}>")), ("email_candidates", F.array().cast("array<string>")), ("cleaned_text_chars", F.lit(0).cast("long")), ("html_bytes", F.lit(0).cast("long"))):
         s = s.withColumn(name, F.when(F.col("problem").isNull(), F.col(name)).otherwise(empty))
+    s = kept(s) if kept else s
     s = frontier.distinct_texts(s.withColumn("__by", F.struct("ord", F.col("problem").isNull().alias("fetched"))), "__by", "page_no", "text").drop("__by")
     return s.withColumn("duplicate", F.col("duplicate") & F.col("problem").isNull())
 

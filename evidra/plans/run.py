@@ -40,7 +40,7 @@ def process(domains: DataFrame, fetch: Fetch, provider: Callable, settings: Sett
     named = domains.select("ord", F.col("normalized_domain").alias("host"))
     fetched, spent = pages.join(named, "host").drop("host"), took.join(named, "host").select("ord", "spent")
     broken = fetched.where(F.col("source_id") == C.FAILED).select("ord", F.lit("budget").alias("stage"), F.col("failure").alias("code"), F.lit("Per-domain time budget exhausted").alias("message"), F.lit(False).alias("retryable"))
-    found = commits.step("sources", E.sources(domains, fetched.where(F.col("source_id") != C.FAILED)))
+    found = commits.step("sources", E.sources(domains, fetched.where(F.col("source_id") != C.FAILED), lambda df: commits.step("cleaned", df)))
     told = X.extract(domains, found, provider, settings, commits, spent, clock)
     grounded, search = told["grounded"], None
     if settings.enable_search:
