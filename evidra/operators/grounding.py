@@ -9,6 +9,7 @@ they come in a result's list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +23,14 @@ FIELDS = ["company_name", "overview_sentence_1", "overview_sentence_2", "target_
 # Fixed value: a phrase by which a page speaks of its own people.
 OWN_TEAM = r"(?i)\bour (team|founder|chief|ceo|cto)\b"
 EVIDENCE = "array<struct<source_id:string,excerpt:string,source_url:string>>"
+Kept = Callable[[DataFrame, str], DataFrame]
 ISSUES = "ord {}, place struct<section:int,item:int,part:int>, issue string"
 
 
+def _own() -> Column:
+    return (F.col("kind") == "first_party_html").alias("__own")
+
+
 #: Questions that meet a source's text at a time.
 TOGETHER = 500
 
@@ -76,15 +82,15 @@ def observed_contacts(sources: DataFrame) -> DataFrame:
     return resolve(c, sources).groupBy("ord", F.col("aspect").alias("email")).agg(F.min("pos").alias("place"), listed().alias("evidence"))
 
 
-def valid_claims(claims: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
+def valid_claims(claims: DataFrame, citations: DataFrame, sources: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """(ord, field, value, evidence, issue): value and evidence are null where evidence is missing, with an issue.
 
     Every citation must resolve and be distinct, the value has 1 to 700 characters, and a company name
-    stands in some excerpt.
+    stands in some excerpt. resolved: citations as resolve() gives them, where they are at hand.
     """
     mine = citations.where(F.col("aspect").isin(FIELDS))
     asked = mine.groupBy("ord", F.col("aspect").alias("field")).agg(F.count("*").alias("asked"))
-    held = resolve(mine, sources).groupBy("ord", F.col("aspect").alias("field")).agg(listed().alias("evidence"))
+    held = (resolve(mine, sources) if resolved is None else resolved.where(F.col("aspect").isin(FIELDS))).groupBy("ord", F.col("aspect").alias("field")).agg(listed().alias("evidence"))
     c = claims.withColumn("value", T.squeezed(F.col("value"))).join(asked, ["ord", "field"], "left").join(held, ["ord", "field"], "left")
     c = c.withColumn("__fold", T.folded(F.col("value")))
     whole = (F.size("evidence") == F.col("asked")) & F.length("value").between(1, 700)
@@ -124,12 +130,13 @@ def core(held: DataFrame) -> DataFrame:
     )
 
 
-def contact_categories(observed: DataFrame, extracted: DataFrame, citations: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contact_categories(observed: DataFrame, extracted: DataFrame, citations: DataFrame, sources: DataFrame, resolved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(observed contacts with category, issues). The last extracted contact that is observed and evidenced gives the category.
 
     Each of its resolved excerpts has the address. Addresses that were not observed are never added.
     """
-    said = resolve(citations.where("aspect = 'contact'"), sources).groupBy("ord", "item").agg(F.collect_list(F.lower("excerpt")).alias("said"))
+    held = resolve(citations.where("aspect = 'contact'"), sources) if resolved is None else resolved.where("aspect = 'contact'")
+    said = held.groupBy("ord", "item").agg(F.collect_list(F.lower("excerpt")).alias("said"))
     address = T.stripped(F.lower("email"))
     each = extracted.select("ord", "item", address.alias("email"), F.col("category").alias("given")).join(said, ["ord", "item"], "left")
     each = each.join(observed.select("ord", "email", F.lit(True).alias("seen")), ["ord", "email"], "left")
@@ -141,7 +148,7 @@ def contact_categories(observed: DataFrame, extracted: DataFrame, citations: Dat
     return out, _issue(each.where("not ok"), 5, F.lit("contact_points: email was not observed with supporting evidence"), "item")
 
 
-def people(found: DataFrame, citations: DataFrame, sources: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def people(found: DataFrame, citations: DataFrame, sources: DataFrame, companies: DataFrame, resolved: DataFrame | None = None, kept: Kept = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """(accepted people with their evidence, issues). companies: ord, company_name.
 
     A person needs a relationship excerpt of a first-party source that names them and the company or 'our team',
@@ -150,8 +157,9 @@ def people(found: DataFrame, citations: DataFrame, sources: DataFrame, companies
     """
     p = found.join(companies.select("ord", F.col("company_name").alias("__company")), "ord", "left")
     p = p.withColumn("name", T.squeezed(F.col("name"))).withColumn("role", T.squeezed(F.col("role"))).withColumn("__profile", U.profile_url(F.col("linkedin_url")))
-    c = citations.where(F.col("aspect").isin("relationship", "role", "profile")).join(p.select("ord", "item", "name", "role", "__company", "__profile"), ["ord", "item"])
-    e = resolve(c, sources, (F.col("kind") == "first_party_html").alias("__own"))
+    of_people = F.col("aspect").isin("relationship", "role", "profile")
+    e = resolve(citations.where(of_people), sources, _own()) if resolved is None else resolved.where(of_people)
+    e = e.join(p.select("ord", "item", "name", "role", "__company", "__profile"), ["ord", "item"])
     # What a source says of each person is found where its lines and links are.
     who = F.struct(F.lower("name").alias("name"), F.coalesce("__profile", F.lit("")).alias("profile"))
     shown = asked_of(sources.where("usable").select("ord", "source_id", F.split("text", T.LINES).alias("__lines"), "links"), e.where("name is not null"), who)
@@ -176,18 +184,19 @@ def people(found: DataFrame, citations: DataFrame, sources: DataFrame, companies
     p = p.join(held, ["ord", "item"], "left").withColumns({k: F.coalesce(k, none) for k in ("relationship_evidence", "role_evidence", "profile_evidence")})
     p = p.withColumn("__ok", F.coalesce(F.length("name").between(1, 100) & (F.size("relationship_evidence") > 0), F.lit(False)))
     p = p.withColumn("__n", F.row_number().over(Window.partitionBy("ord", "__ok", T.folded(F.col("name"))).orderBy("item")))
-    kept = p.where("__ok and __n = 1")
+    p = kept(p, "people")
+    taken = p.where("__ok and __n = 1")
     has_role, has_profile = F.size("role_evidence") > 0, F.col("__profile").isNotNull() & (F.size("profile_evidence") > 0)
     short = F.concat(F.lit("'"), F.coalesce(F.left("name", F.lit(100)), F.lit("")), F.lit("'"))
     # What an extraction is told about its people.
     issues = [
         _issue(p.where("not __ok"), 6, F.concat(F.lit("team_members: "), short, F.lit(" has an unsupported company relationship or external testimonial; omit this person unless valid company evidence exists")), "item"),
-        _issue(kept.where((F.coalesce("role", F.lit("")) != "") & ~has_role), 6, F.concat(F.lit("team_members.role: "), short, F.lit(" role not present in person-specific evidence; use an exact observed title or null")), "item", 1),
-        _issue(kept.where((F.coalesce("linkedin_url", F.lit("")) != "") & ~has_profile), 6, F.concat(F.lit("team_members.linkedin_url: "), short, F.lit(" has no observed person/profile association; set linkedin_url to null and profile_evidence to []")), "item", 2),
+        _issue(taken.where((F.coalesce("role", F.lit("")) != "") & ~has_role), 6, F.concat(F.lit("team_members.role: "), short, F.lit(" role not present in person-specific evidence; use an exact observed title or null")), "item", 1),
+        _issue(taken.where((F.coalesce("linkedin_url", F.lit("")) != "") & ~has_profile), 6, F.concat(F.lit("team_members.linkedin_url: "), short, F.lit(" has no observed person/profile association; set linkedin_url to null and profile_evidence to []")), "item", 2),
     ]
     role = (F.coalesce("role", F.lit("")) != "") & has_role
     wanted = (F.coalesce("linkedin_url", F.lit("")) != "") & has_profile
-    out = kept.select(
+    out = taken.select(
         "ord",
         "item",
         "name",
@@ -201,14 +210,18 @@ def people(found: DataFrame, citations: DataFrame, sources: DataFrame, companies
     return out, reduce(DataFrame.unionByName, issues)
 
 
-def ground(claims: DataFrame, citations: DataFrame, found_people: DataFrame, extracted: DataFrame, sources: DataFrame) -> DataFrame:
+def ground(claims: DataFrame, citations: DataFrame, found_people: DataFrame, extracted: DataFrame, sources: DataFrame, kept: Kept = lambda df, name: df) -> DataFrame:
     """What the sources prove of extractions, a row for each ord with claims: the core fields, field_evidence,
     contact_points, team_members and issues, distinct and in order.
+
+    All citations are searched for at once. kept: writes a table under a name and reads it; what several parts of the
+    result need is worked out once then.
     """
-    held = valid_claims(claims, citations, sources)
+    resolved = kept(resolve(citations, sources, _own()), "resolved")
+    held = kept(valid_claims(claims, citations, sources, resolved), "claims")
     fields = core(held)
-    contacts, wrong = contact_categories(observed_contacts(sources), extracted, citations, sources)
-    team, doubts = people(found_people, citations, sources, fields.select("ord", "company_name"))
+    contacts, wrong = contact_categories(kept(observed_contacts(sources), "observed"), extracted, citations, sources, resolved)
+    team, doubts = people(found_people, citations, sources, fields.select("ord", "company_name"), resolved, kept)
     order = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field")).cast("int")
     section = F.when(order <= 3, order - 1).otherwise(4)
     of_claims = held.where("issue is not null").select("ord", F.struct(section.alias("section"), F.lit(0).alias("item"), F.lit(0).alias("part")).alias("place"), "issue")

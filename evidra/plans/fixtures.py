@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidra.functions import text as T
 from evidra.operators import grounding
 from evidra.plans import enrich as E
+from evidra.sources.commits import Commits
 
 _CO = "'Acme' || cast(ord as string)"
 _PAGE = f"""said || chr(10) || {_CO} || ' builds tools for labs.' || chr(10) || 'It sells them to cities.' || chr(10) || 'Ann Lee is the CEO of ' || {_CO} || '.' || chr(10)
@@ -59,7 +60,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
-    return grounding.ground(t["claims"], t["citations"], t["people"], t["contacts"], t["sources"])
+    commits = Commits(spark)
+    t = {k: commits.step(k, v) for k, v in t.items()}
+    return grounding.ground(t["claims"], t["citations"], t["people"], t["contacts"], t["sources"], lambda df, name: commits.step(f"of-{name}", df))
 
 
 _SQ = f"trim(regexp_replace({{0}}, '{T.BLANK}', ' ', 'g'))"
@@ -120,7 +123,8 @@ enriched as (select *, case when coalesce(company_overview, '') <> '' then 1.0::
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables(spark, sf_dir)
+    commits = Commits(spark)
+    t = {k: commits.step(k, v) for k, v in tables(spark, sf_dir).items()}
     s = t["sources"]
     found = s.unionByName(s.where("page_no = 2").withColumns({"page_no": F.lit(3), "source_id": F.lit("page-3")}))
     bad = ~F.col("usable")
@@ -131,7 +135,9 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
             "problem": F.when(bad, "http_404"), "retryable": F.lit(False), "material": F.lit(False), "duplicate": (F.col("page_no") == 3) & ~bad,
         }
     )
-    g = grounding.ground(t["claims"], t["citations"], t["people"], t["contacts"], E.quotable(found)).withColumn("completed", F.col("ord") % 10 != 9)
+    found = commits.step("found", found)
+    g = grounding.ground(t["claims"], t["citations"], t["people"], t["contacts"], E.quotable(found), lambda df, name: commits.step(f"of-{name}", df)).withColumn("completed", F.col("ord") % 10 != 9)
+    g = commits.step("grounded", g)
     base = t["sources"].where("page_no = 1").select("ord")
     domains = base.select("ord", F.lit("Acme.test").alias("input_domain"), F.when(F.col("ord") % 11 != 10, "acme.test").alias("normalized_domain"))
     told = F.col("ord") % 4 != 3
