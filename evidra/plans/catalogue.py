@@ -14,6 +14,7 @@ from evidra.operators import audit, context, frontier, grounding, html, queue, r
 from evidra.plans import extract
 from evidra.plans import fixtures as X
 from evidra.settings import Settings
+from evidra.sources import runs
 from evidra.sources.commits import Commits
 from evidra.streaming import frontier as stream
 
@@ -607,6 +608,37 @@ def q_audit_live(spark, sf_dir):
     return audit.live(X.enriched(spark, sf_dir), run)
 
 
+#: Ways to break the text of a run, by number: a change of the text, and the misfit that it is. The first is none.
+_MISFITS = [
+    ("text", None, None),
+    ("replace(text, '\"complete\":true', '\"complete\":\"yes\"')", "run.complete", "kind"),
+    ("replace(text, '\"schema_version\":\"1.0\",', '')", "run.schema_version", "missing"),
+    ("replace(text, '\"input_domain\":', '\"other\":1,\"input_domain\":')", "run.results[]", "unknown"),
+    ("regexp_replace(text, '\"status\":\"(success|partial|failed)\"', '\"status\":\"fine\"')", "run.results[].status", "value"),
+    ("replace(text, '\"warnings\":[\"w\"]', '\"warnings\":[null]')", "run.warnings[]", "null"),
+    ("replace(text, '\"warnings\":[\"w\"]', '\"warnings\":[NaN]')", "run", "json"),
+    ("substring(text, 1, 40)", "run", "json"),
+    ("replace(text, '+00:00', ' UTC')", "run.started_at", "value"),
+    ("regexp_replace(text, '\"input_tokens\":[0-9]+', '\"input_tokens\":-1')", "run.results[].usage.input_tokens", "value"),
+    ("regexp_replace(text, '\"request_count\":[0-9]+', '\"request_count\":1.5')", "run.results[].usage.request_count", "kind"),
+]
+_WAYS = ", ".join(f"({k}, '{at}', '{rule}')" for k, (_, at, rule) in enumerate(_MISFITS) if at)
+
+
+@query(f"with {X.sql()}, ways(k, place, rule) as (values {_WAYS}) select b.ord, w.place, w.rule from base b join ways w on w.k = b.ord % {len(_MISFITS)}")
+def q_strict_load(spark, sf_dir):
+    """Runs of one result each as JSON, each broken in one way by its number, walked against the closed schema."""
+    e = X.enriched(spark, sf_dir)
+    form = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
+    row = e.select("ord", F.to_json(F.struct(*(c for c in e.columns if c != "ord")), form).alias("j"))
+    head = '{"schema_version":"1.0","run_id":"r","mode":"live","started_at":"2026-01-01T00:00:00+00:00","finished_at":null,"model":"m","complete":true,"warnings":["w"],"configuration":{"any":[1]},"results":['
+    texts = row.select("ord", F.concat(F.lit(head), "j", F.lit("]}")).alias("text"))
+    way = (F.col("ord") % len(_MISFITS)).cast("int")
+    broken = F.coalesce(*(F.when(way == k, F.expr(x)) for k, (x, _, _) in enumerate(_MISFITS)))
+    found = runs.misfits(texts.select(F.col("ord").alias("id"), broken.alias("text")))
+    return found.select(F.col("id").alias("ord"), F.col("at").alias("place"), "rule")
+
+
 @query("with a as (select doc_id // 4 as ord, cast(doc_id % 4 as integer) as attempt, cast(n_chars % 5 as integer) as supported, cast(n_chars % 3 as integer) as issues from documents) select ord, arg_max(attempt, (issues = 0)::integer * 1000 + supported * 10 + attempt) as attempt from a group by 1")
 def q_best_attempt(spark, sf_dir):
     a = table(spark, sf_dir, "documents").selectExpr("doc_id div 4 as ord", "cast(doc_id % 4 as int) as attempt", "cast(n_chars % 5 as int) as supported", "cast(n_chars % 3 as int) as issues")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import os
 import re
 import tempfile
@@ -16,25 +15,55 @@ from pyspark.sql import types as K
 from evidra.operators import audit
 from evidra.plans.enrich import RESULT
 from evidra.schema import CATEGORIES, Misfit
+from evidra.sources import strict
 
 HEAD = "schema_version string, run_id string, mode string, started_at timestamp, finished_at timestamp, model string, complete boolean, warnings array<string>"
-STAMP = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|\+00:00)"
 # What members of a result may hold.
 ALLOWED = {
-    "results.status": ("success", "partial", "failed"),
-    "results.contact_points.category": CATEGORIES,
-    "results.contact_points.verification_status": ("publicly_observed_not_deliverability_verified",),
-    "results.team_members.linkedin_status": ("first_party_link", "search_candidate", "not_found"),
-    "results.team_members.linkedin_candidates.status": ("search_candidate",),
-    "results.sources.kind": ("first_party_html", "search_snippet"),
-    "results.sources.retrieval_method": ("playwright", "http_fallback", "tavily", "fixture"),
+    "run.schema_version": ("1.0",),
+    "run.mode": ("live", "demo"),
+    "run.results.status": ("success", "partial", "failed"),
+    "run.results.contact_points.category": CATEGORIES,
+    "run.results.contact_points.verification_status": ("publicly_observed_not_deliverability_verified",),
+    "run.results.team_members.linkedin_status": ("first_party_link", "search_candidate", "not_found"),
+    "run.results.team_members.linkedin_candidates.status": ("search_candidate",),
+    "run.results.sources.kind": ("first_party_html", "search_snippet"),
+    "run.results.sources.retrieval_method": ("playwright", "http_fallback", "tavily", "fixture"),
 }
 NULLABLE = {
-    "results.normalized_domain", "results.company_name", "results.company_overview", "results.target_audience", "results.team_members.role", "results.team_members.linkedin_url", "results.sources.retrieved_at", "results.sources.http_status",
-    "results.sources.search_query", "results.usage.estimated_llm_cost_usd", "results.estimated_search_cost_usd", "results.errors.source_id", "results.crawl.duration_seconds",
+    "run.finished_at",
+    "run.results.normalized_domain", "run.results.company_name", "run.results.company_overview", "run.results.target_audience", "run.results.team_members.role", "run.results.team_members.linkedin_url", "run.results.sources.retrieved_at", "run.results.sources.http_status",
+    "run.results.sources.search_query", "run.results.usage.estimated_llm_cost_usd", "run.results.estimated_search_cost_usd", "run.results.errors.source_id", "run.results.crawl.duration_seconds",
 }
 
 
+
+#: A run, as places of a closed schema; its configuration may hold anything.
+ROOT, ROW = "run", "run.results[]"
+
+
+def _places() -> list[tuple]:
+    row = K.StructType([f for f in K._parse_datatype_string(_ddl()).fields if f.name != "ord"])
+    head = [*K._parse_datatype_string(HEAD).fields, K.StructField("configuration", K.BinaryType()), K.StructField("results", K.ArrayType(row))]
+    return strict.places(K.StructType(head), ROOT, NULLABLE, ALLOWED)
+
+
+def misfits(texts: DataFrame, root: str = ROOT) -> DataFrame:
+    """strict.misfits() of runs as JSON (id, text), or of results; and cached tokens of more than all input."""
+    rows = _places()
+    depth = max(r[-1] for r in rows)
+    return strict.misfits(texts, strict.table(texts.sparkSession, rows), depth, root)
+
+
+def overcounted(results: DataFrame) -> DataFrame:
+    return results.where(F.col("usage.cached_input_tokens") > F.col("usage.input_tokens"))
+
+
+def _or_raise(found: DataFrame) -> None:
+    if worst := found.orderBy("id", "at", "rule").first():
+        raise Misfit(f"{worst['at'].replace('[]', '')} ({worst['rule']})")
+
+
 class PersistenceError(Exception):
     pass
 
@@ -59,55 +88,6 @@ def _ddl() -> str:
     return ", ".join(f"{k} {v}" for k, v in RESULT.items())
 
 
-def fits(value, kind: K.DataType, at: str) -> None:
-    """Raises unless a JSON value has a type, with all members and no others."""
-    if value is None:
-        ok = at in NULLABLE
-    elif isinstance(kind, K.StructType):
-        ok = isinstance(value, dict) and value.keys() == {*kind.names}
-        for f in kind.fields if ok else ():
-            fits(value[f.name], f.dataType, f"{at}.{f.name}")
-    elif isinstance(kind, K.ArrayType):
-        ok = isinstance(value, list)
-        for x in value if ok else ():
-            fits(x, kind.elementType, at)
-    elif isinstance(kind, K.MapType):
-        ok = isinstance(value, dict)
-        for x in value.values() if ok else ():
-            fits(x, kind.valueType, at)
-    elif isinstance(kind, K.BooleanType):
-        ok = isinstance(value, bool)
-    elif isinstance(kind, (K.IntegerType, K.LongType)):
-        ok = isinstance(value, int) and not isinstance(value, bool) and value >= 0
-    elif isinstance(kind, K.DoubleType):
-        ok = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and value >= 0
-        ok = ok and (value <= 1 or "confidence" not in at)
-    else:
-        ok = isinstance(value, str) and (not isinstance(kind, K.TimestampType) or re.fullmatch(STAMP, value) is not None)
-    if not ok or at in ALLOWED and value not in ALLOWED[at]:
-        raise Misfit(at)
-
-
-def check(data, schema: K.StructType) -> None:
-    """Raises unless data has the form of a run; rules between its members follow."""
-    names = [x.split()[0] for x in HEAD.split(", ")] + ["configuration", "results"]
-    if not isinstance(data, dict) or data.keys() != {*names}:
-        raise Misfit("run")
-    for name, kind in (("schema_version", str), ("run_id", str), ("mode", str), ("model", str), ("complete", bool), ("configuration", dict), ("results", list), ("warnings", list)):
-        if not isinstance(data[name], kind):
-            raise Misfit(name)
-    if data["schema_version"] != "1.0" or data["mode"] not in ("live", "demo") or not all(isinstance(w, str) for w in data["warnings"]):
-        raise Misfit("run")
-    for name in ("started_at", "finished_at"):
-        if not (data[name] is None and name == "finished_at") and not (isinstance(data[name], str) and re.fullmatch(STAMP, data[name])):
-            raise Misfit(name)
-    row = K.StructType([f for f in schema.fields if f.name != "ord"])
-    for r in data["results"]:
-        fits(r, row, "results")
-        if r["usage"]["cached_input_tokens"] > r["usage"]["input_tokens"]:
-            raise Misfit("results.usage.cached_input_tokens")
-
-
 def _stamp(x: datetime | None) -> str | None:
     return None if x is None else x.isoformat()
 
@@ -121,18 +101,22 @@ def save(head: dict, results: DataFrame, path: str) -> None:
     try:
         of_run = spark.createDataFrame([tuple(head[x.split()[0]] for x in HEAD.split(", "))], HEAD)
         audit.required_or_raise(audit.audit(results).unionByName(audit.run_rules(of_run, results)))
+        if not overcounted(results).isEmpty():
+            raise Misfit("run.results.usage.cached_input_tokens")
+        some = not results.isEmpty()
         form = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
-        lines = results.orderBy("ord").select(F.to_json(F.struct(*(c for c in results.columns if c != "ord")), form).alias("j")).toLocalIterator()
+        texts = results.select("ord", F.to_json(F.struct(*(c for c in results.columns if c != "ord")), form).alias("j"))
+        if some:
+            _or_raise(misfits(texts.select(F.col("ord").alias("id"), F.col("j").alias("text")), ROW))
+        lines = texts.orderBy("ord").select("j").toLocalIterator()
         folder = os.path.dirname(os.path.abspath(path))
         os.makedirs(folder, exist_ok=True)
         handle, temporary = tempfile.mkstemp(dir=folder, prefix=f".{os.path.basename(path)}.", suffix=".tmp")
-        row = K.StructType([f for f in spark.createDataFrame([], _ddl()).schema.fields if f.name != "ord"])
         with os.fdopen(handle, "w", encoding="utf-8") as f:
             first = {k: told[k] for k in ("schema_version", "run_id", "mode", "started_at", "finished_at", "model", "configuration", "complete", "warnings")}
             f.write(json.dumps(first, ensure_ascii=False, indent=2, allow_nan=False).removesuffix("\n}") + ',\n  "results": [')
             for i, line in enumerate(lines):
                 r = json.loads(line.j)
-                fits(r, row, "results")
                 text = json.dumps(r, ensure_ascii=False, indent=2, allow_nan=False).replace("\n", "\n    ")
                 f.write((",\n    " if i else "\n    ") + text)
             f.write("\n  ]\n}\n")
@@ -147,16 +131,16 @@ def save(head: dict, results: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(head, results) of a saved run, checked in form and audited; whatever does not hold raises a ValueError."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f, parse_constant=lambda x: (_ for _ in ()).throw(Misfit("number")))
-    schema = spark.createDataFrame([], _ddl()).schema
-    check(data, schema)
-    rows = spark.createDataFrame([(i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(data["results"])], "ord int, j string")
+    """(head, results) of a saved run, checked in form and audited; whatever does not hold raises a ValueError. Only the head comes to the driver."""
+    uri = path if re.match(r"^[a-z][a-z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}"
+    text = spark.read.text(uri, wholetext=True).select(F.lit(0).alias("id"), F.col("value").alias("text"))
+    _or_raise(misfits(text))
     inner = ", ".join(f"{k} {v}" for k, v in RESULT.items() if k != "ord")
-    results = rows.select("ord", F.from_json("j", inner, {"mode": "FAILFAST"}).alias("r")).select("ord", "r.*")
-    head = {k: v for k, v in data.items() if k != "results"}
-    stamps = {k: None if head[k] is None else datetime.fromisoformat(head[k]) for k in ("started_at", "finished_at")}
-    of_run = spark.createDataFrame([tuple((head | stamps)[x.split()[0]] for x in HEAD.split(", "))], HEAD)
+    # The values of ord in a file are their places.
+    results = text.select(F.posexplode(F.from_json("text", f"results array<struct<{inner.replace(' ', ':')}>>".replace(",:", ","), {"mode": "FAILFAST"})["results"]).alias("ord", "r")).select("ord", "r.*")
+    if not overcounted(results).isEmpty():
+        raise Misfit("run.results.usage.cached_input_tokens")
+    of_run = text.select(F.from_json("text", HEAD, {"mode": "FAILFAST"}).alias("h")).select("h.*")
     audit.required_or_raise(audit.audit(results).unionByName(audit.run_rules(of_run, results)))
-    return head, results
+    told = text.select(F.from_json("text", HEAD.replace("timestamp", "string")).alias("h"), F.get_json_object("text", "$.configuration").alias("c")).first()
+    return told.h.asDict() | {"configuration": json.loads(told.c)}, results

@@ -259,15 +259,37 @@ def test_demo_file_and_command_line(spark, vocabulary, tmp_path, capsys, monkeyp
             runs.load(spark, str(tmp_path / "x.json"))
 
     broken(lambda d, r: r["field_evidence"]["company_name"][0].update(excerpt="Invented"))
-    broken(lambda d, r: d.update(extra=1))
-    broken(lambda d, r: r.update(extra=1))
-    broken(lambda d, r: r.update(status="fine"))
-    broken(lambda d, r: r.pop("warnings"))
     broken(lambda d, r: r["usage"].update(cached_input_tokens=1))
-    broken(lambda d, r: r.update(confidence_score=float("nan")))
     broken(lambda d, r: d.update(mode="live"))
-    broken(lambda d, r: d.update(warnings=[], finished_at=None))
-    broken(lambda d, r: d.update(started_at="2026-01-01 00:00"))
+    broken(lambda d, r: d.update(extra=1))
+
+    def told(change):
+        other = json.loads(json.dumps(data))
+        change(other, other["results"][0])
+        return json.dumps(other)
+
+    row = "run.results[]"
+    forms = [
+        (told(lambda d, r: None), set()),
+        (told(lambda d, r: d.update(extra=1)), {("run", "unknown")}),
+        (told(lambda d, r: r.update(extra=1)), {(row, "unknown")}),
+        (told(lambda d, r: r.update(status="fine")), {(f"{row}.status", "value")}),
+        (told(lambda d, r: r.pop("warnings")), {(f"{row}.warnings", "missing")}),
+        (told(lambda d, r: r.update(confidence_score=float("nan"))), {("run", "json")}),
+        (told(lambda d, r: r.update(confidence_score=1.5)), {(f"{row}.confidence_score", "value")}),
+        (told(lambda d, r: d.update(warnings=None, finished_at=None)), {("run.warnings", "null")}),
+        (told(lambda d, r: d.update(started_at="2026-01-01 00:00")), {("run.started_at", "value")}),
+        (told(lambda d, r: r["sources"][0]["links"][0].update(url=5, y=1)), {(f"{row}.sources[].links[].url", "kind"), (f"{row}.sources[].links[]", "unknown")}),
+        (told(lambda d, r: r["crawl"].update(attempted_pages=1.5, usable_pages=-1)), {(f"{row}.crawl.attempted_pages", "kind"), (f"{row}.crawl.usable_pages", "value")}),
+        (told(lambda d, r: r["field_evidence"].update(other=[{}])), {(f"{row}.field_evidence[][].{k}", "missing") for k in ("source_id", "excerpt", "source_url")}),
+        ("[1", {("run", "json")}),
+        ("[]", {("run", "kind")}),
+    ]
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "id int, text string")
+    found = {}
+    for x in runs.misfits(texts).collect():
+        found.setdefault(x.id, set()).add((x["at"], x.rule))
+    assert [found.get(i, set()) for i in range(len(forms))] == [w for _, w in forms]
     data["mode"] = "live"
     (tmp_path / "live.json").write_text(json.dumps(data))
     with pytest.raises(runs.PersistenceError):
