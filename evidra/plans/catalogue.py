@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import urljoin
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -459,15 +457,59 @@ def q_content_problem(spark, sf_dir):
     return p.select("page_id", "status", html.content_problem(F.col("p.title"), F.col("p.shown"), F.col("status")).alias("problem"))
 
 
-_HREFS = ["https://b.test/x/../y", "//c.test/p", "/a/./b/../c?x=/../", "../up", "../../../top#f/..", "./here", "here/.", "..", "?q=1", "#f", "", "deep/er/../flat.html", "a/b/"]
-_BASES = ["https://a.test/one/two/three?k=v", "http://a.test", "https://a.test/dir/"]
-_JOINED = [(b, h, urljoin(b, h)) for b in _BASES for h in _HREFS]
-
-
-@query("select * from (values " + ", ".join(f"('{b}', '{h}', '{u}')" for b, h, u in _JOINED) + ") t(base, href, url)")
+#: References by number, and what they are against a page's URL: p its origin, f its folder, up the folder above, n its path.
+_REFS = {
+    "https://b.test/x": "'https://b.test/x'",
+    "//c.test/p": "scheme || '://c.test/p'",
+    "/a/./b/../c?x=/../": "p || '/a/c?x=/../'",
+    "../up": "p || up || 'up'",
+    "./here": "p || f || 'here'",
+    "here/.": "p || f || 'here/'",
+    "..": "p || up",
+    "?q=1": "p || n || '?q=1'",
+    "#f": "regexp_replace(url, '#.*$', '') || '#f'",
+    "deep/er/../flat.html": "p || f || 'deep/flat.html'",
+    "../../../../../../top#f/..": "p || '/top#f/..'",
+}
+
+
+@query(f"""with u as (select page_id, url, regexp_extract(url, '^([a-z]+):', 1) as scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as p, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as n from pages),
+d as (select *, regexp_replace(case when n = '' then '/' else n end, '[^/]*$', '') as f from u), e as (select *, regexp_replace(f, '[^/]+/$', '') as up from d)
+select page_id, case page_id % {len(_REFS)} {" ".join(f"when {k} then '{h}'" for k, h in enumerate(_REFS))} end as href, case page_id % {len(_REFS)} {" ".join(f"when {k} then {x}" for k, x in enumerate(_REFS.values()))} end as url from e""")
 def q_resolve_url(spark, sf_dir):
-    d = spark.createDataFrame([(b, h) for b, h, _ in _JOINED], "base string, href string")
-    return d.withColumn("url", U.resolved(F.col("href"), F.col("base")))
+    """References of many forms against the URLs of the pages."""
+    href = F.get(F.array(*map(F.lit, _REFS)), (F.col("page_id") % len(_REFS)).cast("int"))
+    return table(spark, sf_dir, "pages").withColumn("href", href).select("page_id", "href", U.resolved(F.col("href"), F.col("url")).alias("url"))
+
+
+#: Blocks put into the pages, by number: what of them a page of zqx.test comes to say, its own addresses, and what stands beside its links.
+_BLOCKS = [
+    ('<script type="application/ld+json">{"name":"zqx Labs","other":1,"employee":[{"name":"zqx A","age":3}],"url":"https://zqx.test/"}</script>', ['JSON-LD: [{"name": "zqx Labs", "employee": [{"name": "zqx A"}], "url": "https://zqx.test/"}]'], [], []),
+    ('<script type="application/ld+json">{"@graph":[{"name":"zqx","email":5}]}</script><script type="application/ld+json">{zqx broken</script>', ['JSON-LD: [{"name": "zqx", "email": null}]'], [], []),
+    ('<meta name="description" content="zqx says"><meta name="keywords" content="zqx no"><meta property="og:site_name" content="zqx site">', ["Metadata: zqx says", "Metadata: zqx site"], [], []),
+    ('<div style="DISPLAY : none">zqx hidden</div><p style="visibility:hidden">zqx hidden</p><p>zqx shown</p>', ["zqx shown"], [], []),
+    ('<div class="site-cookie-banner">zqx cookies</div><div id="consent_banner">zqx no</div><p hidden>zqx no</p><p aria-hidden="true">zqx no</p><svg>zqx no</svg><p>zqx rest</p>', ["zqx rest"], [], []),
+    ('<p>zqx words that stand beside <a href="/zqx">it</a></p>', ["zqx words that stand beside"], [], ["zqx words that stand beside it"]),
+    ('<p>zqx write to all of us here <a href="mailto:ZQX@zqx.test?cc=no@zqx.test">zqx mail</a></p>', ["zqx write to all of us here", "zqx mail", "Public email: zqx@zqx.test | zqx write to all of us here zqx mail"], ["zqx@zqx.test"], []),
+    ("<p>zqx reach zqx@zqx.test now</p>", ["zqx reach zqx@zqx.test now", "Public email: zqx@zqx.test"], ["zqx@zqx.test"], []),
+    ("<p>zqx for example zqx@zqx.test only</p>", ["zqx for example zqx@zqx.test only"], [], []),
+    ("<p>zqx mail zqx@zqx.test</p><pre>zqx@zqx.test</pre>", ["zqx mail zqx@zqx.test"], [], []),
+    ('<p>zqx profile of someone here <a href="https://linkedin.com/in/zqx">Zed</a></p>', ["zqx profile of someone here", "Observed profile link: https://linkedin.com/in/zqx | zqx profile of someone here Zed"], [], ["zqx profile of someone here Zed"]),
+    ("<nav>zqx nav</nav><form>zqx form</form><header>zqx head</header><pre>zqx pre</pre><p>zqx kept</p>", ["zqx kept"], [], []),
+    ("<p>zqx to user@zqx.test other@else.test info@www.zqx.test</p>", ["zqx to user@zqx.test other@else.test info@www.zqx.test", "Public email: info@www.zqx.test"], ["info@www.zqx.test"], []),
+]
+_OF_BLOCKS = ", ".join("({}, '{}', '{}', '{}')".format(k, "|".join(t), ",".join(e), "|".join(n)) for k, (_, t, e, n) in enumerate(_BLOCKS))
+
+
+@query(f"with w(k, said, emails, beside) as (values {_OF_BLOCKS}) select page_id, said, emails, beside from pages join w on k = page_id % {len(_BLOCKS)}")
+def q_html_blocks(spark, sf_dir):
+    """Linked data, meta elements, what is hidden, boilerplate, surroundings of links, and addresses of every kind, in blocks put into the pages."""
+    block = F.get(F.array(*(F.lit(b) for b, *_ in _BLOCKS)), (F.col("page_id") % len(_BLOCKS)).cast("int"))
+    put = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), block)))
+    p = html.clean(put, host=F.lit("zqx.test"))
+    said = F.filter(F.split("text", "\n"), lambda x: x.contains("zqx"))
+    beside = F.transform(F.filter("links", lambda x: x["url"].contains("zqx")), lambda x: x["nearby_text"])
+    return p.select("page_id", F.array_join(said, "|").alias("said"), F.array_join("email_candidates", ",").alias("emails"), F.array_join(beside, "|").alias("beside"))
 
 
 _CODES = "case page_id % 5 when 0 then 'http_404' when 1 then 'http_500' when 2 then 'soft_404' when 3 then 'challenge' else 'http_410' end"
