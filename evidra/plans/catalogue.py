@@ -15,6 +15,7 @@ from evidra.settings import Settings
 from evidra.sources import runs
 from evidra.sources.commits import Commits
 from evidra.streaming import frontier as stream
+from evidra.streaming import usage as usage_stream
 
 Q, SQL = {}, {}
 
@@ -537,10 +538,13 @@ _USAGE = f"""select ord, cast(coalesce(sum(input_tokens), 0) as bigint) as input
 cast(count(input_tokens) as bigint) as reported_response_count, coalesce(string_agg(response_id, ',' order by turn), '') as response_ids, '' as request_ids, array_to_string(list_filter(list(model order by turn, model), lambda x, i: list_position(list(model order by turn, model), x) = i), ',') as models, bool_and(input_tokens is not null) as accounting_complete from ({_REPLY}) group by 1"""
 
 
-def _usage(spark, sf_dir):
+def _replies(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    r = c.select(F.col("conv_id").alias("ord"), F.when(F.col("turn") % 5 != 4, F.length("text")).alias("input_tokens"), F.floor(F.length("text") / 2).alias("cached_input_tokens"), F.length("role").alias("output_tokens"), F.when(F.col("role") == "user", "m-1").otherwise("m-1-x").alias("model"), F.col("turn").alias("attempt"), F.when(F.col("turn") % 3 != 1, F.concat(F.lit("r"), F.col("turn").cast("string"))).alias("response_id"), F.lit("").alias("request_id"))
-    return scoring.usage(r)
+    return c.select(F.col("conv_id").alias("ord"), F.when(F.col("turn") % 5 != 4, F.length("text")).alias("input_tokens"), F.floor(F.length("text") / 2).alias("cached_input_tokens"), F.length("role").alias("output_tokens"), F.when(F.col("role") == "user", "m-1").otherwise("m-1-x").alias("model"), F.col("turn").alias("attempt"), F.when(F.col("turn") % 3 != 1, F.concat(F.lit("r"), F.col("turn").cast("string"))).alias("response_id"), F.lit("").alias("request_id"))
+
+
+def _usage(spark, sf_dir):
+    return scoring.usage(_replies(spark, sf_dir))
 
 
 @query(_USAGE)
@@ -548,6 +552,16 @@ def q_usage_rollup(spark, sf_dir):
     return _usage(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("models", "response_ids", "request_ids")})
 
 
+@query(_USAGE)
+def q_usage_stream(spark, sf_dir):
+    """The same from three batches of a stream, the second of which repeats a third of the first and the third a third of all."""
+    r = _replies(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("attempt")))
+    third = F.pmod(F.xxhash64("ord", "attempt"), F.lit(3))
+    batches = F.array_compact(F.array(third, F.when(third == 0, F.lit(1)), F.when((F.col("ord") + F.col("attempt")) % 3 == 0, F.lit(2))))
+    told = usage_stream.rolled_up(r.withColumn("batch", F.explode(F.array_distinct(batches))), "batch")
+    return told.withColumns({c: F.array_join(c, ",") for c in ("models", "response_ids", "request_ids")})
+
+
 @query(f"select ord, case when reported_response_count > 0 then round(((input_tokens - cached_input_tokens) * 0.4 + cached_input_tokens * 0.1 + output_tokens * 1.6) / 1000000, 10) end as estimated_llm_cost_usd, case when reported_response_count = 0 then '{scoring.REASONS['silent']}' when accounting_complete then '{scoring.REASONS['whole']}' else '{scoring.REASONS['part']}' end as cost_reason from ({_USAGE})")
 def q_cost(spark, sf_dir):
     return scoring.cost(_usage(spark, sf_dir), "m-1", "m-1", (0.4, 0.1, 1.6)).select("ord", "estimated_llm_cost_usd", "cost_reason")
