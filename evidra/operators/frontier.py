@@ -189,6 +189,8 @@ def best_first(links: DataFrame, max_pages: int = 8, max_depth: int = 2, seen: i
     looked up in the table, and no other links of the host are ever brought together. Of a page only the first 2 * seen
     links in URL order can be remembered, whatever came before, so more never leave the window.
     """
+    # Where links are worked out by long expressions, a filter on them would repeat these many times over.
+    links = _kept(links.select("host", "page_url", "pos", "url", "text"))
     ranked = links.where("host is not null").withColumn("priority", priority(F.col("url"), F.col("text"))).where("priority is not null").where(U.in_scope(F.col("url"), F.col("host")))
     ranked = ranked.select("host", U.canonical_url(F.col("page_url")).alias("at"), "pos", "url", "priority")
     once = ranked.groupBy("host", "at", "url").agg(F.min(F.struct("pos", "priority")).alias("first"))

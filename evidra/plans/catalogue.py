@@ -189,7 +189,8 @@ def _site(spark, sf_dir):
     numbered = pages.select("page_id", U.host(F.col("url")).alias("host"), F.col("url").alias("page_url")).withColumn("k", no)
     tails = F.array(*map(F.lit, _TAILS))
     url = F.concat("url", F.lit("/"), F.get(tails, ((F.col("pos") + F.length("url")) % len(_TAILS)).cast("int")))
-    linked = frontier.page_links(pages).join(numbered, ["host", "page_url"]).select("host", "k", "pos", url.alias("url"), "text")
+    links = Commits(spark).step("links", frontier.page_links(pages))
+    linked = links.join(numbered, ["host", "page_url"]).select("host", "k", "pos", url.alias("url"), "text")
     root = numbered.where("k = 0").select("host", "k", F.concat(F.lit("https://"), "host", F.lit("/")).alias("page_url"))
     up = linked.select("host", F.expr("2 * k + pos + 1").alias("k"), "pos", F.col("url").alias("page_url")).where("pos < 2").drop("pos")
     placed = root.unionByName(numbered.where("k > 0").select("host", "k").join(up, ["host", "k"]))

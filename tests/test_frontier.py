@@ -30,7 +30,7 @@ def test_one_pass_equals_search(spark, seen):
     assert not [x for x in got if x[0] is None]
 
 
-def searched(host, links, rank, redirects, max_pages, max_depth, seen):
+def searched(host, links, ranks, redirects, max_pages, max_depth, seen):
     """A search with one queue: (url, priority, depth) in the order of visits."""
     queue, known, gone, out, spare = [(0, 0, f"https://{host}/")], {f"https://{host}/"}, set(), [], True
 
@@ -55,7 +55,7 @@ def searched(host, links, rank, redirects, max_pages, max_depth, seen):
         gone.add(end)
         first = {}
         for _, to, text in sorted((p, t, x) for at, p, t, x in links if at == end):
-            first.setdefault(to, rank[host, to, text])
+            first.setdefault(to, ranks[host, to, text])
         for to in sorted(first):
             if first[to] is not None:
                 remember(to, depth + 1, first[to])
