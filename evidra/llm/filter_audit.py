@@ -6,7 +6,7 @@ prefix it was reached by, and one pass over them counts what each further filter
 is released when all that follows it is counted, so at most one for each level is held at a time. What an
 order removes at a step is the count of an edge, looked up by the filters before it.
 
-Texts are read once. What is walked is a table of a row for each document: part, five verdicts and two labels. A document is
+Texts are read once, for a table of measures. What is walked is a table of a row for each document: part, five verdicts and two labels. A document is
 told from earlier copies by joining it with the smallest id of its text on (id, SHA-256 of the text), a key that no group of
 copies shares.
 
@@ -64,9 +64,12 @@ def with_copies(m: DataFrame) -> DataFrame:
     return m.join(first, ["doc_id", "digest"], "left").withColumn("copy", F.col("doc_id").isNotNull() & F.col("first").isNull())
 
 
-def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, A to E, good, toxic) for every row of docs: whether it fails each filter, and its labels."""
-    m = with_copies(measured(docs))
+def verdicts(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, A to E, good, toxic) for every row of measures, as measured() gives them: whether it fails each filter, and its labels.
+
+    measures are read twice: write them before.
+    """
+    m = with_copies(measures)
     of = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     return m.join(of, "doc_id", "left").select("part", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in conditions().items()), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
 
@@ -139,7 +142,12 @@ def audit(verdict: DataFrame, filters: str = "ABCDE") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return audit(verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scratch = Scratch(spark, "measures")
+    measures = scratch.store(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "measures")
+    out = audit(verdicts(measures, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    # The audit has stored what it told.
+    scratch.only()
+    return out
 
 
 #: Every order applied to every distinct set of verdicts of a part, with no prefix shared.

@@ -49,7 +49,7 @@ def brute(docs, labels):
 
 
 def audited(make, docs, labels):
-    v = filter_audit.verdicts(make(docs, DOCS), make(labels, LABELS))
+    v = filter_audit.verdicts(filter_audit.measured(make(docs, DOCS)), make(labels, LABELS))
     rows = filter_audit.audit(v).collect()
     assert len(rows) == len({(r.part, r.filter_order, r.step) for r in rows})
     return {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in rows}
@@ -82,7 +82,7 @@ def test_nothing(make):
 def test_each_unordered_prefix_once(spark, make, tmp_path):
     from evidra.llm.common import Scratch
 
-    v = filter_audit.verdicts(make([(i, "w " * i, "en", "p", "d", 1, 2, 3) for i in range(20)], DOCS), make([], LABELS))
+    v = filter_audit.verdicts(filter_audit.measured(make([(i, "w " * i, "en", "p", "d", 1, 2, 3) for i in range(20)], DOCS)), make([], LABELS))
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert len(filter_audit.edges(v, Scratch(spark, "edges"), "ABCDE")) == 31
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
