@@ -24,12 +24,17 @@ _FORM = pa.schema([("id", pa.string()), ("status", pa.int32()), ("location", pa.
 
 @dataclass(frozen=True)
 class Fetch:
-    """method: how pages were got, as results tell it. live: whether robots files are asked for and origins paced."""
+    """method: how pages were got, as results tell it. live: whether robots files are asked for and origins paced.
+
+    seconds: what a request may take at most, by default the HTTP timeout. files: how files that are no pages are got, by default the same way.
+    """
 
     method: str
     run: Callable[[DataFrame], DataFrame]
     live: bool = False
     test_origins: tuple[str, ...] = ()
+    seconds: float | None = None
+    files: Fetch | None = None
 
 
 def stored(pages: DataFrame, otherwise: str | None = None, method: str = "fixture") -> Fetch:
@@ -163,5 +168,6 @@ def _rendered(r: dict, b: _Browser) -> dict:
 
 
 def rendered(settings, names: Callable = PublicNames) -> Fetch:
-    """Pages as Chromium renders them."""
-    return Fetch("playwright", lambda requests: _dealt(requests, settings).mapInArrow(_answered(_rendered, lambda: _Browser(settings, names())), ANSWERS), True)
+    """Pages as Chromium renders them; robots files come over plain HTTP."""
+    run = lambda requests: _dealt(requests, settings).mapInArrow(_answered(_rendered, lambda: _Browser(settings, names())), ANSWERS)
+    return Fetch("playwright", run, True, seconds=settings.navigation_timeout_ms / 1000, files=over_http(settings, names=names))

@@ -50,7 +50,7 @@ def settled(asks: DataFrame, fetch: Fetch, settings, commits: Commits, name: str
             t = rules.of(t, f"{name}-{k}", clock)
             t = t.withColumn("refused", F.coalesce(place, F.when(~F.col("allowed"), F.concat(F.lit("robots_"), "robots_state"))))
         left = queue.left(settings.domain_budget_seconds, F.col("spent"))
-        t = t.withColumn("refused", F.coalesce(F.when(left < queue.LEAST, "deadline_exceeded"), "refused")).withColumn("seconds", F.least(left, F.lit(float(settings.http_timeout_seconds))))
+        t = t.withColumn("refused", F.coalesce(F.when(left < queue.LEAST, "deadline_exceeded"), "refused")).withColumn("seconds", F.least(left, F.lit(float(fetch.seconds or settings.http_timeout_seconds))))
         t = t.select("id", "host", "url", "origin", "spent", "hop", "attempt", "not_before", "delay", "refused", "seconds")
         go = queue.paced(t.where("refused is null"), now)
         met = t.join(fetch.run(go.select("id", "url", "origin", "start", "delay", "seconds")), "id", "left")
@@ -117,7 +117,7 @@ def crawl(hosts: DataFrame, fetch: Fetch, settings, commits: Commits, clock: Cal
 
     Failures of pages count as pages. A host whose time is spent has a row FAILED behind the pages that it had time for.
     """
-    rules = RobotsFiles(fetch, settings, commits) if fetch.live else None
+    rules = RobotsFiles(fetch.files or fetch, settings, commits) if fetch.live else None
     also = (lambda u: U.origin(u).isin(*fetch.test_origins)) if fetch.test_origins else None
     state = frontier.turn(frontier.started(hosts.select("host").distinct()).withColumn("offers", F.lit(None).cast(frontier.OFFERS)), settings.max_depth)
     state = commits.step("crawl-0-state", state)

@@ -4,6 +4,7 @@ import gzip
 import json
 import sys
 import threading
+import types
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidra import schema
 from evidra.connectors import providers as P
-from evidra.connectors.fetch import over_http, stored
+from evidra.connectors.fetch import _rendered, over_http, rendered, stored
 from evidra.connectors.http import Answer, PublicNames, RequestFailed, send
 from evidra.operators import queue, robots
 from evidra.plans import crawl as C
@@ -306,3 +307,73 @@ def test_closed_shapes():
             schema.fit(GOOD | change, schema.EXTRACTION)
     with pytest.raises(schema.Misfit):
         schema.fit({k: v for k, v in GOOD.items() if k != "team_members"}, schema.EXTRACTION)
+
+
+def test_a_browser_is_not_asked_for_files():
+    """Chromium itself is not here; what is fetched how is."""
+    fetch = rendered(Settings(navigation_timeout_ms=20_000))
+    assert (fetch.method, fetch.live, fetch.seconds) == ("playwright", True, 20.0)
+    assert fetch.files.method == "http_fallback" and fetch.files.files is None
+
+
+class Page:
+    """What a browser's page is asked, and what its document's request comes to."""
+
+    def __init__(self, status, location=None, leaves=False):
+        self.main_frame, self.status, self.location, self.leaves, self.told = self, status, location, leaves, []
+
+    def route(self, _, gate):
+        self.gate = gate
+
+    def goto(self, url, **_):
+        self.gate(Route(self, url))
+        self.gate(Route(self, "https://a.test/frame", frame=None))
+        self.gate(Route(self, "https://hidden.test/x.js", page=False))
+        self.gate(Route(self, "https://a.test/x.js", page=False))
+        if self.leaves:
+            self.gate(Route(self, "https://a.test/elsewhere"))
+
+    def content(self):
+        return "<p>html</p>"
+
+    def wait_for_timeout(self, _):
+        pass
+
+    def close(self):
+        self.told.append("closed")
+
+    mouse = type("Mouse", (), {"wheel": lambda *_: None})()
+
+
+class Route:
+    def __init__(self, owner, url, page=True, frame=True):
+        self.owner, self.request = owner, type("Request", (), {"url": url, "is_navigation_request": lambda _: page, "frame": owner if frame else None})()
+
+    def fetch(self, **_):
+        return type("Response", (), {"status": self.owner.status, "headers": {"location": self.owner.location} if self.owner.location else {}})()
+
+    def abort(self):
+        self.owner.told.append(f"abort {self.request.url}")
+
+    def continue_(self):
+        self.owner.told.append(f"pass {self.request.url}")
+
+    def fulfill(self, response):
+        self.owner.told.append(f"show {self.request.url}")
+
+
+@pytest.mark.parametrize("page, want", [(Page(200), {"status": 200, "location": None, "retry_after": None, "html": "<p>html</p>"}), (Page(302, "/b"), {"status": 302, "location": "/b", "retry_after": None}), (Page(503), {"status": 503, "location": None, "retry_after": None}), (Page(200, leaves=True), "client_redirect")])
+def test_what_a_page_may_load(monkeypatch, page, want):
+    sync = types.ModuleType("playwright.sync_api")
+    sync.Error = type("Error", (Exception,), {})
+    monkeypatch.setitem(sys.modules, "playwright", types.ModuleType("playwright"))
+    monkeypatch.setitem(sys.modules, "playwright.sync_api", sync)
+    browser = types.SimpleNamespace(page=lambda r: page, names=AnyName(), settings=Settings())
+    ask = lambda: _rendered({"url": "https://a.test/", "seconds": 5.0}, browser)
+    if isinstance(want, str):
+        with pytest.raises(RequestFailed, match=want):
+            ask()
+    else:
+        assert ask() == want
+    shown = "abort" if 300 <= page.status < 400 else "show"
+    assert page.told[:4] == [f"{shown} https://a.test/", "abort https://a.test/frame", "abort https://hidden.test/x.js", "pass https://a.test/x.js"] and page.told[-1] == "closed"
