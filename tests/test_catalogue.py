@@ -54,3 +54,19 @@ def test_clean(spark):
     assert r.title == "A page" and r.email_candidates == ["hi@acme.test"]
     assert [x.url for x in r.links] == ["https://acme.test/team", "https://acme.test/x?a=1&b=2"]
     assert "Hello" in r.text and "no" not in r.text.split("\n") and r.usable
+
+
+def test_blocks_apart_from_examples(spark, tmp_path):
+    """Pages that speak of examples right before and behind the blocks put into them."""
+    page = "<html><head><title>An example</title></head><body><h1>Some sample</h1><article><p>For example this</p></article><footer>x.example.org</footer></body></html>"
+    spark.createDataFrame([(i, f"https://x.example.org/{i}", page) for i in range(26)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in Q["q_html_blocks"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(c.execute(SQL["q_html_blocks"]).fetchall())
+
+
+def test_title_cut_in_a_reference(spark):
+    """As in HTML and the reference's parser, a name such as amp is a reference without its semicolon too."""
+    r = html.clean(spark.createDataFrame([("https://acme.test/", "<title>This &amp;&amp</title><article>of that &amp</article>")], "url string, html string")).first()
+    assert r.title == "This &&" and r.text == "This &&\nof that &"
