@@ -1,8 +1,11 @@
 """Text functions against Python's own."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.operators import grounding
 
 
 def test_folding(spark):
@@ -18,3 +21,25 @@ def test_blanks_and_sentences(spark):
     got = {r.t: (r.s, r.o) for r in df.select("t", T.squeezed(F.col("t")).alias("s"), T.single_sentence(F.col("t")).alias("o")).collect()}
     assert {t: s for t, (s, _) in got.items()} == {t: " ".join(t.split()) for t in texts}
     assert [got[t][1] for t in texts[2:]] == [False, True, False, False, True]
+
+
+def test_search_in_texts(spark):
+    """What stands in a squeezed text, and lines, as plain Python finds them."""
+    texts = ["a b\tc  d", "x y z", " lead trail ", "one\r\ntwo a@b.test\rthree\x85four a@b.test", "a  b a b", "　wide　", "Our CUSTOMER Story\nno\x0bformer CEO of x\nFormer  CEO\ninvestors", ""]
+    asked = ["a b c d", "b c", "y z", "x y", "lead trail", "ail", "two a@b.test", "a b a", "wide", "a@b.test", "d"]
+    df = spark.createDataFrame([(t, x) for t in texts for x in asked], "t string, x string")
+    for r in df.select("t", "x", T.says(F.col("t"), F.col("x")).alias("s"), T.first_line(F.col("t"), F.col("x"), 14).alias("l"), T.outsider_lines(F.col("t")).alias("o")).collect():
+        lines = re.split(T.LINES, r.t)
+        assert r.s == (r.x in " ".join(r.t.split())), (r.t, r.x)
+        assert r.l == next((y for y in lines if r.x in y and len(y) <= 14), None), (r.t, r.x)
+        assert r.o == [y for y in lines if re.search(T.OUTSIDER, y)]
+
+
+def test_texts_are_not_squeezed_to_be_searched(spark):
+    """Squeezing a text costs more than all else that grounding does with it; it happens where an excerpt's words stand apart otherwise."""
+    s = spark.createDataFrame([(1, "p", True, "https://a.test/", "a  b")], "ord int, source_id string, usable boolean, final_url string, text string")
+    c = spark.createDataFrame([(1, "name", 0, n, "p", "a b ") for n in range(2)], "ord int, aspect string, item int, pos int, source_id string, excerpt string")
+    found = grounding.resolve(c, s)
+    assert [(r.pos, r.excerpt) for r in found.collect()] == [(0, "a b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "regexp_replace(text" not in plan.split("Join")[1]
