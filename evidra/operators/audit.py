@@ -33,24 +33,20 @@ def _each(rule: str, items: Column, bad, detail) -> Column:
     return F.transform(wrong, lambda x: F.struct(F.lit(rule).alias("rule"), detail(x).cast("string").alias("detail")))
 
 
-def _source(e: Column) -> Column:
-    """The usable source that evidence names, the last of several."""
-    return F.try_element_at(F.filter("sources", lambda s: s["usable"] & (s["source_id"] == e["source_id"])), F.lit(-1))
-
-
 def resolves(e: Column) -> Column:
-    """Whether the excerpt stands in its source, under the URL that it tells."""
-    x, s = T.squeezed(e["excerpt"]), _source(e)
-    return F.coalesce(F.length(x).between(3, 600) & T.squeezed(s["text"]).contains(x) & (s["final_url"] == e["source_url"]), F.lit(False))
+    """Whether the excerpt stands in its source, the last of several that evidence names, under the URL that it tells."""
+    named = F.try_element_at(F.filter("sources", lambda s: s["usable"] & (s["source_id"] == e["source_id"])), F.lit(-1))
+    held = lambda x, s: F.length(x).between(3, 600) & (s["final_url"] == e["source_url"]) & T.says(s["text"], x)
+    return F.coalesce(T.let(named, lambda s: T.let(T.squeezed(e["excerpt"]), lambda x: held(x, s))), F.lit(False))
 
 
 def observed(email: Column) -> Column:
     """Whether a first-party source shows an address of the company."""
 
     def shows(s):
-        line = F.get(F.filter(F.split(s["text"], T.LINES), lambda x: x.contains(email) & (F.length(x) <= 600)), F.lit(0))
-        said = T.squeezed(F.coalesce(line, email))
-        return s["usable"] & (s["kind"] == "first_party_html") & F.array_contains(s["email_candidates"], email) & F.length(said).between(3, 600) & T.squeezed(s["text"]).contains(said)
+        # A line of the text stands in it.
+        held = lambda line: F.length(T.squeezed(F.coalesce(line, email))).between(3, 600) & (line.isNotNull() | T.says(s["text"], T.squeezed(email)))
+        return s["usable"] & (s["kind"] == "first_party_html") & F.array_contains(s["email_candidates"], email) & T.let(T.first_line(s["text"], email, 600), held)
 
     return F.exists("sources", shows)
 
@@ -79,7 +75,7 @@ def evidence_resolves() -> Column:
 
 def people_related() -> Column:
     def related(p):
-        return F.exists(p["relationship_evidence"], lambda e: T.folded(e["excerpt"]).contains(T.folded(p["name"])) & e["excerpt"].rlike(T.RELATIONSHIP) & ~e["excerpt"].rlike(T.OUTSIDER))
+        return F.exists(p["relationship_evidence"], lambda e: T.folded(e["excerpt"]).contains(T.folded(p["name"])) & e["excerpt"].rlike(T.RELATIONSHIP) & ~T.outsider(e["excerpt"]))
 
     return _each("person_related", F.col("team_members"), lambda p: ~related(p), lambda p: p["name"])
 
@@ -92,12 +88,16 @@ def roles_evidenced() -> Column:
 
 
 def profiles_observed() -> Column:
-    def linked(p):
-        beside = lambda x: (U.profile_url(x["url"]) == p["linkedin_url"]) & T.folded(x["nearby_text"]).contains(T.folded(p["name"]))
-        return F.exists("sources", lambda s: s["usable"] & (s["kind"] == "first_party_html") & F.exists(s["links"], lambda x: F.coalesce(beside(x), F.lit(False))))
+    beside = lambda x: F.struct(U.profile_url(x["url"]).alias("url"), T.folded(x["nearby_text"]).alias("beside"))
+    own = F.filter("sources", lambda s: s["usable"] & (s["kind"] == "first_party_html"))
+    links = F.flatten(F.transform(own, lambda s: F.transform(F.coalesce(s["links"], F.array()), beside)))
+
+    def unsound(shown):
+        linked = lambda p: T.let(T.folded(p["name"]), lambda n: F.exists(shown, lambda x: F.coalesce((x["url"] == p["linkedin_url"]) & x["beside"].contains(n), F.lit(False))))
+        sound = lambda p: (p["linkedin_status"] == "first_party_link") & (F.size(p["profile_evidence"]) > 0) & linked(p)
+        return _each("profile_observed", F.col("team_members"), lambda p: (p["linkedin_url"] != "") & ~sound(p), lambda p: p["name"])
 
-    sound = lambda p: (p["linkedin_status"] == "first_party_link") & (F.size(p["profile_evidence"]) > 0) & linked(p)
-    return _each("profile_observed", F.col("team_members"), lambda p: (p["linkedin_url"] != "") & ~sound(p), lambda p: p["name"])
+    return T.let(links, unsound)
 
 
 def fields_evidenced() -> Column:
@@ -127,7 +127,9 @@ RULES = [source_ids, contacts_observed, evidence_resolves, people_related, roles
 
 def audit(results: DataFrame) -> DataFrame:
     """All general rules: (rule, ord, detail)."""
-    return results.select(F.col("ord").cast("int").alias("ord"), F.explode(F.concat(*(rule() for rule in RULES))).alias("v")).select("v.rule", "ord", "v.detail")
+    # The outer form, so that no inferred filter works out all rules again.
+    found = results.select(F.col("ord").cast("int").alias("ord"), F.explode_outer(F.concat(*(rule() for rule in RULES))).alias("v"))
+    return found.where("v is not null").select("v.rule", "ord", "v.detail")
 
 
 def _told(df: DataFrame, rule: str, detail: Column) -> DataFrame:
