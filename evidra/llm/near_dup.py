@@ -12,9 +12,9 @@ buckets whose members are all in one component are done. What remains after one
 across components by prefix filtering, which loses no pair, so no limit on bucket sizes is needed. Every link is
 confirmed on the full shingle sets.
 
-A hash that many prefixes share is joined with itself in the last step; what bounds that are the classes (copies
-weigh as one), the pivots (members that link with one are gone) and the order of hashes, which puts frequent
-ones outside of prefixes unless a set has nothing rarer.
+A hash that CROWD prefixes or more share is not joined with itself: its nodes are dealt into blocks of about BLOCK sets, or WEIGHT
+hashes, and two blocks that meet in such a hash are compared once, set by set, in one row. What comes out are the links that connect
+components, at most one a set, so rows grow with the blocks and not with the pairs; pairs that link with nothing are compared all the same.
 
 Defined results: null or blank text has no shingles, links with nothing and is kept. A row without
 doc_id links with nothing, has no component and is kept. Ids may be of any type that has an order. Where an id occurs with
@@ -34,6 +34,8 @@ from evidra.llm.common import LOWER, Scratch, components, reached, rows
 
 T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
+#: Prefixes that share a hash from which on it is compared in blocks; sets of a block and their hashes, about.
+CROWD, BLOCK, WEIGHT = 32, 128, 1 << 17
 _U = np.uint64
 
 
@@ -134,8 +136,71 @@ def _confirmed(percent: int):
     return confirm
 
 
-def _rest(scratch: Scratch, live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (x, y) of live nodes in different components that may be linked, by prefix filtering.
+def spanning(comps: np.ndarray, sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
+    """Linked sets (i, j) that connect components: the first so many sets with those after them, or, with 0, all with each other.
+
+    sets: hashes, none empty. comps: their components so far; a link between sets that are connected already is not looked for.
+    """
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    root, held, out = np.unique(comps, return_inverse=True)[1], np.zeros(code.max() + 1, bool), []
+    for i in range(first or len(sets) - 1):
+        at = first or i + 1
+        n, m = sizes[i], sizes[at:]
+        fits = (root[at:] != root[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        if not fits.any():
+            continue
+        mine = code[starts[i] : starts[i] + n]
+        held[mine] = True
+        common = np.add.reduceat(held[code[starts[at] :]], starts[at:] - starts[at], dtype=np.int64)
+        held[mine] = False
+        for j in np.flatnonzero(fits & (100 * common >= percent * (n + m - common))) + at:
+            if root[j] != root[i]:
+                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _compared(percent: int):
+    form = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        for b in rows(batches, 1):
+            x, y = (b.column(k)[0].as_py() for k in ("x", "y"))
+            both = [x] if x["bid"] == y["bid"] else [x, y]
+            nodes, comps, sets = ([v for z in both for v in z[k]] for k in ("nodes", "comps", "sets"))
+            met = spanning(np.array(comps), [np.frombuffer(s, _U) for s in sets], len(x["nodes"]) if len(both) > 1 else 0, percent)
+            ends = [[min(nodes[i], nodes[j]) for i, j in met], [max(nodes[i], nodes[j]) for i, j in met]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ends], schema=form)
+
+    return compare
+
+
+def _crowded(scratch: Scratch, prefix: DataFrame, crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components of all nodes that meet in a crowd (hash, members).
+
+    A node has one block, dealt within the largest of its crowds, so that it travels by blocks that meet and not by hashes.
+    """
+    member = scratch.store(prefix.join(crowds, "hash").select("node", "c", "n", "hash", "members"), "members")
+    at = scratch.store(member.groupBy("node", "c", "n").agg(F.max(F.struct("members", "hash")).alias("m")).select("node", "c", "n", F.col("m.hash").alias("home")), "homes")
+    parts = at.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / WEIGHT)).alias("parts"))
+    at = scratch.store(at.join(parts, "home").select("node", "c", "home", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "dealt")
+    one = F.collect_list(F.struct("node", "c", "hashes")).alias("v")
+    each = lambda f: F.transform("v", lambda x: x[f])
+    blocks = at.join(sets, "node").groupBy("home", "part").agg(one).withColumn("bid", F.monotonically_increasing_id())
+    blocks = scratch.store(blocks.select("home", "part", "bid", F.struct("bid", each("node").alias("nodes"), each("c").alias("comps"), each("hashes").alias("sets")).alias("x")), "blocks")
+    of = at.join(blocks.select("home", "part", "bid"), ["home", "part"]).select("node", "bid")
+    cells = scratch.store(member.select("node", "hash").join(of, "node").select("hash", "bid").distinct(), "cells")
+    # Pairs are met by number, so blocks travel only to where they are compared.
+    met = cells.join(cells.select("hash", F.col("bid").alias("of")), "hash").where("bid <= of").select("bid", "of").distinct()
+    both = met.join(blocks.select("bid", "x"), "bid").join(blocks.select(F.col("bid").alias("of"), F.col("x").alias("y")), "of")
+    return scratch.store(both.select("x", "y").mapInArrow(_compared(percent), "a long, b long"), "compared")
+
+
+def _rest(scratch: Scratch, live: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs (x, y) of live nodes in different components that may be linked, by prefix filtering, but for those that
+    meet in crowded hashes; and of these the links (a, b) that connect components, or None where no hash is crowded.
 
     Hashes are ordered from rare to frequent. Two linked sets meet in the first
     n - ceil(n * percent / 100) + 1 hashes of each, so only these are joined; hashes of one set alone
@@ -149,11 +214,17 @@ def _rest(scratch: Scratch, live: DataFrame, sets: DataFrame, percent: int) -> D
     place = F.row_number().over(by.orderBy("df", "hash")) + F.col("n") - F.count("*").over(by)
     prefix = met.withColumn("place", place).where(f"place <= n - ceil(n * {percent} / 100) + 1")
     prefix = scratch.store(prefix.select("node", "c", "n", "hash", "place"), "prefix")
+    many = prefix.groupBy("hash").agg(F.count("*").alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")).where((F.col("members") >= CROWD) & (F.col("lo") < F.col("hi")))
+    many = scratch.store(many.select("hash", "members"), "crowds")
+    links = None
+    if not many.isEmpty():
+        links = _crowded(scratch, prefix, many, sets, percent)
+        prefix = scratch.store(prefix.join(many, "hash", "left_anti"), "few")
     a, b = prefix.alias("a"), prefix.alias("b")
     sizes = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
     # From their first common hash on, both sets must have enough left for the overlap that a link needs.
     enough = f"{100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
-    return a.join(b, F.expr(f"a.hash = b.hash and a.c < b.c and {sizes} and {enough}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    return a.join(b, F.expr(f"a.hash = b.hash and a.c < b.c and {sizes} and {enough}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")), links
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -205,6 +276,7 @@ def _classes(docs: DataFrame, percent: int, rounds: int, by_id: bool) -> tuple[D
                 break
         else:
             live = live.withColumn("c", F.col("node"))
+        crowd = None
         if turn < rounds:
             order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
             pivots = scratch.store(live.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.c").alias("of")), "pivots")
@@ -212,8 +284,9 @@ def _classes(docs: DataFrame, percent: int, rounds: int, by_id: bool) -> tuple[D
             pairs = met.where("c <> of").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
             live = met.where("node <> pivot").select("key", "node")
         else:
-            pairs = _rest(scratch, live, sets, percent)
+            pairs, crowd = _rest(scratch, live, sets, percent)
         found = confirm(pairs)
+        found = found if crowd is None else found.union(crowd)
         links = found if links is None else links.union(found)
         component = components(scratch, links)
     named = classes.select("cls", F.col("doc_id").alias("id"), "node")
